@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefp import views
+from tracefp.functions import events as fe
+from tracefp.functions import fingerprints as ff
+from tracefp.functions import headers as fh
 from tracefp.functions import requests as fr
 from tracefp.operators import beacon, sequences
-from tracefp.plans import traces
+from tracefp.plans import behaviour, http, tls, traces
+from tracefp.schema import TRACKED_HEADERS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,8 +28,12 @@ def query(fn: Query) -> Query:
 
 
 def r6(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six decimals for comparison; nothing else is touched."""
-    return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c)
+    """Doubles rounded for comparison; nothing else is touched.
+
+    Six decimals, three for spreads and rollups in milliseconds, whose size
+    leaves no more digits in a double.
+    """
+    return df.select(*[F.round(c, 3 if "_ms_" in c or c.endswith("_std_ms") else 6).alias(c) if t in ("double", "float") else F.col(c)
                        for c, t in df.dtypes])
 
 
@@ -176,7 +184,8 @@ def agent_interval_means(spark, d):
 @query
 def interval_histogram(spark, d):
     rows = sequences.request_intervals(req(spark, d)).select(*K, "iri_ms", "is_first")
-    return r6(traces.interval_histogram(rows, "iri_ms", 0.99, 30))
+    out = traces.interval_histogram(rows, "iri_ms", 0.99, 30)
+    return out.select(*K, "bin", "n", F.round("mean", 3).alias("mean_ms"))
 
 
 @query
@@ -185,3 +194,441 @@ def union_traces(spark, d):
     r = req(spark, d)
     parts = [r.where(F.col("agent") == f"agent_{i}") for i in range(6)]
     return traces.union_traces(*parts).groupBy(*K).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- headers and fingerprints
+
+
+def hdr(spark, d):
+    return http.header_frame(req(spark, d))
+
+
+def hdr_clean(spark, d):
+    return http.header_frame(clean(spark, d))
+
+
+def fps(spark, d):
+    return tls.fingerprint_frame(req(spark, d))
+
+
+def fps_clean(spark, d):
+    return tls.fingerprint_frame(clean(spark, d))
+
+
+@query
+def request_type(spark, d):
+    return fr.request_type(req(spark, d)).select("id", "req_type")
+
+
+@query
+def request_type_session(spark, d):
+    return fr.request_type_session(req(spark, d)).select("id", "req_type")
+
+
+@query
+def ua_features(spark, d):
+    return fh.ua_features(req(spark, d)).select("id", "ua_family", "ua_os", "ua_version")
+
+
+@query
+def brand_list(spark, d):
+    return fh.brand_list(req(spark, d)).select(
+        "id", F.array_join("ch_brands", ",").alias("ch_brands"),
+        F.array_join(F.col("ch_versions").cast("array<string>"), ",").alias("ch_versions"),
+        "ch_brand_count", "ch_is_headless")
+
+
+@query
+def client_hint_coherence(spark, d):
+    return fh.client_hint_coherence(req(spark, d)).select("id", "ch_is_headless", *http.HINT_FLAGS)
+
+
+@query
+def sec_fetch_consistency(spark, d):
+    out = fh.sec_fetch_consistency(fr.request_type(req(spark, d)))
+    return out.select("id", *http.FETCH_RULE_FLAGS, "sf_any_violation")
+
+
+@query
+def priority_features(spark, d):
+    return fh.priority_features(fr.request_type(req(spark, d))).select(
+        "id", "priority_raw", "priority_urgency", "priority_incr", "priority_expected")
+
+
+@query
+def header_order(spark, d):
+    return fh.header_order(req(spark, d)).select("id", "header_order", "header_order_hash", "n_headers")
+
+
+@query
+def header_presence(spark, d):
+    return fh.header_presence(req(spark, d)).select("id", *[fh.presence_name(h) for h in TRACKED_HEADERS])
+
+
+@query
+def nonstandard_headers(spark, d):
+    return fh.nonstandard_headers(req(spark, d)).select(
+        "id", "nonstandard_headers", "has_nonstandard_headers", "n_nonstandard_headers")
+
+
+@query
+def ja4_fields(spark, d):
+    return ff.ja4_fields(req(spark, d)).select("id", *[f"ja4_{p}" for p in (
+        "a", "b", "c", "protocol", "version", "sni", "cipher_count", "ext_count", "alpn_code")])
+
+
+@query
+def h2_fingerprint_fields(spark, d):
+    out = ff.h2_fingerprint_fields(req(spark, d))
+    return out.select("id", *[c for c in out.columns if c.startswith("fp_")])
+
+
+@query
+def sequence_features(spark, d):
+    return ff.sequence_features(req(spark, d)).select("id", *[
+        f"{n}_{p}" for n in ("cipher", "curve", "sig")
+        for p in ("count", "has_grease", "grease_pos", "seq", "names")], "has_pq_crypto")
+
+
+@query
+def alpn_features(spark, d):
+    out = ff.alpn_features(req(spark, d))
+    return out.select("id", *[c for c in out.columns if c.startswith("alpn_") and c != "alpn_csv"])
+
+
+@query
+def tls_version_features(spark, d):
+    out = ff.tls_version_features(req(spark, d))
+    return out.select("id", *[c for c in out.columns if c.startswith("ver_")])
+
+
+@query
+def tls_signals(spark, d):
+    return fps(spark, d).select(
+        "id", "has_kyber768", "has_mlkem768", "is_firefox_ja4", "is_h2", "has_pq", "win_is_firefox",
+        "is_ext16", "is_ext17", "is_ext12", "is_cipher28", "grease_cipher", "grease_curve", "grease_ver")
+
+
+@query
+def stream_weight(spark, d):
+    return fps(spark, d).select("id", "s3_weight", "s5_weight")
+
+
+@query
+def pseudo_order_code(spark, d):
+    return fps(spark, d).select("id", ff.pseudo_order_code(F.col("fp_order")).alias("order_code"))
+
+
+@query
+def header_order_profile(spark, d):
+    return r6(http.header_order_profile(hdr(spark, d)))
+
+
+@query
+def consistency_violations(spark, d):
+    return http.consistency_violations(hdr(spark, d)).select(
+        *K, "id", "sf_any_violation", "ch_any_incoherence", "priority_expected")
+
+
+@query
+def violation_rates(spark, d):
+    return r6(http.violation_rates(hdr(spark, d)))
+
+
+@query
+def http_trial_features(spark, d):
+    return r6(http.http_trial_features(hdr_clean(spark, d)))
+
+
+@query
+def agent_profiles(spark, d):
+    return http.agent_profiles(http.http_trial_features(hdr_clean(spark, d)))
+
+
+@query
+def nonstandard_prevalence(spark, d):
+    return http.nonstandard_prevalence(http.http_trial_features(hdr_clean(spark, d)))
+
+
+@query
+def feature_discriminability(spark, d):
+    return http.feature_discriminability(http.agent_profiles(http.http_trial_features(hdr_clean(spark, d))))
+
+
+@query
+def session_header_checks(spark, d):
+    return r6(http.session_header_checks(req(spark, d)))
+
+
+@query
+def session_navigation_checks(spark, d):
+    return r6(http.session_navigation_checks(req(spark, d)))
+
+
+@query
+def page_sequence(spark, d):
+    return http.page_sequence(req(spark, d)).select(*K, "step", "page")
+
+
+@query
+def agent_headless_rate(spark, d):
+    return r6(http.agent_headless_rate(fh.brand_list(clean(spark, d))))
+
+
+@query
+def header_comparison(spark, d):
+    return r6(http.header_comparison(hdr(spark, d)))
+
+
+@query
+def priority_by_type(spark, d):
+    return http.priority_by_type(fr.request_type(req(spark, d)), ["u=0, i", "u=1", "u=3", "u=4, i"])
+
+
+@query
+def top_values(spark, d):
+    return http.top_values(hdr(spark, d), "sf_combo", 10)
+
+
+@query
+def within_trace_consistency(spark, d):
+    return tls.within_trace_consistency(fps(spark, d))
+
+
+@query
+def field_stability_http(spark, d):
+    return r6(tls.field_stability(hdr(spark, d), http.HEADER_STABILITY_FIELDS))
+
+
+@query
+def field_stability_tls(spark, d):
+    return r6(tls.field_stability(fps(spark, d)))
+
+
+@query
+def rank_fields(spark, d):
+    return r6(tls.rank_fields(tls.field_stability(fps(spark, d)), 12, True, True).select("field", "entropy"))
+
+
+@query
+def fingerprint_vector(spark, d):
+    return tls.fingerprint_vector(fps(spark, d))
+
+
+@query
+def header_vector(spark, d):
+    return tls.fingerprint_vector(hdr(spark, d), http.HEADER_STABILITY_FIELDS)
+
+
+@query
+def priority_depth_growth(spark, d):
+    return sequences.priority_depth_growth(fps(spark, d))
+
+
+@query
+def tls_trial_features(spark, d):
+    return r6(tls.tls_trial_features(fps_clean(spark, d)))
+
+
+@query
+def feature_metadata(spark, d):
+    return tls.feature_metadata(tls.tls_trial_features(fps_clean(spark, d)), [f"agent_{i}" for i in range(6)])
+
+
+@query
+def flag_consensus(spark, d):
+    return tls.flag_consensus(tls.fingerprint_vector(fps(spark, d)))
+
+
+@query
+def tls_comparison(spark, d):
+    return tls.tls_comparison(fps(spark, d))
+
+
+@query
+def minmax_settings(spark, d):
+    return r6(tls.minmax_settings(tls.fingerprint_vector(fps(spark, d))))
+
+
+# ---------------------------------------------------------------- browser events
+
+VIEW_PAGES = ("page_0", "page_1", "page_2")
+VIEW_NO_FORMS = ("page_2",)
+PAGE_KEY = [*K, "page"]
+
+
+def ix(spark, d):
+    return views.interactions(spark, d)
+
+
+@query
+def page_label(spark, d):
+    return fe.page_label(views.page_titles(spark, d), "title").select("page_id", "page")
+
+
+@query
+def app_event_funnel(spark, d):
+    return r6(fe.app_event_funnel(ix(spark, d)))
+
+
+@query
+def input_event_monitor(spark, d):
+    return fe.input_event_monitor(ix(spark, d))
+
+
+@query
+def event_intervals(spark, d):
+    return r6(sequences.event_intervals(ix(spark, d)).select(*K, "id", "ms_rel", "iei_ms"))
+
+
+@query
+def mouse_path_length(spark, d):
+    return r6(sequences.mouse_path_length(ix(spark, d)))
+
+
+@query
+def focus_to_input(spark, d):
+    return r6(sequences.focus_to_input(ix(spark, d)))
+
+
+@query
+def focus_to_input_by_page(spark, d):
+    return r6(sequences.focus_to_input(ix(spark, d), PAGE_KEY))
+
+
+@query
+def click_hold(spark, d):
+    return r6(sequences.click_hold(ix(spark, d)))
+
+
+@query
+def click_hold_by_page(spark, d):
+    return r6(sequences.click_hold(ix(spark, d), PAGE_KEY))
+
+
+@query
+def navigation_gap(spark, d):
+    return r6(sequences.navigation_gap(ix(spark, d)))
+
+
+@query
+def load_to_first_action(spark, d):
+    return r6(sequences.load_to_first_action(ix(spark, d)))
+
+
+@query
+def first_interaction_latency(spark, d):
+    return r6(sequences.first_interaction_latency(ix(spark, d)))
+
+
+@query
+def reassemble_sessions(spark, d):
+    return sequences.reassemble_sessions(ix(spark, d)).select("session", "id", "flush_seq", "pos")
+
+
+@query
+def interaction_session_stats(spark, d):
+    return r6(behaviour.interaction_session_stats(ix(spark, d)))
+
+
+@query
+def interaction_page_stats(spark, d):
+    return r6(behaviour.interaction_page_stats(ix(spark, d)))
+
+
+@query
+def event_type_profile(spark, d):
+    return r6(behaviour.event_type_profile(ix(spark, d)))
+
+
+@query
+def page_stats_rollup(spark, d):
+    return r6(behaviour.page_stats_rollup(behaviour.interaction_page_stats(ix(spark, d))))
+
+
+@query
+def event_profile_rollup(spark, d):
+    return r6(behaviour.event_profile_rollup(ix(spark, d)))
+
+
+@query
+def behaviour_counts(spark, d):
+    return r6(behaviour.behaviour_counts(ix(spark, d)))
+
+
+@query
+def behaviour_intervals(spark, d):
+    return r6(behaviour.behaviour_intervals(ix(spark, d)))
+
+
+@query
+def behaviour_ratios(spark, d):
+    return r6(behaviour.behaviour_ratios(behaviour.behaviour_counts(ix(spark, d))))
+
+
+@query
+def behaviour_page_props(spark, d):
+    return r6(behaviour.behaviour_page_props(ix(spark, d), VIEW_PAGES, VIEW_NO_FORMS))
+
+
+@query
+def behaviour_mouse(spark, d):
+    return r6(behaviour.behaviour_mouse(ix(spark, d)))
+
+
+@query
+def behaviour_keyboard(spark, d):
+    return r6(behaviour.behaviour_keyboard(ix(spark, d)))
+
+
+@query
+def behaviour_scroll(spark, d):
+    return r6(behaviour.behaviour_scroll(ix(spark, d)))
+
+
+@query
+def behaviour_pages(spark, d):
+    return r6(behaviour.behaviour_pages(ix(spark, d), VIEW_PAGES))
+
+
+@query
+def task_outcomes(spark, d):
+    return behaviour.task_outcomes(ix(spark, d))
+
+
+@query
+def agent_event_interval_means(spark, d):
+    return r6(traces.agent_interval_means(behaviour.interaction_session_stats(ix(spark, d)), "iei"))
+
+
+@query
+def scenario_comparison(spark, d):
+    pages = behaviour.interaction_page_stats(ix(spark, d))
+    return r6(behaviour.scenario_comparison(pages, (*VIEW_PAGES, "page_9")))
+
+
+@query
+def keyboard_mouse_centroid(spark, d):
+    return r6(behaviour.keyboard_mouse_centroid(behaviour.interaction_session_stats(ix(spark, d))))
+
+
+@query
+def noticeable_events_pages(spark, d):
+    return r6(behaviour.noticeable_events_pages(ix(spark, d), 1e-6, 1e-5))
+
+
+@query
+def event_interval_histogram(spark, d):
+    rows = sequences.event_intervals(ix(spark, d)).select(*K, "iei_ms", "is_first")
+    out = traces.interval_histogram(rows, "iei_ms", 0.98, 40)
+    return out.select(*K, "bin", "n", F.round("mean", 3).alias("mean_ms"))
+
+
+@query
+def mouse_grid(spark, d):
+    return behaviour.mouse_grid(ix(spark, d))
+
+
+@query
+def top_event_types(spark, d):
+    return http.top_values(ix(spark, d), "type", 10)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefp.functions.events import is_page_load
@@ -63,7 +63,7 @@ def page_to_subresource(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFra
     rows = df.where(is_page() | is_subresource())
     out = ordered_columns(rows, next_time("_next", is_subresource()), keys=keys, slice_us=slice_us)
     return (out.where(is_page()).groupBy(*keys)
-            .agg(F.avg((F.col("_next") - F.col("us")) / MS).alias("iri_page_to_subres_ms")))
+            .agg((F.avg(F.col("_next") - F.col("us")) / MS).alias("iri_page_to_subres_ms")))
 
 
 def subresource_burst(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
@@ -73,15 +73,17 @@ def subresource_burst(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame
     spread = (out.where(is_subresource() & F.col("_page_us").isNotNull())
               .groupBy(*keys, "_page_us")
               .agg(F.count(F.lit(1)).alias("n"),
-                   ((F.max("us") - F.min("us")) / MS).alias("spread_ms")))
+                   (F.max("us") - F.min("us")).alias("spread_us")))
     return (spread.groupBy(*keys)
-            .agg(F.avg(F.when(F.col("n") >= 2, F.col("spread_ms"))).alias("subresource_burst_ms")))
+            .agg((F.avg(F.when(F.col("n") >= 2, F.col("spread_us"))) / MS).alias("subresource_burst_ms")))
 
 
-def _gap_stats(df: DataFrame, keys, gap: Column, name: str) -> DataFrame:
-    rows = df.withColumn("_gap", gap)
-    return rows.groupBy(*keys).agg(F.avg("_gap").alias(f"{name}_mean_ms"),
-                                   F.stddev_samp("_gap").alias(f"{name}_std_ms"),
+def _gap_stats(df: DataFrame, keys, name: str) -> DataFrame:
+    """Mean, standard deviation and number of the gaps to `_next`; whole
+    microseconds are summed, so the mean does not depend on the order."""
+    rows = df.withColumn("_gap", F.col("_next") - F.col("us"))
+    return rows.groupBy(*keys).agg((F.avg("_gap") / MS).alias(f"{name}_mean_ms"),
+                                   (F.stddev_samp("_gap") / MS).alias(f"{name}_std_ms"),
                                    F.count("_gap").alias(f"{name}_n"))
 
 
@@ -108,8 +110,7 @@ def focus_to_input(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
     rows = focus.select(*keys, "_pre", "id", "us", F.lit(False).alias("_is_input")).unionByName(matched)
     out = ordered_columns(rows, next_time("_next", F.col("_is_input")), keys=[*keys, "_pre"],
                           slice_us=slice_us)
-    return _gap_stats(out.where(~F.col("_is_input")), keys,
-                      (F.col("_next") - F.col("us")) / MS, "focus_to_input")
+    return _gap_stats(out.where(~F.col("_is_input")), keys, "focus_to_input")
 
 
 def click_hold(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
@@ -117,8 +118,7 @@ def click_hold(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
     rows = df.where(F.col("type").isin("mousedown", "mouseup")).select(*keys, "id", "us", "type")
     out = ordered_columns(rows, next_time("_next", F.col("type") == "mouseup"),
                           keys=keys, slice_us=slice_us)
-    return _gap_stats(out.where(F.col("type") == "mousedown"), keys,
-                      (F.col("_next") - F.col("us")) / MS, "click_hold")
+    return _gap_stats(out.where(F.col("type") == "mousedown"), keys, "click_hold")
 
 
 def navigation_gap(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
@@ -126,7 +126,7 @@ def navigation_gap(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
     left = (F.col("type") == "page") & F.col("action").isin("unload", "pagehide")
     rows = df.where(~is_page_load()).select(*keys, "id", "us", F.coalesce(left, F.lit(False)).alias("_left"))
     out = ordered_columns(rows, next_time("_next", F.lit(True)), keys=keys, slice_us=slice_us)
-    return _gap_stats(out.where("_left"), keys, (F.col("_next") - F.col("us")) / MS, "inter_page_gap")
+    return _gap_stats(out.where("_left"), keys, "inter_page_gap")
 
 
 def load_to_first_action(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
@@ -134,8 +134,7 @@ def load_to_first_action(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFr
     rows = df.select(*keys, "page", "id", "us", is_page_load().alias("_load"))
     out = ordered_columns(rows, next_time("_next", ~F.col("_load")), keys=[*keys, "page"],
                           slice_us=slice_us)
-    return _gap_stats(out.where("_load"), keys, (F.col("_next") - F.col("us")) / MS,
-                      "load_to_first_interact")
+    return _gap_stats(out.where("_load"), keys, "load_to_first_interact")
 
 
 def first_interaction_latency(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:

@@ -50,8 +50,9 @@ def query(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
                 order.append(need)
     parts = [f"{n} AS ({_CTES[n]})" for n in order]
     parts += [f"{n} AS ({sql})" for n, sql in (extra or {}).items()]
-    return f"WITH {', '.join(parts)} {body}"
+    return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
 def r6(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {name}"
+    digits = 3 if "_ms_" in name or name.endswith("_std_ms") else 6
+    return f"round(CAST({expr} AS DOUBLE), {digits}) AS {name}"

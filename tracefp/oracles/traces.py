@@ -5,14 +5,14 @@ from tracefp.views import VIEW_BURST_MS, VIEW_UNLOAD_MS
 
 K = "agent, trial"
 
-IRI = f"""SELECT *, (us - lag(us) OVER (PARTITION BY {K} ORDER BY us, id)) / 1000.0 AS gap_ms FROM flags"""
+IRI = f"""SELECT *, (us - lag(us) OVER (PARTITION BY {K} ORDER BY us, id)) AS gap_us FROM flags"""
 DWELL = f"""SELECT {K}, id, us, path,
- (us - lag(us) OVER (PARTITION BY {K} ORDER BY us, id)) / 1000000.0 AS dwell_s FROM flags WHERE is_page"""
-DW = f"SELECT {K}, avg(dwell_s) m, max(dwell_s) x, stddev_samp(dwell_s) s FROM dwell GROUP BY {K}"
+ (us - lag(us) OVER (PARTITION BY {K} ORDER BY us, id)) AS dwell_us FROM flags WHERE is_page"""
+DW = f"SELECT {K}, avg(dwell_us) / 1e6 m, max(dwell_us) / 1e6 x, stddev_samp(dwell_us) / 1e6 s FROM dwell GROUP BY {K}"
 STATS_BODY = f"""SELECT agent, trial, count(*) AS n_requests, CAST(sum(is_page::INT) AS BIGINT) AS n_pages,
  CAST(sum(is_collect::INT) AS BIGINT) AS n_collect_posts, (max(us) - min(us)) / 1000000.0 AS duration_s,
  CASE WHEN max(us) > min(us) THEN count(*) / ((max(us) - min(us)) / 1000000.0) ELSE 0 END AS req_rate_hz,
- avg(gap_ms) AS iri_mean_ms, quantile_cont(gap_ms, 0.5) AS iri_median_ms, stddev_samp(gap_ms) AS iri_std_ms,
+ avg(gap_us) / 1000.0 AS iri_mean_ms, quantile_cont(CAST(gap_us AS DOUBLE), 0.5) / 1000.0 AS iri_median_ms, stddev_samp(gap_us) / 1000.0 AS iri_std_ms,
  avg(processing_ms) AS proc_mean_ms, max(processing_ms) AS proc_max_ms,
  any_value(m) AS page_dwell_mean_s, any_value(x) AS page_dwell_max_s, any_value(s) AS page_dwell_std_s
  FROM iri LEFT JOIN dw USING (agent, trial) GROUP BY agent, trial"""
@@ -42,11 +42,11 @@ _KEPT_FLAGS = """SELECT *, path LIKE '%.html' AS is_page, path = '/collect' AS i
 
 NOCOLLECT = """SELECT *, path LIKE '%.html' AS is_page, path = '/collect' AS is_collect,
  (NOT path LIKE '%.html' AND method = 'GET') AS is_subres FROM req WHERE NOT (method = 'POST' AND path = '/collect')"""
-P2S = f"""SELECT {K}, avg((nx - us) / 1000.0) AS iri_page_to_subres_ms FROM (SELECT p.agent, p.trial, p.id, p.us,
+P2S = f"""SELECT {K}, avg(nx - us) / 1000.0 AS iri_page_to_subres_ms FROM (SELECT p.agent, p.trial, p.id, p.us,
  (SELECT min(s.us) FROM flags s WHERE s.agent = p.agent AND s.trial = p.trial AND s.is_subres AND s.us > p.us) AS nx
  FROM flags p WHERE p.is_page) GROUP BY {K}"""
-BURST = f"""SELECT {K}, avg(spread) AS subresource_burst_ms FROM (SELECT {K}, pus, count(*) n,
- (max(us) - min(us)) / 1000.0 AS spread FROM (SELECT s.agent, s.trial, s.us,
+BURST = f"""SELECT {K}, avg(spread) / 1000.0 AS subresource_burst_ms FROM (SELECT {K}, pus, count(*) n,
+ (max(us) - min(us)) AS spread FROM (SELECT s.agent, s.trial, s.us,
  (SELECT max(p.us) FROM flags p WHERE p.agent = s.agent AND p.trial = s.trial AND p.is_page AND p.us < s.us) AS pus
  FROM flags s WHERE s.is_subres) WHERE pus IS NOT NULL GROUP BY {K}, pus HAVING count(*) >= 2) GROUP BY {K}"""
 TEMPORAL = f"""SELECT s.agent, s.trial, s.req_rate_hz, coalesce(s.iri_median_ms, 0) AS iri_median_ms,
@@ -61,7 +61,7 @@ T_COLS = ["req_rate_hz", "iri_median_ms", "iri_std_ms", "page_dwell_mean_s", "pa
           "iri_page_to_subres_ms", "subresource_burst_ms"]
 
 
-def _hist(src: str, value: str, q: float, bins: int) -> dict[str, str]:
+def clipped_histogram(src: str, value: str, q: float, bins: int) -> dict[str, str]:
     return {
         "clip": f"SELECT {K}, quantile_cont(CAST({value} AS DOUBLE), {q}) AS c FROM {src} GROUP BY {K}",
         "vals": f"SELECT s.agent, s.trial, least({value}, c) AS v FROM {src} s JOIN clip USING (agent, trial) "
@@ -85,7 +85,7 @@ SQL = {
         + r6(f"coalesce((us - lag(us) OVER (PARTITION BY {K} ORDER BY us, id)) / 1000.0, 0)", "iri_ms")
         + " FROM req", "req"),
     "page_attribution": query(f"SELECT {K}, id, page FROM paged", "flags", extra={"paged": PAGED}),
-    "page_dwell": query(f"SELECT {K}, id, path, {r6('dwell_s', 'dwell_s')} FROM dwell", "flags",
+    "page_dwell": query(f"SELECT {K}, id, path, {r6('dwell_us / 1e6', 'dwell_s')} FROM dwell", "flags",
                         extra={"dwell": DWELL}),
     "next_page_gap": query(
         f"""SELECT p.agent, p.trial, p.id, {r6('''((SELECT min(g.us) FROM req g WHERE g.agent = p.agent
@@ -160,10 +160,10 @@ SQL = {
         f"SELECT agent, {r6('avg(iri_mean_ms) / 1000', 'iri_mean_s')}, {r6('avg(iri_std_ms) / 1000', 'iri_std_s')} "
         "FROM stats GROUP BY agent", "flags", extra=STATS),
     "interval_histogram": query(
-        f"SELECT {K}, bin, count(*) AS n, {r6('any_value(mean)', 'mean')} FROM binned GROUP BY {K}, bin", "req",
+        f"SELECT {K}, bin, count(*) AS n, round(any_value(mean), 3) AS mean_ms FROM binned GROUP BY {K}, bin", "req",
         extra={"ivl": f"SELECT {K}, coalesce((us - lag(us) OVER w) / 1000.0, 0) AS iri_ms, "
                       f"row_number() OVER w = 1 AS is_first FROM req WINDOW w AS (PARTITION BY {K} ORDER BY us, id)",
-               **_hist("ivl", "iri_ms", 0.99, 30)}),
+               **clipped_histogram("ivl", "iri_ms", 0.99, 30)}),
     "union_traces": query(
         f"SELECT {K}, count(*) AS n FROM req GROUP BY {K}", "req"),
 }

@@ -36,8 +36,9 @@ def trace_temporal_stats(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFr
     timed = request_flags(ordered_columns(
         rows, previous("_prev", F.col("us")), previous("_page", F.col("us"), is_page()),
         keys=keys, slice_us=slice_us))
-    timed = (timed.withColumn("gap_ms", (F.col("us") - F.col("_prev")) / 1000.0)
-             .withColumn("dwell_s", F.when(F.col("is_page"), (F.col("us") - F.col("_page")) / 1e6)))
+    # whole microseconds are summed, so means do not depend on the order of rows
+    timed = (timed.withColumn("gap_us", F.col("us") - F.col("_prev"))
+             .withColumn("dwell_us", F.when(F.col("is_page"), F.col("us") - F.col("_page"))))
     duration = (F.max("us") - F.min("us")) / 1e6
     stats = timed.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_requests"),
@@ -45,12 +46,15 @@ def trace_temporal_stats(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFr
         F.count_if("is_collect").alias("n_collect_posts"),
         duration.alias("duration_s"),
         _rate(F.count(F.lit(1)), duration).alias("req_rate_hz"),
-        F.avg("gap_ms").alias("iri_mean_ms"), F.stddev_samp("gap_ms").alias("iri_std_ms"),
+        (F.avg("gap_us") / 1e3).alias("iri_mean_ms"),
+        (F.stddev_samp("gap_us") / 1e3).alias("iri_std_ms"),
         F.avg("processing_ms").alias("proc_mean_ms"), F.max("processing_ms").alias("proc_max_ms"),
-        F.avg("dwell_s").alias("page_dwell_mean_s"), F.max("dwell_s").alias("page_dwell_max_s"),
-        F.stddev_samp("dwell_s").alias("page_dwell_std_s"))
-    medians = grouped_quantiles(timed, keys, "gap_ms", {"iri_median_ms": 0.5})
-    return stats.join(medians, keys, "left")
+        (F.avg("dwell_us") / 1e6).alias("page_dwell_mean_s"),
+        (F.max("dwell_us") / 1e6).alias("page_dwell_max_s"),
+        (F.stddev_samp("dwell_us") / 1e6).alias("page_dwell_std_s"))
+    medians = grouped_quantiles(timed, keys, "gap_us", {"_median": 0.5})
+    return (stats.join(medians, keys, "left")
+            .withColumn("iri_median_ms", F.col("_median") / 1e3).drop("_median"))
 
 
 def page_spatial_stats(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
