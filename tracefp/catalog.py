@@ -12,9 +12,10 @@ from tracefp.functions import events as fe
 from tracefp.functions import fingerprints as ff
 from tracefp.functions import headers as fh
 from tracefp.functions import requests as fr
-from tracefp.operators import beacon, sequences
-from tracefp.plans import behaviour, http, tls, traces
+from tracefp.operators import attribution, beacon, sequences
+from tracefp.plans import behaviour, features, http, model, tls, traces
 from tracefp.schema import TRACKED_HEADERS
+from tracefp.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -632,3 +633,318 @@ def mouse_grid(spark, d):
 @query
 def top_event_types(spark, d):
     return http.top_values(ix(spark, d), "type", 10)
+
+
+# ---------------------------------------------------------------- attribution, streams and prefixes
+
+EXPECTED_IPS = ["10.0.0.0", "10.0.1.1", "10.0.2.2", "10.0.3.3", "10.0.0.4", "10.0.1.5", "10.0.2.6"]
+
+
+def windows(spark, d):
+    w = views.windows(spark, d)
+    return w.withColumn("agent", F.concat(F.lit("src_"), (F.col("trial") % 3).cast("string")))
+
+
+def attributed(spark, d):
+    out = attribution.attribute_requests(req(spark, d), windows(spark, d))
+    return (out.withColumn("protocol", F.when(F.col("negotiated_proto") == "h2", "HTTP/2.0").otherwise("HTTP/1.1"))
+            .withColumn("header_order", F.array_join("header_names", ",")))
+
+
+def anomalies(spark, d, rows):
+    expected = spark.createDataFrame([(ip,) for ip in EXPECTED_IPS], "source_ip string")
+    return attribution.egress_anomalies(rows, expected)
+
+
+@query
+def flatten_requests(spark, d):
+    return fr.flatten_requests(views.nested_requests(spark, d))
+
+
+@query
+def attribute_requests(spark, d):
+    return attribution.attribute_requests(req(spark, d), windows(spark, d)).select(*K, "id", "rc")
+
+
+@query
+def attribute_requests_half_open(spark, d):
+    return attribution.attribute_requests(req(spark, d), windows(spark, d), closed=False).select(*K, "id")
+
+
+@query
+def attribute_by_marker(spark, d):
+    return attribution.attribute_by_marker(req(spark, d), windows(spark, d), "Chrome").select(*K, "id")
+
+
+@query
+def attribute_flushes(spark, d):
+    return attribution.attribute_flush_events(ix(spark, d), windows(spark, d))
+
+
+@query
+def egress_anomalies(spark, d):
+    return anomalies(spark, d, attributed(spark, d)).select(*K, "id", "source_ip")
+
+
+@query
+def attribution_values(spark, d):
+    return attribution.attribution_values(attributed(spark, d))
+
+
+def trial_summary(spark, d):
+    rows = attributed(spark, d)
+    return attribution.attribution_summary(windows(spark, d).drop("s_us", "e_us"),
+                                           attribution.attribution_values(rows), anomalies(spark, d, rows))
+
+
+@query
+def attribution_summary(spark, d):
+    return trial_summary(spark, d)
+
+
+@query
+def source_summary(spark, d):
+    return attribution.source_summary(trial_summary(spark, d))
+
+
+@query
+def fingerprint_union(spark, d):
+    return attribution.fingerprint_union(attribution.attribution_values(attributed(spark, d)))
+
+
+@query
+def merged_event_stream(spark, d):
+    return sequences.time_ordered(sequences.merged_event_stream(req(spark, d), ix(spark, d)))
+
+
+@query
+def checkpoints(spark, d):
+    return r6(sequences.checkpoints(sequences.merged_event_stream(req(spark, d), ix(spark, d)), 3))
+
+
+@query
+def request_prefixes(spark, d):
+    return sequences.request_prefixes(req(spark, d)).select(*K, "n_req", "id")
+
+
+@query
+def prefix_cutoffs(spark, d):
+    return sequences.prefix_cutoffs(sequences.request_prefixes(req(spark, d)))
+
+
+@query
+def events_at_cutoff(spark, d):
+    prefixes = sequences.request_prefixes(req(spark, d).select(*K, "id", "us"))
+    return sequences.events_at_cutoff(prefixes, ix(spark, d)).select(*K, "n_req", "id")
+
+
+# ---------------------------------------------------------------- models
+
+
+def sets(spark, d):
+    return features.feature_sets(req(spark, d), ix(spark, d), pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS)
+
+
+def aligned(spark, d):
+    return model.align_feature_sets(**sets(spark, d))
+
+
+def emb(spark, d):
+    """Embeddings as a model table: vector, class name and fold."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = views.table(spark, d, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("vec"),
+        F.concat(F.lit("c"), F.col("label").cast("string")).alias("agent"),
+        (F.col("vec_id") % 5).alias("fold"))
+    labels = model.class_names(rows)
+    return model.with_label(rows, labels), labels
+
+
+SMALL_FOREST = {"trees": 20, "depth": 6}
+
+
+@query
+def behaviour_trial_features(spark, d):
+    return r6(sets(spark, d)["behavioural"])
+
+
+@query
+def align_feature_sets(spark, d):
+    """Row and column counts of the five tables."""
+    tables = aligned(spark, d)
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("agent").alias("n_agents")).select(
+        F.lit(n).alias("table"), "n_rows", "n_agents", F.lit(len(df.columns) - 2).alias("n_features"))
+        for n, df in tables.items()]
+    return traces.union_traces(*parts)
+
+
+@query
+def combined_features(spark, d):
+    return r6(aligned(spark, d)["combined"].select(
+        *K, "req_rate_hz", "page_dwell_mean_s", "page_dwell_mean_s_beh", "headless_rate", "f2_frac_h2", "n_events"))
+
+
+@query
+def impute_median(spark, d):
+    t = tls.tls_trial_features(fps_clean(spark, d))
+    return r6(model.impute_median(t))
+
+
+@query
+def multi_hot(spark, d):
+    h = http.http_trial_features(hdr_clean(spark, d)).select(*K, "nonstandard_names")
+    return model.multi_hot(h)
+
+
+@query
+def encode_categories(spark, d):
+    h = http.http_trial_features(hdr_clean(spark, d))
+    return model.encode_categories(h.select(*K, *model.CATEGORICAL))
+
+
+@query
+def structural_zero(spark, d):
+    h = http.http_trial_features(hdr_clean(spark, d))
+    return r6(model.structural_zero(h.select(*K, *model.ABSENT_IS_ZERO)))
+
+
+@query
+def drop_zero_variance(spark, d):
+    """The columns that stay, in long form."""
+    t = model.materialize(tls.tls_trial_features(fps_clean(spark, d)), "tls-features")
+    kept = model.drop_zero_variance(t)
+    cols = model.numeric_columns(kept)
+    return r6(kept.select(*K, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols]))))
+
+
+@query
+def leave_one_trial_out(spark, d):
+    return model.fold_of(req(spark, d).select(*K).distinct())
+
+
+@query
+def model_tables(spark, d):
+    tables, labels = model.model_tables({n: model.materialize(df, n) for n, df in aligned(spark, d).items()})
+    parts = [df.groupBy("agent", "label").agg(F.count(F.lit(1)).alias("n_trials"))
+             .select(F.lit(n).alias("table"), "agent", "label", "n_trials") for n, df in tables.items()]
+    return traces.union_traces(*parts)
+
+
+@query
+def encode_live_features(spark, d):
+    """Encoders fitted on half of the trials, applied to the other half."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    h = model.prepare(model.materialize(http.http_trial_features(hdr_clean(spark, d)), "http-features"))
+    half = F.pmod(F.xxhash64("trial"), F.lit(2))
+    seen, live = model.usable(h.where(half == 0)), h.where(half == 1)
+    fitted = Pipeline(stages=model.feature_stages(seen)).fit(seen)
+    return fitted.transform(live).select(*K, F.size(vector_to_array("features")).alias("n_features"),
+                                         F.round(F.aggregate(vector_to_array("features"), F.lit(0.0),
+                                                             lambda a, v: a + v), 6).alias("checksum"))
+
+
+@query
+def fold_metrics(spark, d):
+    return r6(model.fold_metrics(views.predictions(spark, d)))
+
+
+@query
+def fold_summary(spark, d):
+    return r6(model.fold_summary(model.fold_metrics(views.predictions(spark, d))))
+
+
+@query
+def class_report(spark, d):
+    return r6(model.class_report(views.predictions(spark, d)).drop("tp"))
+
+
+@query
+def class_f1_by_table(spark, d):
+    p = views.predictions(spark, d).withColumn("table", F.concat(F.lit("t"), (F.col("id") % 3).cast("string")))
+    return r6(model.class_f1_by_table(p, ["t0", "t1", "t2"]))
+
+
+@query
+def consensus_vote(spark, d):
+    p = views.predictions(spark, d).withColumn("checkpoint", F.floor(F.col("id") / 5))
+    return model.consensus_vote(p, ["checkpoint"])
+
+
+@query
+def metrics_over_requests(spark, d):
+    p = views.predictions(spark, d).select(
+        "y", "yhat", F.col("fold").alias("n_req"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("table"))
+    return model.metrics_over_requests(p, ["t0", "t1", "t2"])
+
+
+@query
+def class_f1_over_requests(spark, d):
+    p = views.predictions(spark, d).withColumnRenamed("fold", "n_req")
+    return model.class_f1_over_requests(p)
+
+
+@query
+def train_classifier(spark, d):
+    """Feature weights of a forest over all embeddings."""
+    table, labels = emb(spark, d)
+    fitted = model.train_classifier(table.drop("vec_id"), labels, model.forest(**SMALL_FOREST))
+    weights = fitted.stages[-2].featureImportances.toArray().tolist()
+    return spark.createDataFrame(list(enumerate(weights)), "feature int, importance double")
+
+
+@query
+def cross_validate(spark, d):
+    table, labels = emb(spark, d)
+    return model.cross_validate(table, labels, model.forest(**SMALL_FOREST), ["vec_id"])
+
+
+def saved_model(spark, d):
+    table, labels = emb(spark, d)
+    path = shared_dir(spark, "model")
+    model.save_model(model.train_classifier(table.drop("vec_id"), labels, model.forest(**SMALL_FOREST)), path)
+    return model.load_model(path), table
+
+
+@query
+def score_table(spark, d):
+    fitted, table = saved_model(spark, d)
+    return model.score_table(fitted, table, ["vec_id"])
+
+
+@query
+def score_with_confidence(spark, d):
+    fitted, table = saved_model(spark, d)
+    return model.score_with_confidence(fitted, table, ["vec_id"]).drop("distribution")
+
+
+@query
+def top2_classes(spark, d):
+    fitted, table = saved_model(spark, d)
+    return model.top2_classes(fitted, table, ["vec_id"])
+
+
+@query
+def compare_models(spark, d):
+    table, labels = emb(spark, d)
+    table = model.materialize(table.withColumn("fold", F.col("vec_id") % 2), "embeddings")
+    return r6(model.compare_models(table, labels, 20, 5, ["vec_id"]).drop("tp"))
+
+
+@query
+def score_prefixes(spark, d):
+    """Five tables, every prefix scored by the model that held its trial out."""
+    r, e = req(spark, d), ix(spark, d)
+    held = F.pmod(F.xxhash64("trial"), F.lit(2)).cast("int")
+    whole = model.align_feature_sets(**features.feature_sets(r, e, pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS))
+    parts = model.align_feature_sets(keys=(*K, "n_req"), **features.prefix_feature_sets(
+        r, e, pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS))
+    tables, labels = model.model_tables({
+        n: model.materialize(df.withColumn("fold", held), f"whole-{n}") for n, df in whole.items()})
+    models = {(n, f): model.train_classifier(t.where(F.col("fold") != f), labels, model.forest(10, 6))
+              for n, t in tables.items() for f in (0, 1)}
+    prefix_sets = {n: model.materialize(df.withColumn("fold", held), f"prefix-{n}") for n, df in parts.items()}
+    return model.score_prefixes(prefix_sets, models)

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from tracefp.oracles import interaction, traces, web
+    from tracefp.oracles import interaction, joins, learning, traces, web
 
-    return {**traces.SQL, **web.SQL, **interaction.SQL}
+    return {**traces.SQL, **web.SQL, **interaction.SQL, **joins.SQL, **learning.SQL}
