@@ -15,7 +15,7 @@ from tracefp.functions import requests as fr
 from tracefp.operators import attribution, beacon, sequences
 from tracefp.plans import behaviour, features, http, model, tls, traces
 from tracefp.schema import TRACKED_HEADERS
-from tracefp.session import shared_dir
+from tracefp.session import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -746,7 +746,8 @@ def sets(spark, d):
 
 
 def aligned(spark, d):
-    return model.align_feature_sets(**sets(spark, d))
+    stored = features.stored_feature_sets(req(spark, d), ix(spark, d), pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS)
+    return model.align_feature_sets(**stored)
 
 
 def emb(spark, d):
@@ -812,7 +813,7 @@ def structural_zero(spark, d):
 @query
 def drop_zero_variance(spark, d):
     """The columns that stay, in long form."""
-    t = model.materialize(tls.tls_trial_features(fps_clean(spark, d)), "tls-features")
+    t = materialize(tls.tls_trial_features(fps_clean(spark, d)), "tls-features")
     kept = model.drop_zero_variance(t)
     cols = model.numeric_columns(kept)
     return r6(kept.select(*K, F.inline(F.array(*[
@@ -826,7 +827,7 @@ def leave_one_trial_out(spark, d):
 
 @query
 def model_tables(spark, d):
-    tables, labels = model.model_tables({n: model.materialize(df, n) for n, df in aligned(spark, d).items()})
+    tables, labels = model.model_tables(aligned(spark, d))
     parts = [df.groupBy("agent", "label").agg(F.count(F.lit(1)).alias("n_trials"))
              .select(F.lit(n).alias("table"), "agent", "label", "n_trials") for n, df in tables.items()]
     return traces.union_traces(*parts)
@@ -838,7 +839,7 @@ def encode_live_features(spark, d):
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
-    h = model.prepare(model.materialize(http.http_trial_features(hdr_clean(spark, d)), "http-features"))
+    h = model.prepare(materialize(http.http_trial_features(hdr_clean(spark, d)), "http-features"))
     half = F.pmod(F.xxhash64("trial"), F.lit(2))
     seen, live = model.usable(h.where(half == 0)), h.where(half == 1)
     fitted = Pipeline(stages=model.feature_stages(seen)).fit(seen)
@@ -891,7 +892,7 @@ def class_f1_over_requests(spark, d):
 def train_classifier(spark, d):
     """Feature weights of a forest over all embeddings."""
     table, labels = emb(spark, d)
-    fitted = model.train_classifier(table.drop("vec_id"), labels, model.forest(**SMALL_FOREST))
+    fitted = model.train_classifier(table, labels, model.forest(**SMALL_FOREST), ["vec_id"])
     weights = fitted.stages[-2].featureImportances.toArray().tolist()
     return spark.createDataFrame(list(enumerate(weights)), "feature int, importance double")
 
@@ -905,7 +906,7 @@ def cross_validate(spark, d):
 def saved_model(spark, d):
     table, labels = emb(spark, d)
     path = shared_dir(spark, "model")
-    model.save_model(model.train_classifier(table.drop("vec_id"), labels, model.forest(**SMALL_FOREST)), path)
+    model.save_model(model.train_classifier(table, labels, model.forest(**SMALL_FOREST), ["vec_id"]), path)
     return model.load_model(path), table
 
 
@@ -930,7 +931,7 @@ def top2_classes(spark, d):
 @query
 def compare_models(spark, d):
     table, labels = emb(spark, d)
-    table = model.materialize(table.withColumn("fold", F.col("vec_id") % 2), "embeddings")
+    table = materialize(table.withColumn("fold", F.col("vec_id") % 2), "embeddings")
     return r6(model.compare_models(table, labels, 20, 5, ["vec_id"]).drop("tp"))
 
 
@@ -939,12 +940,10 @@ def score_prefixes(spark, d):
     """Five tables, every prefix scored by the model that held its trial out."""
     r, e = req(spark, d), ix(spark, d)
     held = F.pmod(F.xxhash64("trial"), F.lit(2)).cast("int")
-    whole = model.align_feature_sets(**features.feature_sets(r, e, pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS))
     parts = model.align_feature_sets(keys=(*K, "n_req"), **features.prefix_feature_sets(
         r, e, pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS))
     tables, labels = model.model_tables({
-        n: model.materialize(df.withColumn("fold", held), f"whole-{n}") for n, df in whole.items()})
-    models = {(n, f): model.train_classifier(t.where(F.col("fold") != f), labels, model.forest(10, 6))
-              for n, t in tables.items() for f in (0, 1)}
-    prefix_sets = {n: model.materialize(df.withColumn("fold", held), f"prefix-{n}") for n, df in parts.items()}
+        n: materialize(df.withColumn("fold", held), f"whole-{n}") for n, df in aligned(spark, d).items()})
+    models = model.train_tables(tables, labels, (0, 1), model.forest(10, 6))
+    prefix_sets = {n: df.withColumn("fold", held) for n, df in parts.items()}
     return model.score_prefixes(prefix_sets, models)

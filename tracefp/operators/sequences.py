@@ -66,16 +66,20 @@ def page_to_subresource(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFra
             .agg((F.avg(F.col("_next") - F.col("us")) / MS).alias("iri_page_to_subres_ms")))
 
 
+def burst_spread(timed: DataFrame, keys=TRIAL_KEY) -> DataFrame:
+    """Mean spread of the subresource times after each `page_us`, when there are two."""
+    spread = (timed.where(is_subresource() & F.col("page_us").isNotNull())
+              .groupBy(*keys, "page_us")
+              .agg(F.count(F.lit(1)).alias("n"), (F.max("us") - F.min("us")).alias("spread_us")))
+    return spread.groupBy(*keys).agg(
+        (F.avg(F.when(F.col("n") >= 2, F.col("spread_us"))) / MS).alias("subresource_burst_ms"))
+
+
 def subresource_burst(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
-    """Mean spread of the subresource times that follow a page, when there are two."""
+    """How far the subresource requests of a page lie apart, on average per trial."""
     rows = df.where(is_page() | is_subresource())
-    out = ordered_columns(rows, prior_time("_page_us", is_page()), keys=keys, slice_us=slice_us)
-    spread = (out.where(is_subresource() & F.col("_page_us").isNotNull())
-              .groupBy(*keys, "_page_us")
-              .agg(F.count(F.lit(1)).alias("n"),
-                   (F.max("us") - F.min("us")).alias("spread_us")))
-    return (spread.groupBy(*keys)
-            .agg((F.avg(F.when(F.col("n") >= 2, F.col("spread_us"))) / MS).alias("subresource_burst_ms")))
+    return burst_spread(ordered_columns(rows, prior_time("page_us", is_page()), keys=keys,
+                                        slice_us=slice_us), keys)
 
 
 def _gap_stats(df: DataFrame, keys, name: str) -> DataFrame:

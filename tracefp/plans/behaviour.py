@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefp.functions.events import is_page_load
-from tracefp.operators.ordered import ordered_columns, previous
+from tracefp.operators.ordered import next_time, ordered_columns, previous
 from tracefp.operators.quantiles import grouped_quantiles
 from tracefp.operators.sequences import (click_hold, first_interaction_latency, focus_to_input,
-                                         load_to_first_action, mouse_path_length, navigation_gap)
+                                         load_to_first_action, mouse_path_length)
 from tracefp.schema import EVENT_TYPES, PAGES_WITHOUT_FORMS, SCENARIO_PAGES, TRIAL_KEY
 
 COUNTED = {"n_clicks": "click", "n_keydowns": "keydown", "n_mousemoves": "mousemove",
@@ -119,57 +119,99 @@ def event_profile_rollup(df: DataFrame, keys=TRIAL_KEY, group=("page",)) -> Data
 
 
 # ---- behavioural features -------------------------------------------------
+#
+# Each group is a list of aggregates; one grouped pass over the timeline
+# evaluates all of them together, and the functions below evaluate one group.
 
 
-def behaviour_counts(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
-    """Events without page loads, duration, rate, pages and type counts."""
+def _some(condition: Column) -> Column:
+    return (F.count_if(condition) > 0).cast("int")
+
+
+def _is_left() -> Column:
+    left = (F.col("type") == "page") & F.col("action").isin("unload", "pagehide")
+    return F.coalesce(left, F.lit(False))
+
+
+def _is_pointer() -> Column:
+    return (F.col("type") == "mousemove") & F.col("x").isNotNull() & F.col("y").isNotNull()
+
+
+def behaviour_timeline(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
+    """Events with every look-back and look-ahead time the features need, in one slice pass."""
+    out = ordered_columns(
+        df, previous("_prev", F.col("us")), previous("_user", F.lit(1), ~is_page_load()),
+        next_time("_up", F.col("type") == "mouseup"), next_time("_next_user", ~is_page_load()),
+        previous("_at", F.struct("x", "y"), _is_pointer()), keys=keys, slice_us=slice_us)
+    dx, dy = F.col("x") - F.col("_at.x"), F.col("y") - F.col("_at.y")
+    gap = F.col("us") - F.col("_prev")
+    # the interval runs from any earlier event, but the first user event has none
+    counted = ~is_page_load() & F.col("_user").isNotNull() & (gap > 0)
+    return (out.withColumn("iei_us", F.when(counted, gap))
+            .withColumn("hold_us", F.when(F.col("type") == "mousedown", F.col("_up") - F.col("us")))
+            .withColumn("leave_us", F.when(_is_left(), F.col("_next_user") - F.col("us")))
+            .withColumn("step_px", F.when(_is_pointer(), F.sqrt(dx * dx + dy * dy)))
+            .drop("_prev", "_user", "_up", "_next_user", "_at"))
+
+
+def _count_group() -> list[Column]:
     user_us = F.when(~is_page_load(), F.col("us"))
     seconds = F.greatest((F.max(user_us) - F.min(user_us)) / 1e6, F.lit(1e-6))
     n = F.count_if(~is_page_load())
-    out = df.groupBy(*keys).agg(
-        n.alias("n_events"), seconds.alias("duration_s"), (n / seconds).alias("event_rate_hz"),
-        F.countDistinct("page").alias("n_pages"),
-        *[count_type(t).alias(c) for c, t in COUNTED.items()],
-        count_type("input").alias("n_inputs"), count_type("focus").alias("n_focus"),
-        F.count_if((F.col("type") == "visibility") & (F.col("state") == "hidden")).alias("n_tab_switches"),
-        F.count(F.lit(1)).alias("n_total"))
-    return out.where(F.col("n_events") > 0)
+    return [n.alias("n_events"), seconds.alias("duration_s"), (n / seconds).alias("event_rate_hz"),
+            F.countDistinct("page").alias("n_pages"),
+            *[count_type(t).alias(c) for c, t in COUNTED.items()],
+            count_type("input").alias("n_inputs"), count_type("focus").alias("n_focus"),
+            F.count_if((F.col("type") == "visibility") & (F.col("state") == "hidden")).alias("n_tab_switches"),
+            F.count(F.lit(1)).alias("n_total")]
+
+
+def behaviour_counts(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
+    """Events without page loads, duration, rate, pages and type counts."""
+    return df.groupBy(*keys).agg(*_count_group()).where(F.col("n_events") > 0)
+
+
+def _interval_group() -> list[Column]:
+    return [(F.avg("iei_us") / 1e3).alias("iei_mean_ms"), (F.stddev_samp("iei_us") / 1e3).alias("iei_std_ms"),
+            F.avg((F.col("iei_us") < 50_000).cast("int")).alias("iei_burst_ratio")]
+
+
+def _interval_quantiles(timeline: DataFrame, keys) -> DataFrame:
+    q = grouped_quantiles(timeline, keys, "iei_us", {"_m": 0.5, "_p": 0.95})
+    return q.select(*keys, (F.col("_m") / 1e3).alias("iei_median_ms"), (F.col("_p") / 1e3).alias("iei_p95_ms"))
 
 
 def behaviour_intervals(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
     """Positive intervals of user events (a trial's first user event left out)."""
     keys = list(keys)
-    # the interval runs from any earlier event, but the first user event has none
     rows = ordered_columns(
         df.select(*keys, "id", "us", "type", "action"), previous("_prev", F.col("us")),
         previous("_user", F.lit(1), ~is_page_load()), keys=keys, slice_us=slice_us)
-    gaps = (rows.withColumn("gap_us", F.col("us") - F.col("_prev"))
-            .where(~is_page_load() & F.col("_user").isNotNull() & (F.col("gap_us") > 0)))
-    stats = gaps.groupBy(*keys).agg(
-        (F.avg("gap_us") / 1e3).alias("iei_mean_ms"), (F.stddev_samp("gap_us") / 1e3).alias("iei_std_ms"),
-        F.avg((F.col("gap_us") < 50_000).cast("int")).alias("iei_burst_ratio"))
-    q = grouped_quantiles(gaps, keys, "gap_us", {"_m": 0.5, "_p": 0.95})
-    return (stats.join(q, keys, "left").withColumn("iei_median_ms", F.col("_m") / 1e3)
-            .withColumn("iei_p95_ms", F.col("_p") / 1e3).drop("_m", "_p"))
+    gap = F.col("us") - F.col("_prev")
+    gaps = rows.where(~is_page_load() & F.col("_user").isNotNull() & (gap > 0)).select(*keys, gap.alias("iei_us"))
+    return gaps.groupBy(*keys).agg(*_interval_group()).join(_interval_quantiles(gaps, keys), keys, "left")
+
+
+SHARES = {"mousemove_ratio": "n_mousemoves", "keydown_ratio": "n_keydowns", "scroll_ratio": "n_scrolls",
+          "input_ratio": "n_inputs", "click_ratio": "n_clicks", "app_event_ratio": "n_app_events"}
+
+
+def _ratio_columns() -> list[Column]:
+    kd, mm = F.col("n_keydowns"), F.col("n_mousemoves")
+    return [*[(F.col(c) / F.col("n_total")).alias(n) for n, c in SHARES.items()],
+            ((kd - mm) / F.greatest(kd + mm, F.lit(1))).alias("kbd_vs_mouse")]
 
 
 def behaviour_ratios(counts: DataFrame, keys=TRIAL_KEY) -> DataFrame:
     """Type shares and the keyboard-against-mouse index, from the counts."""
-    share = {"mousemove_ratio": "n_mousemoves", "keydown_ratio": "n_keydowns",
-             "scroll_ratio": "n_scrolls", "input_ratio": "n_inputs", "click_ratio": "n_clicks",
-             "app_event_ratio": "n_app_events"}
-    kd, mm = F.col("n_keydowns"), F.col("n_mousemoves")
-    return counts.select(*keys, *[(F.col(c) / F.col("n_total")).alias(n) for n, c in share.items()],
-                         ((kd - mm) / F.greatest(kd + mm, F.lit(1))).alias("kbd_vs_mouse"))
+    return counts.select(*keys, *_ratio_columns())
 
 
 def page_prefix(page: str) -> str:
     return page.replace("-", "_")
 
 
-def behaviour_page_props(df: DataFrame, pages=tuple(SCENARIO_PAGES),
-                         no_forms=tuple(PAGES_WITHOUT_FORMS), keys=TRIAL_KEY) -> DataFrame:
-    """Type shares and visited flag per scenario page, and key presses on pages without forms."""
+def _page_group(pages, no_forms) -> list[Column]:
     aggs = []
     for page in pages:
         here = F.col("page") == page
@@ -180,31 +222,39 @@ def behaviour_page_props(df: DataFrame, pages=tuple(SCENARIO_PAGES),
         aggs.append((n > 0).cast("int").alias(f"{page_prefix(page)}__visited"))
     plain = F.col("page").isin(*no_forms)
     presses = F.count_if(plain & (F.col("type") == "keydown"))
-    aggs += [presses.alias("nonform_keydown_count"),
-             F.when(F.count_if(plain) > 0, presses / F.count_if(plain)).otherwise(0.0)
-             .alias("nonform_keydown_ratio")]
-    return df.groupBy(*keys).agg(*aggs)
+    return [*aggs, presses.alias("nonform_keydown_count"),
+            F.when(F.count_if(plain) > 0, presses / F.count_if(plain)).otherwise(0.0).alias("nonform_keydown_ratio")]
 
 
-def behaviour_mouse(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
-    """Pointer path, click position statistics and distinct click targets."""
-    keys = list(keys)
+def behaviour_page_props(df: DataFrame, pages=tuple(SCENARIO_PAGES),
+                         no_forms=tuple(PAGES_WITHOUT_FORMS), keys=TRIAL_KEY) -> DataFrame:
+    """Type shares and visited flag per scenario page, and key presses on pages without forms."""
+    return df.groupBy(*keys).agg(*_page_group(pages, no_forms))
+
+
+def _mouse_group() -> list[Column]:
     at = (F.col("type") == "click") & F.col("x").isNotNull() & F.col("y").isNotNull()
     x, y = F.when(at, F.col("x")), F.when(at, F.col("y"))
 
     def spread(c: Column) -> Column:
         return F.when(F.count(c) > 1, F.stddev_samp(c)).when(F.count(c) == 1, 0.0)
 
-    base = df.groupBy(*keys).agg(
-        F.countDistinct("page").alias("_pages"),
-        F.avg(x).alias("click_x_mean"), F.avg(y).alias("click_y_mean"),
-        spread(x).alias("click_x_std"), spread(y).alias("click_y_std"),
-        F.countDistinct(F.when(F.col("type") == "click", F.col("target"))).alias("n_unique_click_targets"))
-    out = base.join(mouse_path_length(df, keys, slice_us), keys, "left")
-    total = F.coalesce("mouse_path_px", F.lit(0.0))
-    return (out.withColumn("mouse_traj_total_px", total)
-            .withColumn("mouse_traj_mean_px_per_page", total / F.greatest("_pages", F.lit(1)))
-            .drop("_pages", "mouse_path_px"))
+    total = F.coalesce(F.sum("step_px"), F.lit(0.0))
+    return [total.alias("mouse_traj_total_px"),
+            (total / F.greatest(F.countDistinct("page"), F.lit(1))).alias("mouse_traj_mean_px_per_page"),
+            F.avg(x).alias("click_x_mean"), F.avg(y).alias("click_y_mean"),
+            spread(x).alias("click_x_std"), spread(y).alias("click_y_std"),
+            F.countDistinct(F.when(F.col("type") == "click", F.col("target"))).alias("n_unique_click_targets")]
+
+
+def behaviour_mouse(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
+    """Pointer path, click position statistics and distinct click targets."""
+    keys = list(keys)
+    rows = ordered_columns(df.select(*keys, "id", "us", "type", "page", "target", "x", "y"),
+                           previous("_at", F.struct("x", "y"), _is_pointer()), keys=keys, slice_us=slice_us)
+    dx, dy = F.col("x") - F.col("_at.x"), F.col("y") - F.col("_at.y")
+    return (rows.withColumn("step_px", F.when(_is_pointer(), F.sqrt(dx * dx + dy * dy)))
+            .groupBy(*keys).agg(*_mouse_group()))
 
 
 def _modifiers(df: DataFrame) -> Column:
@@ -214,9 +264,12 @@ def _modifiers(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, held, F.lit(0))
 
 
-def behaviour_keyboard(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
-    """Enter and modifier use, distinct keys and key entropy; zeros without key presses."""
-    keys = list(keys)
+KEYBOARD = ["enter_key_count", "enter_key_ratio", "n_unique_keys", "modifier_key_count",
+            "modifier_key_ratio", "key_entropy"]
+
+
+def _key_table(df: DataFrame, keys) -> DataFrame:
+    """Keyboard features of trials that press keys; counts per key come first."""
     down = df.where(F.col("type") == "keydown").select(
         *keys, F.trim(F.coalesce("key", F.lit(""))).alias("_key"), _modifiers(df).alias("_mods"))
     per_key = down.groupBy(*keys, "_key").agg(F.count(F.lit(1)).alias("n"), F.sum("_mods").alias("mods"))
@@ -227,20 +280,31 @@ def behaviour_keyboard(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
     p = F.col("n") / F.col("total")
     entropy = (per_key.join(totals.select(*keys, "total"), keys)
                .groupBy(*keys).agg((-F.sum(p * F.log2(p + 1e-12))).alias("key_entropy")))
-    out = totals.join(entropy, keys)
-    out = (out.withColumn("enter_key_ratio", F.col("enter_key_count") / F.col("total"))
-           .withColumn("modifier_key_ratio", F.col("modifier_key_count") / F.col("total")).drop("total"))
-    names = ["enter_key_count", "enter_key_ratio", "n_unique_keys", "modifier_key_count",
-             "modifier_key_ratio", "key_entropy"]
-    return (df.select(*keys).distinct().join(out, keys, "left")
-            .select(*keys, *[F.coalesce(n, F.lit(0)).cast("double" if n.endswith(("ratio", "entropy"))
-                                                         else "bigint").alias(n) for n in names]))
+    return (totals.join(entropy, keys)
+            .withColumn("enter_key_ratio", F.col("enter_key_count") / F.col("total"))
+            .withColumn("modifier_key_ratio", F.col("modifier_key_count") / F.col("total")).drop("total"))
 
 
-def behaviour_scroll(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
+def _keyboard_columns() -> list[Column]:
+    return [F.coalesce(n, F.lit(0)).cast("double" if n.endswith(("ratio", "entropy")) else "bigint").alias(n)
+            for n in KEYBOARD]
+
+
+def behaviour_keyboard(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
+    """Enter and modifier use, distinct keys and key entropy; zeros without key presses."""
+    keys = list(keys)
+    return (df.select(*keys).distinct().join(_key_table(df, keys), keys, "left")
+            .select(*keys, *_keyboard_columns()))
+
+
+def _scroll_group() -> list[Column]:
     y = F.when(F.col("type") == "scroll", F.col("scroll_y"))
-    return df.groupBy(*keys).agg(F.coalesce(F.max(y), F.lit(0.0)).alias("max_scroll_depth_px"),
-                                 F.coalesce(F.avg(y), F.lit(0.0)).alias("scroll_depth_mean_px"))
+    return [F.coalesce(F.max(y), F.lit(0.0)).alias("max_scroll_depth_px"),
+            F.coalesce(F.avg(y), F.lit(0.0)).alias("scroll_depth_mean_px")]
+
+
+def behaviour_scroll(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
+    return df.groupBy(*keys).agg(*_scroll_group())
 
 
 def behaviour_pages(df: DataFrame, pages=tuple(SCENARIO_PAGES), keys=TRIAL_KEY) -> DataFrame:
@@ -258,29 +322,32 @@ def behaviour_pages(df: DataFrame, pages=tuple(SCENARIO_PAGES), keys=TRIAL_KEY)
         F.min("dwell_s").alias("page_dwell_min_s"), F.max("dwell_s").alias("page_dwell_max_s"))
 
 
-def task_outcomes(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
-    """Outcome counts and flags by pattern over application-event detail."""
+def _task_group() -> list[Column]:
     app = F.col("type") == "app_event"
-    detail = F.coalesce("detail", F.lit(""))
-    name = F.coalesce("log_event", F.lit(""))
+    detail, name = F.coalesce("detail", F.lit("")), F.coalesce("log_event", F.lit(""))
     chosen = app & (name == "select")
-
-    def some(condition: Column) -> Column:
-        return (F.count_if(condition) > 0).cast("int")
-
-    return df.groupBy(*keys).agg(
+    return [
         F.count_if(app & detail.rlike("Subscribed|checkmark")).alias("n_successful_submits"),
         F.count_if(app & detail.contains("BLOCKED")).alias("n_blocked_submits"),
-        some(app & detail.rlike("CORRECT|Hidden button")).alias("hover_reveal_correct"),
-        some(chosen & detail.rlike("CORRECT|mars")).alias("dom_mismatch_correct"),
-        some(chosen & detail.contains("INCORRECT")).alias("dom_mismatch_wrong"),
+        _some(app & detail.rlike("CORRECT|Hidden button")).alias("hover_reveal_correct"),
+        _some(chosen & detail.rlike("CORRECT|mars")).alias("dom_mismatch_correct"),
+        _some(chosen & detail.contains("INCORRECT")).alias("dom_mismatch_wrong"),
         F.count_if(app & detail.rlike("NO EFFECT|False cue")).alias("false_cue_clicks"),
         F.count_if(app & F.lower(name).contains("hover")).alias("n_hover_events"),
         F.count_if(chosen).alias("n_select_events"),
-        some(app & detail.rlike("retry|Retry")).alias("delayed_feedback_retry"),
-        some(app & detail.rlike("completed|Completed|Done")).alias("delayed_feedback_completed"),
+        _some(app & detail.rlike("retry|Retry")).alias("delayed_feedback_retry"),
+        _some(app & detail.rlike("completed|Completed|Done")).alias("delayed_feedback_completed"),
         F.count_if((F.col("type") == "click") & F.coalesce("target", F.lit("")).contains("nav-tab"))
-        .alias("nav_via_tab_clicks"))
+        .alias("nav_via_tab_clicks")]
+
+
+def task_outcomes(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
+    """Outcome counts and flags by pattern over application-event detail."""
+    return df.groupBy(*keys).agg(*_task_group())
+
+
+def _gap_group(column: str, name: str) -> list[Column]:
+    return [(F.avg(column) / 1e3).alias(f"{name}_mean_ms"), (F.stddev_samp(column) / 1e3).alias(f"{name}_std_ms")]
 
 
 def behaviour_trial_features(df: DataFrame, keys=TRIAL_KEY, slice_us=None,
@@ -288,19 +355,22 @@ def behaviour_trial_features(df: DataFrame, keys=TRIAL_KEY, slice_us=None,
                              no_forms=tuple(PAGES_WITHOUT_FORMS)) -> DataFrame:
     """Every behavioural feature of a trial in one row; trials of page loads only are absent."""
     keys = list(keys)
-    counts = behaviour_counts(df, keys)
-    timing = {"focus_to_input": "focus_to_input_latency", "click_hold": "click_hold",
-              "inter_page_gap": "inter_page_gap", "load_to_first_interact": "load_to_first_interact"}
-    timed = [focus_to_input(df, keys, slice_us), click_hold(df, keys, slice_us),
-             navigation_gap(df, keys, slice_us), load_to_first_action(df, keys, slice_us)]
-    parts = [behaviour_ratios(counts, keys), behaviour_intervals(df, keys, slice_us),
-             behaviour_page_props(df, pages, no_forms, keys), behaviour_mouse(df, keys, slice_us),
-             behaviour_keyboard(df, keys), behaviour_scroll(df, keys),
-             behaviour_pages(df, pages, keys), task_outcomes(df, keys)]
-    parts += [t.select(*keys, F.col(f"{a}_mean_ms").alias(f"{b}_mean_ms"),
-                       F.col(f"{a}_std_ms").alias(f"{b}_std_ms")) for t, (a, b) in zip(timed, timing.items())]
-    out = reduce(lambda a, b: a.join(b, keys, "left"), parts, counts.drop("n_total"))
-    return out.withColumn("iei_burst_ratio", F.coalesce("iei_burst_ratio", F.lit(0.0)))
+    line = behaviour_timeline(df, keys, slice_us)
+    out = (line.groupBy(*keys).agg(
+        *_count_group(), *_interval_group(), *_page_group(pages, no_forms), *_mouse_group(),
+        *_scroll_group(), *_task_group(), *_gap_group("hold_us", "click_hold"),
+        *_gap_group("leave_us", "inter_page_gap"))
+        .where(F.col("n_events") > 0))
+    out = (out.select("*", *_ratio_columns()).drop("n_total")
+           .withColumn("iei_burst_ratio", F.coalesce("iei_burst_ratio", F.lit(0.0))))
+    focus = focus_to_input(df, keys, slice_us)
+    load = load_to_first_action(df, keys, slice_us)
+    parts = [_interval_quantiles(line, keys), behaviour_pages(df, pages, keys), _key_table(df, keys),
+             focus.select(*keys, *[F.col(f"focus_to_input_{s}_ms").alias(f"focus_to_input_latency_{s}_ms")
+                                   for s in ("mean", "std")]),
+             load.select(*keys, "load_to_first_interact_mean_ms", "load_to_first_interact_std_ms")]
+    out = reduce(lambda a, b: a.join(b, keys, "left"), parts, out)
+    return out.select(*[c for c in out.columns if c not in KEYBOARD], *_keyboard_columns())
 
 
 # ---- client comparisons ---------------------------------------------------

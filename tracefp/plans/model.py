@@ -12,12 +12,11 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
 from pyspark.ml.feature import (CountVectorizer, Imputer, IndexToString, StringIndexer,
                                 VarianceThresholdSelector, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefp.operators.quantiles import grouped_quantiles
 from tracefp.schema import TRIAL_KEY
-from tracefp.session import shared_dir
 
 TABLES = ["temporal", "http", "tls", "behavioural", "combined"]
 CATEGORICAL = ["sf_site_mode", "ua_family_mode", "ua_os_mode"]
@@ -27,14 +26,6 @@ NAME_PREFIX = "ns_hdr"
 MAX_NAMES = 1 << 18
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Written to the shared folder and read back: lineage ends here."""
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 # ---- alignment and preparation ---------------------------------------------
 
 
@@ -165,7 +156,10 @@ def prepare(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def feature_stages(df: DataFrame, exclude: Sequence[str] = ("agent", "trial", "fold", "n_req")) -> list:
+NOT_FEATURES = ("agent", "trial", "fold", "n_req", "label")
+
+
+def feature_stages(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> list:
     """Encoders, exact-zero-safe imputation, assembly and removal of constant features.
 
     They are stages of the model, so a fold's encoders and medians are fitted
@@ -214,19 +208,21 @@ def model_tables(feature_sets: Mapping[str, DataFrame]) -> tuple[dict[str, DataF
     return {n: with_label(prepare(df), labels) for n, df in feature_sets.items()}, labels
 
 
-def usable(df: DataFrame) -> DataFrame:
+def usable(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> DataFrame:
     """Imputation needs a value in every column; all-null columns are left out."""
-    numeric = numeric_columns(df, ("agent", "trial", "fold", "n_req", "label"))
+    numeric = numeric_columns(df, exclude)
     if not numeric:
         return df
     row = df.agg(*[F.count(c).alias(c) for c in numeric]).first()
     return df.drop(*[c for c in numeric if row[c] == 0])
 
 
-def train_classifier(table: DataFrame, labels: Sequence[str], classifier=None) -> PipelineModel:
+def train_classifier(table: DataFrame, labels: Sequence[str], classifier=None,
+                     keys: Sequence[str] = TRIAL_KEY) -> PipelineModel:
     """One pipeline from raw feature columns to a class name, fitted on all rows."""
-    table = usable(table.where(F.col("label").isNotNull()))
-    stages = feature_stages(table.drop("label"))
+    exclude = {*NOT_FEATURES, *keys}
+    table = usable(table.where(F.col("label").isNotNull()), exclude)
+    stages = feature_stages(table, exclude)
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=list(labels))
     return Pipeline(stages=[*stages, classifier or forest(), names]).fit(table)
 
@@ -254,7 +250,7 @@ def cross_validate(table: DataFrame, labels: Sequence[str], classifier=None, key
     folds = [r[0] for r in table.select("fold").distinct().orderBy("fold").collect()]
 
     def one(fold) -> DataFrame:
-        model = train_classifier(table.where(F.col("fold") != fold), labels, classifier)
+        model = train_classifier(table.where(F.col("fold") != fold), labels, classifier, keys)
         held = model.transform(table.where(F.col("fold") == fold))
         return held.select(*keys, "fold", F.col("agent").alias("y"), F.col("predicted").alias("yhat"))
 
@@ -389,6 +385,19 @@ def compare_models(table: DataFrame, labels: Sequence[str], trees: int = 200, de
     return reduce(DataFrame.unionByName, reports)
 
 
+def train_tables(tables: Mapping[str, DataFrame], labels: Sequence[str], folds: Sequence[int],
+                 classifier=None, parallel: int = 4) -> dict[tuple[str, int], PipelineModel]:
+    """One model per feature table and held-out fold, keyed (table, fold)."""
+    jobs = [(n, f) for n in tables for f in folds]
+
+    def one(job):
+        name, held = job
+        return train_classifier(tables[name].where(F.col("fold") != held), labels, classifier)
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return dict(zip(jobs, pool.map(one, jobs)))
+
+
 def score_prefixes(feature_sets: Mapping[str, DataFrame], models: Mapping[tuple[str, int], PipelineModel],
                    fold: str = "fold", keys: Sequence[str] = (*TRIAL_KEY, "n_req")) -> DataFrame:
     """(agent, trial, n_req, table, y, yhat): prefixes scored by the model that held their trial out."""

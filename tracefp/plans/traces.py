@@ -7,12 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefp.functions.requests import is_page, request_flags
+from tracefp.functions.requests import is_page, is_subresource, request_flags
 from tracefp.operators.beacon import beacon_filter
-from tracefp.operators.ordered import ordered_columns, previous
+from tracefp.operators.ordered import next_time, ordered_columns, previous, prior_time
 from tracefp.operators.quantiles import grouped_quantiles
-from tracefp.operators.sequences import (page_attribution, page_dwell, page_to_subresource,
-                                         request_intervals, subresource_burst)
+from tracefp.operators.sequences import burst_spread, page_attribution, trial_ordinal
 from tracefp.schema import TRIAL_KEY
 
 
@@ -25,22 +24,26 @@ def _rate(n, seconds):
     return F.when(seconds > 0, n / seconds).otherwise(0.0)
 
 
-def trace_temporal_stats(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
-    """Counts, duration, rate, interval, processing and dwell statistics per trial.
+def _request_timeline(df: DataFrame, keys, slice_us, subresources: bool = False) -> DataFrame:
+    """Requests with the gaps the statistics need, all from one slice pass.
 
-    The first request of a trial has no interval.  One sliced pass gives both
-    the request and the page interval; the exact median is taken from counts.
+    Gaps are whole microseconds, so their means do not depend on row order.
     """
-    keys = list(keys)
+    specs = [previous("_prev", F.col("us")), previous("_page", F.col("us"), is_page())]
+    if subresources:
+        specs += [next_time("_subres", is_subresource()), prior_time("page_us", is_page())]
     rows = df.select(*keys, "id", "us", "method", "path", "processing_ms", "sf_mode", "sf_dest")
-    timed = request_flags(ordered_columns(
-        rows, previous("_prev", F.col("us")), previous("_page", F.col("us"), is_page()),
-        keys=keys, slice_us=slice_us))
-    # whole microseconds are summed, so means do not depend on the order of rows
+    timed = request_flags(ordered_columns(rows, *specs, keys=keys, slice_us=slice_us))
     timed = (timed.withColumn("gap_us", F.col("us") - F.col("_prev"))
              .withColumn("dwell_us", F.when(F.col("is_page"), F.col("us") - F.col("_page"))))
+    if subresources:
+        timed = timed.withColumn("p2s_us", F.when(F.col("is_page"), F.col("_subres") - F.col("us")))
+    return timed
+
+
+def _temporal_group() -> list:
     duration = (F.max("us") - F.min("us")) / 1e6
-    stats = timed.groupBy(*keys).agg(
+    return [
         F.count(F.lit(1)).alias("n_requests"),
         F.count_if("is_page").alias("n_pages"),
         F.count_if("is_collect").alias("n_collect_posts"),
@@ -51,10 +54,22 @@ def trace_temporal_stats(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFr
         F.avg("processing_ms").alias("proc_mean_ms"), F.max("processing_ms").alias("proc_max_ms"),
         (F.avg("dwell_us") / 1e6).alias("page_dwell_mean_s"),
         (F.max("dwell_us") / 1e6).alias("page_dwell_max_s"),
-        (F.stddev_samp("dwell_us") / 1e6).alias("page_dwell_std_s"))
-    medians = grouped_quantiles(timed, keys, "gap_us", {"_median": 0.5})
-    return (stats.join(medians, keys, "left")
-            .withColumn("iri_median_ms", F.col("_median") / 1e3).drop("_median"))
+        (F.stddev_samp("dwell_us") / 1e6).alias("page_dwell_std_s")]
+
+
+def _iri_median(timed: DataFrame, keys) -> DataFrame:
+    q = grouped_quantiles(timed, keys, "gap_us", {"_median": 0.5})
+    return q.select(*keys, (F.col("_median") / 1e3).alias("iri_median_ms"))
+
+
+def trace_temporal_stats(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
+    """Counts, duration, rate, interval, processing and dwell statistics per trial.
+
+    The first request of a trial has no interval.
+    """
+    keys = list(keys)
+    timed = _request_timeline(df, keys, slice_us)
+    return timed.groupBy(*keys).agg(*_temporal_group()).join(_iri_median(timed, keys), keys, "left")
 
 
 def page_spatial_stats(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
@@ -127,15 +142,16 @@ def trace_fingerprint_counts(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
 def temporal_trial_features(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
     """Rate, interval and dwell features plus page-to-subresource timing per trial."""
     keys = list(keys)
-    base = trace_temporal_stats(df, keys, slice_us)
-    out = base.select(
+    timed = _request_timeline(df, keys, slice_us, subresources=True)
+    base = timed.groupBy(*keys).agg(*_temporal_group(), (F.avg("p2s_us") / 1e3).alias("iri_page_to_subres_ms"))
+    out = base.join(_iri_median(timed, keys), keys, "left").select(
         *keys, "req_rate_hz",
         F.coalesce("iri_median_ms", F.lit(0.0)).alias("iri_median_ms"),
         F.when(F.col("n_requests") > 1, F.col("iri_std_ms")).otherwise(0.0).alias("iri_std_ms"),
         F.coalesce("page_dwell_mean_s", F.lit(0.0)).alias("page_dwell_mean_s"),
-        F.when(F.col("n_pages") > 1, F.col("page_dwell_std_s")).otherwise(0.0).alias("page_dwell_std_s"))
-    return (out.join(page_to_subresource(df, keys, slice_us), keys, "left")
-            .join(subresource_burst(df, keys, slice_us), keys, "left"))
+        F.when(F.col("n_pages") > 1, F.col("page_dwell_std_s")).otherwise(0.0).alias("page_dwell_std_s"),
+        "iri_page_to_subres_ms")
+    return out.join(burst_spread(timed, keys), keys, "left")
 
 
 def agent_rate_dispersion(features: DataFrame) -> DataFrame:
@@ -164,8 +180,6 @@ def agent_rate_matrix(stats: DataFrame) -> DataFrame:
 
     Long form: a client may have any number of trials.
     """
-    from tracefp.operators.sequences import trial_ordinal
-
     rates = trial_ordinal(stats.select("agent", "trial", "req_rate_hz"))
     cv = stats.groupBy("agent").agg(
         (F.stddev_samp("req_rate_hz") / F.nullif(F.avg("req_rate_hz"), F.lit(0.0))).alias("rate_cv"))
