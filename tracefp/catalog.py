@@ -16,6 +16,7 @@ from tracefp.operators import attribution, beacon, sequences
 from tracefp.plans import behaviour, features, http, model, tls, traces
 from tracefp.schema import TRACKED_HEADERS
 from tracefp.session import materialize, shared_dir
+from tracefp.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -741,10 +742,6 @@ def events_at_cutoff(spark, d):
 # ---------------------------------------------------------------- models
 
 
-def sets(spark, d):
-    return features.feature_sets(req(spark, d), ix(spark, d), pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS)
-
-
 def aligned(spark, d):
     stored = features.stored_feature_sets(req(spark, d), ix(spark, d), pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS)
     return model.align_feature_sets(**stored)
@@ -767,7 +764,7 @@ SMALL_FOREST = {"trees": 20, "depth": 6}
 
 @query
 def behaviour_trial_features(spark, d):
-    return r6(sets(spark, d)["behavioural"])
+    return r6(behaviour.behaviour_trial_features(ix(spark, d), pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS))
 
 
 @query
@@ -947,3 +944,74 @@ def score_prefixes(spark, d):
     models = model.train_tables(tables, labels, (0, 1), model.forest(10, 6))
     prefix_sets = {n: df.withColumn("fold", held) for n, df in parts.items()}
     return model.score_prefixes(prefix_sets, models)
+
+
+# ---------------------------------------------------------------- streaming
+
+
+def event_stream(spark, d):
+    """The events table as a file stream."""
+    schema = views.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+def run_to_table(spark, stream, purpose):
+    """A stream run over all available input into a new shared table."""
+    out = shared_dir(spark, purpose)
+    (stream.writeStream.format("parquet").option("path", out).outputMode("append")
+     .option("checkpointLocation", shared_dir(spark, f"{purpose}-cp")).trigger(availableNow=True)
+     .start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query
+def stream_logs(spark, d):
+    """Rows per UTC date of the ingested table."""
+    out = shared_dir(spark, "logs")
+    stream = views.requests_from(event_stream(spark, d)).select(*K, "id", "us", "path")
+    live.stream_logs(stream, out, shared_dir(spark, "logs-cp")).awaitTermination()
+    return (spark.read.parquet(out).groupBy(F.col("date").cast("string").alias("date"))
+            .agg(F.count(F.lit(1)).alias("n"), F.max("us").alias("last_us")))
+
+
+@query
+def stream_attribution(spark, d):
+    stream = views.requests_from(event_stream(spark, d))
+    out = live.stream_attribution(stream, windows(spark, d)).select(*K, "id")
+    return run_to_table(spark, out, "attributed")
+
+
+@query
+def stream_input_monitor(spark, d):
+    return run_to_table(spark, live.stream_input_monitor(views.interactions_from(event_stream(spark, d))), "inputs")
+
+
+@query
+def stream_beacon_filter(spark, d):
+    """Posts decided by the end of the stream."""
+    stream = views.requests_from(event_stream(spark, d))
+    out = live.stream_beacon_decisions(stream, delay="0 seconds", slice_us=86_400_000_000, **VIEW_WINDOWS)
+    return run_to_table(spark, out, "beacons").select(*K, "id", "is_beacon")
+
+
+@query
+def stream_checkpoints(spark, d):
+    events = event_stream(spark, d)
+    stream = sequences.merged_event_stream(views.requests_from(events), views.interactions_from(events))
+    out = shared_dir(spark, "checkpoints")
+    live.stream_checkpoints(stream, out, shared_dir(spark, "counters"), shared_dir(spark, "checkpoints-cp"),
+                            3).awaitTermination()
+    return spark.read.parquet(out).drop("epoch")
+
+
+@query
+def stream_scoring(spark, d):
+    """Trials scored on running features by a model of the same features."""
+    table = live.running_features(live.running_sums(live.signal_frame(req(spark, d))))
+    table = materialize(table, "running")
+    labels = model.class_names(table)
+    fitted = model.train_classifier(model.with_label(table, labels), labels, model.forest(10, 6))
+    out = shared_dir(spark, "scored")
+    live.stream_scoring(views.requests_from(event_stream(spark, d)), {"running": fitted}, out,
+                        shared_dir(spark, "sums"), shared_dir(spark, "scored-cp")).awaitTermination()
+    return spark.read.parquet(out).select(*K, "table", "predicted", "confidence")

@@ -176,8 +176,8 @@ def ordered_columns(df: DataFrame, *specs: _Spec, keys: Sequence[str] = TRIAL_KE
     carry = (base.groupBy(*keys, _SLICE).agg(*[s.summary(order) for s in specs])
              .select(*keys, _SLICE, *[s.carried(keys) for s in specs]))
     return (inner.join(carry, [*keys, _SLICE], "left")
-            .select(*[F.col(f"`{c}`") for c in df.columns if c not in {s.name for s in specs}],
-                    *[s.merged() for s in specs]))
+            .select("*", *[s.merged() for s in specs])
+            .drop(_SLICE, *[s.here for s in specs], *[s.carry for s in specs]))
 
 
 def halo_slices(df: DataFrame, reach_us: int, time: str = "us",

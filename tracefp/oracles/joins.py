@@ -1,6 +1,8 @@
 """DuckDB checks of attribution, merged streams, checkpoints and prefixes."""
 
 from tracefp.oracles.base import query, r6
+from tracefp.oracles.traces import B as BEACONS
+from tracefp.views import VIEW_UNLOAD_MS
 
 K = "agent, trial"
 WINS = {"w": "SELECT 'src_' || CAST(trial % 3 AS VARCHAR) AS agent, trial, s_us, e_us, rc FROM win"}
@@ -65,4 +67,17 @@ SQL = {
     "events_at_cutoff": query(
         "SELECT c.agent, c.trial, c.n_req, i.id FROM cut c JOIN ix i ON i.agent = c.agent AND i.trial = c.trial AND i.us <= c.cutoff_us",
         "req", "ix", extra=PRE),
+    "stream_logs": query(
+        "SELECT strftime(make_timestamp(us), '%Y-%m-%d') AS date, count(*) AS n, max(us) AS last_us FROM req GROUP BY 1", "req"),
+    "stream_attribution": query("SELECT agent, trial, id FROM att", "req", "win", extra=ATTR),
+    "stream_input_monitor": query(f"SELECT {K}, id, us, session, page, type, target, log_event, detail FROM ix WHERE type IN "
+                                  "('input', 'change', 'app_event')", "ix"),
+    "stream_beacon_filter": query(
+        f"SELECT {K}, id, is_beacon FROM flagged WHERE us + {VIEW_UNLOAD_MS}000 < (SELECT (max(us) // 1000) * 1000 FROM req "
+        "WHERE path LIKE '%.html' OR method = 'POST')", "req", extra=BEACONS),
+    "stream_checkpoints": query(
+        f"""SELECT {K}, id, us, CASE WHEN pg THEN 'page' ELSE 'event' END AS checkpoint, CASE WHEN pg THEN CAST(seg AS BIGINT) END AS page_index,
+        CASE WHEN NOT pg THEN CAST(n_int AS BIGINT) END AS event_index, coalesce(page_path, '') AS page_path,
+        CAST(n_req AS BIGINT) AS n_requests, CAST(n_int AS BIGINT) AS n_int_events
+        FROM s3 WHERE pg OR (kind = 1 AND since > 0 AND since % 3 = 0)""", "req", "ix", extra=CPS),
 }

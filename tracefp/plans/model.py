@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import (CountVectorizer, Imputer, IndexToString, StringIndexer,
-                                VarianceThresholdSelector, VectorAssembler)
+                                VarianceThresholdSelector, VectorAssembler, VectorSizeHint)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,6 +170,9 @@ def feature_stages(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> list
     category = [c for c in CATEGORICAL if types.get(c) == "string"]
     vectors = [c for c, t in df.dtypes if t == "vector"]
     stages: list = []
+    for v in vectors:
+        size = df.select(F.size(vector_to_array(v))).first()[0]
+        stages.append(VectorSizeHint(inputCol=v, size=size, handleInvalid="error"))
     parts = list(vectors)
     if category:
         stages.append(StringIndexer(inputCols=category, outputCols=[f"{c}_code" for c in category],

@@ -15,6 +15,8 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even when the split costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # plans here hold thousands of columns; call sites are not recorded for each
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
