@@ -13,11 +13,15 @@ from tracefp.schema import BURST_WINDOW_MS, TRIAL_KEY, UNLOAD_WINDOW_MS
 
 def burst_neighbour(df: DataFrame, burst_ms: int = BURST_WINDOW_MS, keys=TRIAL_KEY,
                     slice_us=None) -> DataFrame:
-    """Collect posts with a flag: another one of the trial lies within ±burst_ms."""
+    """Collect posts with a flag: another one of the trial lies within ±burst_ms.
+
+    Only the nearest post on either side can decide, so no frame is counted.
+    """
     reach = int(burst_ms * 1000)
     rows, cut, home = halo_slices(df.where(is_collect_post()), reach, slice_us=slice_us)
-    w = Window.partitionBy(*keys, cut).orderBy("us").rangeBetween(-reach, reach)
-    return (rows.withColumn("in_burst", F.count(F.lit(1)).over(w) > 1)
+    w = Window.partitionBy(*keys, cut).orderBy("us", "id")
+    near = ((F.col("us") - F.lag("us").over(w) <= reach) | (F.lead("us").over(w) - F.col("us") <= reach))
+    return (rows.withColumn("in_burst", F.coalesce(near, F.lit(False)))
             .where(home).drop(cut, home))
 
 
@@ -26,17 +30,26 @@ def _tested(df: DataFrame, unload_ms, burst_ms, aggressive, keys, slice_us) -> D
 
     Both conditions look only a bounded time away, so rows near a slice edge
     are copied into the next slice and one shuffle on (trial, slice) answers
-    both.
+    both.  Nearest neighbours decide them, found by frames that grow from one
+    end and are evaluated incrementally.
     """
     unload, burst = int(unload_ms * 1000), int(burst_ms * 1000)
-    post, page = is_collect_post(), is_page()
+    post, page, us = is_collect_post(), is_page(), F.col("us")
     rows, cut, home = halo_slices(df.where(post | page), max(unload, burst), slice_us=slice_us)
-    w = Window.partitionBy(*keys, cut).orderBy("us")
-    followed = F.count(F.when(page, 1)).over(w.rangeBetween(1, unload)) > 0
-    crowd = F.count(F.when(post, 1)).over(w.rangeBetween(-burst, burst)) > 1
-    named = F.coalesce(F.col("referer").rlike(r"\.html$"), F.lit(False))
-    hit = post & followed & (F.lit(bool(aggressive)) | crowd | named)
-    return rows.withColumn("is_beacon", hit).where(home).drop(cut, home)
+    part = Window.partitionBy(*keys, cut)
+    before = part.orderBy("us", "id").rowsBetween(Window.unboundedPreceding, -1)
+    after = part.orderBy(us.desc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = part.orderBy(us.desc()).rangeBetween(Window.unboundedPreceding, -1)
+
+    def nearest(frame):
+        return F.last(F.when(post, us), ignorenulls=True).over(frame)
+
+    followed = F.min(F.when(page, us)).over(later) - us <= unload
+    crowd = (us - nearest(before) <= burst) | (nearest(after) - us <= burst)
+    named = F.col("referer").rlike(r"\.html$")
+    hit = post & followed & (F.lit(bool(aggressive)) | F.coalesce(crowd, F.lit(False))
+                             | F.coalesce(named, F.lit(False)))
+    return rows.withColumn("is_beacon", F.coalesce(hit, F.lit(False))).where(home).drop(cut, home)
 
 
 def beacon_flags(df: DataFrame, unload_ms: int = UNLOAD_WINDOW_MS,

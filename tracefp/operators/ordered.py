@@ -74,23 +74,28 @@ class previous(_Spec):
 
 
 class next_time(_Spec):
-    """Time of the first row strictly later than this one where `when` holds."""
+    """Time of the first row strictly later than this one where `when` holds.
+
+    The frame runs backwards in time: a frame open towards the end would be
+    evaluated anew for every row, one open towards the start is incremental.
+    """
 
     def __init__(self, name, when):
         super().__init__(name)
         self.when = when
 
     def local(self, keys, order):
-        w = (Window.partitionBy(*keys, _SLICE).orderBy(order[0])
-             .rangeBetween(1, Window.unboundedFollowing))
+        w = (Window.partitionBy(*keys, _SLICE).orderBy(F.col(order[0]).desc())
+             .rangeBetween(Window.unboundedPreceding, -1))
         return F.min(F.when(self.when, F.col(order[0]))).over(w).alias(self.here)
 
     def summary(self, order):
         return F.min(F.when(self.when, F.col(order[0]))).alias(self.tot)
 
     def carried(self, keys):
-        w = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(1, Window.unboundedFollowing)
-        return F.first(F.col(self.tot), ignorenulls=True).over(w).alias(self.carry)
+        w = (Window.partitionBy(*keys).orderBy(F.col(_SLICE).desc())
+             .rowsBetween(Window.unboundedPreceding, -1))
+        return F.last(F.col(self.tot), ignorenulls=True).over(w).alias(self.carry)
 
     def merged(self):
         return F.coalesce(F.col(self.here), F.col(self.carry)).alias(self.name)
