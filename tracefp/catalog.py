@@ -213,6 +213,10 @@ def fps(spark, d):
     return tls.fingerprint_frame(req(spark, d))
 
 
+def fp_counts(spark, d):
+    return tls.distinct_fingerprints(req(spark, d))
+
+
 def fps_clean(spark, d):
     return tls.fingerprint_frame(clean(spark, d))
 
@@ -394,7 +398,7 @@ def top_values(spark, d):
 
 @query
 def within_trace_consistency(spark, d):
-    return tls.within_trace_consistency(fps(spark, d))
+    return tls.within_trace_consistency(fp_counts(spark, d))
 
 
 @query
@@ -404,17 +408,17 @@ def field_stability_http(spark, d):
 
 @query
 def field_stability_tls(spark, d):
-    return r6(tls.field_stability(fps(spark, d)))
+    return r6(tls.field_stability(fp_counts(spark, d)))
 
 
 @query
 def rank_fields(spark, d):
-    return r6(tls.rank_fields(tls.field_stability(fps(spark, d)), 12, True, True).select("field", "entropy"))
+    return r6(tls.rank_fields(tls.field_stability(fp_counts(spark, d)), 12, True, True).select("field", "entropy"))
 
 
 @query
 def fingerprint_vector(spark, d):
-    return tls.fingerprint_vector(fps(spark, d))
+    return tls.fingerprint_vector(fp_counts(spark, d))
 
 
 @query
@@ -439,7 +443,7 @@ def feature_metadata(spark, d):
 
 @query
 def flag_consensus(spark, d):
-    return tls.flag_consensus(tls.fingerprint_vector(fps(spark, d)))
+    return tls.flag_consensus(tls.fingerprint_vector(fp_counts(spark, d)))
 
 
 @query
@@ -449,7 +453,7 @@ def tls_comparison(spark, d):
 
 @query
 def minmax_settings(spark, d):
-    return r6(tls.minmax_settings(tls.fingerprint_vector(fps(spark, d))))
+    return r6(tls.minmax_settings(tls.fingerprint_vector(fp_counts(spark, d))))
 
 
 # ---------------------------------------------------------------- browser events

@@ -73,11 +73,12 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], fields: Sequence[str],
-                 value: str = "value") -> DataFrame:
+                 value: str = "value", weight: str | None = None) -> DataFrame:
     """(keys, field, value, number, n) for every non-null value of each field.
 
     `number` is the value as a double for numeric fields, else null; it decides
-    ties the way the field's own type would.
+    ties the way the field's own type would.  `weight` names a column holding
+    how many rows a row stands for.
     """
     types = dict(df.dtypes)
     numeric = ("int", "bigint", "double", "float", "smallint", "tinyint")
@@ -85,9 +86,11 @@ def value_counts(df: DataFrame, keys: Sequence[str], fields: Sequence[str],
                       (F.col(f) if types[f] in numeric or types[f].startswith("decimal")
                        else F.lit(None)).cast("double").alias("number"))
              for f in fields]
-    return (df.select(*keys, F.inline(F.array(*items)))
+    extra = [F.col(weight).alias("_weight")] if weight else []
+    n = F.sum("_weight") if weight else F.count(F.lit(1))
+    return (df.select(*keys, *extra, F.inline(F.array(*items)))
             .where(F.col(value).isNotNull())
-            .groupBy(*keys, "field", value, "number").agg(F.count(F.lit(1)).alias("n")))
+            .groupBy(*keys, "field", value, "number").agg(n.alias("n")))
 
 
 def modal_rows(counts: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -100,10 +103,11 @@ def modal_rows(counts: DataFrame, keys: Sequence[str], value: str = "value") ->
                     (-F.col("_best.neg")).alias("modal_n"), "n_distinct", "total"))
 
 
-def grouped_modes(df: DataFrame, keys: Sequence[str], fields: Mapping[str, str]) -> DataFrame:
+def grouped_modes(df: DataFrame, keys: Sequence[str], fields: Mapping[str, str],
+                  weight: str | None = None) -> DataFrame:
     """One row per key with the mode of each column: {source column: output name}."""
     types = dict(df.dtypes)
-    rows = modal_rows(value_counts(df, keys, list(fields)), keys)
+    rows = modal_rows(value_counts(df, keys, list(fields), weight=weight), keys)
     return rows.groupBy(*keys).agg(*[
         F.max(F.when(F.col("field") == f, F.col("modal"))).cast(types[f]).alias(out)
         for f, out in fields.items()])
