@@ -16,6 +16,7 @@ from tracefp.operators import attribution, beacon, sequences
 from tracefp.plans import behaviour, features, http, model, tls, traces
 from tracefp.schema import TRACKED_HEADERS
 from tracefp.session import materialize, shared_dir
+from tracefp.sources import logs, tables
 from tracefp.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1019,3 +1020,58 @@ def stream_scoring(spark, d):
     live.stream_scoring(views.requests_from(event_stream(spark, d)), {"running": fitted}, out,
                         shared_dir(spark, "sums"), shared_dir(spark, "scored-cp")).awaitTermination()
     return spark.read.parquet(out).select(*K, "table", "predicted", "confidence")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query
+def parse_event_time(spark, d):
+    return fr.parse_event_time(views.nested_requests(spark, d)).select("id", "us")
+
+
+@query
+def header_fallback(spark, d):
+    """The typed field is empty on every third row, so the header map answers there."""
+    r = req(spark, d)
+    typed = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit("")).otherwise(F.col("sf_mode"))
+    headers = F.create_map(F.lit("Sec-Fetch-Mode"), F.array("sf_mode", F.lit("second")))
+    nested = r.select("id", F.struct(typed.alias("sec_fetch_mode"), headers.alias("headers")).alias("http"))
+    return nested.select("id", fr.header_fallback("sec_fetch_mode", "Sec-Fetch-Mode").alias("sf_mode"))
+
+
+@query
+def read_requests(spark, d):
+    """Attributed raw records written per trial, read back by layout and flattened."""
+    root = shared_dir(spark, "trials")
+    tables.write_trials(views.nested_requests(spark, d), root)
+    back = fr.flatten_requests(logs.read_requests(spark, f"{root}/*/*/*.json", root))
+    return back.select(*K, "id", "us", "method", "path", "referer", "body_size", "ja4", "h2_fp", "n_headers", "ua")
+
+
+@query
+def read_interactions(spark, d):
+    root = shared_dir(spark, "flushes")
+    tables.write_trials(views.single_event_flushes(spark, d), root)
+    back = logs.read_interactions(spark, f"{root}/*/*/*.json", root)
+    return back.select(*K, F.col("log_id").cast("long").alias("id"), "us", "session", "page", "flush_seq", "type",
+                       "action", "state", "target", "x", "y", "key", "ctrl", "scroll_y", "log_event", "detail")
+
+
+@query
+def feature_round_trip(spark, d):
+    path = shared_dir(spark, "features")
+    tables.write_features(traces.temporal_trial_features(clean(spark, d)), path)
+    return r6(tables.read_features(spark, path).select(*K, "req_rate_hz", "iri_median_ms", "page_dwell_mean_s"))
+
+
+@query
+def beacon_ids(spark, d):
+    return beacon.beacon_ids(req(spark, d), **VIEW_WINDOWS)
+
+
+@query
+def metric_histogram(spark, d):
+    """Distribution of the request count over trials."""
+    stats = req(spark, d).groupBy(*K).agg(F.count(F.lit(1)).alias("n_requests"))
+    return r6(traces.histogram(stats, "n_requests", 15))

@@ -66,6 +66,11 @@ def beacon_flags(df: DataFrame, unload_ms: int = UNLOAD_WINDOW_MS,
             .where(is_collect_post()).select(*keys, "id", "us", "is_beacon"))
 
 
+def beacon_ids(df: DataFrame, **kw) -> DataFrame:
+    """Keys and ids of the posts that the filter removes."""
+    return beacon_flags(df, **kw).where("is_beacon").select(*kw.get("keys", TRIAL_KEY), "id")
+
+
 def beacon_filter(df: DataFrame, unload_ms: int = UNLOAD_WINDOW_MS,
                   burst_ms: int = BURST_WINDOW_MS, aggressive: bool = False,
                   keys=TRIAL_KEY, slice_us=None) -> DataFrame:

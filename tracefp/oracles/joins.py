@@ -2,6 +2,7 @@
 
 from tracefp.oracles.base import query, r6
 from tracefp.oracles.traces import B as BEACONS
+from tracefp.oracles.traces import T as TEMPORAL
 from tracefp.views import VIEW_UNLOAD_MS
 
 K = "agent, trial"
@@ -80,4 +81,19 @@ SQL = {
         CASE WHEN NOT pg THEN CAST(n_int AS BIGINT) END AS event_index, coalesce(page_path, '') AS page_path,
         CAST(n_req AS BIGINT) AS n_requests, CAST(n_int AS BIGINT) AS n_int_events
         FROM s3 WHERE pg OR (kind = 1 AND since > 0 AND since % 3 = 0)""", "req", "ix", extra=CPS),
+    "parse_event_time": query("SELECT CAST(id AS VARCHAR) AS id, us FROM req", "req"),
+    "header_fallback": query("SELECT id, sf_mode FROM req", "req"),
+    "read_requests": query(
+        """SELECT agent, trial, CAST(id AS VARCHAR) AS id, us, method, path, referer, body_size, ja4, nullif(h2_fp, '') AS h2_fp,
+        len(header_names) AS n_headers, ua FROM req""", "req"),
+    "read_interactions": query(
+        f"SELECT {K}, id, us, session, page, flush_seq, type, action, state, target, x, y, key, ctrl, scroll_y, log_event, detail FROM ix", "ix"),
+    "feature_round_trip": query(
+        f"SELECT {K}, {r6('req_rate_hz', 'req_rate_hz')}, {r6('iri_median_ms', 'iri_median_ms')}, "
+        f"{r6('page_dwell_mean_s', 'page_dwell_mean_s')} FROM temporal", "req", extra=TEMPORAL),
+    "beacon_ids": query(f"SELECT {K}, id FROM flagged WHERE is_beacon", "req", extra=BEACONS),
+    "metric_histogram": query(
+        f"""SELECT CAST(least(floor((n - lo) / (hi - lo) * 15), 14) AS INT) AS bin, count(*) AS n, {r6('any_value(mean)', 'mean')}
+        FROM cnt, (SELECT min(n) AS lo, max(n) AS hi, avg(n) AS mean FROM cnt) GROUP BY 1""", "req",
+        extra={"cnt": f"SELECT {K}, CAST(count(*) AS DOUBLE) AS n FROM req GROUP BY {K}"}),
 }

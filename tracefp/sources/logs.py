@@ -20,14 +20,19 @@ def label_from_layout(df: DataFrame, root: str, agents=None, default_agent: str
     """Agent and trial from <root>/<agent>/<trial>/<file>.
 
     <root>/<trial>/<file> and flat files are accepted too; then the agent is
-    `default_agent` and a flat file is its own trial.  `agents` keeps a subset.
+    `default_agent` and a flat file is its own trial.  Folders written as
+    agent=<agent> and trial=<trial> name the same.  `agents` keeps a subset.
     """
     tail = F.substring_index(_file_path(), root.rstrip("/") + "/", -1)
     parts = F.split(tail, "/")
     n = F.size(parts)
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
-    out = df.select("*", F.when(n >= 3, F.get(parts, n - 3)).otherwise(F.lit(default_agent)).alias("agent"),
-                    F.when(n >= 2, F.get(parts, n - 2)).otherwise(stem).alias("trial"))
+
+    def folder(up: int) -> Column:
+        return F.regexp_replace(F.get(parts, n - up), "^(agent|trial)=", "")
+
+    out = df.select("*", F.when(n >= 3, folder(3)).otherwise(F.lit(default_agent)).alias("agent"),
+                    F.when(n >= 2, folder(2)).otherwise(stem).alias("trial"))
     return out.where(F.col("agent").isin(*agents)) if agents else out
 
 

@@ -182,3 +182,14 @@ def nested_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("ua").alias("user_agent"),
                  F.nullif("referer", F.lit("")).alias("referer")).alias("http"),
         F.col("processing_ms").alias("processing_time_ms"))
+
+
+def single_event_flushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interaction view as flush records that carry one event each."""
+    i = interactions(spark, sf_dir)
+    at = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    event = F.struct(at.alias("t"), (F.col("us") / 1000.0).alias("ms"), "type", "target", "x", "y", "key", "ctrl",
+                     F.col("scroll_y").alias("scrollY"), "action", "state", F.col("log_event").alias("event"),
+                     "detail", F.col("id").cast("string").alias("logId"))
+    return i.select("agent", "trial", "session", F.col("page"), F.col("flush_seq").cast("int").alias("flushSeq"),
+                    F.lit(1).alias("eventCount"), F.array(event).alias("batch"), at.alias("receivedAt"))
