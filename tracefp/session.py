@@ -33,6 +33,9 @@ def build_session(app: str = "tracefp", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_local_root: str | None = None
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the checkpoint folder the cluster names.
 
@@ -40,12 +43,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     machine-local folder is used only when no shared one is configured, as in
     tests on one machine.
     """
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="tracefp-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _local_root = _local_root or tempfile.mkdtemp(prefix="tracefp-")
+        root = _local_root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
