@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash in DataFrame functions only (operator 3).
 
 A line is trimmed and lower-cased.  Its shingles are the ten characters from the
-start of every word, from every eighth character of a longer word and from every
-ideograph or kana, so all of a line is covered.  One hash orders them; the signature is the
+start of every word, from every eighth character of a longer word and from
+ideographs, kana and Hangul one by one, so all of a line is covered.  One hash orders them; the signature is the
 ``SIGNATURE`` smallest hashes, and every two of them form a band.  Two lines of
 Jaccard similarity J share each of the smallest hashes of their union with
 probability J, and meet in a band if they share two of the first five: 0.993 of
@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefp.llm.components import components
-from tracefp.session import materialize
+from tracefp.llm.store import settled
 
 SIGNATURE = 5
-SHINGLE = r"(?=(.{1,10}))(?:[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|\S{1,8}?(?=[\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|$)|\S{8})\s*"
+# a piece that begins with an ideograph, kana or Hangul is one character, any other run goes in pieces of eight
+SHINGLE = r"(?=(.{1,10}))(?:[぀-﫿]|\S{1,8})\s*"
 
 
 def _plain(line: Column) -> Column:
@@ -66,7 +67,7 @@ def _met(bands: DataFrame, crowd: int, partitions: int) -> tuple[DataFrame, Data
     """Pairs (a, b) to verify and the lines (line) of crowded bands."""
     bands = bands.repartition(partitions, "key")
     sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high")).where("n > 1")
-    met = materialize(bands.join(sizes, "key"), "bands")
+    met = settled(bands.join(sizes, "key"), "bands")
     ends = met.select("line", F.explode(F.array("low", "high")).alias("end")).where("line != end").select(
         F.least("line", "end").alias("a"), F.greatest("line", "end").alias("b"))
     few = met.where((F.col("n") > 3) & (F.col("n") <= crowd)).select("key", "line")
@@ -74,43 +75,42 @@ def _met(bands: DataFrame, crowd: int, partitions: int) -> tuple[DataFrame, Data
     return ends.unionByName(inner).distinct(), met.where(F.col("n") > crowd).select("line").distinct()
 
 
-def line_keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, crowd: int = 24) -> tuple[DataFrame, DataFrame]:
-    """(instances, keepers): (at, h1, h2) for every line that is not blank, and
-    (h1, h2, keeper) for every different line, where ``at`` and ``keeper`` are structs
-    of id, hash of the document's text and line number from zero."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _rows(docs, id_col, text_col)
+def _instances(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(at, line, h1, h2) for every line that is not blank; ``at`` is a struct of id, hash
+    of the document's text and line number from zero."""
     # xxhash64 chains its arguments: a constant in front is another seed
-    instances = materialize(_exploded(rows).select(
-        "at", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-        F.slice(F.sort_array(_hashes(F.col("line"))), 1, SIGNATURE).alias("signature")), "lines")
-    kinds = materialize(instances.groupBy("h1", "h2").agg(F.min(F.struct("at", "signature")).alias("m")).select(
-        "h1", "h2", "m.at", "m.signature", F.xxhash64("h1", "h2").alias("line")), "lines")
+    return _exploded(_rows(docs, id_col, text_col)).select("at", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
+def line_keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, crowd: int = 24) -> DataFrame:
+    """(h1, h2, keeper) for every different line: the place of the line that stays."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashes = _hashes(F.col("line"))
+    signed = _instances(docs, id_col, text_col).withColumn("hashes", hashes).select(
+        "h1", "h2", "at", F.slice(F.sort_array("hashes"), 1, SIGNATURE).alias("signature"), F.size("hashes").alias("n"))
+    kinds = settled(signed.groupBy("h1", "h2").agg(F.min(F.struct("at", "signature", "n")).alias("m")).select(
+        "h1", "h2", "m.at", "m.signature", "m.n", F.xxhash64("h1", "h2").alias("line")), "lines")
     pairs, crowded = _met(_bands(kinds, 2), crowd, parts)
     again, _ = _met(_bands(kinds.join(crowded, "line", "left_semi"), 3), crowd, parts)
     pairs = pairs.unionByName(again).distinct()
-    # a first look at the signatures: the share of the smallest hashes of the union that both have
-    sign = kinds.select("line", "at", "signature")
-    pairs = pairs.join(sign.select(F.col("line").alias("a"), F.col("at").alias("at_a"), F.col("signature").alias("s_a")), "a").join(
-        sign.select(F.col("line").alias("b"), F.col("at").alias("at_b"), F.col("signature").alias("s_b")), "b")
-    pairs = materialize(pairs.where(F.size(F.array_intersect("s_a", "s_b")) >= F.least(F.lit(2), F.size("s_a"), F.size("s_b"))).select("at_a", "at_b"), "pairs")
+    # sets of sizes too different cannot be similar
+    place = kinds.select("line", "at", "n")
+    pairs = pairs.join(place.select(F.col("line").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a")), "a").join(
+        place.select(F.col("line").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b")), "b")
+    pairs = settled(pairs.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("at_a", "at_b"), "pairs")
     ats = pairs.select(F.col("at_a").alias("at")).unionByName(pairs.select(F.col("at_b").alias("at"))).distinct()
     wanted = ats.groupBy("at.id", "at.text_hash").agg(F.collect_list("at.pos").alias("places"))
-    texts = rows.dropDuplicates(["id", "text_hash"]) if False else rows
-    texts = texts.join(wanted.hint("shuffle_hash").withColumnsRenamed({"id": "w_id", "text_hash": "w_hash"}),
-                       (F.col("text_hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id")))
-    shingles = texts.select("id", "text_hash", F.split("text", "\n", -1).alias("lines"), F.explode("places").alias("pos")).select(
-        F.struct("id", "text_hash", "pos").alias("at"), _hashes(_plain(F.expr("lines[pos]"))).alias("set"))
-    shingles = materialize(shingles, "shingles")
+    texts = _rows(docs, id_col, text_col).join(wanted.hint("shuffle_hash").withColumnsRenamed({"id": "w_id", "text_hash": "w_hash"}),
+                                               (F.col("text_hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id")))
+    shingles = settled(texts.select("id", "text_hash", F.split("text", "\n", -1).alias("lines"), F.explode("places").alias("pos")).select(
+        F.struct("id", "text_hash", "pos").alias("at"), _hashes(_plain(F.expr("lines[pos]"))).alias("set")), "shingles")
     both = pairs.join(shingles.select(F.col("at").alias("at_a"), F.col("set").alias("set_a")), "at_a").join(
         shingles.select(F.col("at").alias("at_b"), F.col("set").alias("set_b")), "at_b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     links = both.where(common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common)).select(
         F.col("at_a").alias("a"), F.col("at_b").alias("b"))
     groups = components(links)
-    keepers = kinds.join(groups.withColumnRenamed("node", "at"), "at", "left").select("h1", "h2", F.coalesce("component", "at").alias("keeper"))
-    return instances.select("at", "h1", "h2"), keepers
+    return kinds.join(groups.withColumnRenamed("node", "at"), "at", "left").select("h1", "h2", F.coalesce("component", "at").alias("keeper"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, crowd: int = 24,
@@ -125,9 +125,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns pass through whatever their names; an empty table gives
     an empty table.
     """
-    instances, keepers = line_keepers(docs, id_col, text_col, similarity, crowd)
-    gone = instances.join(keepers, ["h1", "h2"]).where("at != keeper").groupBy("at.id", "at.text_hash").agg(
-        F.collect_set("at.pos").alias("_gone")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone")
+    keepers = line_keepers(docs, id_col, text_col, similarity, crowd)
+    instances = _instances(docs, id_col, text_col).select("at", "h1", "h2")
+    gone = settled(instances.join(keepers, ["h1", "h2"]).where("at != keeper").groupBy("at.id", "at.text_hash").agg(
+        F.collect_set("at.pos").alias("_gone")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone"), "gone")
     docs = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
     joined = docs.join(gone.hint("shuffle_hash"), (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
     split = F.split(F.col(text_col).cast("string"), "\n", -1)

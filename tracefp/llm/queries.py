@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from tracefp.llm.bpe import op9_bpe
+from tracefp.llm.contamination import op2_decontamination
 from tracefp.llm.lines import op3_line_dedup
+from tracefp.llm.rans import op5_token_files
 from tracefp.llm.simhash import op1_simhash
+from tracefp.llm.toxicity import op8_toxicity
+from tracefp.llm.vectors import op6_embeddings
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_line_dedup, op9_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_line_dedup, op5_token_files, op6_embeddings, op8_toxicity, op9_bpe)}
 ORACLES: dict[str, str] = {}
