@@ -200,15 +200,22 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
 
-def keep_clean(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows whose text scores the threshold or more; texts without
-    words stay.  Scores meet the rows by a hash of the text and its length, so rows that
-    repeat an id are judged by their own texts."""
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
-    texts = keyed.where(F.trim(text) != "").select(F.struct("_h1", "_h2").alias("key"), text.alias("text"))
-    bad = score_toxicity(texts, model, "key", "text").where(F.col("score") >= threshold).select("key._h1", "key._h2").distinct()
-    return keyed.join(bad, ["_h1", "_h2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    words stay, and every row is judged by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    key, at = uuid.uuid4().hex, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(shared.value)
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string()).to_pylist()
+            has = np.array([bool(t and t.strip()) for t in texts], bool)
+            yield batch.filter(pa.array(~has | (_scorers[key].score(texts) < threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
