@@ -70,3 +70,26 @@ def test_preparation(spark):
     assert codes == {0, 1}
     with pytest.raises(ValueError):
         model.name_vocabulary(df, limit=0)
+
+
+def test_stages_keep_all_names_and_exact_medians(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    names = ["common"] * 5 + [f"rare{k}" for k in range(7)]
+    rows = [("a", f"t{k}", x, [n]) for k, (x, n) in enumerate(zip([1.0, 2.0, 10.0, 20.0, None, float("nan")] * 2, names))]
+    df = spark.createDataFrame(rows, "agent string, trial string, x double, nonstandard_names array<string>")
+    out = Pipeline(stages=model.feature_stages(df)).fit(df).transform(df)
+    assert {r.x_full for r in out.where("x IS NULL OR isnan(x)").collect()} == {6.0}
+    assert len(set(map(tuple, (r.n for r in out.select(vector_to_array("_names").alias("n")).collect())))) == 8
+
+
+def test_unknown_fields_are_an_error(spark):
+    import pytest
+
+    from tracefp.plans.tls import field_stability
+
+    df = spark.createDataFrame([("a", "t", "x")], "agent string, trial string, ja3 string")
+    assert [r.field for r in field_stability(df, ["ja3"]).collect()] == ["ja3"]
+    with pytest.raises(ValueError, match="absent"):
+        field_stability(df, ["ja3", "absent"])

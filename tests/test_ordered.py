@@ -140,3 +140,11 @@ def test_focus_prefix_matches_longer_targets(spark):
     assert row["focus_to_input_n"] == 1 and row["focus_to_input_mean_ms"] == 5.0
     counts = Counter(r[4] for r in data)
     assert counts["focus"] == 2
+
+
+def test_null_keys_and_times_keep_their_order(spark):
+    rows = [(None, None, k, 10 * k) for k in range(1, 5)] + [("a", None, 9, None), ("a", "t", 1, 5), ("a", "t", 2, 4000)]
+    df = spark.createDataFrame(rows, "agent string, trial string, id long, us long")
+    for size in (15, 1 << 40):
+        got = {(r.agent, r.trial, r.id): r.nth for r in ordered_columns(df, running_count("nth"), slice_us=size).collect()}
+        assert got == {(None, None, k): k for k in range(1, 5)} | {("a", None, 9): 1, ("a", "t", 1): 1, ("a", "t", 2): 2}

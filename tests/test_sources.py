@@ -130,13 +130,12 @@ def test_flushes_straddling_a_window(spark):
     flushes = [("s", 1, [50, 99]), ("s", 2, [99, 100, 200]), ("s", 3, [201, 2_999]), ("s", 4, [3_001])]
     df = spark.createDataFrame(flushes, "session string, flush_seq long, times array<long>")
     want = {("t1", 2), ("t2", 2), ("t2", 3)}
-    for bucket in (7, 100, 10**9):
-        rows = attribute_flushes(df, windows, bucket_us=bucket).collect()
-        assert len(rows) == 3 and {(r["trial"], r["flush_seq"]) for r in rows} == want
+    rows = attribute_flushes(df, windows).collect()
+    assert len(rows) == 3 and {(r["trial"], r["flush_seq"]) for r in rows} == want
     events = df.select("session", "flush_seq", F.explode("times").alias("us"), F.lit("").alias("agent"),
                        F.lit("").alias("trial"))
-    assert {(r["trial"], r["flush_seq"]) for r in attribute_flush_events(events, windows, bucket_us=64).collect()} == want
-    half = attribute_requests(events, windows, closed=False, bucket_us=64)
+    assert {(r["trial"], r["flush_seq"]) for r in attribute_flush_events(events, windows).collect()} == want
+    half = attribute_requests(events, windows, closed=False)
     assert half.where("trial = 't1'").count() == 1
 
 
@@ -171,3 +170,38 @@ def test_bad_times_are_null(spark):
     df = spark.createDataFrame([("2026-05-02T10:00:00.1Z",), ("2026-05-02T12:00:00+02:00",), ("yesterday",), (None,)], "timestamp string")
     us = [r["us"] for r in parse_event_time(df).collect()]
     assert us[0] - us[1] == 100_000 and us[2] is None and us[3] is None
+
+
+def test_short_windows_meet_few_requests(spark):
+    """An hour with a request a second and as many windows of 0.3 s."""
+    from tracefp.operators import attribution
+
+    windows = spark.range(3600).select(F.lit("a").alias("agent"), F.concat(F.lit("t"), "id").alias("trial"),
+                                       (F.col("id") * 1_000_000 - 100_000).alias("s_us"), (F.col("id") * 1_000_000 + 200_000).alias("e_us"))
+    requests = spark.range(3600).select("id", (F.col("id") * 1_000_000).alias("us"), F.lit("").alias("agent"), F.lit("").alias("trial"))
+    out = attribute_requests(requests, windows)
+    assert out.count() == 3600 and out.where(F.concat(F.lit("t"), "id") != F.col("trial")).count() == 0
+    w = attribution._spread(windows)
+    asked = requests.drop("agent", "trial").withColumn("_size", F.explode(attribution._levels(w))).withColumn(
+        "_bucket", attribution._bucket(F.col("us"), F.col("_size")))
+    assert asked.count() == 3600 and asked.join(w, ["_size", "_bucket"]).count() <= 2 * 3600 + 3600
+
+
+def test_windows_of_all_lengths(spark):
+    spans = [(0, 0), (5, 4), (-7, 9), (0, 1 << 40), (100, 101), (3, 1000), (999, 1000)]
+    windows = spark.createDataFrame([("a", f"t{n}", s, e) for n, (s, e) in enumerate(spans)], "agent string, trial string, s_us long, e_us long")
+    times = [-8, -7, 0, 3, 4, 5, 100, 999, 1000, 1001, 1 << 39, (1 << 40) + 1]
+    requests = spark.createDataFrame([("", "", t) for t in times], "agent string, trial string, us long")
+    for closed in (True, False):
+        got = sorted((r.trial, r.us) for r in attribute_requests(requests, windows, closed).collect())
+        assert got == sorted((f"t{n}", t) for n, (s, e) in enumerate(spans) for t in times if s <= t and (t <= e if closed else t < e) and s <= e)
+    assert attribute_requests(requests, windows.limit(0)).count() == 0
+
+
+def test_request_log_reads_only_what_is_asked_for(spark, tmp_path):
+    path = str(tmp_path / "log.jsonl")
+    write(path, ['{"id": "1", "http": {"method": "GET", "path": "/a", "query": "q"}}', "broken"])
+    df = read_requests(spark, path).select("http.method")
+    assert [r.method for r in df.collect()] == ["GET"]
+    schema = df._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split("\n")[0]
+    assert "http:" in schema and "tls" not in schema and "source_ip" not in schema

@@ -287,14 +287,14 @@ def ja4_fields(spark, d):
 @query
 def h2_fingerprint_fields(spark, d):
     out = ff.h2_fingerprint_fields(req(spark, d))
-    return out.select("id", *[c for c in out.columns if c.startswith("fp_")])
+    return out.select("id", *[c for c in out.columns if c.startswith("ak_")])
 
 
 @query
 def sequence_features(spark, d):
     return ff.sequence_features(req(spark, d)).select("id", *[
         f"{n}_{p}" for n in ("cipher", "curve", "sig")
-        for p in ("count", "has_grease", "grease_pos", "seq", "names")], "has_pq_crypto")
+        for p in ("count", "has_grease", "grease_pos", "seq_str", "no_grease_str")], "has_pq_crypto")
 
 
 @query
@@ -306,7 +306,7 @@ def alpn_features(spark, d):
 @query
 def tls_version_features(spark, d):
     out = ff.tls_version_features(req(spark, d))
-    return out.select("id", *[c for c in out.columns if c.startswith("ver_")])
+    return out.select("id", *[c for c in out.columns if c.startswith("supported_ver_")])
 
 
 @query
@@ -323,7 +323,7 @@ def stream_weight(spark, d):
 
 @query
 def pseudo_order_code(spark, d):
-    return fps(spark, d).select("id", ff.pseudo_order_code(F.col("fp_order")).alias("order_code"))
+    return fps(spark, d).select("id", ff.pseudo_order_code(F.col("ak_pseudo_order")).alias("order_code"))
 
 
 @query
@@ -837,17 +837,20 @@ def model_tables(spark, d):
 
 @query
 def encode_live_features(spark, d):
-    """Encoders fitted on half of the trials, applied to the other half."""
+    """Encoders and medians fitted on the even trials, applied to all of them, in long form."""
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
     h = model.prepare(materialize(http.http_trial_features(hdr_clean(spark, d)), "http-features"))
-    half = F.pmod(F.xxhash64("trial"), F.lit(2))
-    seen, live = model.usable(h.where(half == 0)), h.where(half == 1)
+    seen = model.usable(h.where(F.substring("trial", 7, 20).cast("long") % 2 == 0))
     fitted = Pipeline(stages=model.feature_stages(seen)).fit(seen)
-    return fitted.transform(live).select(*K, F.size(vector_to_array("features")).alias("n_features"),
-                                         F.round(F.aggregate(vector_to_array("features"), F.lit(0.0),
-                                                             lambda a, v: a + v), 6).alias("checksum"))
+    out = fitted.transform(h)
+    names = [s.vocabulary for s in fitted.stages if hasattr(s, "vocabulary")]
+    bits = [vector_to_array("_names")[i].alias(f"{model.NAME_PREFIX}_{n}") for i, n in enumerate(names[0] if names else [])]
+    full = [c for c in out.columns if c.endswith("_full")]
+    out = out.select(*K, *[F.col(f"{c}_code").alias(c) for c in model.CATEGORICAL], *[F.col(c).alias(c.removesuffix("_full")) for c in full], *bits)
+    return out.select(*K, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.col(f"`{c}`").cast("double"), 6).alias("value"))
+                                             for c in out.columns if c not in K])))
 
 
 @query

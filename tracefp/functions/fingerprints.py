@@ -69,13 +69,13 @@ def h2_fingerprint_fields(df: DataFrame, source: str = "h2_fp") -> DataFrame:
         return found.try_cast("bigint")
 
     return df.select(
-        "*", settings.alias("fp_settings"),
-        F.when(ok & window.rlike("^[0-9]+$"), window.try_cast("bigint")).alias("fp_window"),
-        priority.alias("fp_priority"), F.when(ok, F.get(parts, 3)).alias("fp_order"),
-        F.when(priority != "", F.size(F.split(priority, ","))).alias("fp_depth"),
+        "*", settings.alias("ak_settings_str"),
+        F.when(ok & window.rlike("^[0-9]+$"), window.try_cast("bigint")).alias("ak_window_update"),
+        priority.alias("ak_priority_str"), F.when(ok, F.get(parts, 3)).alias("ak_pseudo_order"),
+        F.when(priority != "", F.size(F.split(priority, ","))).alias("ak_stream_count"),
         *[setting(i).alias(n) for i, n in enumerate(
-            ("fp_header_table", "fp_enable_push", "fp_max_streams", "fp_init_window",
-             "fp_max_frame", "fp_max_header_list"), start=1)])
+            ("ak_header_table", "ak_enable_push", "ak_max_concurrent", "ak_init_window",
+             "ak_max_frame", "ak_max_header_list"), start=1)])
 
 
 def sequence_columns(seq: str, name: str, names: Mapping[int, str]) -> list[Column]:
@@ -85,8 +85,8 @@ def sequence_columns(seq: str, name: str, names: Mapping[int, str]) -> list[Colu
     return [F.size(without_grease(seq)).alias(f"{name}_count"),
             has_grease(seq).alias(f"{name}_has_grease"),
             grease_position(seq).alias(f"{name}_grease_pos"),
-            F.array_join(F.col(seq).cast("array<string>"), ",").alias(f"{name}_seq"),
-            F.array_join(labels, "_").alias(f"{name}_names")]
+            F.array_join(F.col(seq).cast("array<string>"), ",").alias(f"{name}_seq_str"),
+            F.array_join(labels, "_").alias(f"{name}_no_grease_str")]
 
 
 def sequence_features(df: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def alpn_features(df: DataFrame) -> DataFrame:
               .when(first == "http/1.1", "http11_first")
               .when(n == 0, "none").otherwise("other"))
     return df.select(
-        "*", F.array_join(alpn, ",").alias("alpn_offered"), first.alias("alpn_first"),
+        "*", F.array_join(alpn, ",").alias("alpn_offered_str"), first.alias("alpn_first"),
         n.alias("alpn_count"), F.array_contains(alpn, "h2").alias("alpn_has_h2"),
         F.array_contains(alpn, "http/1.1").alias("alpn_has_http11"),
         (F.nullif(place, F.lit(0)) - 1).cast("int").alias("alpn_h2_position"),
@@ -121,17 +121,17 @@ def tls_version_features(df: DataFrame) -> DataFrame:
     profile = F.array_join(F.transform(names, lambda n: F.replace(n, F.lit(" "), F.lit(""))), "+")
     at13, at12 = F.array_position(real, 772), F.array_position(real, 771)
     return df.select(
-        "*", F.array_join(F.col("versions").cast("array<string>"), ",").alias("ver_seq"),
-        F.array_join(names, ",").alias("ver_names"), F.size(real).alias("ver_count"),
-        has_grease("versions").alias("ver_has_grease"),
-        grease_position("versions").alias("ver_grease_pos"),
-        (at13 > 0).alias("ver_has_tls13"), (at12 > 0).alias("ver_has_tls12"),
-        F.array_contains(real, 770).alias("ver_has_tls11"),
-        F.when(profile == "", "none").otherwise(profile).alias("ver_profile"),
-        F.when((at13 > 0) & (at12 > 0), at13 < at12).alias("ver_13_before_12"))
+        "*", F.array_join(F.col("versions").cast("array<string>"), ",").alias("supported_ver_str"),
+        F.array_join(names, ",").alias("supported_ver_names"), F.size(real).alias("supported_ver_count"),
+        has_grease("versions").alias("supported_ver_has_grease"),
+        grease_position("versions").alias("supported_ver_grease_pos"),
+        (at13 > 0).alias("supported_ver_has_tls13"), (at12 > 0).alias("supported_ver_has_tls12"),
+        F.array_contains(real, 770).alias("supported_ver_has_tls11"),
+        F.when(profile == "", "none").otherwise(profile).alias("supported_ver_profile"),
+        F.when((at13 > 0) & (at12 > 0), at13 < at12).alias("supported_ver_13_before_12"))
 
 
-def stream_weight(stream: int, source: str = "fp_priority") -> Column:
+def stream_weight(stream: int, source: str = "ak_priority_str") -> Column:
     """Priority weight given to one HTTP/2 stream, null when it is not listed."""
     found = F.regexp_extract(F.col(source), rf"(?:^|,)0*{int(stream)}:\d+:\d+:(\d+)", 1)
     return found.try_cast("double")
@@ -147,19 +147,19 @@ def tls_signals(df: DataFrame) -> DataFrame:
         return F.coalesce(condition, F.lit(False)).cast("int")
 
     signals = {
-        "has_kyber768": F.col("curve_names").contains("Kyber768"),
-        "has_mlkem768": F.col("curve_names").contains("MLKEM"),
+        "has_kyber768": F.col("curve_no_grease_str").contains("Kyber768"),
+        "has_mlkem768": F.col("curve_no_grease_str").contains("MLKEM"),
         "is_firefox_ja4": F.col("ja4_a").startswith("t13d2812"),
         "is_h2": F.col("negotiated_proto") == "h2",
         "has_pq": F.col("has_pq_crypto"),
-        "win_is_firefox": F.col("fp_window") > 1_000_000_000,
+        "win_is_firefox": F.col("ak_window_update") > 1_000_000_000,
         "is_ext16": F.col("ja4_ext_count") == 16,
         "is_ext17": F.col("ja4_ext_count") == 17,
         "is_ext12": F.col("ja4_ext_count") == 12,
         "is_cipher28": F.col("ja4_cipher_count") == 28,
         "grease_cipher": F.col("cipher_has_grease"),
         "grease_curve": F.col("curve_has_grease"),
-        "grease_ver": F.col("ver_has_grease"),
+        "grease_ver": F.col("supported_ver_has_grease"),
     }
     return df.select("*", *[bit(c).alias(n) for n, c in signals.items()],
                      stream_weight(3).alias("s3_weight"), stream_weight(5).alias("s5_weight"))

@@ -112,7 +112,7 @@ def sec_fetch_consistency(df: DataFrame) -> DataFrame:
         "sf_user_correct": F.when(needs_user, user == "?1").when(~needs_user, user == "")
         .otherwise(True),
         "sf_nav_has_user": (mode != "navigate") | (user == "?1"),
-        "sf_no_user_off_nav": (mode == "navigate") | (user == ""),
+        "sf_no_user_on_non_nav": (mode == "navigate") | (user == ""),
         "sf_cors_dest_empty": ~((mode == "cors") & (F.col("req_type") == "fetch_xhr"))
         | (dest == "empty"),
     }

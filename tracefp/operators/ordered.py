@@ -180,8 +180,13 @@ def ordered_columns(df: DataFrame, *specs: _Spec, keys: Sequence[str] = TRIAL_KE
     inner = base.select("*", *[s.local(keys, order) for s in specs])
     carry = (base.groupBy(*keys, _SLICE).agg(*[s.summary(order) for s in specs])
              .select(*keys, _SLICE, *[s.carried(keys) for s in specs]))
-    return (inner.join(carry, [*keys, _SLICE], "left")
+    # null keys and times have slices of their own, which meet as any others
+    met, same = {c: f"_carry_{c}" for c in (*keys, _SLICE)}, F.lit(True)
+    for c, other in met.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    return (inner.join(carry.withColumnsRenamed(met), same, "left")
             .select("*", *[s.merged() for s in specs])
+            .drop(*met.values())
             .drop(_SLICE, *[s.here for s in specs], *[s.carry for s in specs]))
 
 

@@ -160,12 +160,12 @@ def mouse_path_length(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame
 
 def priority_depth_growth(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
     """Whether the HTTP/2 priority depth never falls inside a trial, with its range."""
-    rows = df.where(F.col("fp_depth").isNotNull()).select(*keys, "id", "us", "fp_depth")
-    out = ordered_columns(rows, previous("_prev", F.col("fp_depth")), keys=keys, slice_us=slice_us)
+    rows = df.where(F.col("ak_stream_count").isNotNull()).select(*keys, "id", "us", "ak_stream_count")
+    out = ordered_columns(rows, previous("_prev", F.col("ak_stream_count")), keys=keys, slice_us=slice_us)
     return out.groupBy(*keys).agg(
-        F.countDistinct("fp_depth").alias("n_unique"),
-        F.bool_and(F.coalesce(F.col("fp_depth") >= F.col("_prev"), F.lit(True))).alias("stable"),
-        F.min("fp_depth").alias("min_depth"), F.max("fp_depth").alias("max_depth"))
+        F.countDistinct("ak_stream_count").alias("n_unique"),
+        F.bool_and(F.coalesce(F.col("ak_stream_count") >= F.col("_prev"), F.lit(True))).alias("stable"),
+        F.min("ak_stream_count").alias("min_depth"), F.max("ak_stream_count").alias("max_depth"))
 
 
 def trial_ordinal(trials: DataFrame, prefix_length: int = 9) -> DataFrame:

@@ -8,6 +8,7 @@ _LISTS = """
  list_filter(string_split(header_csv, ','), lambda v: v <> '') AS header_names,
  list_transform(list_filter(string_split(cipher_csv, ','), lambda v: v <> ''), lambda v: CAST(v AS INTEGER)) AS ciphers,
  list_transform(list_filter(string_split(curve_csv, ','), lambda v: v <> ''), lambda v: CAST(v AS INTEGER)) AS curves,
+ list_transform(list_filter(string_split(sig_csv, ','), lambda v: v <> ''), lambda v: CAST(v AS INTEGER)) AS sigs,
  list_transform(list_filter(string_split(version_csv, ','), lambda v: v <> ''), lambda v: CAST(v AS INTEGER)) AS versions,
  list_filter(string_split(alpn_csv, ','), lambda v: v <> '') AS alpn"""
 

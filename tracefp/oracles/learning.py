@@ -69,6 +69,12 @@ PT = {"pt": "SELECT *, 't' || CAST(id % 3 AS VARCHAR) AS tbl, fold AS n_req FROM
 
 _TL = [c for c in web.TLS_COLS]
 
+_EVEN = "CAST(substr(trial, 7) AS BIGINT) % 2 = 0"
+# numeric header features as the encoders get them: absent priorities are zero, the version is a number
+_LIVE = [(c, f"coalesce(CAST({c} AS DOUBLE), 0)" if c in ("priority_correct_rate", "priority_urgency_mode")
+          else f"TRY_CAST({c} AS DOUBLE)") for c in (*web.HTTP_DOUBLE, *web.HTTP_OTHER)
+         if c not in ("sf_site_mode", "ua_family_mode", "ua_os_mode", "nonstandard_names")]
+
 SQL = {
     "behaviour_trial_features": query(
         f"SELECT {K}, {', '.join(_BEH_INT)}, {', '.join(r6(c, c) for c in _BEH_DBL)} FROM behf", "ix", extra=BEH),
@@ -94,6 +100,15 @@ SQL = {
         f"SELECT {K}, " + ", ".join(f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'unknown')) - 1 AS INT) AS {c}"
                                     for c in ("sf_site_mode", "ua_family_mode", "ua_os_mode")) + " FROM htf", "typed",
         extra={**web.HCLEAN, **web.http_features()}),
+    "encode_live_features": query(
+        " UNION ALL ".join(
+            f"""SELECT {K}, '{c}' AS feature, CAST(coalesce((SELECT count(*) FROM (SELECT DISTINCT coalesce({c}, 'unknown') AS v FROM htf WHERE
+            {_EVEN}) seen WHERE v < coalesce(htf.{c}, 'unknown') OR coalesce(htf.{c}, 'unknown') NOT IN (SELECT coalesce({c}, 'unknown') FROM htf WHERE
+            {_EVEN})), 0) AS DOUBLE) AS value FROM htf""" for c in ("sf_site_mode", "ua_family_mode", "ua_os_mode"))
+        + "".join(f" UNION ALL SELECT {K}, 'ns_hdr_{n}', CAST(list_contains(string_split(nonstandard_names, '|'), '{n}') AS DOUBLE) FROM htf"
+                  for n in ("X-Request-Id", "X-Trace"))
+        + "".join(f" UNION ALL SELECT {K}, '{c}', round(coalesce({v}, (SELECT quantile_cont({v}, 0.5) FROM htf WHERE {_EVEN})), 6) FROM htf"
+                  for c, v in _LIVE), "typed", extra={**web.HCLEAN, **web.http_features()}),
     "structural_zero": query(
         f"SELECT {K}, " + ", ".join(r6(f"coalesce({c}, 0)", c) for c in ("priority_correct_rate", "priority_urgency_mode"))
         + " FROM htf", "typed", extra={**web.HCLEAN, **web.http_features()}),

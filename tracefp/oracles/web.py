@@ -42,7 +42,7 @@ H1 = """SELECT u.*, rm IS NOT NULL AS sf_known_combo,
  rm IS NULL OR sf_site = '' OR list_contains(rsites, sf_site) AS sf_site_valid,
  CASE WHEN rm IS NULL THEN true WHEN ruser THEN sf_user = '?1' ELSE sf_user = '' END AS sf_user_correct,
  sf_mode <> 'navigate' OR sf_user = '?1' AS sf_nav_has_user,
- sf_mode = 'navigate' OR sf_user = '' AS sf_no_user_off_nav,
+ sf_mode = 'navigate' OR sf_user = '' AS sf_no_user_on_non_nav,
  NOT (sf_mode = 'cors' AND req_type = 'fetch_xhr') OR sf_dest = 'empty' AS sf_cors_dest_empty,
  sf_mode || '|' || sf_dest || '|' || sf_site AS sf_combo,
  len(list_filter(bn, lambda b: b LIKE '%headless%')) > 0 AS ch_is_headless, len(bn) AS ch_brand_count,
@@ -63,7 +63,7 @@ H1 = """SELECT u.*, rm IS NOT NULL AS sf_known_combo,
  len(odd) AS n_nonstandard_headers, """ + ", ".join(
     f"list_contains(header_names, '{h}') AS {presence_name(h)}" for h in s.TRACKED_HEADERS) + """
  FROM uas u LEFT JOIN rules ON rm = sf_mode AND rd = sf_dest"""
-H2 = """SELECT *, NOT (sf_known_combo AND sf_site_valid AND sf_user_correct AND sf_nav_has_user AND sf_no_user_off_nav
+H2 = """SELECT *, NOT (sf_known_combo AND sf_site_valid AND sf_user_correct AND sf_nav_has_user AND sf_no_user_on_non_nav
  AND sf_cors_dest_empty) AS sf_any_violation, NOT (ch_brand_matches_ua AND ch_version_near_ua AND ch_mobile_matches_ua
  AND ch_platform_matches_ua) AS ch_any_incoherence FROM h1"""
 HDR = {"uas": UA, "rules": RULES, "h1": H1, "hdr": H2}
@@ -79,8 +79,8 @@ def _seq(col: str, name: str, table: dict) -> str:
     named = f"list_transform({ng}, lambda v: {_case('v', table, 'CAST(v AS VARCHAR)')})"
     return (f"len({ng}) AS {name}_count, len(list_filter({col}, lambda v: {_grease('v')})) > 0 AS {name}_has_grease, "
             f"CAST(nullif(list_position(list_transform({col}, lambda v: {_grease('v')}), true), 0) - 1 AS INTEGER) "
-            f"AS {name}_grease_pos, array_to_string({col}, ',') AS {name}_seq, "
-            f"array_to_string({named}, '_') AS {name}_names")
+            f"AS {name}_grease_pos, array_to_string({col}, ',') AS {name}_seq_str, "
+            f"array_to_string({named}, '_') AS {name}_no_grease_str")
 
 
 def _setting(n: int, name: str) -> str:
@@ -90,7 +90,7 @@ def _setting(n: int, name: str) -> str:
 
 FP1 = f"""SELECT *, string_split(ja4, '_') AS jp, string_split(h2_fp, '|') AS fps,
  {_seq('ciphers', 'cipher', s.CIPHER_NAMES)}, {_seq('curves', 'curve', s.CURVE_NAMES)},
- 0 AS sig_count, false AS sig_has_grease, CAST(NULL AS INTEGER) AS sig_grease_pos, '' AS sig_seq, '' AS sig_names,
+ {_seq('sigs', 'sig', s.SIGNATURE_NAMES)},
  len(list_filter(curves, lambda v: v IN (25497, 4588))) > 0 AS has_pq_crypto,
  list_filter(versions, lambda v: NOT {_grease('v')}) AS vr FROM req"""
 FP2 = f"""SELECT *, CASE WHEN len(jp) = 3 THEN jp[1] END AS ja4_a, CASE WHEN len(jp) = 3 THEN jp[2] END AS ja4_b,
@@ -101,42 +101,42 @@ FP2 = f"""SELECT *, CASE WHEN len(jp) = 3 THEN jp[1] END AS ja4_a, CASE WHEN len
  CASE WHEN len(jp) = 3 AND length(jp[1]) >= 10 THEN TRY_CAST(substr(jp[1], 5, 2) AS INTEGER) END AS ja4_cipher_count,
  CASE WHEN len(jp) = 3 AND length(jp[1]) >= 10 THEN TRY_CAST(substr(jp[1], 7, 2) AS INTEGER) END AS ja4_ext_count,
  CASE WHEN len(jp) = 3 AND length(jp[1]) >= 10 THEN substr(jp[1], 9, 2) END AS ja4_alpn_code,
- CASE WHEN len(fps) >= 2 THEN fps[1] END AS fp_settings,
- CASE WHEN len(fps) >= 2 AND regexp_matches(fps[2], '^[0-9]+$') THEN CAST(fps[2] AS BIGINT) END AS fp_window,
- CASE WHEN len(fps) >= 2 THEN fps[3] END AS fp_priority, CASE WHEN len(fps) >= 2 THEN fps[4] END AS fp_order,
- {', '.join(_setting(i, n) for i, n in enumerate(('fp_header_table', 'fp_enable_push', 'fp_max_streams',
-  'fp_init_window', 'fp_max_frame', 'fp_max_header_list'), 1))},
- array_to_string(alpn, ',') AS alpn_offered, alpn[1] AS alpn_first, len(alpn) AS alpn_count,
+ CASE WHEN len(fps) >= 2 THEN fps[1] END AS ak_settings_str,
+ CASE WHEN len(fps) >= 2 AND regexp_matches(fps[2], '^[0-9]+$') THEN CAST(fps[2] AS BIGINT) END AS ak_window_update,
+ CASE WHEN len(fps) >= 2 THEN fps[3] END AS ak_priority_str, CASE WHEN len(fps) >= 2 THEN fps[4] END AS ak_pseudo_order,
+ {', '.join(_setting(i, n) for i, n in enumerate(('ak_header_table', 'ak_enable_push', 'ak_max_concurrent',
+  'ak_init_window', 'ak_max_frame', 'ak_max_header_list'), 1))},
+ array_to_string(alpn, ',') AS alpn_offered_str, alpn[1] AS alpn_first, len(alpn) AS alpn_count,
  list_contains(alpn, 'h2') AS alpn_has_h2, list_contains(alpn, 'http/1.1') AS alpn_has_http11,
  CAST(nullif(list_position(alpn, 'h2'), 0) - 1 AS INTEGER) AS alpn_h2_position,
  CASE WHEN alpn = ['h2'] THEN 'h2_only' WHEN alpn[1] = 'h2' THEN 'h2_first' WHEN alpn = ['http/1.1'] THEN 'http11_only'
   WHEN alpn[1] = 'http/1.1' THEN 'http11_first' WHEN len(alpn) = 0 THEN 'none' ELSE 'other' END AS alpn_preference,
- array_to_string(versions, ',') AS ver_seq,
+ array_to_string(versions, ',') AS supported_ver_str,
  list_transform(vr, lambda v: {_case('v', s.VERSION_NAMES, "'0x' || lpad(upper(to_hex(v)), 4, '0')")}) AS vn,
- len(vr) AS ver_count, len(list_filter(versions, lambda v: {_grease('v')})) > 0 AS ver_has_grease,
- CAST(nullif(list_position(list_transform(versions, lambda v: {_grease('v')}), true), 0) - 1 AS INTEGER) AS ver_grease_pos,
- list_contains(vr, 772) AS ver_has_tls13, list_contains(vr, 771) AS ver_has_tls12,
- list_contains(vr, 770) AS ver_has_tls11,
+ len(vr) AS supported_ver_count, len(list_filter(versions, lambda v: {_grease('v')})) > 0 AS supported_ver_has_grease,
+ CAST(nullif(list_position(list_transform(versions, lambda v: {_grease('v')}), true), 0) - 1 AS INTEGER) AS supported_ver_grease_pos,
+ list_contains(vr, 772) AS supported_ver_has_tls13, list_contains(vr, 771) AS supported_ver_has_tls12,
+ list_contains(vr, 770) AS supported_ver_has_tls11,
  CASE WHEN list_contains(vr, 772) AND list_contains(vr, 771) THEN list_position(vr, 772) < list_position(vr, 771) END
-  AS ver_13_before_12 FROM fp1"""
-FP3 = """SELECT *, CASE WHEN fp_priority <> '' THEN len(string_split(fp_priority, ',')) END AS fp_depth,
- array_to_string(vn, ',') AS ver_names,
- CASE WHEN len(vn) = 0 THEN 'none' ELSE array_to_string(list_transform(vn, lambda n: replace(n, ' ', '')), '+') END AS ver_profile,
- (curve_names LIKE '%Kyber768%')::INT AS has_kyber768, (curve_names LIKE '%MLKEM%')::INT AS has_mlkem768,
+  AS supported_ver_13_before_12 FROM fp1"""
+FP3 = """SELECT *, CASE WHEN ak_priority_str <> '' THEN len(string_split(ak_priority_str, ',')) END AS ak_stream_count,
+ array_to_string(vn, ',') AS supported_ver_names,
+ CASE WHEN len(vn) = 0 THEN 'none' ELSE array_to_string(list_transform(vn, lambda n: replace(n, ' ', '')), '+') END AS supported_ver_profile,
+ (curve_no_grease_str LIKE '%Kyber768%')::INT AS has_kyber768, (curve_no_grease_str LIKE '%MLKEM%')::INT AS has_mlkem768,
  coalesce(ja4_a LIKE 't13d2812%', false)::INT AS is_firefox_ja4, (negotiated_proto = 'h2')::INT AS is_h2,
- has_pq_crypto::INT AS has_pq, coalesce(fp_window > 1000000000, false)::INT AS win_is_firefox,
+ has_pq_crypto::INT AS has_pq, coalesce(ak_window_update > 1000000000, false)::INT AS win_is_firefox,
  coalesce(ja4_ext_count = 16, false)::INT AS is_ext16, coalesce(ja4_ext_count = 17, false)::INT AS is_ext17,
  coalesce(ja4_ext_count = 12, false)::INT AS is_ext12, coalesce(ja4_cipher_count = 28, false)::INT AS is_cipher28,
- cipher_has_grease::INT AS grease_cipher, curve_has_grease::INT AS grease_curve, ver_has_grease::INT AS grease_ver,
- CAST(nullif(regexp_extract(fp_priority, '(?:^|,)3:\\d+:\\d+:(\\d+)', 1), '') AS DOUBLE) AS s3_weight,
- CAST(nullif(regexp_extract(fp_priority, '(?:^|,)5:\\d+:\\d+:(\\d+)', 1), '') AS DOUBLE) AS s5_weight, '' AS h2_order
+ cipher_has_grease::INT AS grease_cipher, curve_has_grease::INT AS grease_curve, supported_ver_has_grease::INT AS grease_ver,
+ CAST(nullif(regexp_extract(ak_priority_str, '(?:^|,)3:\\d+:\\d+:(\\d+)', 1), '') AS DOUBLE) AS s3_weight,
+ CAST(nullif(regexp_extract(ak_priority_str, '(?:^|,)5:\\d+:\\d+:(\\d+)', 1), '') AS DOUBLE) AS s5_weight
  FROM fp2"""
 FP = {"fp1": FP1, "fp2": FP2, "fp": FP3}
 FCLEAN = {**FP, "fc": "SELECT * FROM fp WHERE NOT (method = 'POST' AND path = '/collect')"}
 
 NUMERIC = {"n_headers", "ch_brand_count", "priority_urgency", "ja4_cipher_count", "ja4_ext_count", "cipher_count",
-           "curve_count", "sig_count", "alpn_count", "alpn_h2_position", "ver_count", "fp_window", "fp_header_table",
-           "fp_enable_push", "fp_init_window", "fp_max_header_list", "fp_depth"}
+           "curve_count", "sig_count", "alpn_count", "alpn_h2_position", "supported_ver_count", "ak_window_update", "ak_header_table",
+           "ak_enable_push", "ak_init_window", "ak_max_header_list", "ak_stream_count"}
 
 
 def long_sql(src: str, fields, keys: str = K) -> str:
@@ -168,14 +168,12 @@ def _modals(src: str, base: dict, fields, keys: str = K) -> dict[str, str]:
     return {**base, "lng": long_sql(src, fields, keys), "modals": modal_sql("lng", keys)}
 
 
-HFIELDS = [f for f in http.HEADER_STABILITY_FIELDS if f not in ("accept", "accept_encoding", "upgrade_insecure")]
-TFIELDS = [f for f in tls.CONSISTENCY_FIELDS if f != "tls_version"]
-VFIELDS = [f for f in tls.VECTOR_FIELDS if f not in ("tls_version", "sni_present")]
-BOOL = {"sf_known_combo", "sf_any_violation", "ch_is_headless", "ch_brand_matches_ua", "ch_mobile_matches_ua",
+HFIELDS, TFIELDS, VFIELDS = s.HEADER_STABILITY_FIELDS, s.CONSISTENCY_FIELDS, s.VECTOR_FIELDS
+BOOL = {"sni_present", "sf_known_combo", "sf_any_violation", "ch_is_headless", "ch_brand_matches_ua", "ch_mobile_matches_ua",
         "ch_platform_matches_ua", "ch_any_incoherence", "priority_incr", "priority_expected", "has_priority",
         "has_sec_ch_ua", "has_sec_fetch_mode", "has_upgrade_insecure_requests", "cipher_has_grease",
-        "curve_has_grease", "has_pq_crypto", "alpn_has_h2", "alpn_has_http11", "ver_has_tls13", "ver_has_tls12",
-        "ver_has_tls11", "ver_has_grease", "ver_13_before_12"}
+        "curve_has_grease", "has_pq_crypto", "alpn_has_h2", "alpn_has_http11", "supported_ver_has_tls13", "supported_ver_has_tls12",
+        "supported_ver_has_tls11", "supported_ver_has_grease", "supported_ver_13_before_12"}
 
 
 def _pick(f: str, what: str = "modal") -> str:
@@ -241,11 +239,11 @@ def tls_features(source: str = "fc", keys: str = K) -> dict[str, str]:
 
     code = _case("{}", s.PSEUDO_ORDER_CODES, "-1")
     return {
-        "tl": long_sql(source, ["h2_order", "fp_order"], keys), "tm": modal_sql("tl", keys),
-        "tp": f"SELECT {keys}, {_pick('h2_order')} AS ho, {_pick('fp_order')} AS fo FROM tm GROUP BY {keys}",
+        "tl": long_sql(source, ["h2_order", "ak_pseudo_order"], keys), "tm": modal_sql("tl", keys),
+        "tp": f"SELECT {keys}, {_pick('h2_order')} AS ho, {_pick('ak_pseudo_order')} AS fo FROM tm GROUP BY {keys}",
         "tb": f"""SELECT {keys}, avg(has_kyber768) AS f1_frac_kyber768, avg(has_mlkem768) AS f1_frac_mlkem768,
  avg(is_firefox_ja4) AS f2_frac_firefox_ja4, avg(is_h2) AS f2_frac_h2, avg(has_pq) AS f2_frac_pq,
- avg(fp_window) AS f3_mean_ak_window, avg(win_is_firefox) AS f3_frac_win_firefox, avg(fp_init_window) AS f3_mean_init_window,
+ avg(ak_window_update) AS f3_mean_ak_window, avg(win_is_firefox) AS f3_frac_win_firefox, avg(ak_init_window) AS f3_mean_init_window,
  {eq('s3_weight', 110)} AS f4_frac_s3_w110, {eq('s3_weight', 220)} AS f4_frac_s3_w220,
  {eq('s5_weight', 110)} AS f5_frac_s5_w110, {eq('s5_weight', 220)} AS f5_frac_s5_w220,
  {eq('s5_weight', 256)} AS f5_frac_s5_w256, count(s3_weight) / count(*) AS f6_stream3_coverage,
@@ -324,9 +322,9 @@ _CL = " UNION ALL ".join(
     f"WHERE trim(CAST({c} AS VARCHAR)) <> ''" for c in http.COMPARED_MODES)
 
 _TLSCMP = {
-    **FCLEAN, "h2r": "SELECT *, CASE WHEN fp_priority LIKE '%5:1:%' THEN nullif(regexp_extract(fp_priority, "
+    **FCLEAN, "h2r": "SELECT *, CASE WHEN ak_priority_str LIKE '%5:1:%' THEN nullif(regexp_extract(ak_priority_str, "
                      "'5:1:\\d+:(\\d+)', 1), '') END AS s5_top FROM fc WHERE negotiated_proto = 'h2'",
-    "cl": long_sql("h2r", ["ja4_ext_count", "ja4_c", "fp_window", "fp_order", "s5_top"], "agent"),
+    "cl": long_sql("h2r", ["ja4_ext_count", "ja4_c", "ak_window_update", "ak_pseudo_order", "s5_top"], "agent"),
     "cmm": modal_sql("cl", "agent"),
     "vals": """SELECT agent, 'source_ips' AS metric, CAST(count(DISTINCT source_ip) AS VARCHAR) AS value FROM fc GROUP BY agent
  UNION ALL SELECT agent, 'h2_rows', CAST(count(*) AS VARCHAR) FROM h2r GROUP BY agent
@@ -381,7 +379,7 @@ SQL = {
     "client_hint_coherence": query("SELECT id, ch_is_headless, ch_brand_matches_ua, ch_version_near_ua, ch_mobile_matches_ua, "
                                    "ch_platform_matches_ua, ch_any_incoherence FROM hdr", "typed", extra=HDR),
     "sec_fetch_consistency": query("SELECT id, sf_known_combo, sf_site_valid, sf_user_correct, sf_nav_has_user, "
-                                   "sf_no_user_off_nav, sf_cors_dest_empty, sf_any_violation FROM hdr", "typed", extra=HDR),
+                                   "sf_no_user_on_non_nav, sf_cors_dest_empty, sf_any_violation FROM hdr", "typed", extra=HDR),
     "priority_features": query("SELECT id, p AS priority_raw, priority_urgency, priority_incr, priority_expected FROM hdr",
                                "typed", extra=HDR),
     "header_order": query("SELECT id, header_order, header_order_hash, n_headers FROM hdr", "typed", extra=HDR),
@@ -391,20 +389,20 @@ SQL = {
                                  "typed", extra=HDR),
     "ja4_fields": query("SELECT id, ja4_a, ja4_b, ja4_c, ja4_protocol, ja4_version, ja4_sni, ja4_cipher_count, "
                         "ja4_ext_count, ja4_alpn_code FROM fp", "req", extra=FP),
-    "h2_fingerprint_fields": query("SELECT id, fp_settings, fp_window, fp_priority, fp_order, fp_depth, fp_header_table, "
-                                   "fp_enable_push, fp_max_streams, fp_init_window, fp_max_frame, fp_max_header_list FROM fp",
+    "h2_fingerprint_fields": query("SELECT id, ak_settings_str, ak_window_update, ak_priority_str, ak_pseudo_order, ak_stream_count, ak_header_table, "
+                                   "ak_enable_push, ak_max_concurrent, ak_init_window, ak_max_frame, ak_max_header_list FROM fp",
                                    "req", extra=FP),
     "sequence_features": query("SELECT id, " + ", ".join(f"{n}_{p}" for n in ("cipher", "curve", "sig")
-                               for p in ("count", "has_grease", "grease_pos", "seq", "names"))
+                               for p in ("count", "has_grease", "grease_pos", "seq_str", "no_grease_str"))
                                + ", has_pq_crypto FROM fp", "req", extra=FP),
-    "alpn_features": query("SELECT id, alpn_offered, alpn_first, alpn_count, alpn_has_h2, alpn_has_http11, alpn_h2_position, "
+    "alpn_features": query("SELECT id, alpn_offered_str, alpn_first, alpn_count, alpn_has_h2, alpn_has_http11, alpn_h2_position, "
                            "alpn_preference FROM fp", "req", extra=FP),
-    "tls_version_features": query("SELECT id, ver_seq, ver_names, ver_count, ver_has_grease, ver_grease_pos, ver_has_tls13, "
-                                  "ver_has_tls12, ver_has_tls11, ver_profile, ver_13_before_12 FROM fp", "req", extra=FP),
+    "tls_version_features": query("SELECT id, supported_ver_str, supported_ver_names, supported_ver_count, supported_ver_has_grease, supported_ver_grease_pos, supported_ver_has_tls13, "
+                                  "supported_ver_has_tls12, supported_ver_has_tls11, supported_ver_profile, supported_ver_13_before_12 FROM fp", "req", extra=FP),
     "tls_signals": query("SELECT id, has_kyber768, has_mlkem768, is_firefox_ja4, is_h2, has_pq, win_is_firefox, is_ext16, "
                          "is_ext17, is_ext12, is_cipher28, grease_cipher, grease_curve, grease_ver FROM fp", "req", extra=FP),
     "stream_weight": query("SELECT id, s3_weight, s5_weight FROM fp", "req", extra=FP),
-    "pseudo_order_code": query(f"SELECT id, {_case('fp_order', s.PSEUDO_ORDER_CODES, '-1')} AS order_code FROM fp", "req", extra=FP),
+    "pseudo_order_code": query(f"SELECT id, {_case('ak_pseudo_order', s.PSEUDO_ORDER_CODES, '-1')} AS order_code FROM fp", "req", extra=FP),
     "header_order_profile": query(
         f"""SELECT {K}, req_type, total AS n_requests, n_distinct AS n_distinct_orders, modal AS modal_order,
         substr(sha256(modal), 1, 16) AS modal_order_hash, {r6('modal_n / total', 'order_stability')} FROM modals""", "typed",
@@ -458,16 +456,16 @@ SQL = {
         "FROM stab", "typed", extra={**_modals("hdr", HDR, HFIELDS), **stability_sql()}),
     "field_stability_tls": query(
         f"SELECT field, n_distinct, modal_value, {r6('stability', 'stability')}, {r6('entropy', 'entropy')}, entropy > 0.1 AS discriminative "
-        "FROM stab", "req", extra={**_modals("fp", FP, [*TFIELDS, "fp_depth"]), **stability_sql()}),
+        "FROM stab", "req", extra={**_modals("fp", FP, [*TFIELDS, "ak_stream_count"]), **stability_sql()}),
     "rank_fields": query(
         f"SELECT field, {r6('entropy', 'entropy')} FROM stab WHERE entropy > 1e-9 AND stability < 1 ORDER BY round(entropy, 9) DESC, field LIMIT 12",
-        "req", extra={**_modals("fp", FP, [*TFIELDS, "fp_depth"]), **stability_sql()}),
+        "req", extra={**_modals("fp", FP, [*TFIELDS, "ak_stream_count"]), **stability_sql()}),
     "fingerprint_vector": query(_vector(VFIELDS), "req", extra=_modals("fp", FP, VFIELDS)),
     "header_vector": query(_vector(HFIELDS), "typed", extra=_modals("hdr", HDR, HFIELDS)),
     "priority_depth_growth": query(
-        f"""SELECT {K}, count(DISTINCT fp_depth) AS n_unique, bool_and(coalesce(fp_depth >= pv, true)) AS stable, min(fp_depth) AS min_depth,
-        max(fp_depth) AS max_depth FROM (SELECT *, lag(fp_depth) OVER (PARTITION BY {K} ORDER BY us, id) AS pv FROM fp
-        WHERE fp_depth IS NOT NULL) GROUP BY {K}""", "req", extra=FP),
+        f"""SELECT {K}, count(DISTINCT ak_stream_count) AS n_unique, bool_and(coalesce(ak_stream_count >= pv, true)) AS stable, min(ak_stream_count) AS min_depth,
+        max(ak_stream_count) AS max_depth FROM (SELECT *, lag(ak_stream_count) OVER (PARTITION BY {K} ORDER BY us, id) AS pv FROM fp
+        WHERE ak_stream_count IS NOT NULL) GROUP BY {K}""", "req", extra=FP),
     "tls_trial_features": query(f"SELECT {K}, {_tls_out()} FROM ttf", "req", extra={**FCLEAN, **tls_features()}),
     "feature_metadata": query(
         " UNION ALL ".join(
@@ -479,7 +477,7 @@ SQL = {
         " UNION ALL ".join(
             f"SELECT agent, '{f}' AS flag, count_if({f}) AS n_true, count_if(NOT {f}) AS n_false, CASE WHEN count_if({f}) > 0 AND "
             f"count_if(NOT {f}) = 0 THEN 'TRUE_ONLY' WHEN count_if(NOT {f}) > 0 AND count_if({f}) = 0 THEN 'FALSE_ONLY' ELSE 'MIXED' END AS status "
-            "FROM vec GROUP BY agent" for f in tls.CONSENSUS_FLAGS if f != "sni_present"), "req",
+            "FROM vec GROUP BY agent" for f in tls.CONSENSUS_FLAGS), "req",
         extra={**_modals("fp", FP, VFIELDS), "vec": _vector(VFIELDS)}),
     "tls_comparison": query("SELECT agent, metric, value, count(*) OVER (PARTITION BY metric, value) = 1 AS is_unique FROM vals",
                             "req", extra=_TLSCMP),

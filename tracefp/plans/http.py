@@ -10,16 +10,8 @@ from tracefp.functions.requests import (drop_collect_posts, is_page, is_subresou
                                         request_type_session)
 from tracefp.operators.ordered import ordered_columns, previous, running_count
 from tracefp.operators.quantiles import grouped_modes, grouped_quantiles, modal_rows, value_counts
-from tracefp.schema import PRIORITY_ASYNC, PRIORITY_NAVIGATE, TRIAL_KEY
-
-HEADER_STABILITY_FIELDS = [
-    "header_order_hash", "n_headers", "sf_mode", "sf_dest", "sf_site", "sf_combo",
-    "sf_known_combo", "sf_any_violation", "ch_is_headless", "ch_brand_count",
-    "ch_brand_matches_ua", "ch_mobile_matches_ua", "ch_platform_matches_ua",
-    "ch_any_incoherence", "ua_family", "ua_os", "ua_version", "priority_urgency",
-    "priority_incr", "priority_expected", "accept", "accept_encoding", "upgrade_insecure",
-    "has_priority", "has_sec_ch_ua", "has_sec_fetch_mode", "has_upgrade_insecure_requests",
-]
+from tracefp.schema import (HEADER_STABILITY_FIELDS, PRESENCE_CHECKS, PRIORITY_ASYNC, PRIORITY_NAVIGATE,
+                            PROFILE_CATEGORICAL, PROFILE_NUMERIC, TRIAL_KEY)
 
 
 def header_frame(requests: DataFrame) -> DataFrame:
@@ -52,7 +44,7 @@ def consistency_violations(df: DataFrame) -> DataFrame:
 
 
 FETCH_RULE_FLAGS = ["sf_known_combo", "sf_site_valid", "sf_user_correct", "sf_nav_has_user",
-                    "sf_no_user_off_nav", "sf_cors_dest_empty"]
+                    "sf_no_user_on_non_nav", "sf_cors_dest_empty"]
 HINT_FLAGS = ["ch_brand_matches_ua", "ch_version_near_ua", "ch_mobile_matches_ua",
               "ch_platform_matches_ua", "ch_any_incoherence"]
 
@@ -135,17 +127,6 @@ def http_trial_features(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
             .withColumn("n_nonstandard_distinct", F.coalesce("n_nonstandard_distinct", zero)))
 
 
-PROFILE_NUMERIC = [
-    "nav_order_unique_ratio", "nav_order_stability", "n_headers_mean", "sf_site_none_rate",
-    "sf_violation_rate", "headless_rate", "ch_incoherence_rate", "ch_brand_matches_rate",
-    "ch_mobile_matches_rate", "ch_platform_matches_rate", "accept_lang_rate",
-    "has_priority_rate", "has_sec_ch_ua_rate", "has_upgrade_ins_rate", "has_dnt_rate",
-    "has_te_rate", "has_connection_rate", "has_cache_control_rate", "ua_version_n_distinct",
-    "ua_family_n_distinct", "priority_correct_rate", "has_nonstandard_rate",
-    "n_nonstandard_distinct",
-]
-PROFILE_CATEGORICAL = ["ua_family_mode", "ua_os_mode", "ua_version_mode", "sf_site_mode",
-                       "priority_urgency_mode", "ch_brand_count_mode"]
 
 
 def agent_profiles(trials: DataFrame) -> DataFrame:
@@ -257,14 +238,6 @@ def agent_headless_rate(df: DataFrame) -> DataFrame:
     return per_trial.groupBy("agent").agg(F.avg("r").alias("headless_rate"))
 
 
-# feature, column, red when at most, red when above
-PRESENCE_CHECKS = [
-    ("has_accept_language", 50, None), ("has_sec_fetch_user", 50, None),
-    ("has_priority", None, None), ("has_sec_ch_ua", None, None),
-    ("has_sec_fetch_mode", None, None), ("has_upgrade_insecure_requests", None, None),
-    ("has_cache_control", None, 5), ("has_connection", None, 5), ("has_te", None, 5),
-    ("has_dnt", None, None),
-]
 COMPARED_MODES = ["ua_family", "ua_os", "ua_version", "ch_brand_count", "sf_site", "sf_user",
                   "priority_urgency", "priority_incr"]
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import (CountVectorizer, Imputer, IndexToString, StringIndexer,
+from pyspark.ml.feature import (CountVectorizerModel, IndexToString, SQLTransformer, StringIndexer,
                                 VarianceThresholdSelector, VectorAssembler, VectorSizeHint)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -80,13 +80,13 @@ def impute_median(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def name_vocabulary(df: DataFrame, column: str = NAME_LIST, limit: int = MAX_NAMES) -> list[str]:
-    """Distinct names of a pipe-joined column, sorted.
+    """Distinct names of a pipe-joined or array column, sorted.
 
     They become table columns, so a vocabulary beyond the limit is an error,
     never silently cut.
     """
-    names = (df.select(F.explode(F.split(column, r"\|")).alias("name")).where(F.col("name") != "")
-             .distinct().limit(limit + 1).orderBy("name"))
+    parts = F.col(column) if dict(df.dtypes)[column].startswith("array") else F.split(column, r"\|")
+    names = df.select(F.explode(parts).alias("name")).where(F.col("name") != "").distinct().limit(limit + 1).orderBy("name")
     out = [r["name"] for r in names.collect()]
     if len(out) > limit:
         raise ValueError(f"{column} holds more than {limit} names; give a vocabulary")
@@ -160,7 +160,7 @@ NOT_FEATURES = ("agent", "trial", "fold", "n_req", "label")
 
 
 def feature_stages(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> list:
-    """Encoders, exact-zero-safe imputation, assembly and removal of constant features.
+    """Encoders, imputation by exact medians, assembly and removal of constant features.
 
     They are stages of the model, so a fold's encoders and medians are fitted
     on its training rows only, and live rows get the training-time codes.
@@ -178,19 +178,26 @@ def feature_stages(df: DataFrame, exclude: Sequence[str] = NOT_FEATURES) -> list
         stages.append(StringIndexer(inputCols=category, outputCols=[f"{c}_code" for c in category],
                                     stringOrderType="alphabetAsc", handleInvalid="keep"))
         parts += [f"{c}_code" for c in category]
-    if types.get(NAME_LIST) == "array<string>":
-        stages.append(CountVectorizer(inputCol=NAME_LIST, outputCol="_names", binary=True,
-                                      vocabSize=MAX_NAMES, minDF=1.0))
+    if types.get(NAME_LIST) == "array<string>" and (names := name_vocabulary(df)):
+        stages.append(CountVectorizerModel.from_vocabulary(names, inputCol=NAME_LIST, outputCol="_names", binary=True))
         parts.append("_names")
     if numeric:
-        stages.append(Imputer(strategy="median", relativeError=1e-4, inputCols=numeric,
-                              outputCols=[f"{c}_full" for c in numeric]))
+        stages.append(median_stage(df, numeric))
         parts += [f"{c}_full" for c in numeric]
     stages.append(VectorAssembler(inputCols=parts, outputCol="_raw", handleInvalid="keep"))
     stages.append(VarianceThresholdSelector(featuresCol="_raw", outputCol="features", varianceThreshold=0.0))
     return stages
 
 
+def median_stage(df: DataFrame, columns: Sequence[str]) -> SQLTransformer:
+    """<column>_full for each column: missing numbers become the exact median of df's rows,
+    which is kept in the stage, so live rows get the training rows' medians."""
+    known = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    row = column_medians(known, columns).first()
+    full = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), CAST('{row[c]!r}' AS DOUBLE)) AS `{c}_full`" for c in columns)
+    return SQLTransformer(statement=f"SELECT *, {full} FROM __THIS__")
+
+
 def forest(trees: int = 200, depth: int = 12, seed: int = 42):
     return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, maxBins=64)
 

@@ -168,6 +168,59 @@ EVENT_TYPES = [
     "page", "mousemove", "mousedown", "mouseup", "click", "focus", "input",
     "keydown", "scroll", "visibility", "app_event",
 ]
+# Fields expected to hold still within a session.
+CONSISTENCY_FIELDS = [
+    "tls_version", "negotiated_proto", "ja3", "ja4", "ja4_a", "ja4_b", "ja4_c", "ja4_protocol", "ja4_version", "ja4_sni",
+    "ja4_cipher_count", "ja4_ext_count", "ja4_alpn_code", "cipher_count", "cipher_seq_str", "cipher_no_grease_str",
+    "curve_count", "curve_seq_str", "sig_count", "sig_seq_str", "cipher_has_grease", "curve_has_grease", "has_pq_crypto",
+    "alpn_first", "alpn_offered_str", "alpn_count", "alpn_has_h2", "alpn_has_http11", "alpn_preference", "alpn_h2_position",
+    "supported_ver_str", "supported_ver_names", "supported_ver_count", "supported_ver_has_tls13", "supported_ver_has_tls12",
+    "supported_ver_has_tls11", "supported_ver_has_grease", "supported_ver_profile", "supported_ver_13_before_12",
+    "ak_window_update", "ak_pseudo_order", "ak_header_table", "ak_enable_push", "ak_init_window", "ak_max_header_list",
+]
+# Fields of a session's fingerprint vector.
+VECTOR_FIELDS = [
+    "ja4_protocol", "ja4_version", "ja4_sni", "ja4_cipher_count", "ja4_ext_count", "ja4_alpn_code", "ja4_b", "ja4_c",
+    "tls_version", "negotiated_proto", "cipher_count", "cipher_no_grease_str", "curve_count", "curve_no_grease_str",
+    "sig_count", "sig_no_grease_str", "cipher_has_grease", "curve_has_grease", "has_pq_crypto", "alpn_first", "alpn_count",
+    "alpn_preference", "alpn_has_h2", "alpn_has_http11", "alpn_h2_position", "alpn_offered_str", "supported_ver_profile",
+    "supported_ver_count", "supported_ver_has_tls13", "supported_ver_has_tls12", "supported_ver_has_tls11",
+    "supported_ver_has_grease", "supported_ver_13_before_12", "supported_ver_names", "supported_ver_str", "ak_window_update",
+    "ak_pseudo_order", "ak_header_table", "ak_enable_push", "ak_init_window", "ak_max_header_list", "ak_settings_str",
+    "sni_present",
+]
+# Settings and counts compared on one scale.
+SETTING_FIELDS = [
+    "ak_header_table", "ak_enable_push", "ak_init_window", "ak_max_header_list", "ak_window_update", "alpn_count",
+    "alpn_h2_position", "supported_ver_count", "supported_ver_has_tls13", "supported_ver_has_tls12", "supported_ver_has_grease",
+]
+HEADER_STABILITY_FIELDS = [
+    "header_order_hash", "n_headers", "sf_mode", "sf_dest", "sf_site", "sf_combo",
+    "sf_known_combo", "sf_any_violation", "ch_is_headless", "ch_brand_count",
+    "ch_brand_matches_ua", "ch_mobile_matches_ua", "ch_platform_matches_ua",
+    "ch_any_incoherence", "ua_family", "ua_os", "ua_version", "priority_urgency",
+    "priority_incr", "priority_expected", "accept", "accept_encoding", "upgrade_insecure",
+    "has_priority", "has_sec_ch_ua", "has_sec_fetch_mode", "has_upgrade_insecure_requests",
+]
+PROFILE_NUMERIC = [
+    "nav_order_unique_ratio", "nav_order_stability", "n_headers_mean", "sf_site_none_rate",
+    "sf_violation_rate", "headless_rate", "ch_incoherence_rate", "ch_brand_matches_rate",
+    "ch_mobile_matches_rate", "ch_platform_matches_rate", "accept_lang_rate",
+    "has_priority_rate", "has_sec_ch_ua_rate", "has_upgrade_ins_rate", "has_dnt_rate",
+    "has_te_rate", "has_connection_rate", "has_cache_control_rate", "ua_version_n_distinct",
+    "ua_family_n_distinct", "priority_correct_rate", "has_nonstandard_rate",
+    "n_nonstandard_distinct",
+]
+PROFILE_CATEGORICAL = ["ua_family_mode", "ua_os_mode", "ua_version_mode", "sf_site_mode",
+                       "priority_urgency_mode", "ch_brand_count_mode"]
+# feature, column, red when at most, red when above
+PRESENCE_CHECKS = [
+    ("has_accept_language", 50, None), ("has_sec_fetch_user", 50, None),
+    ("has_priority", None, None), ("has_sec_ch_ua", None, None),
+    ("has_sec_fetch_mode", None, None), ("has_upgrade_insecure_requests", None, None),
+    ("has_cache_control", None, 5), ("has_connection", None, 5), ("has_te", None, 5),
+    ("has_dnt", None, None),
+]
 # --------------------------------------------------------------------------
 
 TRIAL_KEY = ("agent", "trial")

@@ -40,12 +40,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new path below the checkpoint folder the cluster names.
 
     Executors must be able to read what other executors wrote, so a
-    machine-local folder is used only when no shared one is configured, as in
-    tests on one machine.
+    machine-local folder is used only when the whole session runs on one
+    machine; elsewhere a missing setting is an error.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _local_root = _local_root or tempfile.mkdtemp(prefix="tracefp-")
         root = _local_root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

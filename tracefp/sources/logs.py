@@ -40,12 +40,13 @@ def read_requests(spark: SparkSession, paths, root: str | None = None, agents=No
                   default_agent: str = "") -> DataFrame:
     """The nested request log; blank and unparsable lines are dropped.
 
-    The schema is given, so nothing is inferred and unread fields are not
-    parsed.  A broken line comes back with every field null.
+    The schema is given, so nothing is inferred, and unread top-level fields
+    are not parsed (Spark prunes no deeper in JSON).  A broken line comes back
+    with every field null; a record is told by its id, time, method or path.
     """
     df = spark.read.schema(REQUEST_RECORD).json(paths)
     df = label_from_layout(df, root, agents, default_agent) if root else df
-    return df.where(F.coalesce("id", "timestamp", F.to_json("http")).isNotNull())
+    return df.where(F.coalesce("id", "timestamp", "http.method", "http.path").isNotNull())
 
 
 def _event_columns() -> list[Column]:
@@ -66,7 +67,7 @@ def read_flushes(spark: SparkSession, paths, root: str | None = None, agents=Non
     """One row per flush, with its receipt time in microseconds."""
     df = spark.read.schema(FLUSH_RECORD).json(paths)
     df = label_from_layout(df, root, agents, default_agent) if root else df
-    return (df.where(F.coalesce("session", "page", "receivedAt", F.to_json("batch")).isNotNull())
+    return (df.where(F.coalesce("session", "page", "receivedAt").isNotNull() | (F.size("batch") >= 0))
             .withColumn("received_us", F.unix_micros(event_time(F.col("receivedAt")))))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracefp.functions.events import input_event_monitor
 from tracefp.functions.requests import is_collect_post, is_page
 from tracefp.operators.attribution import attribute_requests
-from tracefp.operators.ordered import (HOUR_US, halo_slices, ordered_columns, previous,
+from tracefp.operators.ordered import (halo_slices, ordered_columns, previous,
                                        running_count)
 from tracefp.schema import BURST_WINDOW_MS, TRIAL_KEY, UNLOAD_WINDOW_MS
 
@@ -39,10 +39,9 @@ def stream_logs(stream: DataFrame, out: str, checkpoint: str, us: str = "us", fm
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_attribution(stream: DataFrame, windows: DataFrame, closed: bool = True,
-                       bucket_us: int = HOUR_US) -> DataFrame:
+def stream_attribution(stream: DataFrame, windows: DataFrame, closed: bool = True) -> DataFrame:
     """Requests matched to known windows as they arrive (stream-static join on buckets)."""
-    return attribute_requests(stream, windows, closed, 0, bucket_us)
+    return attribute_requests(stream, windows, closed)
 
 
 def stream_input_monitor(stream: DataFrame) -> DataFrame:

@@ -60,6 +60,14 @@ REQ = {
     "cipher_csv": "CASE user_id % 3 WHEN 0 THEN '2570,4865,4866,49195' WHEN 1 THEN '4865,4867,156' ELSE '' END",
     "curve_csv": "CASE user_id % 3 WHEN 0 THEN '6682,4588,29,23' WHEN 1 THEN '25497,29' ELSE '29,23' END",
     "version_csv": "CASE user_id % 3 WHEN 0 THEN '2570,772,771' WHEN 1 THEN '771,772' ELSE '771,770' END",
+    "sig_csv": "CASE user_id % 3 WHEN 0 THEN '1027,2052,1025' WHEN 1 THEN '2052,2053,9999' ELSE '' END",
+    "h2_order": "CASE user_id % 4 WHEN 0 THEN ':method,:authority,:scheme,:path' "
+                "WHEN 1 THEN ':method,:scheme,:path,:authority' WHEN 2 THEN ':method,:scheme,:authority,:path' ELSE '' END",
+    "tls_version": "CASE user_id % 3 WHEN 2 THEN 'TLS 1.2' ELSE 'TLS 1.3' END",
+    "sni_present": "user_id % 7 <> 0",
+    "accept": "CASE event_id % 3 WHEN 0 THEN '*/*' WHEN 1 THEN 'text/html' ELSE '' END",
+    "accept_encoding": "CASE event_id % 2 WHEN 0 THEN 'gzip, br' ELSE '' END",
+    "upgrade_insecure": "CASE event_id % 4 WHEN 3 THEN '1' ELSE '' END",
     "alpn_csv": "CASE user_id % 4 WHEN 0 THEN 'h2,http/1.1' WHEN 1 THEN 'h2' WHEN 2 THEN 'http/1.1' ELSE '' END",
 }
 
@@ -128,12 +136,12 @@ def _csv(name: str, kind: str) -> F.Column:
 
 
 def with_lists(df: DataFrame) -> DataFrame:
-    """Lists and the columns the view leaves out, as the reader would give them."""
+    """Lists of the view, as the reader would give them."""
     return df.select(
         "*", _csv("header_csv", "string").alias("header_names"),
         _csv("cipher_csv", "int").alias("ciphers"), _csv("curve_csv", "int").alias("curves"),
-        F.array().cast("array<int>").alias("sigs"), _csv("version_csv", "int").alias("versions"),
-        _csv("alpn_csv", "string").alias("alpn"), F.lit("").alias("h2_order"))
+        _csv("sig_csv", "int").alias("sigs"), _csv("version_csv", "int").alias("versions"),
+        _csv("alpn_csv", "string").alias("alpn"))
 
 
 def requests_from(events: DataFrame) -> DataFrame:
