@@ -31,6 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tracefp.llm.store import fresh
 
 UNIT, PASSAGE, BLOCK = 64, 128, 8
 SHARD = 20_000
@@ -161,8 +164,6 @@ class Index:
         step = PASSAGE // 2
         per = np.maximum(1, -(-(counts - PASSAGE) // step) + 1) * (counts > 0)
         doc = np.repeat(np.arange(len(counts)), per)
-        first = (np.cumsum(counts) - counts)[doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
-        last = np.cumsum(counts)[doc]
         known = np.nonzero(ids >= 0)[0]
         # passages of a word: of its document, at two neighbouring steps
         word_doc = np.repeat(np.arange(len(counts)), counts)[known]
@@ -190,7 +191,6 @@ class Index:
             terms = term[heads[p]:heads[p + 1]].tolist()
             for unit, score in self.wand(terms, set((hot[lo:hi] % self.n_blocks).tolist()), threshold):
                 yield int(doc[p]), self.unit_item[unit], score
-        del first, last
 
     def overlaps(self, words: list[bytes], item: int) -> tuple[float, float]:
         """Shares of the question's and of the answer's shingles that the words hold; a
@@ -237,6 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type, item_type = dict(rows.dtypes)["id"], items.schema["id"].dataType
+    kind = to_arrow_type(item_type)
     shards = max(1, -(-items.count() // SHARD))
     found = None
     for shard in range(shards):
@@ -253,8 +254,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     *[pa.array([h[k] for h in hits], pa.float64()) for k in (2, 3, 4)]],
                     ["id", "item", "score", "question_overlap", "answer_overlap"])
 
-        from pyspark.sql.pandas.types import to_arrow_type
-        kind = to_arrow_type(item_type)
         hits = rows.mapInArrow(run, f"id {id_type}, item {item_type.simpleString()}, score double, question_overlap double, answer_overlap double")
         found = hits if found is None else found.unionByName(hits)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
@@ -263,8 +262,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """docs without the rows whose id is among the contaminated ones; null ids stay."""
-    gone = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    mark = fresh(docs, "gone")
+    gone = contaminated(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col(id_col).alias(mark)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(mark), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

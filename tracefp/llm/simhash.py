@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tracefp.llm import golay
 from tracefp.llm.components import components
+from tracefp.llm.store import fresh
 from tracefp.session import materialize
 
 SHINGLE_BLOCK = 1 << 15
@@ -141,8 +142,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs without the rows that are not the first of their group; rows without an id
     stay, and of rows that repeat an id all stay or go."""
     groups = simhash_groups(docs, id_col, text_col, shingle)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    mark = fresh(docs, "gone")
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(mark), "left_anti")
 
 
 def op1_simhash(spark, sf_dir):

@@ -18,3 +18,11 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     gc.collect()
     out.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -156,7 +156,7 @@ def _meet(similarity: float):
         if not la.any():
             return empty
         a, left, right = a[la][:, ra], left[la], right[ra]
-        order = sorted(set(left.tolist()) | set(right.tolist()), key=lambda k: reps[k])
+        order = sorted(set(left.tolist()) | set(right.tolist()), key=lambda k: tuple(reps[k].values()))
         rank = np.zeros(len(reps), np.int64)
         rank[order] = np.arange(len(order))
         roots = _forest(a, rank[left], rank[right])
@@ -187,8 +187,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumns(
         {"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
     known = rows.where("id IS NOT NULL AND v IS NOT NULL")
-    kinds = known.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    first = known.join(kinds, ["k1", "k2"]).where("id = rep").groupBy("rep", "k1", "k2").agg(F.first("n").alias("n"), F.first("v").alias("v"))
+    # equal vectors are one node, named by their smallest id and their hash
+    kinds = known.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("n")).select(
+        "k1", "k2", F.struct(F.col("low").alias("id"), "k1", "k2").alias("rep"), "n")
+    first = known.join(kinds, ["k1", "k2"]).where("id = rep.id").groupBy("rep").agg(F.first("n").alias("n"), F.first("v").alias("v"))
     units = materialize(_units(first), "vectors")
     sizes = {r["dim"]: r["count"] for r in units.groupBy("dim").count().collect()}
     centroids = {}
@@ -215,7 +217,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     callers = salted.where("guest = 1").withColumn("b", F.col("h") % F.col("gb")).select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)).alias("o")).select(
         "dim", "cell", F.lit(True).alias("guests"), F.col("o").alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "rep", "n", "unit", "home", "visits")
-    kind = dict(rows.dtypes)["id"]
+    kind = dict(kinds.dtypes)["rep"]
     met = among.unionByName(hosts).unionByName(callers).groupBy("dim", "cell", "guests", "i", "j").applyInArrow(
         _meet(similarity), f"rep {kind}, links long, root {kind}")
     met = materialize(met, "met")
@@ -223,7 +225,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     groups = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     # rows that link with nothing at all have no unit vector, and their copies do not link either
     linked = units.select("rep", "n").join(links, "rep", "left").join(groups, "rep", "left").select(
-        "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep")["id"].alias("component_id"))
     by_kind = kinds.select("k1", "k2", "rep").join(linked, "rep")
     out = rows.select("id", "k1", "k2").join(by_kind.select("k1", "k2", "n_links", "component_id"), ["k1", "k2"], "left")
     has = F.col("id").isNotNull() & F.col("n_links").isNotNull()
