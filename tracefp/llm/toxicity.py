@@ -26,7 +26,7 @@ from tracefp.llm import gru
 WINDOW, SHIFT = 64, 48
 SAMPLE = 1500
 SAMPLE_CHARS = 40_000
-STEPS, BATCH = 450, 256
+STEPS, BATCH = 240, 256
 SEED = 11
 CACHE_WORDS = 120_000
 CHUNK_WORDS = 120_000
