@@ -3,19 +3,21 @@
 A line is trimmed and lower-cased.  Its shingles are the ten characters from the
 start of every word, from every eighth character of a longer word and from
 ideographs, kana and Hangul one by one, so all of a line is covered.  One hash orders them; the signature is the
-``SIGNATURE`` smallest hashes, and every two of them form a band.  Two lines of
-Jaccard similarity J share each of the smallest hashes of their union with
-probability J, and meet in a band if they share two of the first five: 0.993 of
-the pairs at J = 0.8, more above.  Candidates are verified by their exact Jaccard
-similarity, links go to the distributed union-find, and the first line of every
-component, by document id and place, stays.
+SIGNATURE smallest hashes.  Two lines of Jaccard similarity J share each of the
+smallest hashes of their union with probability J.  Every two of a line's FIRST
+smallest hashes form a band: two lines meet if they share two of the first five of
+their union, which 0.993 of the pairs at J = 0.8 do, and more above.  Candidates are
+verified by their exact Jaccard similarity, links go to the distributed union-find,
+and the first line of every component, by document id and place, stays.
 
 Equal lines are collapsed by a 128-bit hash before that.  A band in which more than
-``crowd`` lines meet gives no pairs of its own lines: each is compared with the
-band's first and last, and its lines are banded again by every three hashes of
-their signatures, which parts lines that only have common phrases in common.  Only
-there, first and last alone stand for a band that is crowded again: of a family of
-near copies, which is dense.  So the pairs grow with the lines, not their square.
+``crowd`` lines meet does not pair them all: its lines are banded again by every
+three of all SIGNATURE hashes (0.999 of the pairs at J = 0.8), and those of bands
+crowded again by every four, which parts lines that only have common phrases in
+common.  What is still crowded then is a family of near copies; there each line is compared
+with the first and the last of each of its bands, and in every eighth band with one
+drawn for it.  So the pairs grow with the lines,
+not with their square.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefp.llm.components import components
-from tracefp.llm.store import settled
+from tracefp.llm.store import fresh, settled
 
-SIGNATURE = 5
+FIRST, SIGNATURE = 5, 8
 # a piece that begins with an ideograph, kana or Hangul is one character, any other run goes in pieces of eight
 SHINGLE = r"(?=(.{1,10}))(?:[぀-﫿]|\S{1,8})\s*"
 
 
 def _plain(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    # the white space of the shingle pattern, so that what is left has a shingle
+    return F.lower(F.trim(line, F.lit(" \t\x0b\f\r")))
 
 
 def _hashes(line: Column) -> Column:
@@ -52,13 +55,14 @@ def _exploded(rows: DataFrame) -> DataFrame:
         F.struct("id", "text_hash", "pos").alias("at"), _plain(F.col("line")).alias("line")).where("line != ''")
 
 
-def _bands(lines: DataFrame, size: int) -> DataFrame:
-    """(key, line): one row for every ``size`` hashes of a signature, or all it has."""
+def _bands(lines: DataFrame, size: int, of: int) -> DataFrame:
+    """(key, line): one row for every ``size`` of a line's ``of`` smallest hashes, or one
+    for all that it has."""
     def keys(n: int) -> Column:
         return F.array(*[F.xxhash64(*[F.col("signature")[i] for i in c]) for c in combinations(range(n), min(size, n))])
 
     made = keys(1)
-    for n in range(2, SIGNATURE + 1):
+    for n in range(2, of + 1):
         made = F.when(F.size("signature") >= n, keys(n)).otherwise(made)
     return lines.select(F.explode(made).alias("key"), "line")
 
@@ -66,9 +70,11 @@ def _bands(lines: DataFrame, size: int) -> DataFrame:
 def _met(bands: DataFrame, crowd: int, partitions: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to verify and the lines (line) of crowded bands."""
     bands = bands.repartition(partitions, "key")
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high")).where("n > 1")
+    drawn = F.min_by("line", F.xxhash64("key", "line"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), drawn.alias("drawn")).where("n > 1")
     met = settled(bands.join(sizes, "key"), "bands")
-    ends = met.select("line", F.explode(F.array("low", "high")).alias("end")).where("line != end").select(
+    compared = F.array("low", "high", F.when(F.pmod("key", F.lit(8)) == 0, F.col("drawn")).otherwise(F.col("low")))
+    ends = met.select("line", F.explode(F.array_distinct(compared)).alias("end")).where("line != end").select(
         F.least("line", "end").alias("a"), F.greatest("line", "end").alias("b"))
     few = met.where((F.col("n") > 3) & (F.col("n") <= crowd)).select("key", "line")
     inner = few.select("key", F.col("line").alias("a")).join(few.select("key", F.col("line").alias("b")), "key").where("a < b").select("a", "b")
@@ -90,27 +96,32 @@ def line_keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "h1", "h2", "at", F.slice(F.sort_array("hashes"), 1, SIGNATURE).alias("signature"), F.size("hashes").alias("n"))
     kinds = settled(signed.groupBy("h1", "h2").agg(F.min(F.struct("at", "signature", "n")).alias("m")).select(
         "h1", "h2", "m.at", "m.signature", "m.n", F.xxhash64("h1", "h2").alias("line")), "lines")
-    pairs, crowded = _met(_bands(kinds, 2), crowd, parts)
-    again, _ = _met(_bands(kinds.join(crowded, "line", "left_semi"), 3), crowd, parts)
-    pairs = pairs.unionByName(again).distinct()
+    pairs, crowded = _met(_bands(kinds, 2, FIRST), crowd, parts)
+    for size in (3, 4):
+        again, crowded = _met(_bands(kinds.join(crowded, "line", "left_semi"), size, SIGNATURE), crowd, parts)
+        pairs = pairs.unionByName(again)
+    pairs = pairs.distinct()
     # sets of sizes too different cannot be similar
     place = kinds.select("line", "at", "n")
     pairs = pairs.join(place.select(F.col("line").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a")), "a").join(
         place.select(F.col("line").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b")), "b")
-    pairs = settled(pairs.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("at_a", "at_b"), "pairs")
+    pairs = settled(pairs.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b", "at_a", "at_b"), "pairs")
     ats = pairs.select(F.col("at_a").alias("at")).unionByName(pairs.select(F.col("at_b").alias("at"))).distinct()
     wanted = ats.groupBy("at.id", "at.text_hash").agg(F.collect_list("at.pos").alias("places"))
     texts = _rows(docs, id_col, text_col).join(wanted.hint("shuffle_hash").withColumnsRenamed({"id": "w_id", "text_hash": "w_hash"}),
                                                (F.col("text_hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id")))
-    shingles = settled(texts.select("id", "text_hash", F.split("text", "\n", -1).alias("lines"), F.explode("places").alias("pos")).select(
-        F.struct("id", "text_hash", "pos").alias("at"), _hashes(_plain(F.expr("lines[pos]"))).alias("set")), "shingles")
+    # used twice, so that the text is split once and not for every line
+    texts = texts.select("id", "text_hash", F.split("text", "\n", -1).alias("lines"), "places")
+    line_at = F.transform("places", lambda p: F.struct(p.alias("pos"), F.when(p < F.size("lines"), F.col("lines")[p]).alias("line")))
+    shingles = settled(texts.select("id", "text_hash", F.inline(line_at)).select(
+        F.struct("id", "text_hash", "pos").alias("at"), _hashes(_plain(F.col("line"))).alias("set")), "shingles")
     both = pairs.join(shingles.select(F.col("at").alias("at_a"), F.col("set").alias("set_a")), "at_a").join(
         shingles.select(F.col("at").alias("at_b"), F.col("set").alias("set_b")), "at_b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    links = both.where(common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common)).select(
-        F.col("at_a").alias("a"), F.col("at_b").alias("b"))
-    groups = components(links)
-    return kinds.join(groups.withColumnRenamed("node", "at"), "at", "left").select("h1", "h2", F.coalesce("component", "at").alias("keeper"))
+    links = both.where(common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    members = components(links).withColumnRenamed("node", "line").join(kinds.select("line", "at"), "line")
+    members = members.join(members.groupBy("component").agg(F.min("at").alias("keeper")), "component").select("line", "keeper")
+    return kinds.join(members, "line", "left").select("h1", "h2", F.coalesce("keeper", "at").alias("keeper"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, crowd: int = 24,
@@ -127,17 +138,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keepers = line_keepers(docs, id_col, text_col, similarity, crowd)
     instances = _instances(docs, id_col, text_col).select("at", "h1", "h2")
+    doc_hash, gone_id, gone_hash, places = (fresh(docs, n) for n in ("doc_hash", "gone_id", "gone_hash", "places"))
     gone = settled(instances.join(keepers, ["h1", "h2"]).where("at != keeper").groupBy("at.id", "at.text_hash").agg(
-        F.collect_set("at.pos").alias("_gone")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_gone"), "gone")
-    docs = docs.withColumn("_text_hash", F.xxhash64(F.col(text_col).cast("string")))
-    joined = docs.join(gone.hint("shuffle_hash"), (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    split = F.split(F.col(text_col).cast("string"), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: split[i]), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split))
+        F.collect_set("at.pos").alias(places)).withColumnsRenamed({"id": gone_id, "text_hash": gone_hash}), "gone")
+    keyed = docs.withColumn(doc_hash, F.xxhash64(F.col(text_col).cast("string")))
+    joined = keyed.join(gone.hint("shuffle_hash"), (F.col(doc_hash) == F.col(gone_hash)) & F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
+    # used twice, so that a text is split once and not for every line
+    lines = fresh(docs, "lines")
+    joined = joined.withColumn(lines, F.split(F.col(text_col).cast("string"), "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
+    text = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines)[i]), "\n"))
+    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     new = {text_col: text} | ({n_chars_col: F.coalesce(F.length(text).cast("long"), F.col(n_chars_col))} if n_chars_col else {})
-    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c != "_text_hash"],
-                         n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_dropped"))
+    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns],
+                         n_lines.alias("n_lines"), F.coalesce(F.size(places), F.lit(0)).alias("n_dropped"))
 
 
 def op3_line_dedup(spark, sf_dir):
