@@ -57,19 +57,23 @@ def test_beacon_decisions_over_batches(spark, tmp_path, slice_us):
 def test_checkpoints_over_batches(spark, tmp_path):
     data = stream_rows()
     stream = batches(spark, tmp_path, data)
-    live.stream_checkpoints(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp"), 3).awaitTermination()
+    (live.stream_checkpoints(stream, 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+     .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
     cols = ["trial", "id", "checkpoint", "page_index", "event_index", "page_path", "n_requests", "n_int_events"]
     got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*cols).collect()))
     want = sorted(map(str, checkpoints(spark.createDataFrame(data, WEB), 3).select(*cols).collect()))
     assert got == want and len(got) > 40
 
 
-def test_partial_sums_merge(spark, small):
+def test_running_features_equal_the_batch_features(spark, small):
+    """Means over a trial's requests without collect posts, as the header features have them."""
     from tracefp import views
+    from tracefp.functions.requests import drop_collect_posts
+    from tracefp.plans.http import header_frame, http_trial_features
 
     req = views.requests(spark, small)
-    whole = live.running_sums(live.signal_frame(req))
-    parts = [live.running_sums(live.signal_frame(req.where(F.col("id") % 2 == i))) for i in (0, 1)]
-    a = sorted(map(str, live.running_features(whole).select("trial", F.round("headless_rate", 9), F.round("req_rate_hz", 9)).collect()))
-    b = sorted(map(str, live.running_features(live.merge_sums(*parts)).select("trial", F.round("headless_rate", 9), F.round("req_rate_hz", 9)).collect()))
-    assert a == b
+    names = ["headless_rate", "sf_violation_rate", "n_headers_mean", "has_priority_rate", "ch_incoherence_rate"]
+    live_rows = live.running_features(live.running_sums(live.signal_frame(req)))
+    batch = http_trial_features(header_frame(drop_collect_posts(req)))
+    got, want = (sorted(map(str, df.select("trial", *[F.round(n, 9).alias(n) for n in names]).collect())) for df in (live_rows, batch))
+    assert got == want and len(got) > 10

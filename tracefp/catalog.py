@@ -957,10 +957,18 @@ def score_prefixes(spark, d):
 # ---------------------------------------------------------------- streaming
 
 
-def event_stream(spark, d):
-    """The events table as a file stream."""
-    schema = views.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+def event_stream(spark, d, parts=4):
+    """The events table as a stream of files in order of time, one file a micro-batch."""
+    events = views.table(spark, d, "events")
+    folder = shared_dir(spark, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(F.percentile_approx(us, [k / parts for k in range(1, parts)], 1000)).first()[0]
+    low = None
+    for high in [*cuts, None]:
+        part = events if low is None else events.where(us > low)
+        (part if high is None else part.where(us <= high)).coalesce(1).write.mode("append").parquet(folder)
+        low = high
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def run_to_table(spark, stream, purpose):
@@ -1006,23 +1014,30 @@ def stream_beacon_filter(spark, d):
 def stream_checkpoints(spark, d):
     events = event_stream(spark, d)
     stream = sequences.merged_event_stream(views.requests_from(events), views.interactions_from(events))
-    out = shared_dir(spark, "checkpoints")
-    live.stream_checkpoints(stream, out, shared_dir(spark, "counters"), shared_dir(spark, "checkpoints-cp"),
-                            3).awaitTermination()
-    return spark.read.parquet(out).drop("epoch")
+    return run_to_table(spark, live.stream_checkpoints(stream, 3), "checkpoints")
+
+
+@query
+def stream_running_features(spark, d):
+    """The running features at the last page request of each trial."""
+    sums = run_to_table(spark, live.stream_running_sums(views.requests_from(event_stream(spark, d))), "running")
+    last = sums.groupBy(*K).agg(F.max(F.struct("n_requests", F.struct(*sums.columns).alias("s"))).alias("m")).select("m.s.*")
+    return r6(live.running_features(last).select(*K, "headless_rate", "sf_violation_rate", "n_headers_mean", "f2_frac_h2", "f8_mean_cipher_count",
+                                                 "req_rate_hz", "log_n_requests"))
 
 
 @query
 def stream_scoring(spark, d):
-    """Trials scored on running features by a model of the same features."""
-    table = live.running_features(live.running_sums(live.signal_frame(req(spark, d))))
-    table = materialize(table, "running")
+    """Odd trials scored at every page request by a model of the even ones."""
+    r = req(spark, d)
+    even = F.substring("trial", 7, 20).cast("long") % 2 == 0
+    table = materialize(live.running_features(live.running_sums(live.signal_frame(r.where(even)))), "running")
     labels = model.class_names(table)
-    fitted = model.train_classifier(model.with_label(table, labels), labels, model.forest(10, 6))
+    fitted = model.train_classifier(model.with_label(table, labels), labels)
     out = shared_dir(spark, "scored")
-    live.stream_scoring(views.requests_from(event_stream(spark, d)), {"running": fitted}, out,
-                        shared_dir(spark, "sums"), shared_dir(spark, "scored-cp")).awaitTermination()
-    return spark.read.parquet(out).select(*K, "table", "predicted", "confidence")
+    live.stream_scoring(views.requests_from(event_stream(spark, d)).where(~even), {"running": fitted}, out,
+                        shared_dir(spark, "scored-cp")).awaitTermination()
+    return spark.read.parquet(out).select(*K, "id", "table", "predicted", "confidence")
 
 
 # ---------------------------------------------------------------- sources and sinks

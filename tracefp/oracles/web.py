@@ -389,6 +389,14 @@ SQL = {
                                  "typed", extra=HDR),
     "ja4_fields": query("SELECT id, ja4_a, ja4_b, ja4_c, ja4_protocol, ja4_version, ja4_sni, ja4_cipher_count, "
                         "ja4_ext_count, ja4_alpn_code FROM fp", "req", extra=FP),
+    "stream_running_features": query(
+        f"""SELECT {K}, {r6('avg(ch_is_headless::INT)', 'headless_rate')}, {r6('avg(sf_any_violation::INT)', 'sf_violation_rate')},
+        {r6('avg(n_headers)', 'n_headers_mean')}, {r6('avg(is_h2)', 'f2_frac_h2')}, {r6('avg(cipher_count)', 'f8_mean_cipher_count')},
+        {r6('CASE WHEN max(us) > min(us) THEN count(*) / ((max(us) - min(us)) / 1e6) ELSE 0 END', 'req_rate_hz')},
+        {r6('ln(1 + count(*))', 'log_n_requests')}
+        FROM hc JOIN (SELECT id, is_h2, cipher_count FROM fp) USING (id) JOIN (
+            SELECT {K}, max(struct_pack(u := us, i := id)) AS last FROM hc WHERE path LIKE '%.html' GROUP BY {K}) USING ({K})
+        WHERE struct_pack(u := us, i := id) <= last GROUP BY {K}""", "typed", "req", extra={**HCLEAN, **FP}),
     "h2_fingerprint_fields": query("SELECT id, ak_settings_str, ak_window_update, ak_priority_str, ak_pseudo_order, ak_stream_count, ak_header_table, "
                                    "ak_enable_push, ak_max_concurrent, ak_init_window, ak_max_frame, ak_max_header_list FROM fp",
                                    "req", extra=FP),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracefp.functions.events import input_event_monitor
-from tracefp.functions.requests import is_collect_post, is_page
+from tracefp.functions.requests import drop_collect_posts, is_collect_post, is_page
 from tracefp.operators.attribution import attribute_requests
-from tracefp.operators.ordered import (halo_slices, ordered_columns, previous,
-                                       running_count)
+from tracefp.operators.ordered import halo_slices
 from tracefp.schema import BURST_WINDOW_MS, TRIAL_KEY, UNLOAD_WINDOW_MS
 
 # ---- ingest --------------------------------------------------------------------
@@ -86,14 +85,15 @@ def stream_beacon_decisions(stream: DataFrame, unload_ms: int = UNLOAD_WINDOW_MS
                 # copies from the neighbour slice only serve as context
                 done += (~posts[home]).tolist()
         mark = state.getCurrentWatermarkMs() * 1000
-        pages, posts = pd.Series(sorted(g_us), dtype="int64"), pd.Series(sorted(p_us), dtype="int64")
-        out = []
-        for i, us in enumerate(p_us):
-            if done[i] or us + reach >= mark:
-                continue
-            follows = (pages.searchsorted(us + unload, "right") - pages.searchsorted(us, "right")) > 0
-            crowd = (posts.searchsorted(us + burst, "right") - posts.searchsorted(us - burst, "left")) > 1
-            out.append((key[0], key[1], p_id[i], us, bool(follows and (aggressive or crowd or named[i]))))
+        pages, posts = np.sort(np.array(g_us, np.int64)), np.sort(np.array(p_us, np.int64))
+        at, open_ = np.array(p_us, np.int64), ~np.array(done, bool)
+        due = np.nonzero(open_ & (at + reach < mark))[0]
+        us = at[due]
+        follows = pages.searchsorted(us + unload, "right") > pages.searchsorted(us, "right")
+        crowd = posts.searchsorted(us + burst, "right") - posts.searchsorted(us - burst, "left") > 1
+        beacon = follows & (aggressive | crowd | np.array(named, bool)[due])
+        out = pd.DataFrame({"agent": key[0], "trial": key[1], "id": np.array(p_id, np.int64)[due], "us": us, "is_beacon": beacon})
+        for i in due:
             done[i] = True
         open_us = [us for us, d in zip(p_us, done) if not d]
         if open_us:
@@ -105,101 +105,64 @@ def stream_beacon_decisions(stream: DataFrame, unload_ms: int = UNLOAD_WINDOW_MS
         else:
             state.update((p_us, p_id, named, done, g_us))
             state.setTimeoutTimestamp(max((max([*p_us, *g_us]) + 2 * reach) // 1000 + 1, mark // 1000 + 1))
-        yield pd.DataFrame(out, columns=["agent", "trial", "id", "us", "is_beacon"])
+        yield out
 
     return rows.groupBy(*TRIAL_KEY, cut).applyInPandasWithState(
         decide, _DECISION, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-# ---- state tables ----------------------------------------------------------------
-
-
-def _state_before(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
-    """The newest state written before this epoch; a repeated epoch reads the same one."""
-    try:
-        states = spark.read.parquet(path).where(F.col("epoch") < epoch)
-    except AnalysisException:
-        return None
-    newest = states.agg(F.max("epoch")).first()[0]
-    return None if newest is None else states.where(F.col("epoch") == newest).drop("epoch")
-
-
-def _write_state(df: DataFrame, path: str, epoch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-
-def _each_batch(stream: DataFrame, step, checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
 # ---- checkpoints -------------------------------------------------------------------
 
-_COUNTERS = ["n_int", "n_req", "n_page", "base", "last_path", "start_us"]
+_COUNTERS = "n_int long, n_req long, n_page long, base long, last_path string"
+IDLE_MS = 7 * 86_400_000
 
 
-def live_checkpoints(batch: DataFrame, state: DataFrame | None, every: int,
-                     slice_us=None) -> tuple[DataFrame, DataFrame]:
-    """Checkpoints of one micro-batch and the counters after it.
+def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """The group's rows of this micro-batch in order; a micro-batch bounds them."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
 
-    Counts inside the batch are running counts over slices; the counters of a
-    trial, one row, are added to them.  Late events count where they arrive.
-    """
-    keys = list(TRIAL_KEY)
-    page = F.coalesce((F.col("kind") == "request") & (F.col("method") == "GET") & is_page(), F.lit(False))
-    event = F.col("kind") == "interaction"
-    rows = batch.withColumn("_tie", F.struct((F.col("kind") == "interaction").alias("k"), "id"))
-    counted = ordered_columns(
-        rows, running_count("b_int", event), running_count("b_req", F.col("kind") == "request"),
-        running_count("b_page", page), previous("b_path", F.col("path"), page, include_self=True),
-        keys=keys, tie="_tie", slice_us=slice_us)
-    counted = ordered_columns(counted, previous("b_base", F.col("b_int"), page, include_self=True),
-                              keys=keys, tie="_tie", slice_us=slice_us)
-    if state is None:
-        state = batch.sparkSession.createDataFrame(
-            [], "agent string, trial string, n_int long, n_req long, n_page long, base long, "
-                "last_path string, start_us long")
-    old = state.select(*keys, *[F.col(c).alias(f"o_{c}") for c in _COUNTERS])
-    zero = F.lit(0)
-    out = counted.join(old, keys, "left")
-    n_int = F.coalesce("o_n_int", zero) + F.col("b_int")
-    base = F.coalesce(F.coalesce("o_n_int", zero) + F.col("b_base"), F.col("o_base"), zero)
-    since = n_int - base
-    fires = event & (since > 0) & (since % every == 0)
-    fired = out.where(page | fires).select(
-        *keys, "id", "us", F.when(page, "page").otherwise("event").alias("checkpoint"),
-        F.when(page, F.coalesce("o_n_page", zero) + F.col("b_page")).alias("page_index"),
-        F.when(~page, n_int).alias("event_index"),
-        F.coalesce("b_path", "o_last_path", F.lit("")).alias("page_path"),
-        (F.coalesce("o_n_req", zero) + F.col("b_req")).alias("n_requests"), n_int.alias("n_int_events"))
-    last = F.max(F.when(page, F.struct("us", "_tie", "path", "b_int")))
-    totals = counted.groupBy(*keys).agg(
-        F.count_if(event).alias("t_int"), F.count_if(F.col("kind") == "request").alias("t_req"),
-        F.count_if(page).alias("t_page"), last.alias("t_last"), F.min("us").alias("t_start"))
-    both = old.join(totals, keys, "full")
-    after = both.select(
-        *keys, (F.coalesce("o_n_int", zero) + F.coalesce("t_int", zero)).alias("n_int"),
-        (F.coalesce("o_n_req", zero) + F.coalesce("t_req", zero)).alias("n_req"),
-        (F.coalesce("o_n_page", zero) + F.coalesce("t_page", zero)).alias("n_page"),
-        F.coalesce(F.coalesce("o_n_int", zero) + F.col("t_last.b_int"), F.col("o_base"), zero).alias("base"),
-        F.coalesce("t_last.path", "o_last_path").alias("last_path"),
-        F.least("o_start_us", "t_start").alias("start_us"))
-    return fired, after
-
-
-def stream_checkpoints(stream: DataFrame, out: str, state_path: str, checkpoint: str, every: int = 50,
-                       available_now: bool = True) -> StreamingQuery:
+
+def stream_checkpoints(stream: DataFrame, every: int = 50, idle_ms: int = IDLE_MS, delay: str = "1 hour") -> DataFrame:
     """Page and event checkpoints of a merged live stream, counters kept per trial.
 
-    Output and counters of a batch are files named by its epoch, so a repeated
-    batch overwrites what its first attempt left.
+    The counters are Spark's own keyed state: five values a trial, dropped once
+    event time is idle_ms past the trial's last event.  Events are taken in order
+    within a micro-batch; late ones count where they arrive, and those later than
+    the delay are dropped.
     """
-    def step(batch: DataFrame, epoch: int) -> None:
-        fired, after = live_checkpoints(batch, _state_before(batch.sparkSession, state_path, epoch), every)
-        fired.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        _write_state(after, state_path, epoch)
-
-    return _each_batch(stream, step, checkpoint, available_now)
+    page = F.coalesce((F.col("kind") == "request") & (F.col("method") == "GET") & is_page(), F.lit(False))
+    rows = stream.select(*TRIAL_KEY, "id", "us", (F.col("kind") == "interaction").alias("event"), page.alias("page"),
+                         F.coalesce("path", F.lit("")).alias("path"), F.timestamp_micros("us").alias("event_ts")).withWatermark("event_ts", delay)
+    kind = stream.schema["id"].dataType.simpleString()
+    out_schema = (f"agent string, trial string, id {kind}, us long, checkpoint string, page_index long, event_index long, "
+                  "page_path string, n_requests long, n_int_events long")
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n_int, n_req, n_page, base, last_path = state.get if state.exists else (0, 0, 0, 0, "")
+        df = _ordered(batches, ["us", "event", "id"])
+        event, is_page_row = df["event"].to_numpy(bool), df["page"].to_numpy(bool)
+        ints, reqs, pages = n_int + event.cumsum(), n_req + (~event).cumsum(), n_page + is_page_row.cumsum()
+        # the last page at or before each row, -1 where it came in an earlier batch
+        at = np.maximum.accumulate(np.where(is_page_row, np.arange(len(df)), -1))
+        bases = np.where(at >= 0, ints[at], base)
+        paths = np.where(at >= 0, df["path"].to_numpy(object)[at], last_path)
+        since = ints - bases
+        fires = event & (since > 0) & (since % every == 0)
+        state.update((int(ints[-1]), int(reqs[-1]), int(pages[-1]), int(bases[-1]), str(paths[-1])))
+        state.setTimeoutTimestamp(max(int(df["us"].iloc[-1]) // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        hit = np.nonzero(is_page_row | fires)[0]
+        on_page = is_page_row[hit]
+        yield pd.DataFrame({
+            "agent": key[0], "trial": key[1], "id": df["id"].to_numpy()[hit], "us": df["us"].to_numpy()[hit],
+            "checkpoint": np.where(on_page, "page", "event"),
+            "page_index": pd.Series(pages[hit]).where(on_page).astype("Int64"),
+            "event_index": pd.Series(ints[hit]).where(~on_page).astype("Int64"),
+            "page_path": paths[hit], "n_requests": reqs[hit], "n_int_events": ints[hit]})
+
+    return rows.groupBy(*TRIAL_KEY).applyInPandasWithState(step, out_schema, _COUNTERS, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- scoring -------------------------------------------------------------------------
@@ -219,12 +182,12 @@ RUNNING_SHARES = {
 
 
 def signal_frame(requests: DataFrame) -> DataFrame:
-    """Per request, the numbers whose means are the running features."""
+    """Per request but collect posts, the numbers whose means are the running features."""
     from tracefp.plans.http import header_frame
     from tracefp.plans.tls import fingerprint_frame
 
-    df = fingerprint_frame(header_frame(requests)).withColumn("sf_site_none", F.col("sf_site") == "none")
-    return df.select(*TRIAL_KEY, "us", *[F.col(c).cast("int").cast("double").alias(n)
+    df = fingerprint_frame(header_frame(drop_collect_posts(requests))).withColumn("sf_site_none", F.col("sf_site") == "none")
+    return df.select(*TRIAL_KEY, "id", "us", is_page().alias("page"), *[F.col(c).cast("int").cast("double").alias(n)
                                          for n, c in RUNNING_SHARES.items()])
 
 
@@ -235,44 +198,65 @@ def running_sums(signals: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in RUNNING_SHARES])
 
 
-def merge_sums(*parts: DataFrame) -> DataFrame:
-    """Several partial states of the same trials added up."""
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.groupBy(*TRIAL_KEY).agg(
-        F.sum("n_requests").alias("n_requests"), F.min("start_us").alias("start_us"),
-        F.max("last_us").alias("last_us"), *[F.sum(c).alias(c) for c in RUNNING_SHARES])
-
-
 def running_features(sums: DataFrame) -> DataFrame:
     """Means, request rate and log size from the sums; equal to the batch features."""
     seconds = (F.col("last_us") - F.col("start_us")) / 1e6
     return sums.select(
-        *TRIAL_KEY, *[(F.col(c) / F.col("n_requests")).alias(c) for c in RUNNING_SHARES],
+        *TRIAL_KEY, *[c for c in ("id",) if c in sums.columns], *[(F.col(c) / F.col("n_requests")).alias(c) for c in RUNNING_SHARES],
         F.when(seconds > 0, F.col("n_requests") / seconds).otherwise(0.0).alias("req_rate_hz"),
         F.log1p("n_requests").alias("log_n_requests"))
 
 
-def stream_scoring(requests: DataFrame, models: Mapping[str, PipelineModel], out: str, state_path: str,
-                   checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Trials with a page request in the batch, scored on everything seen of them so far.
+def stream_running_sums(requests: DataFrame, idle_ms: int = IDLE_MS, delay: str = "1 hour") -> DataFrame:
+    """The sums of a trial at each of its page requests, as they arrive.
 
-    The state is a table of sums per trial: a batch is reduced first and then
-    added, so cost follows the batch and the number of trials, not their length.
+    Spark's own keyed state holds one row of sums a trial, dropped once event time
+    is idle_ms past the trial's last request; requests later than the delay are
+    dropped.
+    """
+    names = list(RUNNING_SHARES)
+    numbers = ", ".join(f"{n} double" for n in names)
+    signals = signal_frame(requests).withColumn("event_ts", F.timestamp_micros("us")).withWatermark("event_ts", delay)
+    kind = signals.schema["id"].dataType.simpleString()
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, start, last, *sums = state.get if state.exists else (0, None, 0, *[0.0] * len(names))
+        df = _ordered(batches, ["us", "id"])
+        us = df["us"].to_numpy(np.int64)
+        starts = np.minimum.accumulate(us)
+        starts = starts if start is None else np.minimum(starts, start)
+        lasts = np.maximum(np.maximum.accumulate(us), last)
+        counts = n + np.arange(1, len(df) + 1)
+        totals = df[names].fillna(0.0).to_numpy(float).cumsum(0) + np.array(sums)
+        state.update((int(counts[-1]), int(starts[-1]), int(lasts[-1]), *map(float, totals[-1])))
+        state.setTimeoutTimestamp(max(int(us[-1]) // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        hit = np.nonzero(df["page"].to_numpy(bool))[0]
+        yield pd.DataFrame({"agent": key[0], "trial": key[1], "id": df["id"].to_numpy()[hit], "n_requests": counts[hit],
+                            "start_us": starts[hit], "last_us": lasts[hit], **{c: totals[hit, k] for k, c in enumerate(names)}})
+
+    return signals.groupBy(*TRIAL_KEY).applyInPandasWithState(
+        step, f"agent string, trial string, id {kind}, n_requests long, start_us long, last_us long, {numbers}",
+        f"n long, start_us long, last_us long, {numbers}", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_scoring(requests: DataFrame, models: Mapping[str, PipelineModel], out: str, checkpoint: str,
+                   available_now: bool = True) -> StreamingQuery:
+    """One scored row per page request, model and trial, on all that was seen until then.
+
+    A batch's rows are files named by its epoch, so a repeated batch overwrites
+    what its first attempt left.
     """
     from tracefp.plans.model import score_with_confidence
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = running_sums(signal_frame(batch))
-        old = _state_before(spark, state_path, epoch)
-        _write_state(merge_sums(fresh, old) if old is not None else fresh, state_path, epoch)
-        now = spark.read.parquet(f"{state_path}/epoch={epoch}")
-        fired = batch.where(is_page()).select(*TRIAL_KEY).distinct()
-        rows = running_features(now.join(fired, list(TRIAL_KEY), "left_semi"))
+        rows = running_features(batch).persist()
         for name, model in models.items():
-            (score_with_confidence(model, rows).drop("distribution").withColumn("table", F.lit(name))
+            (score_with_confidence(model, rows, (*TRIAL_KEY, "id")).drop("distribution").withColumn("table", F.lit(name))
              .write.mode("overwrite").parquet(f"{out}/epoch={epoch}/model={name}"))
+        rows.unpersist()
 
-    return _each_batch(requests, step, checkpoint, available_now)
+    writer = stream_running_sums(requests).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
