@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NONE = np.int64(1) << np.int64(62)
-CACHE_UNITS = 400_000
+CACHE_UNITS = 900_000
 CHUNK_CHARS = 2_000_000
 TREE_CELLS = 1 << 22
 
