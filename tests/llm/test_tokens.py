@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tracefp.llm.bpe import Bpe, bpe, default_tokenizer, tokenizer_spec
-from tracefp.llm.rans import END, SEGMENT, Coder, read_tokens, scaled, token_blocks, write_tokens
+from tracefp.llm.rans import END, LANES, SEGMENT, Coder, read_tokens, scaled, token_blocks, write_tokens
 from tracefp.session import shared_dir
 
 
@@ -54,7 +54,7 @@ def test_coder_round_trips_from_any_checkpoint():
             parts = coder.encode(ids)
             assert (coder.decode(n, *parts) == ids).all()
             for first in range(len(parts[2]) // 8):
-                at = first * SEGMENT * min(1024, max(1, n))
+                at = first * SEGMENT * min(LANES, max(1, n))
                 assert (coder.decode(n, *parts, first=first) == ids[at:]).all()
                 assert (coder.decode(n, *parts, first=0, last=first) == ids[:at]).all()
 

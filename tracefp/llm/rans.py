@@ -27,7 +27,7 @@ from tracefp.llm.bpe import Units, chunks, default_tokenizer, tokenizer_spec
 from tracefp.session import shared_dir
 
 SCALE = 20
-LANES = 1024
+LANES = 2048
 SEGMENT = 128
 BLOCK_IDS = 1 << 18
 LOW = np.uint64(1 << 31)
