@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracefp.llm.store import kept_in_worker
+
 NONE = np.int64(1) << np.int64(62)
-CACHE_UNITS = 900_000
+CACHE_UNITS = 600_000
 CHUNK_CHARS = 2_000_000
 TREE_CELLS = 1 << 22
 
@@ -252,11 +253,6 @@ class Bpe:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
 
-@lru_cache(2)
-def _loaded(spec: str) -> Bpe:
-    return Bpe(spec)
-
-
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about CHUNK_CHARS characters."""
     start = total = 0
@@ -287,7 +283,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _loaded(shared.value)
+        codec = kept_in_worker(f"bpe {hash(shared.value)}", lambda: Bpe(shared.value))
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in chunks(texts):

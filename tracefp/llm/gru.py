@@ -37,7 +37,7 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = 1 + len(STARTS)
     ids[:, first:] = (data[:, :-2] << np.uint64(16) | data[:, 1:-1] << np.uint64(8) | data[:, 2:]) * np.uint64(0x9E3779B97F4A7C15)
     weights[:, first:] = inside[:, 2:] / np.maximum(sizes - 2, 1)[:, None]
-    return ((ids ^ ids >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64), weights
+    return ((ids ^ ids >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.uint16), weights
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

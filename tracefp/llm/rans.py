@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracefp.llm.bpe import Units, chunks, default_tokenizer, tokenizer_spec
+from tracefp.llm.store import kept_in_worker
 from tracefp.session import shared_dir
 
 SCALE = 20
@@ -114,25 +115,19 @@ def checksum(*parts: bytes) -> int:
     return value
 
 
-_encoders: dict[str, Units] = {}
-
-
 def _tokenizer(spec: str) -> Units:
     """The tokenizers library behind a bounded cache of the units that texts fall into."""
-    if spec not in _encoders:
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
 
-        tool = Tokenizer.from_str(spec)
-        tool.no_truncation()
-        tool.no_padding()
+    tool = Tokenizer.from_str(spec)
+    tool.no_truncation()
+    tool.no_padding()
 
-        def run(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [e.ids for e in tool.encode_batch_fast(units, add_special_tokens=False)]
-            return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+    def run(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tool.encode_batch_fast(units, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
 
-        _encoders.clear()
-        _encoders[spec] = Units(run, {t.content: i for i, t in tool.get_added_tokens_decoder().items()})
-    return _encoders[spec]
+    return Units(run, {t.content: i for i, t in tool.get_added_tokens_decoder().items()})
 
 
 def token_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
@@ -146,7 +141,7 @@ def token_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     dealt = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = _tokenizer(shared.value)
+        units = kept_in_worker(f"tokenizer {hash(shared.value)}", lambda: _tokenizer(shared.value))
         part, block, before = TaskContext.get().partitionId(), 0, 0
         keys: list = []
         counts: list[int] = []

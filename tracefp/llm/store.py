@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame
 
@@ -26,3 +28,15 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+_kept: dict[str, Any] = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], Any]) -> Any:
+    """make()'s result, kept between the tasks of a Python worker.  A worker serves one
+    operator after another, so only the last key's is kept."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefp.llm import gru
+from tracefp.llm.store import kept_in_worker
 
 WINDOW, SHIFT = 64, 48
-SAMPLE = 1500
+SAMPLE = 1000
 SAMPLE_CHARS = 40_000
 STEPS, BATCH = 240, 256
 SEED = 11
@@ -176,9 +177,6 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return model | {"prior": float(total)}
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) for every row of docs.
 
@@ -191,11 +189,9 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
+        scorer = kept_in_worker(key, lambda: Scorer(shared.value))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scorers[key].score(batch.column(1).to_pylist()), pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.score(batch.column(1).to_pylist()), pa.float64())], ["id", "score"])
 
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
@@ -207,13 +203,11 @@ def keep_clean(docs: DataFrame, model: dict, text_col: str = "text", threshold:
     key, at = uuid.uuid4().hex, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
+        scorer = kept_in_worker(key, lambda: Scorer(shared.value))
         for batch in batches:
             texts = batch.column(at).cast(pa.string()).to_pylist()
             has = np.array([bool(t and t.strip()) for t in texts], bool)
-            yield batch.filter(pa.array(~has | (_scorers[key].score(texts) < threshold)))
+            yield batch.filter(pa.array(~has | (scorer.score(texts) < threshold)))
 
     return docs.mapInArrow(run, docs.schema)
 
