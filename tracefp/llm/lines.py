@@ -12,11 +12,10 @@ and the first line of every component, by document id and place, stays.
 
 Equal lines are collapsed by a 128-bit hash before that.  A band in which more than
 ``crowd`` lines meet does not pair them all: its lines are banded again by every
-three of all SIGNATURE hashes (0.999 of the pairs at J = 0.8), and those of bands
-crowded again by every four, which parts lines that only have common phrases in
-common.  What is still crowded then is a family of near copies; there each line is compared
-with the first and the last of each of its bands, and in every eighth band with one
-drawn for it.  So the pairs grow with the lines,
+three of all SIGNATURE hashes (0.995 of the pairs at J = 0.8), which parts lines that
+only have common phrases in common.  What is still crowded then is a family of near
+copies; there each line is compared with the first and the last of each of its bands,
+and in every eighth band with one drawn for it.  So the pairs grow with the lines,
 not with their square.
 """
 
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from tracefp.llm.components import components
 from tracefp.llm.store import fresh, settled
 
-FIRST, SIGNATURE = 5, 8
+FIRST, SIGNATURE = 5, 7
 # a piece that begins with an ideograph, kana or Hangul is one character, any other run goes in pieces of eight
 SHINGLE = r"(?=(.{1,10}))(?:[぀-﫿]|\S{1,8})\s*"
 
@@ -67,10 +66,10 @@ def _bands(lines: DataFrame, size: int, of: int) -> DataFrame:
     return lines.select(F.explode(made).alias("key"), "line")
 
 
-def _met(bands: DataFrame, crowd: int, partitions: int) -> tuple[DataFrame, DataFrame]:
+def _met(bands: DataFrame, crowd: int, partitions: int, draw: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) to verify and the lines (line) of crowded bands."""
     bands = bands.repartition(partitions, "key")
-    drawn = F.min_by("line", F.xxhash64("key", "line"))
+    drawn = F.min_by("line", F.xxhash64("key", "line")) if draw else F.min("line")
     sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), drawn.alias("drawn")).where("n > 1")
     met = settled(bands.join(sizes, "key"), "bands")
     compared = F.array("low", "high", F.when(F.pmod("key", F.lit(8)) == 0, F.col("drawn")).otherwise(F.col("low")))
@@ -96,11 +95,9 @@ def line_keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "h1", "h2", "at", F.slice(F.sort_array("hashes"), 1, SIGNATURE).alias("signature"), F.size("hashes").alias("n"))
     kinds = settled(signed.groupBy("h1", "h2").agg(F.min(F.struct("at", "signature", "n")).alias("m")).select(
         "h1", "h2", "m.at", "m.signature", "m.n", F.xxhash64("h1", "h2").alias("line")), "lines")
-    pairs, crowded = _met(_bands(kinds, 2, FIRST), crowd, parts)
-    for size in (3, 4):
-        again, crowded = _met(_bands(kinds.join(crowded, "line", "left_semi"), size, SIGNATURE), crowd, parts)
-        pairs = pairs.unionByName(again)
-    pairs = pairs.distinct()
+    pairs, crowded = _met(_bands(kinds, 2, FIRST), crowd, parts, False)
+    again, _ = _met(_bands(kinds.join(crowded, "line", "left_semi"), 3, SIGNATURE), crowd, parts, True)
+    pairs = pairs.unionByName(again).distinct()
     # sets of sizes too different cannot be similar
     place = kinds.select("line", "at", "n")
     pairs = pairs.join(place.select(F.col("line").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a")), "a").join(
