@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tracefp.llm.store import settled
 
 ORDER, ALPHA = 3, 0.4
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 3_000_000
 PART_GRAMS = 1_500_000
 KEY_BYTES = 6
 MOST_PARTS = 1 << 16
@@ -79,6 +79,15 @@ def _unpack(raw: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, whose upper bytes are mostly zero."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)), KEY_BYTES)
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw, KEY_BYTES), dtype=np.uint64)
+
+
 def _split(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(partition, key): from different bits of the hash."""
     low = hashes & np.uint64(MOST_PARTS - 1)
@@ -133,7 +142,7 @@ def _exploded(table: DataFrame, parts: int) -> DataFrame:
                 cut = [(key[heads[p]:heads[p + 1]], counts[heads[p]:heads[p + 1]]) for p in held]
                 chunk = batch.column("chunk")[r].as_py()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(held), pa.array(np.full(len(held), chunk)), pa.array([_pack(k, KEY_BYTES) for k, _ in cut], pa.binary()),
+                    pa.array(held), pa.array(np.full(len(held), chunk)), pa.array([_pack_keys(k) for k, _ in cut], pa.binary()),
                     pa.array([_pack(c, 4) for _, c in cut], pa.binary())], ["part", "chunk", "keys", "counts"])
 
     return table.select("chunk", "sizes", "texts").mapInArrow(run, "part long, chunk long, keys binary, counts binary")
@@ -141,7 +150,7 @@ def _exploded(table: DataFrame, parts: int) -> DataFrame:
 
 def _counted(table: pa.Table) -> pa.Table:
     """Count table of a partition, joined to each chunk's rows: keys that occur twice or more."""
-    rows = [(c, _unpack(k, KEY_BYTES), _unpack(n, 4)) for c, k, n in zip(
+    rows = [(c, _unpack_keys(k), _unpack(n, 4)) for c, k, n in zip(
         table.column("chunk").to_pylist(), table.column("keys").to_pylist(), table.column("counts").to_pylist())]
     keys = np.concatenate([k for _, k, _ in rows])
     by = np.argsort(keys, kind="stable")
@@ -152,7 +161,7 @@ def _counted(table: pa.Table) -> pa.Table:
     for chunk, key, _ in rows:
         at = np.minimum(np.searchsorted(table_keys, key), max(0, len(table_keys) - 1))
         there = table_keys[at] == key if len(table_keys) else np.zeros(len(key), bool)
-        out.append((chunk, _pack(key[there], KEY_BYTES), _pack(table_n[at[there]] if len(table_keys) else key[:0], 8)))
+        out.append((chunk, _pack_keys(key[there]), _pack(table_n[at[there]] if len(table_keys) else key[:0], 8)))
     part = table.column("part")[0].as_py()
     return pa.table({"chunk": pa.array([c for c, _, _ in out], pa.int64()), "part": pa.array([part] * len(out), pa.int64()),
                      "keys": pa.array([k for _, k, _ in out], pa.binary()), "totals": pa.array([n for _, _, n in out], pa.binary())})
@@ -197,7 +206,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     reducers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     found = _exploded(table, parts).repartition(min(parts, 8 * reducers), "part").groupBy("part").applyInArrow(
         _counted, "chunk long, part long, keys binary, totals binary")
-    replies = found.groupBy("chunk").agg(F.collect_list(F.struct("part", "keys", "totals")).alias("replies"))
+    # written, so that the shuffled n-grams can go before texts and replies meet
+    replies = settled(found, "counts").groupBy("chunk").agg(F.collect_list(F.struct("part", "keys", "totals")).alias("replies"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +221,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 part_at = np.zeros((parts, 2), np.int64)
                 for k, x in enumerate(got):
                     part_at[x["part"]] = heads[k], heads[k + 1]
-                keys = np.concatenate([_unpack(x["keys"], KEY_BYTES) for x in got] or [np.zeros(0, np.uint64)])
+                keys = np.concatenate([_unpack_keys(x["keys"]) for x in got] or [np.zeros(0, np.uint64)])
                 values = np.concatenate([_unpack(x["totals"], 8) for x in got] or [np.zeros(0, np.uint64)])
                 part_of = np.repeat(np.arange(parts), part_at[:, 1] - part_at[:, 0])
                 wide = (part_of.astype(np.uint64) << np.uint64(48)) | keys
