@@ -14,7 +14,7 @@ characters.  Each chunk is exploded to its n-grams, counted within the chunk bef
 shuffle, and dealt by hash to partitions of about PART_GRAMS n-grams; a row is what
 one chunk has in one partition, as packed arrays.  In a partition the count tables
 of all orders are summed and joined to the rows, and each chunk gets back the counts
-of its n-grams that occur twice or more (any other is its own document's).  Joined
+of its n-grams, zero for one that occurs once (which is its own document's).  Joined
 to its chunk by number, they are summed per document.  A frequent n-gram is one
 entry a chunk; no partition grows with it.
 """
@@ -126,18 +126,24 @@ def _texts(sizes: list[int], raw: bytes) -> list[list[bytes]]:
     return [data[a:b].split() for a, b in zip(ends, ends[1:])]
 
 
+def _dealt(grams: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, counts, by, heads): different n-grams of a chunk in ascending order, the
+    order that deals them to partitions, and where each partition begins in it."""
+    hashes, counts = np.unique(np.concatenate(grams), return_counts=True)
+    hashes, counts = hashes[hashes > 0], counts[hashes > 0]
+    part, _ = _split(hashes, parts)
+    by = np.argsort(part, kind="stable")
+    return hashes, counts, by, np.searchsorted(part[by], np.arange(parts + 1))
+
+
 def _exploded(table: DataFrame, parts: int) -> DataFrame:
     """(part, chunk, keys, counts): what one chunk has in one partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 grams, _, _ = gram_hashes(_texts(batch.column("sizes")[r].as_py(), batch.column("texts")[r].as_py()))
-                hashes, counts = np.unique(np.concatenate(grams), return_counts=True)
-                hashes, counts = hashes[hashes > 0], counts[hashes > 0]
-                part, key = _split(hashes, parts)
-                by = np.argsort(part, kind="stable")
-                part, key, counts = part[by], key[by], counts[by]
-                heads = np.searchsorted(part, np.arange(parts + 1))
+                hashes, counts, by, heads = _dealt(grams, parts)
+                key, counts = _split(hashes[by], parts)[1], counts[by]
                 held = np.nonzero(np.diff(heads))[0]
                 cut = [(key[heads[p]:heads[p + 1]], counts[heads[p]:heads[p + 1]]) for p in held]
                 chunk = batch.column("chunk")[r].as_py()
@@ -149,7 +155,8 @@ def _exploded(table: DataFrame, parts: int) -> DataFrame:
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    """Count table of a partition, joined to each chunk's rows: keys that occur twice or more."""
+    """Count table of a partition, joined to each chunk's rows: a total for each of its
+    keys in their order, zero for those that occur once."""
     rows = [(c, _unpack_keys(k), _unpack(n, 4)) for c, k, n in zip(
         table.column("chunk").to_pylist(), table.column("keys").to_pylist(), table.column("counts").to_pylist())]
     keys = np.concatenate([k for _, k, _ in rows])
@@ -161,10 +168,12 @@ def _counted(table: pa.Table) -> pa.Table:
     for chunk, key, _ in rows:
         at = np.minimum(np.searchsorted(table_keys, key), max(0, len(table_keys) - 1))
         there = table_keys[at] == key if len(table_keys) else np.zeros(len(key), bool)
-        out.append((chunk, _pack_keys(key[there]), _pack(table_n[at[there]] if len(table_keys) else key[:0], 8)))
+        total = np.zeros(len(key), np.uint64)
+        total[there] = table_n[at[there]]
+        out.append((chunk, _pack(total, 8)))
     part = table.column("part")[0].as_py()
-    return pa.table({"chunk": pa.array([c for c, _, _ in out], pa.int64()), "part": pa.array([part] * len(out), pa.int64()),
-                     "keys": pa.array([k for _, k, _ in out], pa.binary()), "totals": pa.array([n for _, _, n in out], pa.binary())})
+    return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "part": pa.array([part] * len(out), pa.int64()),
+                     "totals": pa.array([n for _, n in out], pa.binary())})
 
 
 def backoff(grams: list[np.ndarray], doc: np.ndarray, place: np.ndarray, n_docs: int, totals: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,32 +214,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     parts = int(min(MOST_PARTS, max(1, ORDER * n_words // PART_GRAMS)))
     reducers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     found = _exploded(table, parts).repartition(min(parts, 8 * reducers), "part").groupBy("part").applyInArrow(
-        _counted, "chunk long, part long, keys binary, totals binary")
+        _counted, "chunk long, part long, totals binary")
     # written, so that the shuffled n-grams can go before texts and replies meet
-    replies = settled(found, "counts").groupBy("chunk").agg(F.collect_list(F.struct("part", "keys", "totals")).alias("replies"))
+    replies = settled(found, "counts").groupBy("chunk").agg(F.collect_list(F.struct("part", "totals")).alias("replies"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 texts = _texts(batch.column("sizes")[r].as_py(), batch.column("texts")[r].as_py())
                 grams, doc, place = gram_hashes(texts)
-                got = batch.column("replies")[r].as_py() or []
-                # a partition's keys are sorted: partition and key together are, too
-                got.sort(key=lambda x: x["part"])
-                heads = np.concatenate(([0], np.cumsum([len(x["keys"]) // KEY_BYTES for x in got]))).astype(np.int64)
-                part_at = np.zeros((parts, 2), np.int64)
-                for k, x in enumerate(got):
-                    part_at[x["part"]] = heads[k], heads[k + 1]
-                keys = np.concatenate([_unpack_keys(x["keys"]) for x in got] or [np.zeros(0, np.uint64)])
-                values = np.concatenate([_unpack(x["totals"], 8) for x in got] or [np.zeros(0, np.uint64)])
-                part_of = np.repeat(np.arange(parts), part_at[:, 1] - part_at[:, 0])
-                wide = (part_of.astype(np.uint64) << np.uint64(48)) | keys
-                totals = []
-                for hashes in grams:
-                    part, key = _split(hashes, parts)
-                    ask = (part.astype(np.uint64) << np.uint64(48)) | key
-                    at = np.minimum(np.searchsorted(wide, ask), max(0, len(wide) - 1))
-                    totals.append(np.where(wide[at] == ask, values[at], 0).astype(np.int64) if len(wide) else np.zeros(len(ask), np.int64))
+                got = sorted(batch.column("replies")[r].as_py() or [], key=lambda x: x["part"])
+                # the totals come in the order in which this chunk's n-grams were dealt
+                hashes, _, by, _ = _dealt(grams, parts)
+                known = np.zeros(len(hashes), np.int64)
+                if got:
+                    known[by] = np.concatenate([_unpack(x["totals"], 8) for x in got])
+                totals = [np.where(g > 0, known[np.searchsorted(hashes, np.maximum(g, hashes[0]))], 0) if len(hashes) else np.zeros(len(g), np.int64)
+                          for g in grams]
                 log, sizes = backoff(grams, doc, place, len(texts), totals, n_words)
                 yield pa.RecordBatch.from_arrays([batch.column("ids")[r].values, pa.array(sizes.astype(np.int64)), pa.array(log)], ["id", "n_words", "log_score"])
 
