@@ -140,6 +140,21 @@ def test_line_dedup_against_all_pairs(frame, prose):
     assert {k: crowded[k] for k in want} == want
 
 
+@pytest.mark.parametrize(("changes", "own"), [(1, 0), (2, 0), (0, 3)])
+def test_line_dedup_of_crowded_families(frame, prose, changes, own):
+    """Lines that change some words of one line, or share a long template."""
+    r = np.random.default_rng(changes)
+    base, docs = prose(3, 40).split(), []
+    for n in range(300):
+        words = list(base)
+        for at in r.integers(0, 40, changes):
+            words[at] = f"w{r.integers(0, 1000)}"
+        docs.append((n, " ".join(words + [f"own{r.integers(0, 40)}x{k}" for k in range(own)])))
+    want = plain_lines(docs)
+    got = {r.doc_id: r.text for r in line_dedup(frame(docs)).collect()}
+    assert got == want
+
+
 def test_line_dedup_of_messy_rows(messy):
     got = line_dedup(messy, n_chars_col="n_chars")
     assert got.columns == [*messy.columns, "n_lines", "n_dropped"]

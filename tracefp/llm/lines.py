@@ -14,9 +14,10 @@ Equal lines are collapsed by a 128-bit hash before that.  A band in which more t
 ``crowd`` lines meet does not pair them all: its lines are banded again by every
 three of all SIGNATURE hashes (0.995 of the pairs at J = 0.8), which parts lines that
 only have common phrases in common.  What is still crowded then is a family of near
-copies; there each line is compared with the first and the last of each of its bands,
-and in every eighth band with one drawn for it.  So the pairs grow with the lines,
-not with their square.
+copies or of lines around one long template.  There each line is compared with the
+first and the last of each of its bands, and in every eighth band with one member
+drawn for the band, which brings most of a family together; ``crowds.py`` then finds
+every link between those of its lines that are still apart.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefp.llm.components import components
+from tracefp.llm.crowds import crowd_links
 from tracefp.llm.store import fresh, settled
 
 FIRST, SIGNATURE = 5, 7
@@ -96,14 +98,15 @@ def line_keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = settled(signed.groupBy("h1", "h2").agg(F.min(F.struct("at", "signature", "n")).alias("m")).select(
         "h1", "h2", "m.at", "m.signature", "m.n", F.xxhash64("h1", "h2").alias("line")), "lines")
     pairs, crowded = _met(_bands(kinds, 2, FIRST), crowd, parts, False)
-    again, _ = _met(_bands(kinds.join(crowded, "line", "left_semi"), 3, SIGNATURE), crowd, parts, True)
+    again, still = _met(_bands(kinds.join(crowded, "line", "left_semi"), 3, SIGNATURE), crowd, parts, True)
     pairs = pairs.unionByName(again).distinct()
     # sets of sizes too different cannot be similar
     place = kinds.select("line", "at", "n")
     pairs = pairs.join(place.select(F.col("line").alias("a"), F.col("at").alias("at_a"), F.col("n").alias("n_a")), "a").join(
         place.select(F.col("line").alias("b"), F.col("at").alias("at_b"), F.col("n").alias("n_b")), "b")
     pairs = settled(pairs.where(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b", "at_a", "at_b"), "pairs")
-    ats = pairs.select(F.col("at_a").alias("at")).unionByName(pairs.select(F.col("at_b").alias("at"))).distinct()
+    still = settled(place.join(still, "line", "left_semi").select("line", "at"), "crowded")
+    ats = pairs.select(F.col("at_a").alias("at")).unionByName(pairs.select(F.col("at_b").alias("at"))).unionByName(still.select("at")).distinct()
     wanted = ats.groupBy("at.id", "at.text_hash").agg(F.collect_list("at.pos").alias("places"))
     texts = _rows(docs, id_col, text_col).join(wanted.hint("shuffle_hash").withColumnsRenamed({"id": "w_id", "text_hash": "w_hash"}),
                                                (F.col("text_hash") == F.col("w_hash")) & F.col("id").eqNullSafe(F.col("w_id")))
@@ -116,6 +119,9 @@ def line_keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shingles.select(F.col("at").alias("at_b"), F.col("set").alias("set_b")), "at_b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     links = both.where(common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    if not still.isEmpty():
+        links = settled(links, "links")
+        links = links.unionByName(crowd_links(still.join(shingles, "at").select(F.col("line").alias("node"), "set"), links, similarity))
     members = components(links).withColumnRenamed("node", "line").join(kinds.select("line", "at"), "line")
     members = members.join(members.groupBy("component").agg(F.min("at").alias("keeper")), "component").select("line", "keeper")
     return kinds.join(members, "line", "left").select("h1", "h2", F.coalesce("keeper", "at").alias("keeper"))
