@@ -155,6 +155,14 @@ def test_line_dedup_of_crowded_families(frame, prose, changes, own):
     assert got == want
 
 
+def test_lines_without_spaces_survive_an_insertion(frame):
+    r = np.random.default_rng(5)
+    base = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz0123456789/="), 400))
+    thai = "".join(r.choice([chr(c) for c in range(0x0E01, 0x0E2F)], 400))
+    docs = [(1, base), (2, base[:37] + "x" + base[37:]), (3, base[:200] + base[201:]), (4, thai), (5, thai[:90] + thai[50] + thai[90:]), (6, base[::-1])]
+    assert [r.text for r in line_dedup(frame(docs)).orderBy("doc_id").collect()] == [base, "", "", thai, "", base[::-1]]
+
+
 def test_line_dedup_of_messy_rows(messy):
     got = line_dedup(messy, n_chars_col="n_chars")
     assert got.columns == [*messy.columns, "n_lines", "n_dropped"]

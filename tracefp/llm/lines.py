@@ -1,8 +1,10 @@
 """Fuzzy line dedup by MinHash in DataFrame functions only (operator 3).
 
 A line is trimmed and lower-cased.  Its shingles are the ten characters from the
-start of every word, from every eighth character of a longer word and from
-ideographs, kana and Hangul one by one, so all of a line is covered.  One hash orders them; the signature is the
+start of every word, from the ninth character of a word of 9 to 16, from every
+character of a longer run but its last 16 (there every eighth, counted from the end, so that
+an insertion does not shift the others) and from ideographs, kana and Hangul one by
+one, so all of a line is covered.  One hash orders them; the signature is the
 SIGNATURE smallest hashes.  Two lines of Jaccard similarity J share each of the
 smallest hashes of their union with probability J.  Every two of a line's FIRST
 smallest hashes form a band: two lines meet if they share two of the first five of
@@ -32,8 +34,9 @@ from tracefp.llm.crowds import crowd_links
 from tracefp.llm.store import fresh, settled
 
 FIRST, SIGNATURE = 5, 7
-# a piece that begins with an ideograph, kana or Hangul is one character, any other run goes in pieces of eight
-SHINGLE = r"(?=(.{1,10}))(?:[぀-﫿]|\S{1,8})\s*"
+# a piece that begins with an ideograph, kana or Hangul is one character, and so is one with 16 more to come in its run;
+# any other run, and the end of a longer one, goes in pieces of eight
+SHINGLE = r"(?=(.{1,10}))(?:[぀-﫿]|\S(?=\S{16})|\S{1,8})\s*"
 
 
 def _plain(line: Column) -> Column:
