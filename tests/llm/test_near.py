@@ -9,7 +9,7 @@ import xxhash
 from tracefp.llm import golay
 from tracefp.llm.components import components
 from tracefp.llm.lines import line_dedup
-from tracefp.llm.simhash import near_links, simhash_dedup, simhash_groups
+from tracefp.llm.simhash import near_links, similar_groups, simhash_dedup, simhash_groups
 from tracefp.llm.vectors import near_vectors
 
 
@@ -93,6 +93,33 @@ def test_simhash_groups_of_messy_rows(messy):
     assert {r.doc_id for r in kept.collect()} == {None} | {sets.root(i) for i, _ in named}
 
 
+def test_documents_of_five_word_similarity_are_one(frame, prose):
+    """Near copies whose fingerprints are far apart, and a crowd; against all pairs."""
+    r = np.random.default_rng(6)
+    texts = []
+    for k in range(8):
+        for changes in (0, 1, 2, 4):
+            words = prose(300 + k, 120).split()
+            for at in r.choice(120, changes, replace=False):
+                words[at] = f"w{len(texts)}x{at}"
+            texts.append(" ".join(words))
+    for n in range(40):
+        words = prose(400, 120).split()
+        for at in r.choice(120, 1 + n % 2, replace=False):
+            words[at] = f"w{r.integers(0, 9)}"
+        texts.append(" ".join(words))
+    grams = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    sets = Sets(range(len(texts)))
+    for i, a in enumerate(grams):
+        for j in range(i):
+            if len(a & grams[j]) >= 0.8 * len(a | grams[j]):
+                sets.link(i, j)
+    got = similar_groups(frame(list(enumerate(texts)))).collect()
+    assert {x.doc_id: x.component_id for x in got} == {n: sets.root(n) for n in range(len(texts))}
+    kept = simhash_dedup(frame(list(enumerate(texts[:8])))).select("doc_id").collect()
+    assert {x.doc_id for x in kept} == {sets.root(n) for n in range(8)}
+
+
 def test_empty_tables(spark, messy):
     none = messy.limit(0)
     assert simhash_groups(none).count() == 0 and simhash_dedup(none).count() == 0

@@ -11,11 +11,16 @@ fingerprints meet (a family of near copies) is not paired: its fingerprints list
 the 64 strings one bit away and themselves, and two of them are within two bits
 exactly if they list a string in common.  That is 65 rows each, whatever the size
 of the family, and no link is lost.
+
+That rule is the query's.  The pipeline's stage takes shingles of five words and Jaccard
+similarity 0.8, at which fingerprints differ in too many bits for keys like these.
+It files BANDS keys of ROWS minimum hashes each, under one of which 0.9998 of the pairs
+at J = 0.8 meet, and verifies every candidate by the exact similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,15 @@ from pyspark.sql import functions as F
 
 from tracefp.llm import golay
 from tracefp.llm.components import components
-from tracefp.llm.store import fresh
+from tracefp.llm.crowds import crowd_links
+from tracefp.llm.lines import _met
+from tracefp.llm.store import fresh, settled
 from tracefp.session import materialize
 
 SHINGLE_BLOCK = 1 << 15
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+BANDS, ROWS, HASH_BLOCK = 16, 4, 1 << 12
+MULTIPLIERS, OFFSETS = np.random.default_rng(23).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, False) | np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -127,21 +136,86 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing.  An empty table gives an empty table; further columns are not read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle).withColumnRenamed(id_col, "id"), "fingerprints")
+    return _grouped(rows, near_links).withColumnRenamed("id", id_col)
+
+
+def _grouped(rows: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows (id, fp) with component_id, by the links between the reps of (fp, rep)."""
     fps = materialize(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")), "fingerprints")
     ids = rows.where("id IS NOT NULL").join(fps, "fp")
     # an id whose rows have different texts joins their fingerprints
     several = ids.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z")
     bridges = several.join(ids, "id").select("a", F.col("rep").alias("b")).distinct()
-    groups = components(near_links(fps).unionByName(bridges))
+    groups = components(links_of(fps).unionByName(bridges))
     labels = fps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("label"))
     return rows.join(labels, "fp", "left").select(
-        F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("label")).alias("component_id"))
+        "id", "fp", F.when(F.col("id").isNotNull(), F.col("label")).alias("component_id"))
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """docs without the rows that are not the first of their group; rows without an id
+def word_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, keys: bool) -> DataFrame:
+    """(id, fp, hashes) for every row: fp is a hash of the words, zero without words; hashes
+    are those of the different shingles, or with ``keys`` their band keys.  Words
+    and shingles are those of ``fingerprint``."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    digest = xxhash.xxh64_intdigest
+
+    def one(text: str | None) -> tuple[int, np.ndarray]:
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not words:
+            return 0, np.zeros(0, np.int64)
+        size = min(shingle, len(words))
+        own = np.array(list({digest(b" ".join(words[k:k + size]), 42) for k in range(len(words) - size + 1)}), np.uint64)
+        if keys:
+            least = np.min([(own[k:k + HASH_BLOCK, None] * MULTIPLIERS + OFFSETS).min(0) for k in range(0, len(own), HASH_BLOCK)], 0)
+            own = np.array([digest(least[k:k + ROWS].tobytes(), k) for k in range(0, len(least), ROWS)], np.uint64)
+        return int(np.uint64(digest(b" ".join(words), 7)).astype(np.int64)), own.view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                made = [one(x.as_py()) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], pa.int64()),
+                                                  pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["id", "fp", "hashes"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long, hashes array<long>")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowd: int = 24) -> DataFrame:
+    """As simhash_groups, but fp is a hash of the words, and links are those of Jaccard
+    similarity ``similarity`` or more between the sets of word shingles.  Texts without
+    words are equal.  In a band of more than ``crowd`` texts each is compared with
+    few others, and ``crowd_links`` finds the links that are missing then."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settled(word_sets(docs, id_col, text_col, shingle, True), "keys")
+
+    def links_of(fps: DataFrame) -> DataFrame:
+        kinds = rows.join(fps.select("fp"), "fp").dropDuplicates(["fp"])
+        pairs, crowded = _met(kinds.select(F.explode("hashes").alias("key"), F.col("fp").alias("line")), crowd, parts, True)
+        pairs, crowded = settled(pairs, "pairs"), settled(crowded.withColumnRenamed("line", "fp"), "crowded")
+        wanted = settled(pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(crowded).distinct(), "wanted")
+        ids = fps.join(wanted, "fp").select("rep").distinct()
+        texts = docs.join(ids, docs[id_col] == ids["rep"], "left_semi")
+        sets = word_sets(texts, id_col, text_col, shingle, False).join(wanted, "fp").dropDuplicates(["fp"])
+        sets = settled(sets.select(F.col("fp").alias("node"), F.col("hashes").alias("set")), "sets")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        links = settled(both.where(common >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"), "links")
+        if not crowded.isEmpty():
+            links = links.unionByName(crowd_links(sets.join(crowded.withColumnRenamed("fp", "node"), "node", "left_semi"), links, similarity))
+        # from texts to the ids that stand for them
+        return links.join(fps.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a").join(
+            fps.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+    return _grouped(rows.select("id", "fp"), links_of).withColumnRenamed("id", id_col)
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without the rows that are not the first of their group of
+    ``similar_groups``; rows without an id
     stay, and of rows that repeat an id all stay or go."""
-    groups = simhash_groups(docs, id_col, text_col, shingle)
+    groups = similar_groups(docs, id_col, text_col, shingle, similarity)
     mark = fresh(docs, "gone")
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()
     return docs.join(gone, docs[id_col] == F.col(mark), "left_anti")
