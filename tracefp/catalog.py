@@ -13,11 +13,12 @@ from tracefp.functions import fingerprints as ff
 from tracefp.functions import headers as fh
 from tracefp.functions import requests as fr
 from tracefp.operators import attribution, beacon, sequences
-from tracefp.plans import behaviour, features, http, model, tls, traces
+from tracefp.plans import behaviour, features, http, model, running, tls, traces
 from tracefp.schema import TRACKED_HEADERS
 from tracefp.session import materialize, shared_dir
 from tracefp.sources import logs, tables
 from tracefp.streaming import live
+from tracefp.streaming import running as live_running
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -958,17 +959,21 @@ def score_prefixes(spark, d):
 
 
 def event_stream(spark, d, parts=4):
-    """The events table as a stream of files in order of time, one file a micro-batch."""
+    """The events table as a stream of files in order of time, several files a micro-batch.
+
+    Files are written by range of time, so no task writes the whole table; a file name
+    begins with its partition, and micro-batches take files in the order of their names'
+    times, which one writing job per range keeps."""
     events = views.table(spark, d, "events")
     folder = shared_dir(spark, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = events.select(F.percentile_approx(us, [k / parts for k in range(1, parts)], 1000)).first()[0]
-    low = None
+    low, files = None, 2
     for high in [*cuts, None]:
         part = events if low is None else events.where(us > low)
-        (part if high is None else part.where(us <= high)).coalesce(1).write.mode("append").parquet(folder)
+        (part if high is None else part.where(us <= high)).repartition(files, "event_id").write.mode("append").parquet(folder)
         low = high
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def run_to_table(spark, stream, purpose):
@@ -1026,18 +1031,78 @@ def stream_running_features(spark, d):
                                                  "req_rate_hz", "log_n_requests"))
 
 
+def trial_statistics(spark, d, every=25):
+    """The running statistics of the whole events table as a stream."""
+    events = event_stream(spark, d)
+    signals = running.running_signals(views.requests_from(events), views.interactions_from(events), VIEW_PAGES, VIEW_NO_FORMS)
+    return live_running.stream_statistics(signals, VIEW_PAGES, VIEW_NO_FORMS, every=every)
+
+
+@query
+def stream_features(spark, d):
+    """All four feature sets at the last checkpoint of each trial, from keyed state."""
+    stats = run_to_table(spark, trial_statistics(spark, d), "statistics")
+    last = (stats.select(*K, F.struct("n_requests", "n_int_events").alias("at"), F.struct(*stats.columns).alias("row"))
+            .groupBy(*K).agg(F.max_by("row", "at").alias("row")).select("row.*"))
+    sets = running.running_features(last, VIEW_PAGES, VIEW_NO_FORMS, keys=K)
+    named = [df.select(*K, *[F.col(c).alias(f"{'l' if n == 'tls' else n[0]}_{c}") for c in df.columns if c not in K]) for n, df in sets.items()]
+    out = named[0]
+    for df in named[1:]:
+        out = out.join(df, K)
+    return r6(out)
+
+
+def saved_tables(spark, d, classifier=None):
+    """The five models of each half of the trials, saved and loaded again, and the half of a trial."""
+    fold = F.pmod(F.xxhash64("agent", "trial"), F.lit(2)).cast("int")
+    tables, labels = model.model_tables({n: materialize(df.withColumn("fold", fold), f"whole-{n}") for n, df in aligned(spark, d).items()})
+    models, folder = model.train_tables(tables, labels, (0, 1), classifier), shared_dir(spark, "models")
+    for (name, held), fitted in models.items():
+        model.save_model(fitted, f"{folder}/{name}-{held}")
+    return {(n, h): model.load_model(f"{folder}/{n}-{h}") for n, h in models}, fold
+
+
+_scored: dict[tuple[str, str], str] = {}
+
+
+def scored_stream(spark, d):
+    """Every checkpoint scored; a session streams a folder once for the queries that read the scores."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _scored:
+        models, fold = saved_tables(spark, d)
+        out = shared_dir(spark, "scored")
+        live_running.stream_scoring(trial_statistics(spark, d), models, fold, out, shared_dir(spark, "scored-cp"), VIEW_PAGES,
+                                    VIEW_NO_FORMS).awaitTermination()
+        _scored[at] = out
+    return live_running.checkpoint_votes(spark.read.parquet(_scored[at]).drop("epoch"))
+
+
+SCORED_AT = [*K, "id", "checkpoint", "page_index", "event_index", "page_path", "n_requests_seen", "n_int_events"]
+
+
 @query
 def stream_scoring(spark, d):
-    """Odd trials scored at every page request by a model of the even ones."""
-    r = req(spark, d)
-    even = F.substring("trial", 7, 20).cast("long") % 2 == 0
-    table = materialize(live.running_features(live.running_sums(live.signal_frame(r.where(even)))), "running")
-    labels = model.class_names(table)
-    fitted = model.train_classifier(model.with_label(table, labels), labels)
-    out = shared_dir(spark, "scored")
-    live.stream_scoring(views.requests_from(event_stream(spark, d)).where(~even), {"running": fitted}, out,
-                        shared_dir(spark, "scored-cp")).awaitTermination()
-    return spark.read.parquet(out).select(*K, "id", "table", "predicted", "confidence")
+    """Every checkpoint of every trial scored by the five models that did not see the trial."""
+    return scored_stream(spark, d).select(*SCORED_AT, "table", "predicted", "confidence", "distribution_json", "consensus", "votes", "n_models")
+
+
+@query
+def stream_scoring_checks(spark, d):
+    """Per checkpoint: tables scored, and whether classes, confidences, distributions and the vote hold together."""
+    s = stream_scoring(spark, d)
+    share = F.from_json("distribution_json", "map<string, double>")
+    known = [r[0] for r in req(spark, d).select("agent").distinct().collect()]
+    top = F.array_max(F.map_values(share))
+    per_class = s.groupBy(*SCORED_AT, "predicted").agg(F.count(F.lit(1)).alias("n"), F.max("votes").alias("votes"), F.max("consensus").alias("consensus"))
+    vote = per_class.groupBy(*SCORED_AT).agg(
+        ((F.max("n") == F.max("votes")) & (F.min(F.struct(-F.col("n"), "predicted"))["predicted"] == F.max("consensus"))).alias("vote_holds"))
+    return s.groupBy(*SCORED_AT).agg(
+        F.countDistinct("table").alias("n_tables"), F.max("n_models").alias("n_models"), F.bool_and(F.col("predicted").isin(known)).alias("known_class"),
+        F.bool_and(F.abs(top - F.col("confidence")) < 0.001).alias("confidence_is_top"),
+        F.bool_and(F.abs(F.aggregate(F.map_values(share), F.lit(0.0), lambda a, b: a + b) - 1) < 0.001).alias("sums_to_one"),
+        F.bool_and(F.size(share) == len(known)).alias("all_classes")).join(vote.alias("v"), [c for c in SCORED_AT if c not in ("page_index", "event_index")]) \
+        .select(*[F.col(c) for c in ("agent", "trial", "id", "checkpoint", "page_path", "n_requests_seen", "n_int_events", "n_tables", "n_models", "known_class",
+                                     "confidence_is_top", "sums_to_one", "all_classes", "vote_holds")])
 
 
 # ---------------------------------------------------------------- sources and sinks

@@ -1,9 +1,12 @@
 """DuckDB checks of alignment, preparation and evaluation."""
 
+import re
+
 from tracefp.oracles import interaction as ixo
 from tracefp.oracles import traces as tro
 from tracefp.oracles import web
-from tracefp.oracles.base import query, r6
+from tracefp.oracles.base import _CTES, query, r6
+from tracefp.oracles.joins import CPS
 
 K = "agent, trial"
 
@@ -75,7 +78,32 @@ _LIVE = [(c, f"coalesce(CAST({c} AS DOUBLE), 0)" if c in ("priority_correct_rate
           else f"TRY_CAST({c} AS DOUBLE)") for c in (*web.HTTP_DOUBLE, *web.HTTP_OTHER)
          if c not in ("sf_site_mode", "ua_family_mode", "ua_os_mode", "nonstandard_names")]
 
+def _whole(sql: str) -> str:
+    return re.sub(r"\b(req|ix)\b", r"\1_all", sql)
+
+
+# requests and events up to the last checkpoint of each trial, behind the names of the whole tables
+_FIRES = "pg OR (kind = 1 AND since > 0 AND since % 25 = 0)"
+CUT = {
+    "req_all": _CTES["req"], "ix_all": _CTES["ix"], **{n: _whole(q) for n, q in CPS.items()},
+    "last": f"SELECT {K}, max(struct_pack(us := us, kind := kind, id := id)) AS c FROM s3 WHERE {_FIRES} GROUP BY {K}",
+    "req": f"SELECT r.* FROM req_all r JOIN last USING ({K}) WHERE r.us < c.us OR r.us = c.us AND (c.kind = 1 OR r.id <= c.id)",
+    "ix": f"SELECT i.* FROM ix_all i JOIN last USING ({K}) WHERE i.us < c.us OR i.us = c.us AND c.kind = 1 AND i.id <= c.id",
+    "typed": _CTES["typed"]}
+_SETS = (("t", "temporal", tro.T_COLS, []), ("h", "htf", web.HTTP_DOUBLE, web.HTTP_OTHER),
+         ("l", "ttf", [c for c in web.TLS_COLS if c not in web.TLS_INT], [c for c in web.TLS_COLS if c in web.TLS_INT]),
+         ("b", "behf", _BEH_DBL, _BEH_INT))
+
 SQL = {
+    "stream_features": query(
+        f"SELECT {K}, " + ", ".join(
+            [r6(f"{src}.{c}", f"{p}_{c}") for p, src, doubles, _ in _SETS for c in doubles]
+            + [f"{src}.{c} AS {p}_{c}" for p, src, _, others in _SETS for c in others])
+        + f" FROM temporal JOIN htf USING ({K}) JOIN ttf USING ({K}) JOIN behf USING ({K})", extra={**CUT, **SETS}),
+    "stream_scoring_checks": query(
+        f"""SELECT {K}, id, CASE WHEN pg THEN 'page' ELSE 'event' END AS checkpoint, coalesce(page_path, '') AS page_path,
+        CAST(n_req AS BIGINT) AS n_requests_seen, CAST(n_int AS BIGINT) AS n_int_events, 5 AS n_tables, 5 AS n_models, true AS known_class,
+        true AS confidence_is_top, true AS sums_to_one, true AS all_classes, true AS vote_holds FROM s3 WHERE {_FIRES}""", "req", "ix", extra=CPS),
     "behaviour_trial_features": query(
         f"SELECT {K}, {', '.join(_BEH_INT)}, {', '.join(r6(c, c) for c in _BEH_DBL)} FROM behf", "ix", extra=BEH),
     "align_feature_sets": query(
