@@ -17,7 +17,7 @@ from tracefp.plans import behaviour, features, http, model, running, tls, traces
 from tracefp.schema import TRACKED_HEADERS
 from tracefp.session import materialize, shared_dir
 from tracefp.sources import logs, tables
-from tracefp.streaming import live
+from tracefp.streaming import beacons, live
 from tracefp.streaming import running as live_running
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -909,6 +909,22 @@ def cross_validate(spark, d):
     return model.cross_validate(table, labels, model.forest(**SMALL_FOREST), ["vec_id"])
 
 
+def folded_tables(spark, d, folds=5):
+    """The five model tables, written once, with the fold that all of them share."""
+    fold = F.pmod(F.substring("trial", 7, 20).cast("long"), F.lit(folds)).cast("int")
+    tables, labels = model.model_tables(aligned(spark, d))
+    return {n: materialize(df.withColumn("fold", fold), f"folded-{n}") for n, df in tables.items()}, labels
+
+
+@query
+def cross_validate_tables(spark, d):
+    """Trials held out of all five tables by shared folds, each predicted once by 200 trees."""
+    tables, labels = folded_tables(spark, d)
+    out = materialize(model.cross_validate_tables(tables, labels), "predictions")
+    return out.groupBy("table", *K, "fold").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("yhat").isin(labels)).alias("known_class"),
+                                                F.bool_and(F.col("y") == F.col("agent")).alias("true_class"))
+
+
 def saved_model(spark, d):
     table, labels = emb(spark, d)
     path = shared_dir(spark, "model")
@@ -958,12 +974,12 @@ def score_prefixes(spark, d):
 # ---------------------------------------------------------------- streaming
 
 
-def event_stream(spark, d, parts=4):
+def event_stream(spark, d, parts=4, heartbeat=False):
     """The events table as a stream of files in order of time, several files a micro-batch.
 
-    Files are written by range of time, so no task writes the whole table; a file name
-    begins with its partition, and micro-batches take files in the order of their names'
-    times, which one writing job per range keeps."""
+    Each range of time is written by its own job and several tasks; a micro-batch takes
+    the files of one job.  A heartbeat is one row more, without a client, a month
+    after the last."""
     events = views.table(spark, d, "events")
     folder = shared_dir(spark, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -973,6 +989,10 @@ def event_stream(spark, d, parts=4):
         part = events if low is None else events.where(us > low)
         (part if high is None else part.where(us <= high)).repartition(files, "event_id").write.mode("append").parquet(folder)
         low = high
+    if heartbeat:
+        last = events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+        (last.select(*[F.col("ts").cast(t).alias(c) if c == "ts" else F.lit("heartbeat" if c == "event_type" else None).cast(t).alias(c)
+                       for c, t in events.dtypes]).write.mode("append").parquet(folder))
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
@@ -1007,11 +1027,20 @@ def stream_input_monitor(spark, d):
     return run_to_table(spark, live.stream_input_monitor(views.interactions_from(event_stream(spark, d))), "inputs")
 
 
+BEACON_STREAM = {"delay": "0 seconds", "slice_us": 86_400_000_000, **VIEW_WINDOWS}
+
+
 @query
 def stream_beacon_filter(spark, d):
-    """Posts decided by the end of the stream."""
-    stream = views.requests_from(event_stream(spark, d))
-    out = live.stream_beacon_decisions(stream, delay="0 seconds", slice_us=86_400_000_000, **VIEW_WINDOWS)
+    """The kept requests of the stream, the last ones too."""
+    out = beacons.stream_beacon_filter(views.requests_from(event_stream(spark, d, heartbeat=True)), heartbeat=F.col("agent").isNull(), **BEACON_STREAM)
+    return run_to_table(spark, out, "filtered").select(*K, "id", "us", "method", "path", "referer", "body_size", "ua", F.size("header_names").alias("n_names"))
+
+
+@query
+def stream_beacon_decisions(spark, d):
+    """Every post of the stream with its decision."""
+    out = beacons.stream_beacon_decisions(views.requests_from(event_stream(spark, d, heartbeat=True)), heartbeat=F.col("agent").isNull(), **BEACON_STREAM)
     return run_to_table(spark, out, "beacons").select(*K, "id", "is_beacon")
 
 

@@ -25,8 +25,9 @@ def _bin(value: Column) -> Column:
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                      wanted: Mapping[str, float]) -> DataFrame:
-    """One row per key with linearly interpolated quantiles of `value`.
+                      wanted: Mapping[str, float], weight: str | None = None) -> DataFrame:
+    """One row per key with linearly interpolated quantiles of `value`; `weight` names a
+    column holding how many rows a row stands for.
 
     Counts per bin locate the bins that hold the wanted ranks; only rows of
     those bins are ranked.  Nulls are ignored; keys without values are absent.
@@ -36,7 +37,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     src = df.withColumn("_all", F.lit(1)) if whole else df
     counts = (src.where(F.col(value).isNotNull())
               .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n"))
+              .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
               .withColumn("_b", _bin(F.col("_v"))))
     by_key = Window.partitionBy(*keys)
     bins = (counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"))

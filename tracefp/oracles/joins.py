@@ -2,8 +2,8 @@
 
 from tracefp.oracles.base import query, r6
 from tracefp.oracles.traces import B as BEACONS
+from tracefp.oracles.traces import NOBEACON
 from tracefp.oracles.traces import T as TEMPORAL
-from tracefp.views import VIEW_UNLOAD_MS
 
 K = "agent, trial"
 WINS = {"w": "SELECT 'src_' || CAST(trial % 3 AS VARCHAR) AS agent, trial, s_us, e_us, rc FROM win"}
@@ -74,8 +74,8 @@ SQL = {
     "stream_input_monitor": query(f"SELECT {K}, id, us, session, page, type, target, log_event, detail FROM ix WHERE type IN "
                                   "('input', 'change', 'app_event')", "ix"),
     "stream_beacon_filter": query(
-        f"SELECT {K}, id, is_beacon FROM flagged WHERE us + {VIEW_UNLOAD_MS}000 < (SELECT (max(us) // 1000) * 1000 FROM req "
-        "WHERE path LIKE '%.html' OR method = 'POST')", "req", extra=BEACONS),
+        f"SELECT {K}, id, us, method, path, referer, body_size, ua, len(header_names) AS n_names FROM kept", "req", extra={**BEACONS, "kept": NOBEACON}),
+    "stream_beacon_decisions": query(f"SELECT {K}, id, is_beacon FROM flagged", "req", extra=BEACONS),
     "stream_checkpoints": query(
         f"""SELECT {K}, id, us, CASE WHEN pg THEN 'page' ELSE 'event' END AS checkpoint, CASE WHEN pg THEN CAST(seg AS BIGINT) END AS page_index,
         CASE WHEN NOT pg THEN CAST(n_int AS BIGINT) END AS event_index, coalesce(page_path, '') AS page_path,

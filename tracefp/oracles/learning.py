@@ -94,6 +94,11 @@ _SETS = (("t", "temporal", tro.T_COLS, []), ("h", "htf", web.HTTP_DOUBLE, web.HT
          ("l", "ttf", [c for c in web.TLS_COLS if c not in web.TLS_INT], [c for c in web.TLS_COLS if c in web.TLS_INT]),
          ("b", "behf", _BEH_DBL, _BEH_INT))
 
+_TABLES = (
+    ("temporal", "temporal SEMI JOIN htf USING (agent, trial)"), ("http", "htf SEMI JOIN temporal USING (agent, trial)"),
+    ("tls", "ttf SEMI JOIN htf USING (agent, trial)"), ("behavioural", "bc SEMI JOIN htf USING (agent, trial)"),
+    ("combined", "htf SEMI JOIN bc USING (agent, trial)"))
+
 SQL = {
     "stream_features": query(
         f"SELECT {K}, " + ", ".join(
@@ -164,11 +169,12 @@ SQL = {
             f"round(max(CASE WHEN tbl = '{t}' THEN accuracy END), 4) AS accuracy_{t}, round(max(CASE WHEN tbl = '{t}' THEN f1 END), 4) AS f1_macro_{t}"
             for t in ("t0", "t1", "t2")) + " FROM fm GROUP BY n_req", "pred", extra={**PT, **confusion("n_req, tbl", "pt")}),
     "class_f1_over_requests": query("SELECT n_req, class, round(f1, 4) AS f1 FROM cr", "pred", extra={**PT, **confusion("n_req", "pt")}),
+    "cross_validate_tables": query(
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS "table", {K}, CAST(CAST(substr(trial, 7) AS BIGINT) % 5 AS INT) AS fold, 1 AS n, true AS known_class, true AS true_class
+            FROM {src}""" for name, src in _TABLES), "typed", "ix", extra=SETS),
     "model_tables": query(
         " UNION ALL ".join(
             f"""SELECT '{name}' AS "table", agent, CAST(dense_rank() OVER (ORDER BY agent) - 1 AS DOUBLE) AS label, count(*) AS n_trials
-            FROM {src} GROUP BY agent""" for name, src in (
-                ("temporal", "temporal SEMI JOIN htf USING (agent, trial)"), ("http", "htf SEMI JOIN temporal USING (agent, trial)"),
-                ("tls", "ttf SEMI JOIN htf USING (agent, trial)"), ("behavioural", "bc SEMI JOIN htf USING (agent, trial)"),
-                ("combined", "htf SEMI JOIN bc USING (agent, trial)"))), "typed", "ix", extra=SETS),
+            FROM {src} GROUP BY agent""" for name, src in _TABLES), "typed", "ix", extra=SETS),
 }

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import (CountVectorizerModel, IndexToString, SQLTransformer, StringIndexer,
+from pyspark.ml.feature import (CountVectorizerModel, IndexToString, SQLTransformer, StringIndexer, StringIndexerModel,
                                 VarianceThresholdSelector, VectorAssembler, VectorSizeHint)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -193,7 +193,11 @@ def median_stage(df: DataFrame, columns: Sequence[str]) -> SQLTransformer:
     """<column>_full for each column: missing numbers become the exact median of df's rows,
     which is kept in the stage, so live rows get the training rows' medians."""
     known = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
-    row = column_medians(known, columns).first()
+    return filled_stage(column_medians(known, columns).first().asDict())
+
+
+def filled_stage(row: Mapping[str, float]) -> SQLTransformer:
+    columns = list(row)
     full = ", ".join(f"coalesce(nanvl(CAST(`{c}` AS DOUBLE), CAST(NULL AS DOUBLE)), CAST('{row[c]!r}' AS DOUBLE)) AS `{c}_full`" for c in columns)
     return SQLTransformer(statement=f"SELECT *, {full} FROM __THIS__")
 
@@ -268,6 +272,80 @@ def cross_validate(table: DataFrame, labels: Sequence[str], classifier=None, key
         return reduce(DataFrame.unionByName, pool.map(one, folds))
 
 
+def fold_encoders(table: DataFrame, folds: Sequence[int], exclude: Sequence[str] = NOT_FEATURES) -> dict[int, list]:
+    """The feature stages of every fold's model, from one pass over the table.
+
+    Values are counted once with their fold; what a fold's training rows hold is the
+    whole table's counts less the fold's own, so medians, category codes and header
+    names are exact for each fold without reading the table again for it.
+    """
+    types = dict(table.dtypes)
+    numeric = [c for c in numeric_columns(table, exclude)]
+    category = [c for c in CATEGORICAL if types.get(c) == "string"]
+    held = F.explode(F.array(*[F.lit(f) for f in folds])).alias("held")
+    value = F.nanvl("value", F.lit(None).cast("double"))
+    by_fold = (_long(table, numeric, ["fold"]).select("feature", "fold", value.alias("value")).where("value IS NOT NULL")
+               .groupBy("feature", "value").pivot("fold", list(folds)).agg(F.count(F.lit(1))))
+    every = reduce(lambda a, b: a + b, [F.coalesce(F.col(str(f)), F.lit(0)) for f in folds])
+    own = F.create_map(*[x for f in folds for x in (F.lit(f), F.coalesce(F.col(str(f)), F.lit(0)))])
+    rest = (by_fold.select("feature", "value", every.alias("all"), own.alias("own"), held)
+            .select("feature", "value", "held", (F.col("all") - F.col("own")[F.col("held")]).alias("n")).where("n > 0"))
+    medians: dict[int, dict[str, float]] = {f: {} for f in folds}
+    for r in grouped_quantiles(rest, ["feature", "held"], "value", {"median": 0.5}, weight="n").collect():
+        medians[r["held"]][r["feature"]] = r["median"]
+
+    def seen(column: str, values: DataFrame) -> dict[int, list[str]]:
+        """Values that occur outside each fold, sorted; beyond MAX_NAMES is an error."""
+        rows = values.where(F.col("v") != "").groupBy("v").agg(F.collect_set("fold").alias("folds")).limit(MAX_NAMES + 1).collect()
+        if len(rows) > MAX_NAMES:
+            raise ValueError(f"{column} holds more than {MAX_NAMES} values")
+        return {f: sorted(r["v"] for r in rows if set(r["folds"]) - {f}) for f in folds}
+
+    labels = {c: seen(c, table.select(F.col(c).alias("v"), "fold").distinct()) for c in category}
+    has_names = types.get(NAME_LIST) == "array<string>"
+    names = seen(NAME_LIST, table.select(F.explode(NAME_LIST).alias("v"), "fold").distinct()) if has_names else {f: [] for f in folds}
+    out = {}
+    for f in folds:
+        stages: list = []
+        if category:
+            stages.append(StringIndexerModel.from_arrays_of_labels([labels[c][f] for c in category], inputCols=category,
+                                                                   outputCols=[f"{c}_code" for c in category], handleInvalid="keep"))
+        if names[f]:
+            stages.append(CountVectorizerModel.from_vocabulary(names[f], inputCol=NAME_LIST, outputCol="_names", binary=True))
+        full = {c: medians[f][c] for c in numeric if c in medians[f]}
+        stages.append(filled_stage(full))
+        parts = [f"{c}_code" for c in category] + ["_names"] * bool(names[f]) + [f"{c}_full" for c in full]
+        stages += [VectorAssembler(inputCols=parts, outputCol="_raw", handleInvalid="keep"),
+                   VarianceThresholdSelector(featuresCol="_raw", outputCol="features", varianceThreshold=0.0)]
+        out[f] = stages
+    return out
+
+
+def cross_validate_tables(tables: Mapping[str, DataFrame], labels: Sequence[str], classifier=None, keys: Sequence[str] = TRIAL_KEY,
+                          parallel: int = 4) -> DataFrame:
+    """(table, keys, fold, y, yhat): every row of every table by the model that did not see its fold.
+
+    The tables carry `fold` and share it, so a trial is held out of all of them at
+    once.  Each is read for its encoders once; a (table, fold) fit is one pipeline over
+    the same written rows behind a filter.
+    """
+    exclude = {*NOT_FEATURES, *keys}
+    names = IndexToString(inputCol="prediction", outputCol="yhat", labels=list(labels))
+    jobs = []
+    for name, df in tables.items():
+        folds = [r[0] for r in df.select("fold").distinct().orderBy("fold").collect()]
+        jobs += [(name, f, stages) for f, stages in fold_encoders(df, folds, exclude).items()]
+
+    def one(job) -> DataFrame:
+        name, f, stages = job
+        df = tables[name].where(F.col("label").isNotNull())
+        fitted = Pipeline(stages=[*stages, classifier or forest(), names]).fit(df.where(F.col("fold") != f))
+        return fitted.transform(df.where(F.col("fold") == f)).select(F.lit(name).alias("table"), *keys, "fold", F.col("agent").alias("y"), "yhat")
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, jobs))
+
+
 # ---- scoring -------------------------------------------------------------------
 
 
