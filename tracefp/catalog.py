@@ -13,7 +13,7 @@ from tracefp.functions import fingerprints as ff
 from tracefp.functions import headers as fh
 from tracefp.functions import requests as fr
 from tracefp.operators import attribution, beacon, sequences
-from tracefp.plans import behaviour, features, http, model, running, tls, traces
+from tracefp.plans import behaviour, features, http, model, prefixes, running, tls, traces
 from tracefp.schema import TRACKED_HEADERS
 from tracefp.session import materialize, shared_dir
 from tracefp.sources import logs, tables
@@ -957,18 +957,52 @@ def compare_models(spark, d):
     return r6(model.compare_models(table, labels, 20, 5, ["vec_id"]).drop("tp"))
 
 
+_models: dict[tuple[str, str], tuple] = {}
+
+
+def saved_tables(spark, d):
+    """The five models of each half of the trials, saved and loaded again, and the half of
+    a trial; a session trains them once for the queries that score with them."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _models:
+        fold = F.pmod(F.xxhash64("agent", "trial"), F.lit(2)).cast("int")
+        tables, labels = model.model_tables({n: materialize(df.withColumn("fold", fold), f"whole-{n}") for n, df in aligned(spark, d).items()})
+        models, folder = model.train_tables(tables, labels, (0, 1)), shared_dir(spark, "models")
+        for (name, held), fitted in models.items():
+            model.save_model(fitted, f"{folder}/{name}-{held}")
+        _models[at] = {(n, h): model.load_model(f"{folder}/{n}-{h}") for n, h in models}, fold
+    return _models[at]
+
+
+def prefix_tables(spark, d):
+    stats = prefixes.prefix_statistics(req(spark, d), ix(spark, d), pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS)
+    return prefixes.prefix_tables(materialize(stats, "prefix-statistics"), pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS)
+
+
+@query
+def prefix_features(spark, d):
+    """Features of every request prefix, from one pass of running statistics."""
+    return r6(prefix_tables(spark, d)["combined"].select(
+        *K, "n_req", "req_rate_hz", "iri_median_ms", "n_headers_mean", "ua_family_mode", "f7_ja3_diversity", "n_events", "n_keydowns", "iei_median_ms",
+        "iei_p95_ms", "page_dwell_max_s"))
+
+
 @query
 def score_prefixes(spark, d):
     """Five tables, every prefix scored by the model that held its trial out."""
-    r, e = req(spark, d), ix(spark, d)
-    held = F.pmod(F.xxhash64("trial"), F.lit(2)).cast("int")
-    parts = model.align_feature_sets(keys=(*K, "n_req"), **features.prefix_feature_sets(
-        r, e, pages=VIEW_PAGES, no_forms=VIEW_NO_FORMS))
-    tables, labels = model.model_tables({
-        n: materialize(df.withColumn("fold", held), f"whole-{n}") for n, df in aligned(spark, d).items()})
-    models = model.train_tables(tables, labels, (0, 1), model.forest(10, 6))
-    prefix_sets = {n: df.withColumn("fold", held) for n, df in parts.items()}
-    return model.score_prefixes(prefix_sets, models)
+    models, fold = saved_tables(spark, d)
+    return prefixes.score_prefixes(prefix_tables(spark, d), models, fold)
+
+
+@query
+def metrics_over_prefixes(spark, d):
+    """The scored prefixes by length: trials, and whether every table has its metrics."""
+    scored = materialize(score_prefixes(spark, d), "scored-prefixes")
+    m = model.metrics_over_requests(scored, model.TABLES)
+    names = [c for c in m.columns if c not in ("n_req", "n_trials")]
+    per_table = scored.groupBy("n_req").pivot("table", model.TABLES).agg(F.count("yhat"))
+    return m.join(per_table.withColumnsRenamed({t: f"n_{t}" for t in model.TABLES}), "n_req").select(
+        "n_req", "n_trials", *[f"n_{t}" for t in model.TABLES], F.forall(F.array(*names), lambda v: v.between(0, 1)).alias("metrics_hold"))
 
 
 # ---------------------------------------------------------------- streaming
@@ -1081,16 +1115,6 @@ def stream_features(spark, d):
     return r6(out)
 
 
-def saved_tables(spark, d, classifier=None):
-    """The five models of each half of the trials, saved and loaded again, and the half of a trial."""
-    fold = F.pmod(F.xxhash64("agent", "trial"), F.lit(2)).cast("int")
-    tables, labels = model.model_tables({n: materialize(df.withColumn("fold", fold), f"whole-{n}") for n, df in aligned(spark, d).items()})
-    models, folder = model.train_tables(tables, labels, (0, 1), classifier), shared_dir(spark, "models")
-    for (name, held), fitted in models.items():
-        model.save_model(fitted, f"{folder}/{name}-{held}")
-    return {(n, h): model.load_model(f"{folder}/{n}-{h}") for n, h in models}, fold
-
-
 _scored: dict[tuple[str, str], str] = {}
 
 

@@ -92,7 +92,12 @@ def _gap_stats(df: DataFrame, keys, name: str) -> DataFrame:
 
 
 def focus_to_input(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
-    """Gap from each focus to the first later input on the same element.
+    """Gap from each focus to the first later input on the same element."""
+    return _gap_stats(focus_ends(df, keys, slice_us), keys, "focus_to_input")
+
+
+def focus_ends(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
+    """Each focus with the time of the first later input on the same element in `_next`.
 
     An input belongs to a focus when its target starts with the focus target up
     to the bracket.  Distinct input targets are expanded into their prefixes and
@@ -114,7 +119,7 @@ def focus_to_input(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
     rows = focus.select(*keys, "_pre", "id", "us", F.lit(False).alias("_is_input")).unionByName(matched)
     out = ordered_columns(rows, next_time("_next", F.col("_is_input")), keys=[*keys, "_pre"],
                           slice_us=slice_us)
-    return _gap_stats(out.where(~F.col("_is_input")), keys, "focus_to_input")
+    return out.where(~F.col("_is_input"))
 
 
 def click_hold(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
@@ -135,10 +140,15 @@ def navigation_gap(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
 
 def load_to_first_action(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
     """Gap from each page load to the next user event on the same page."""
+    return _gap_stats(load_ends(df, keys, slice_us), keys, "load_to_first_interact")
+
+
+def load_ends(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
+    """Each page load with the time of the next user event on the same page in `_next`."""
     rows = df.select(*keys, "page", "id", "us", is_page_load().alias("_load"))
     out = ordered_columns(rows, next_time("_next", ~F.col("_load")), keys=[*keys, "page"],
                           slice_us=slice_us)
-    return _gap_stats(out.where("_load"), keys, "load_to_first_interact")
+    return out.where("_load")
 
 
 def first_interaction_latency(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:

@@ -6,7 +6,7 @@ from tracefp.oracles import interaction as ixo
 from tracefp.oracles import traces as tro
 from tracefp.oracles import web
 from tracefp.oracles.base import _CTES, query, r6
-from tracefp.oracles.joins import CPS
+from tracefp.oracles.joins import CPS, PRE
 
 K = "agent, trial"
 
@@ -99,7 +99,35 @@ _TABLES = (
     ("tls", "ttf SEMI JOIN htf USING (agent, trial)"), ("behavioural", "bc SEMI JOIN htf USING (agent, trial)"),
     ("combined", "htf SEMI JOIN bc USING (agent, trial)"))
 
+_AT = f"{K}, n_req"
+PREFIX = {
+    **PRE,
+    "pr": f"""SELECT *, us - lag(us) OVER (PARTITION BY {_AT} ORDER BY us, id) AS gap FROM (SELECT p.n_req, u.*, u.ua_family AS fam FROM pre p
+ JOIN u ON u.agent = p.agent AND u.trial = p.trial AND u.id = p.id WHERE NOT (u.method = 'POST' AND u.path = '/collect'))""",
+    "fams": f"SELECT {_AT}, fam, row_number() OVER (PARTITION BY {_AT} ORDER BY count(*) DESC, fam) AS place FROM pr GROUP BY {_AT}, fam",
+    "pf": f"""SELECT {_AT}, CASE WHEN max(us) > min(us) THEN count(*) / ((max(us) - min(us)) / 1e6) ELSE 0 END AS req_rate_hz,
+ coalesce(quantile_cont(gap, 0.5) / 1000.0, 0) AS iri_median_ms, avg(len(header_names)) AS n_headers_mean, count(DISTINCT ja3) / count(*) AS f7_ja3_diversity
+ FROM pr GROUP BY {_AT}""",
+    "pe": f"""SELECT c.n_req, i.*, coalesce(i.type = 'page' AND i.action = 'load', false) AS load FROM cut c
+ JOIN ix i ON i.agent = c.agent AND i.trial = c.trial AND i.us <= c.cutoff_us""",
+    "pg": f"""SELECT *, us - lag(us) OVER w AS g, sum((NOT load)::INT) OVER w - (NOT load)::INT AS users FROM pe WINDOW w AS (PARTITION BY {_AT} ORDER BY us, id)""",
+    "pb": f"""SELECT {_AT}, count_if(NOT load) AS n_events, count_if(type = 'keydown') AS n_keydowns,
+ quantile_cont(CASE WHEN NOT load AND users > 0 AND g > 0 THEN g END, 0.5) / 1000.0 AS iei_median_ms,
+ quantile_cont(CASE WHEN NOT load AND users > 0 AND g > 0 THEN g END, 0.95) / 1000.0 AS iei_p95_ms FROM pg GROUP BY {_AT} HAVING count_if(NOT load) > 0""",
+    "pd": f"""SELECT {_AT}, max(d) AS page_dwell_max_s FROM (SELECT {_AT}, page, CASE WHEN count(*) > 1 THEN (max(us) - min(us)) / 1e6 END AS d FROM pe
+ WHERE NOT load GROUP BY {_AT}, page) GROUP BY {_AT}"""}
+
 SQL = {
+    "prefix_features": query(
+        f"SELECT {K}, CAST(n_req AS INT) AS n_req, {r6('req_rate_hz', 'req_rate_hz')}, {r6('iri_median_ms', 'iri_median_ms')}, "
+        f"{r6('n_headers_mean', 'n_headers_mean')}, fam AS ua_family_mode, {r6('f7_ja3_diversity', 'f7_ja3_diversity')}, n_events, n_keydowns, "
+        f"{r6('iei_median_ms', 'iei_median_ms')}, {r6('iei_p95_ms', 'iei_p95_ms')}, {r6('page_dwell_max_s', 'page_dwell_max_s')} "
+        f"FROM pf JOIN pb USING ({_AT}) LEFT JOIN pd USING ({_AT}) LEFT JOIN (SELECT * FROM fams WHERE place = 1) USING ({_AT})", "typed", "ix",
+        extra={"u": web.UA, **PREFIX}),
+    "metrics_over_prefixes": query(
+        f"""SELECT CAST(n_req AS INT) AS n_req, count(*) AS n_trials, count(*) AS n_temporal, count(*) AS n_http, count(*) AS n_tls,
+        count(pb.n_events) AS n_behavioural, count(pb.n_events) AS n_combined, true AS metrics_hold FROM pf LEFT JOIN pb USING ({_AT}) GROUP BY n_req""",
+        "typed", "ix", extra={"u": web.UA, **PREFIX}),
     "stream_features": query(
         f"SELECT {K}, " + ", ".join(
             [r6(f"{src}.{c}", f"{p}_{c}") for p, src, doubles, _ in _SETS for c in doubles]

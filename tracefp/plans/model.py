@@ -484,14 +484,3 @@ def train_tables(tables: Mapping[str, DataFrame], labels: Sequence[str], folds:
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         return dict(zip(jobs, pool.map(one, jobs)))
-
-
-def score_prefixes(feature_sets: Mapping[str, DataFrame], models: Mapping[tuple[str, int], PipelineModel],
-                   fold: str = "fold", keys: Sequence[str] = (*TRIAL_KEY, "n_req")) -> DataFrame:
-    """(agent, trial, n_req, table, y, yhat): prefixes scored by the model that held their trial out."""
-    parts = []
-    for (name, held), model in models.items():
-        rows = prepare(feature_sets[name]).where(F.col(fold) == held)
-        parts.append(model.transform(rows).select(
-            *keys, F.lit(name).alias("table"), F.col("agent").alias("y"), F.col("predicted").alias("yhat")))
-    return reduce(DataFrame.unionByName, parts)

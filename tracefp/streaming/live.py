@@ -1,22 +1,20 @@
-"""Structured Streaming forms of ingest, attribution, filtering, checkpoints and scoring."""
+"""Structured Streaming forms of ingest, attribution, checkpoints and running sums."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracefp.functions.events import input_event_monitor
-from tracefp.functions.requests import drop_collect_posts, is_collect_post, is_page
+from tracefp.functions.requests import drop_collect_posts, is_page
 from tracefp.operators.attribution import attribute_requests
-from tracefp.operators.ordered import halo_slices
-from tracefp.schema import BURST_WINDOW_MS, TRIAL_KEY, UNLOAD_WINDOW_MS
+from tracefp.schema import TRIAL_KEY
 
 # ---- ingest --------------------------------------------------------------------
 
@@ -48,69 +46,6 @@ def stream_input_monitor(stream: DataFrame) -> DataFrame:
     return input_event_monitor(stream)
 
 
-# ---- beacon filter --------------------------------------------------------------
-
-_DECISION = "agent string, trial string, id long, us long, is_beacon boolean"
-_HELD = "post_us array<long>, post_id array<long>, named array<boolean>, done array<boolean>, page_us array<long>"
-
-
-def stream_beacon_decisions(stream: DataFrame, unload_ms: int = UNLOAD_WINDOW_MS,
-                            burst_ms: int = BURST_WINDOW_MS, aggressive: bool = False,
-                            delay: str = "10 minutes", slice_us: int = 60_000_000) -> DataFrame:
-    """Collect posts with is_beacon once event time has passed both windows.
-
-    State is kept per (trial, time slice); rows near a slice edge are copied to
-    the neighbour, so no key holds more than one slice of a trial.  A group's
-    timer is the earliest undecided deadline.  Posts younger than the watermark
-    stay undecided until later events arrive.
-    """
-    unload, burst = int(unload_ms * 1000), int(burst_ms * 1000)
-    reach = max(unload, burst)
-    near = stream.where(is_collect_post() | is_page()).select(
-        *TRIAL_KEY, F.col("id").cast("long").alias("id"), "us", is_page().alias("page"),
-        F.coalesce(F.col("referer").rlike(r"\.html$"), F.lit(False)).alias("named"),
-        F.timestamp_micros("us").alias("event_ts")).withWatermark("event_ts", delay)
-    rows, cut, home = halo_slices(near, reach, slice_us=slice_us)
-
-    def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p_us, p_id, named, done, g_us = state.get if state.exists else ([], [], [], [], [])
-        p_us, p_id, named, done, g_us = list(p_us), list(p_id), list(named), list(done), list(g_us)
-        if not state.hasTimedOut:
-            for b in batches:
-                g_us += b.loc[b["page"], "us"].tolist()
-                posts = b.loc[~b["page"]]
-                p_us += posts["us"].tolist()
-                p_id += posts["id"].tolist()
-                named += posts["named"].tolist()
-                # copies from the neighbour slice only serve as context
-                done += (~posts[home]).tolist()
-        mark = state.getCurrentWatermarkMs() * 1000
-        pages, posts = np.sort(np.array(g_us, np.int64)), np.sort(np.array(p_us, np.int64))
-        at, open_ = np.array(p_us, np.int64), ~np.array(done, bool)
-        due = np.nonzero(open_ & (at + reach < mark))[0]
-        us = at[due]
-        follows = pages.searchsorted(us + unload, "right") > pages.searchsorted(us, "right")
-        crowd = posts.searchsorted(us + burst, "right") - posts.searchsorted(us - burst, "left") > 1
-        beacon = follows & (aggressive | crowd | np.array(named, bool)[due])
-        out = pd.DataFrame({"agent": key[0], "trial": key[1], "id": np.array(p_id, np.int64)[due], "us": us, "is_beacon": beacon})
-        for i in due:
-            done[i] = True
-        open_us = [us for us, d in zip(p_us, done) if not d]
-        if open_us:
-            state.update((p_us, p_id, named, done, g_us))
-            state.setTimeoutTimestamp(max((min(open_us) + reach) // 1000 + 1, mark // 1000 + 1))
-        elif max([*p_us, *g_us], default=0) + 2 * reach < mark:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((p_us, p_id, named, done, g_us))
-            state.setTimeoutTimestamp(max((max([*p_us, *g_us]) + 2 * reach) // 1000 + 1, mark // 1000 + 1))
-        yield out
-
-    return rows.groupBy(*TRIAL_KEY, cut).applyInPandasWithState(
-        decide, _DECISION, _HELD, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 # ---- checkpoints -------------------------------------------------------------------
 
 _COUNTERS = "n_int long, n_req long, n_page long, base long, last_path string"
@@ -165,7 +100,7 @@ def stream_checkpoints(stream: DataFrame, every: int = 50, idle_ms: int = IDLE_M
     return rows.groupBy(*TRIAL_KEY).applyInPandasWithState(step, out_schema, _COUNTERS, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-# ---- scoring -------------------------------------------------------------------------
+# ---- running sums -------------------------------------------------------------------------
 
 RUNNING_SHARES = {
     "sf_site_none_rate": "sf_site_none", "sf_violation_rate": "sf_any_violation",
@@ -240,23 +175,3 @@ def stream_running_sums(requests: DataFrame, idle_ms: int = IDLE_MS, delay: str
     return signals.groupBy(*TRIAL_KEY).applyInPandasWithState(
         step, f"agent string, trial string, id {kind}, n_requests long, start_us long, last_us long, {numbers}",
         f"n long, start_us long, last_us long, {numbers}", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_scoring(requests: DataFrame, models: Mapping[str, PipelineModel], out: str, checkpoint: str,
-                   available_now: bool = True) -> StreamingQuery:
-    """One scored row per page request, model and trial, on all that was seen until then.
-
-    A batch's rows are files named by its epoch, so a repeated batch overwrites
-    what its first attempt left.
-    """
-    from tracefp.plans.model import score_with_confidence
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        rows = running_features(batch).persist()
-        for name, model in models.items():
-            (score_with_confidence(model, rows, (*TRIAL_KEY, "id")).drop("distribution").withColumn("table", F.lit(name))
-             .write.mode("overwrite").parquet(f"{out}/epoch={epoch}/model={name}"))
-        rows.unpersist()
-
-    writer = stream_running_sums(requests).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
