@@ -719,6 +719,62 @@ def fingerprint_union(spark, d):
     return attribution.fingerprint_union(attribution.attribution_values(attributed(spark, d)))
 
 
+@query
+def source_value_counts(spark, d):
+    """Header orders, paths and HTTP/2 fingerprints of each source, with their trials and requests."""
+    return attribution.fingerprint_union(attribution.attribution_values(attributed(spark, d)), ("header_order", "path", "h2_fp"))
+
+
+def trial_spans(spark, d):
+    """(n, s, e): first and last event of each trial."""
+    return views.table(spark, d, "events").groupBy(F.col("user_id").alias("n")).agg(
+        F.min("ts").cast("timestamp").alias("s"), F.max("ts").cast("timestamp").alias("e"))
+
+
+def iso(c):
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+@query
+def read_manifest(spark, d):
+    """Trial windows written as manifest lines and read back; every third trial names no exit code."""
+    path = shared_dir(spark, "manifest")
+    code = F.when(F.col("n") % 3 == 0, F.lit(None)).otherwise((F.col("n") % 2).cast("string"))
+    trial_spans(spark, d).select(F.concat_ws("\t", F.col("n").cast("string"), iso("s"), iso("e"), code).alias("value")).write.text(path)
+    return logs.read_manifest(spark, path, "crawler")
+
+
+@query
+def read_run_windows(spark, d):
+    """Run documents of the four kinds of client, one per trial, read back as windows."""
+    root = shared_dir(spark, "runs")
+    runs = trial_spans(spark, d).withColumn("agent", F.concat(F.lit("client_"), (F.col("n") % 4).cast("string")))
+    seconds = F.unix_micros("s") / 1_000_000
+    digits = F.array(*[F.date_format("s", p).cast("int").cast("string") for p in ("yyyy", "M", "d", "H", "m", "s", "SSSSSS")])
+    kinds = [F.array(F.struct(iso("s").alias("timestamp_utc"))),
+             F.struct(F.concat(F.lit("datetime.datetime("), F.array_join(digits, ", "), F.lit(")")).alias("created_at")),
+             F.struct(F.array(F.struct(F.struct(seconds.alias("step_start_time")).alias("metadata"))).alias("history")),
+             F.array(F.struct(iso("s").alias("started_at_utc")))]
+    run = F.concat_ws("__", "agent", F.concat(F.lit("trial-"), F.lpad(F.col("n").cast("string"), 6, "0")), F.lit("t"))
+    for k, transcript in enumerate(kinds):
+        (runs.where(F.col("n") % 4 == k).select(run.alias("run"), transcript.alias("transcript"), iso("e").alias("timestamp_utc"))
+         .write.mode("append").partitionBy("run").json(root))
+    return logs.read_run_windows(spark, root)
+
+
+@query
+def read_local_windows(spark, d):
+    """Clock times of one window a day, noted in New York, read back as microseconds."""
+    path = shared_dir(spark, "clock")
+    n = F.col("n_nationkey").cast("int")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), n)
+    hour = n % 10 + 8
+    line = F.concat(F.date_format(day, "M/d"), F.lit(" "), hour.cast("string"), F.lit(":05 - "), (hour + 1).cast("string"), F.lit(":40"))
+    # a file holds one line per trial, in order: the trials are numbered by line
+    views.table(spark, d, "nation").orderBy("n_nationkey").select(line.alias("value")).coalesce(1).write.text(path)
+    return logs.read_local_windows(spark, path, "human", 2024, "America/New_York")
+
+
 @query
 def merged_event_stream(spark, d):
     return sequences.time_ordered(sequences.merged_event_stream(req(spark, d), ix(spark, d)))

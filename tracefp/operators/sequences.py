@@ -100,20 +100,22 @@ def focus_ends(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
     """Each focus with the time of the first later input on the same element in `_next`.
 
     An input belongs to a focus when its target starts with the focus target up
-    to the bracket.  Distinct input targets are expanded into their prefixes and
-    met with the distinct focus prefixes by equality, so no pairs of events are
-    formed; events then line up inside (key, prefix) with one as-of step.
+    to the bracket.  Distinct input targets are cut at those lengths that the trial's
+    focus prefixes have, and the cuts met with the distinct prefixes by equality, so
+    no pairs of events are formed and a long target costs no more than its lengths in
+    use; events then line up inside (key, prefix) with one as-of step.
     """
     keys = list(keys)
     prefix = F.split(F.coalesce(F.col("target"), F.lit("")), r"\[").getItem(0)
     focus = df.where(F.col("type") == "focus").select(*keys, "id", "us", prefix.alias("_pre"))
     inputs = (df.where((F.col("type") == "input") & F.col("target").isNotNull())
               .select(*keys, "id", "us", F.col("target").alias("_target")))
-    spelled = (inputs.select(*keys, "_target").distinct()
-               .withColumn("_pre", F.explode(F.transform(
-                   F.sequence(F.lit(0), F.length("_target")),
-                   lambda n: F.substring(F.col("_target"), F.lit(1), n)))))
-    wanted = spelled.join(focus.select(*keys, "_pre").distinct(), [*keys, "_pre"], "left_semi")
+    begun = focus.select(*keys, "_pre").distinct()
+    lengths = begun.groupBy(*keys).agg(F.collect_set(F.length("_pre")).alias("_lengths"))
+    spelled = (inputs.select(*keys, "_target").distinct().join(lengths, keys)
+               .withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("_target"))))
+               .select(*keys, "_target", F.substring("_target", F.lit(1), F.col("_n")).alias("_pre")))
+    wanted = spelled.join(begun, [*keys, "_pre"], "left_semi")
     matched = inputs.join(wanted, [*keys, "_target"]).select(
         *keys, "_pre", "id", "us", F.lit(True).alias("_is_input"))
     rows = focus.select(*keys, "_pre", "id", "us", F.lit(False).alias("_is_input")).unionByName(matched)

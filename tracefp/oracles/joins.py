@@ -55,6 +55,17 @@ SQL = {
     "fingerprint_union": query(
         "SELECT agent, field, value, count(*) AS n_trials, CAST(sum(n) AS BIGINT) AS n_requests FROM vals "
         "WHERE field IN ('ja3', 'ja4', 'protocol') GROUP BY agent, field, value", "req", "win", extra=VALS),
+    "source_value_counts": query(
+        "SELECT agent, field, value, count(*) AS n_trials, CAST(sum(n) AS BIGINT) AS n_requests FROM vals "
+        "WHERE field IN ('header_order', 'path', 'h2_fp') GROUP BY agent, field, value", "req", "win", extra=VALS),
+    "read_manifest": """SELECT 'crawler' AS agent, CAST(user_id AS INT) AS trial, epoch_us(min(ts)) AS s_us, epoch_us(max(ts)) AS e_us,
+        CASE WHEN user_id % 3 = 0 THEN '' ELSE CAST(user_id % 2 AS VARCHAR) END AS rc FROM events GROUP BY user_id""",
+    "read_run_windows": """SELECT 'client_' || CAST(user_id % 4 AS VARCHAR) AS agent, 'trial-' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS trial,
+        epoch_us(min(ts)) AS s_us, epoch_us(max(ts)) AS e_us FROM events GROUP BY user_id""",
+    "read_local_windows": """SELECT 'human' AS agent, 'trial-' || lpad(CAST(n_nationkey + 1 AS VARCHAR), 3, '0') AS trial,
+        1704067200000000 + CAST(n_nationkey AS BIGINT) * 86400000000 + (CAST(n_nationkey % 10 AS BIGINT) + 13) * 3600000000 + 300000000 AS s_us,
+        1704067200000000 + CAST(n_nationkey AS BIGINT) * 86400000000 + (CAST(n_nationkey % 10 AS BIGINT) + 14) * 3600000000 + 2400000000 + 59000000 AS e_us
+        FROM nation""",
     "merged_event_stream": query(
         f"SELECT {K}, id, us, 'request' AS kind, method, path, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS VARCHAR) AS page FROM req "
         f"UNION ALL SELECT {K}, id, us, 'interaction', NULL, NULL, type, page FROM ix", "req", "ix"),

@@ -126,10 +126,10 @@ def read_run_windows(spark: SparkSession, path) -> DataFrame:
     """(agent, trial, s_us, e_us) per run document.
 
     The start sits in one of four places depending on the client; the first
-    present one is taken.  The file is named <agent>__<trial>__<time>.json.
+    present one is taken.  The file, or a folder for it, is named <agent>__<trial>__<time>.
     """
     docs = spark.read.schema(_RUN).option("multiLine", True).json(path)
-    name = F.split(F.element_at(F.split(_file_path(), "/"), -1), "__")
+    name = F.split(F.regexp_extract(_file_path(), r"([^/=]+__[^/]+)(/[^/]*)?$", 1), "__")
 
     def field(p: str) -> Column:
         return F.get_json_object("transcript", p)
