@@ -93,3 +93,29 @@ def test_unknown_fields_are_an_error(spark):
     assert [r.field for r in field_stability(df, ["ja3"]).collect()] == ["ja3"]
     with pytest.raises(ValueError, match="absent"):
         field_stability(df, ["ja3", "absent"])
+
+
+def test_fold_encoders_equal_stages_fitted_on_the_fold(spark):
+    """Medians, codes and names of each fold from counts, against those of its training rows."""
+    from pyspark.sql import functions as F
+
+    df = model.prepare(spark.createDataFrame(
+        [("ab"[i % 2], f"trial-{i:03d}", i % 4, float(i * i % 7) if i % 3 else None, float("nan") if i % 5 == 0 else 1.5 * i,
+          "none" if i == 2 else "same-origin" if i % 3 else None, "X-A|X-B" if i == 5 else "X-C" if i % 2 else "") for i in range(24)],
+        "agent string, trial string, fold int, n1 double, n2 double, sf_site_mode string, nonstandard_names string"))
+    found = model.fold_encoders(df, [0, 1, 2, 3])
+    for f, stages in found.items():
+        seen = df.where(F.col("fold") != f)
+        fitted = [s.fit(seen) if hasattr(s, "fit") else s for s in model.feature_stages(seen)[:3]]
+        assert stages[0].labelsArray == fitted[0].labelsArray and stages[1].vocabulary == fitted[1].vocabulary
+        keys = ["trial", "n1_full", "n2_full"]
+        assert sorted(map(str, stages[2].transform(df).select(*keys).collect())) == sorted(map(str, fitted[2].transform(df).select(*keys).collect()))
+
+
+def test_five_tables_share_their_folds(spark):
+    df = spark.createDataFrame([("ab"[i % 2], f"t{i}", i % 3, float(i % 2) + i * 0.01, 1.0, float(i % 2)) for i in range(18)],
+                               "agent string, trial string, fold int, x double, flat double, label double")
+    out = model.cross_validate_tables({"one": df, "two": df.drop("flat")}, ["a", "b"], model.forest(5, 3)).collect()
+    assert len(out) == 36 and {(r["table"], r["trial"]) for r in out} == {(t, f"t{i}") for t in ("one", "two") for i in range(18)}
+    assert all(r["fold"] == int(r["trial"][1:]) % 3 for r in out)
+    assert sum(r["y"] == r["yhat"] for r in out) >= 34

@@ -148,3 +148,14 @@ def test_null_keys_and_times_keep_their_order(spark):
     for size in (15, 1 << 40):
         got = {(r.agent, r.trial, r.id): r.nth for r in ordered_columns(df, running_count("nth"), slice_us=size).collect()}
         assert got == {(None, None, k): k for k in range(1, 5)} | {("a", None, 9): 1, ("a", "t", 1): 1, ("a", "t", 2): 2}
+
+
+def test_long_targets_are_cut_only_at_lengths_in_use(spark):
+    from tracefp.operators.sequences import focus_to_input
+
+    long = "input#" + "x" * 100_000
+    rows = [("a", "t", 1, 1_000, "focus", "input#xx[q]"), ("a", "t", 2, 2_000, "focus", long), ("a", "t", 3, 5_000, "input", long + "[text]"),
+            ("a", "t", 4, 9_000, "focus", "other"), ("a", "t", 5, 9_500, "input", "input#x")]
+    df = spark.createDataFrame(rows, "agent string, trial string, id long, us long, type string, target string")
+    row = focus_to_input(df).first()
+    assert row["focus_to_input_n"] == 2 and row["focus_to_input_mean_ms"] == 3.5

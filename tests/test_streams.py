@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracefp.operators.beacon import beacon_flags
+from tracefp.operators.beacon import beacon_filter, beacon_flags
 from tracefp.operators.sequences import checkpoints
-from tracefp.streaming import live
+from tracefp.streaming import beacons, live
 
 WEB = ("agent string, trial string, id long, us long, kind string, method string, path string, referer string, "
        "type string, page string")
@@ -37,21 +37,35 @@ def batches(spark, tmp_path, data, parts=4):
     return live.stream_json(spark, folder, spark.createDataFrame([], WEB).schema, max_files=1)
 
 
-@pytest.mark.parametrize("slice_us", [2_000_000, 60_000_000])
-def test_beacon_decisions_over_batches(spark, tmp_path, slice_us):
-    data = stream_rows()
-    stream = batches(spark, tmp_path, data).where("kind = 'request'")
-    out = live.stream_beacon_decisions(stream, delay="1 second", slice_us=slice_us)
-    (out.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+def finished(spark, tmp_path, stream):
+    (stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
      .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
-    got = {r["id"]: r["is_beacon"] for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect()}
-    batch = beacon_flags(spark.createDataFrame(data, WEB).where("kind = 'request'"))
+    return spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+
+
+BEAT = (None, None, None, 1_800_000_000_000_000, "request", "GET", "/", None, None, None)
+
+
+@pytest.mark.parametrize(("slice_us", "aggressive"), [(2_000_000, False), (60_000_000, False), (2_000_000, True)])
+def test_every_post_is_decided(spark, tmp_path, slice_us, aggressive):
+    """A heartbeat after the last row lets the last posts be decided; it is no row of the result."""
+    data = stream_rows()
+    stream = batches(spark, tmp_path, [*data, BEAT]).where("kind = 'request'")
+    out = beacons.stream_beacon_decisions(stream, aggressive=aggressive, delay="1 second", slice_us=slice_us, heartbeat=F.col("agent").isNull())
+    got = {r["id"]: r["is_beacon"] for r in finished(spark, tmp_path, out).collect()}
+    batch = beacon_flags(spark.createDataFrame(data, WEB).where("kind = 'request'"), aggressive=aggressive)
     want = {r["id"]: r["is_beacon"] for r in batch.collect()}
-    last = max(r[3] for r in data if r[4] == "request")
-    # posts younger than the final watermark are still open
-    settled = {r[2] for r in data if r[5] == "POST" and r[3] + 500_000 < last - 1_000_000 - 1_000}
-    assert settled <= set(got) <= set(want)
-    assert all(got[i] == want[i] for i in got)
+    assert got == want and {True, False} == set(want.values())
+
+
+def test_the_filtered_stream_is_the_batch_filter(spark, tmp_path):
+    """Whole rows, each once."""
+    data = stream_rows(seed=9)
+    stream = batches(spark, tmp_path, [*data, BEAT]).where("kind = 'request'")
+    out = beacons.stream_beacon_filter(stream, delay="1 second", slice_us=2_000_000, heartbeat=F.col("agent").isNull())
+    got = sorted(map(str, finished(spark, tmp_path, out).select(*stream.columns).collect()))
+    want = sorted(map(str, beacon_filter(spark.createDataFrame(data, WEB).where("kind = 'request'")).select(*stream.columns).collect()))
+    assert got == want and len(got) < len([r for r in data if r[4] == "request"])
 
 
 def test_checkpoints_over_batches(spark, tmp_path):
