@@ -13,6 +13,7 @@ from tracefp.operators.quantiles import grouped_quantiles
 from tracefp.operators.sequences import (click_hold, first_interaction_latency, focus_to_input,
                                          load_to_first_action, mouse_path_length)
 from tracefp.schema import EVENT_TYPES, PAGES_WITHOUT_FORMS, SCENARIO_PAGES, TRIAL_KEY
+from tracefp.session import materialize
 
 COUNTED = {"n_clicks": "click", "n_keydowns": "keydown", "n_mousemoves": "mousemove",
            "n_scrolls": "scroll", "n_app_events": "app_event"}
@@ -36,6 +37,8 @@ def interaction_session_stats(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> D
     """Counts, duration, rate and interval statistics per trial."""
     keys = list(keys)
     rows = _gaps(df.select(*keys, "id", "us", "page", "flush_seq", "type"), keys, slice_us)
+    # written once: moments and exact medians both read it
+    rows = materialize(rows, "session-events")
     seconds = (F.max("us") - F.min("us")) / 1e6
     stats = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_events"), F.countDistinct("page").alias("n_pages"),
@@ -55,7 +58,9 @@ def interaction_page_stats(df: DataFrame, keys=TRIAL_KEY, slice_us=None) -> Data
     keys = list(keys)
     pk = [*keys, "page"]
     cols = df.select(*pk, "id", "us", "type", "target", "x", "y", "scroll_y")
-    rows = _gaps(cols, keys, slice_us)
+    # the log is read once; every part below reads these narrow rows
+    rows = materialize(_gaps(cols, keys, slice_us), "page-events")
+    cols = rows.drop("gap_us")
     # the interval of a page's first event is dropped, whatever its value
     first = F.min(F.struct("us", "id", F.coalesce("gap_us", F.lit(0)).alias("g")))
     seconds = (F.max("us") - F.min("us")) / 1e6
@@ -355,7 +360,9 @@ def behaviour_trial_features(df: DataFrame, keys=TRIAL_KEY, slice_us=None,
                              no_forms=tuple(PAGES_WITHOUT_FORMS)) -> DataFrame:
     """Every behavioural feature of a trial in one row; trials of page loads only are absent."""
     keys = list(keys)
-    line = behaviour_timeline(df, keys, slice_us)
+    # the log is read once: every part below reads the timeline
+    line = materialize(behaviour_timeline(df, keys, slice_us), "behaviour")
+    df = line.select(*df.columns)
     out = (line.groupBy(*keys).agg(
         *_count_group(), *_interval_group(), *_page_group(pages, no_forms), *_mouse_group(),
         *_scroll_group(), *_task_group(), *_gap_group("hold_us", "click_hold"),
@@ -411,7 +418,7 @@ def noticeable_events_pages(df: DataFrame, event_threshold: float, page_threshol
     variance); a page when every client shows it and its values over kept types
     vary by the threshold (population variance).  Missing shares are zero.
     """
-    profile = event_profile_rollup(df, group=("agent", "page"))
+    profile = materialize(event_profile_rollup(df, group=("agent", "page")), "profile")
     cells = profile.where(~F.col("type").isin(*dropped)).select("agent", "page", "type", "mean_share")
     shown = profile.select("agent", "page").distinct()
     pages_of = shown.groupBy("agent").agg(F.count(F.lit(1)).alias("n_pages"))

@@ -13,6 +13,7 @@ from tracefp.operators.ordered import next_time, ordered_columns, previous, prio
 from tracefp.operators.quantiles import grouped_quantiles
 from tracefp.operators.sequences import burst_spread, page_attribution, trial_ordinal
 from tracefp.schema import TRIAL_KEY
+from tracefp.session import materialize
 
 
 def union_traces(*frames: DataFrame) -> DataFrame:
@@ -27,7 +28,8 @@ def _rate(n, seconds):
 def _request_timeline(df: DataFrame, keys, slice_us, subresources: bool = False) -> DataFrame:
     """Requests with the gaps the statistics need, all from one slice pass.
 
-    Gaps are whole microseconds, so their means do not depend on row order.
+    Gaps are whole microseconds, so their means do not depend on row order.  The
+    narrow timeline is written once: moments and exact medians both read it.
     """
     specs = [previous("_prev", F.col("us")), previous("_page", F.col("us"), is_page())]
     if subresources:
@@ -38,7 +40,8 @@ def _request_timeline(df: DataFrame, keys, slice_us, subresources: bool = False)
              .withColumn("dwell_us", F.when(F.col("is_page"), F.col("us") - F.col("_page"))))
     if subresources:
         timed = timed.withColumn("p2s_us", F.when(F.col("is_page"), F.col("_subres") - F.col("us")))
-    return timed
+    spare = ("id", "sf_mode", "sf_dest", "is_subres", "is_fetch", "_prev", "_page", "_subres")
+    return materialize(timed.drop(*spare), "timeline")
 
 
 def _temporal_group() -> list:
@@ -207,6 +210,7 @@ def interval_histogram(intervals: DataFrame, value: str, quantile: float, bins:
     a trial is left out of the bins.  The last bin is closed on both sides.
     """
     keys = list(keys)
+    intervals = materialize(intervals.select(*keys, value, "is_first"), "intervals")
     clip = grouped_quantiles(intervals, keys, value, {"_clip": quantile})
     rows = (intervals.where(~F.col("is_first")).join(clip, keys)
             .select(*keys, F.least(F.col(value), F.col("_clip")).alias("_v")))
