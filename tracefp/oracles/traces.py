@@ -165,5 +165,5 @@ SQL = {
                       f"row_number() OVER w = 1 AS is_first FROM req WINDOW w AS (PARTITION BY {K} ORDER BY us, id)",
                **clipped_histogram("ivl", "iri_ms", 0.99, 30)}),
     "union_traces": query(
-        f"SELECT {K}, count(*) AS n FROM req GROUP BY {K}", "req"),
+        f"SELECT {K}, count(*) AS n, count(CASE WHEN CAST(substr(trial, 7) AS BIGINT) % 2 = 0 THEN ua END) AS n_ua FROM req GROUP BY {K}", "req"),
 }
