@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracefp.operators.beacon import beacon_filter, beacon_flags
-from tracefp.operators.sequences import checkpoints
+from tracefp.operators.sequences import checkpoint_counts, checkpoint_state, checkpoints
 from tracefp.streaming import beacons, live
 
 WEB = ("agent string, trial string, id long, us long, kind string, method string, path string, referer string, "
@@ -79,6 +79,65 @@ def test_checkpoints_over_batches(spark, tmp_path):
     assert got == want and len(got) > 40
 
 
+CHECKPOINT = ["agent", "trial", "id", "us", "checkpoint", "page_index", "event_index", "page_path", "n_requests", "n_int_events"]
+
+
+@pytest.mark.parametrize("slice_us", [1_000_000, 3_600_000_000])
+def test_checkpoint_counters_on_two_levels(spark, tmp_path, slice_us):
+    """Several micro-batches, a trial and a client without a name, rows of one time; any slice."""
+    data = stream_rows(seed=11)
+    data += [(None, None, 900 + k, data[k][3], *data[k][4:]) for k in range(0, 160, 3)] + [("a", "hot", None, None, *data[0][4:])]
+    data.sort(key=lambda r: r[3] or 0)
+    stream = batches(spark, tmp_path, data)
+    live.write_checkpoints(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 3, slice_us=slice_us).awaitTermination()
+    got = sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*CHECKPOINT).collect()))
+    timed = spark.createDataFrame([r for r in data if r[3] is not None], WEB)
+    want = sorted(map(str, checkpoints(timed, 3).select(*CHECKPOINT).collect()))
+    assert got == want and len(got) > 50
+
+
+def test_counters_go_on_late_and_idle(spark, tmp_path):
+    """A row later than the delay is dropped, a late one within it counts where it arrives,
+    and a trial that is idle for long starts anew."""
+    start, minute = 1_700_000_000_000_000, 60_000_000
+    page = ("request", "GET", "/p0.html", "", None, None)
+    click = ("interaction", None, None, None, "click", "p")
+    waves = [[("a", "x", 1, start, *page), ("a", "y", 2, start, *page)],
+             [("a", "x", 3, start + 90 * minute, *click)],
+             [("a", "x", 4, start + 60 * minute, *click), ("a", "x", 5, start + minute, *click)],
+             [("a", "x", 6, start + 100 * minute, *page), ("a", "y", 7, start + 101 * minute, *page)]]
+    stream = waves_of(spark, tmp_path, waves)
+    live.write_checkpoints(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 2, idle_ms=80 * 60_000).awaitTermination()
+    got = {r["id"]: (r["page_index"], r["n_requests"], r["n_int_events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (1, 1, 0), 2: (1, 1, 0), 4: (None, 1, 2), 6: (2, 2, 2), 7: (1, 1, 0)}
+
+
+def waves_of(spark, tmp_path, waves):
+    folder = str(tmp_path / "in")
+    for rows in waves:
+        spark.createDataFrame(rows, WEB).coalesce(1).write.mode("append").json(folder)
+    return live.stream_json(spark, folder, spark.createDataFrame([], WEB).schema, max_files=1)
+
+
+def test_no_group_of_checkpoint_counters_holds_a_hot_trial(spark):
+    """Rows meet per (trial, slice); exchanges on the trial alone take one row a slice."""
+    data = [("hot" if k % 3 else f"t{k % 7}", k, k * 1_000_000) for k in range(900)]
+    rows = spark.createDataFrame(data, "trial string, id long, us long").selectExpr(
+        "'a' AS agent", "trial", "id", "us", "id % 4 > 0 AS event", "id % 4 = 0 AS page", "'/p' AS path")
+    state = spark.createDataFrame([("a", "hot", 10, 4, 2, 8, "/q", -5)], live.TRIAL_COUNTERS)
+    counted = checkpoint_counts(rows, state, slice_us=50_000_000)
+    sizes = rows.groupBy("agent", "trial", F.floor(F.col("us") / 50_000_000)).count()
+    assert sizes.agg(F.max("count")).first()[0] * 20 < len(data)
+    # a window over a trial reads aggregated slices; a window over rows is cut by the slice
+    plan = counted._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    for at, line in enumerate(plan):
+        if "Window [" in line and "_slice" not in line.split("], [agent")[-1].split("]")[0]:
+            assert any("Aggregate" in below for below in plan[at + 1:at + 3])
+    last = checkpoint_state(counted).where("trial = 'hot'").first()
+    mine = [r for r in data if r[0] == "hot"]
+    assert (last["n_int"], last["n_req"]) == (10 + sum(r[1] % 4 > 0 for r in mine), 4 + sum(r[1] % 4 == 0 for r in mine))
+
+
 def test_running_features_equal_the_batch_features(spark, small):
     """Means over a trial's requests without collect posts, as the header features have them."""
     from tracefp import views

@@ -150,6 +150,22 @@ class running_count(_Spec):
         return (F.col(self.here) + F.coalesce(F.col(self.carry), F.lit(0))).alias(self.name)
 
 
+class running_sum(running_count):
+    """Sum of ``value`` up to and including this row; nulls add nothing."""
+
+    def __init__(self, name, value):
+        super().__init__(name)
+        self.value = F.coalesce(value, F.lit(0)).cast("long")
+
+    def local(self, keys, order):
+        w = (Window.partitionBy(*keys, _SLICE).orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, 0))
+        return F.sum(self.value).over(w).alias(self.here)
+
+    def summary(self, order):
+        return F.sum(self.value).alias(self.tot)
+
+
 class first_time(_Spec):
     """Earliest time of the whole key, repeated on every row."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracefp.functions.events import is_page_load
 from tracefp.functions.requests import is_collect_post, is_page, is_subresource, page_name
 from tracefp.operators.ordered import (first_time, next_time, ordered_columns, previous,
-                                       prior_time, running_count)
+                                       prior_time, running_count, running_sum)
 from tracefp.schema import TRIAL_KEY
 
 MS = 1000.0
@@ -218,6 +218,54 @@ def time_ordered(stream: DataFrame) -> DataFrame:
     return stream.orderBy("us", F.col("kind").desc(), "id")
 
 
+BEFORE_ALL = -(2**60)
+COUNTERS = {"n_int": "n_int_events", "n_req": "n_requests", "n_page": "page_index"}
+
+
+def checkpoint_counts(rows: DataFrame, state: DataFrame, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
+    """``rows`` (keys, id, us, event, page, path) with n_int_events, n_requests, page_index,
+    page_path and base, the events up to the last page, all counted on from ``state``
+    (keys, n_int, n_req, n_page, base, last_path, last_us), the counters of earlier rows.
+
+    The state of a trial enters as a row before all others, marked ``seed``, so sums run
+    on from it; a trial is windowed slice by slice, and only one row a slice and trial
+    meets the trial's state.  Requests come before events of the same microsecond.
+    """
+    keys = list(keys)
+    no = F.lit(0).cast("long")
+    fresh = rows.select(*keys, "id", "us", "event", "page", "path", F.lit(False).alias("seed"), F.col("event").cast("long").alias("n_int"),
+                        (~F.col("event")).cast("long").alias("n_req"), F.col("page").cast("long").alias("n_page"), no.alias("base"),
+                        F.col("us").alias("last_us"))
+    seeds = state.select(*keys, F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.lit(BEFORE_ALL).alias("us"), F.lit(False).alias("event"),
+                         F.lit(False).alias("page"), F.col("last_path").alias("path"), F.lit(True).alias("seed"), *COUNTERS, "base", "last_us")
+    every_row = fresh.unionByName(seeds).withColumn("_tie", F.struct(F.col("event").alias("k"), "id"))
+    start = F.col("page") | F.col("seed")
+    counted = ordered_columns(every_row, *[running_sum(out, F.col(c)) for c, out in COUNTERS.items()],
+                              previous("page_path", F.col("path"), start, include_self=True), keys=keys, tie="_tie", slice_us=slice_us)
+    reached = F.when(F.col("seed"), F.col("base")).otherwise(F.col("n_int_events"))
+    based = ordered_columns(counted.withColumn("_reached", reached), previous("_from", F.col("_reached"), start, include_self=True),
+                            keys=keys, tie="_tie", slice_us=slice_us)
+    return based.select(*keys, "id", "us", "event", "page", "seed", "last_us", *COUNTERS.values(), F.coalesce("page_path", F.lit("")).alias("page_path"),
+                        F.coalesce("_from", F.lit(0)).alias("base"))
+
+
+def checkpoint_state(counted: DataFrame, keys=TRIAL_KEY) -> DataFrame:
+    """The counters of every trial after the rows of ``checkpoint_counts``."""
+    order = F.struct("us", "event", "id")
+    return counted.groupBy(*keys).agg(*[F.max(out).alias(c) for c, out in COUNTERS.items()], F.max("base").alias("base"),
+                                      F.max_by("page_path", order).alias("last_path"), F.max("last_us").alias("last_us"))
+
+
+def checkpoint_hits(counted: DataFrame, every: int, keys=TRIAL_KEY) -> DataFrame:
+    """The rows of ``checkpoint_counts`` that are checkpoints."""
+    since = F.col("n_int_events") - F.col("base")
+    fires = F.col("event") & (since > 0) & (since % every == 0)
+    return counted.where(~F.col("seed") & (F.col("page") | fires)).select(
+        *keys, "id", "us", F.when(F.col("page"), "page").otherwise("event").alias("checkpoint"),
+        F.when(F.col("page"), F.col("page_index")).alias("page_index"), F.when(~F.col("page"), F.col("n_int_events")).alias("event_index"),
+        "page_path", "n_requests", "n_int_events")
+
+
 def checkpoints(stream: DataFrame, every: int = 50, keys=TRIAL_KEY, slice_us=None) -> DataFrame:
     """Page checkpoints at each page request and event checkpoints every `every`
     interactions since the last checkpoint; a page request starts the count anew."""

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracefp.functions.events import input_event_monitor
 from tracefp.functions.requests import drop_collect_posts, is_page
 from tracefp.operators.attribution import attribute_requests
+from tracefp.operators.sequences import checkpoint_counts, checkpoint_hits, checkpoint_state
 from tracefp.schema import TRIAL_KEY
 
 # ---- ingest --------------------------------------------------------------------
@@ -100,6 +102,46 @@ def stream_checkpoints(stream: DataFrame, every: int = 50, idle_ms: int = IDLE_M
     return rows.groupBy(*TRIAL_KEY).applyInPandasWithState(step, out_schema, _COUNTERS, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+TRIAL_COUNTERS = "agent string, trial string, n_int long, n_req long, n_page long, base long, last_path string, last_us long"
+
+
+def checkpoint_rows(stream: DataFrame) -> DataFrame:
+    """What checkpoints need of a merged stream: (keys, id, us, event, page, path); a row
+    without a time has no place in it."""
+    stream = stream.where("us IS NOT NULL")
+    page = F.coalesce((F.col("kind") == "request") & (F.col("method") == "GET") & is_page(), F.lit(False))
+    return stream.select(*TRIAL_KEY, "id", "us", F.coalesce(F.col("kind") == "interaction", F.lit(False)).alias("event"), page.alias("page"), "path")
+
+
+def write_checkpoints(stream: DataFrame, out: str, checkpoint: str, every: int = 50, idle_ms: int = IDLE_MS, delay_ms: int = 3_600_000,
+                      slice_us: int | None = None, available_now: bool = True) -> StreamingQuery:
+    """Checkpoints of a merged live stream in a table, with state on two levels.
+
+    Within a micro-batch rows are counted per (trial, time slice), so a trial with a third
+    of all rows is as many groups as it has slices; between micro-batches one row of
+    counters per trial is carried.  Both are written to shared folders: checkpoints of
+    micro-batch k to ``out``/batch=k, counters to one of two tables in ``checkpoint`` in
+    turn, so a micro-batch that runs again reads what it read before and replaces what it
+    wrote.  Rows are taken in order within a micro-batch; late ones count where they
+    arrive, those later than delay_ms behind earlier micro-batches are dropped, and the
+    counters of a trial are dropped idle_ms after its last row.
+    """
+    def step(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.schema(TRIAL_COUNTERS).parquet(f"{checkpoint}/trials-{(k - 1) % 2}") if k else spark.createDataFrame([], TRIAL_COUNTERS)
+        mark = state.agg(F.max("last_us")).first()[0]
+        rows = batch if mark is None else batch.where(F.col("us") >= mark - delay_ms * 1000)
+        counted = checkpoint_counts(rows, state, slice_us=slice_us).persist(StorageLevel.DISK_ONLY)
+        checkpoint_hits(counted, every).write.mode("overwrite").parquet(f"{out}/batch={k}")
+        left = checkpoint_state(counted)
+        left = left if mark is None else left.where(F.col("last_us") >= mark - idle_ms * 1000)
+        left.write.mode("overwrite").parquet(f"{checkpoint}/trials-{k % 2}")
+        counted.unpersist()
+
+    writer = checkpoint_rows(stream).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 # ---- running sums -------------------------------------------------------------------------
 
 RUNNING_SHARES = {
