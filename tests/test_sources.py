@@ -85,6 +85,24 @@ def test_read_interactions(spark, tmp_path):
     assert [r["flush_seq"] for r in rows] == [4, 2, 2] and rows[0]["x"] == 1.0
 
 
+def test_numbers_only_where_they_are_missing(spark, tmp_path):
+    """A log of numbered flushes, several events each, is not shuffled; one flush without
+    a number counts all flushes of its trial before it."""
+    def log(name, numbers):
+        path = str(tmp_path / name)
+        write(f"{path}/alpha/trial-001/interactions.jsonl", [
+            flush("s", [{"ms": 1000 * k + j, "type": "click", "x": j} for j in range(1 + k % 3)], f"2026-05-02T10:00:0{k}Z", n)
+            for k, n in enumerate(numbers)])
+        return read_interactions(spark, f"{path}/*/*/interactions.jsonl", path)
+
+    whole, gap = log("whole", [7, 8, 9, 10, 11]), log("gap", [7, 8, None, 10, None])
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    want = [(k, j) for k in range(5) for j in range(1 + k % 3)]
+    for df, seqs in ((whole, [7, 8, 9, 10, 11]), (gap, [7, 8, 2, 10, 4])):
+        got = sorted((r["us"], r["flush_seq"], r["id"]) for r in df.collect())
+        assert got == [((1000 * k + j) * 1000, seqs[k], f"s/{seqs[k]:09d}/{j:06d}") for k, j in want]
+
+
 def test_run_documents(spark, tmp_path):
     docs = {
         "alpha__trial-001__x.json": {"timestamp_utc": "2026-04-19T04:54:07.531326+00:00",

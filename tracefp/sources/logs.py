@@ -71,18 +71,23 @@ def read_flushes(spark: SparkSession, paths, root: str | None = None, agents=Non
             .withColumn("received_us", F.unix_micros(event_time(F.col("receivedAt")))))
 
 
-def explode_events(flushes: DataFrame, number_flushes: bool = True) -> DataFrame:
+def explode_events(flushes: DataFrame, number_flushes: bool | None = None) -> DataFrame:
     """One row per event with flush data; event times are whole microseconds.
 
-    A log without flush numbers is numbered by receipt time inside its trial,
-    counted from zero.  Streams skip the numbering (it needs the whole trial).
+    A flush without a number is numbered by receipt time inside its trial, counted from
+    zero over all flushes of the trial.  Unless told, a log is first asked whether it has
+    such a flush, which reads the numbers alone; a log with all numbers is not shuffled.
+    Streams are not numbered (it needs the whole trial).
     """
     keys = [c for c in ("agent", "trial") if c in flushes.columns]
     seq = F.col("flushSeq")
+    if number_flushes is None:
+        number_flushes = not flushes.isStreaming and not flushes.where("flushSeq IS NULL").select("flushSeq").isEmpty()
     if number_flushes:
+        # flushes of one session received at once are told by their content
         flushes = ordered_columns(
             flushes.withColumn("_at", F.coalesce("received_us", F.lit(0)))
-            .withColumn("_tie", F.struct("session", F.xxhash64(F.to_json("batch")))),
+            .withColumn("_tie", F.struct("session", F.xxhash64("batch"))),
             running_count("_nth"), keys=keys or ["session"], time="_at", tie="_tie")
         seq = F.coalesce(seq.cast("long"), F.col("_nth") - 1)
     flat = flushes.select(
