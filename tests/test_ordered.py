@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracefp.operators.beacon import beacon_filter, beacon_flags, burst_neighbour
-from tracefp.operators.ordered import (next_time, ordered_columns, previous, prior_time, running_count)
+from tracefp.operators.ordered import (ROWS_CONF, counted_slices, next_time, ordered_columns, previous, prior_time, running_count)
 from tracefp.operators.quantiles import grouped_modes, grouped_quantiles
 
 KEYS = ["agent", "trial"]
@@ -159,3 +159,47 @@ def test_long_targets_are_cut_only_at_lengths_in_use(spark):
     df = spark.createDataFrame(rows, "agent string, trial string, id long, us long, type string, target string")
     row = focus_to_input(df).first()
     assert row["focus_to_input_n"] == 2 and row["focus_to_input_mean_ms"] == 3.5
+
+
+def busy_rows():
+    """A trial of forty days with one busy hour, of which a minute is busiest; ties in time."""
+    rnd = random.Random(8)
+    hour = 3_600_000_000
+    out = [("a", "hot", k, rnd.randrange(40 * 24) * hour + rnd.randrange(1000)) for k in range(200)]
+    out += [("a", "hot", 1000 + k, 500 * hour + rnd.randrange(60) * 60_000_000 + rnd.randrange(50_000)) for k in range(600)]
+    out += [("a", "hot", 2000 + k, 500 * hour + 7 * 60_000_000 + rnd.randrange(400) * 100) for k in range(900)]
+    out += [("a", "cold", 4000 + k, k * hour) for k in range(30)] + [(None, None, 5000 + k, -k * 70_000_000) for k in range(50)]
+    return out + [("a", "hot", 6000, None)]
+
+
+@pytest.mark.parametrize("target", [1, 60, 10_000])
+def test_slices_cut_by_counted_rows(spark, target):
+    """No slice is over twice the target and the rows of a millisecond; slices follow time."""
+    data = busy_rows()
+    df = spark.createDataFrame(data, "agent string, trial string, id long, us long")
+    got = counted_slices(df, target).collect()
+    assert sorted(r["id"] for r in got) == sorted(r[2] for r in data)
+    sizes = Counter((r["trial"], r["_slice"]) for r in got)
+    one_ms = max(Counter((r[1], r[3] // 1000) for r in data if r[3] is not None).values())
+    assert max(sizes.values()) < 2 * target + one_ms
+    for trial in ("hot", "cold", None):
+        line = [r["_slice"] for r in sorted((r for r in got if r["trial"] == trial and r["us"] is not None), key=lambda r: r["us"])]
+        assert line == sorted(line)
+    # quiet time is not cut: few more slices than rows ask for
+    assert len({r["_slice"] for r in got if r["trial"] == "hot"}) <= 2 * 1701 // target + 64
+
+
+def test_ordered_columns_do_not_depend_on_the_row_target(spark):
+    df = spark.createDataFrame([(*r, r[2] % 3 == 0) for r in busy_rows()], "agent string, trial string, id long, us long, flag boolean")
+
+    def run():
+        return sorted(map(str, ordered_columns(df, previous("prev", F.col("id"), F.col("flag")), next_time("nxt", F.col("flag")),
+                                               prior_time("prior", F.col("flag")), running_count("nf", F.col("flag"))).collect()))
+
+    want = run()
+    for target in (1, 40, 100_000):
+        spark.conf.set(ROWS_CONF, str(target))
+        try:
+            assert run() == want
+        finally:
+            spark.conf.unset(ROWS_CONF)

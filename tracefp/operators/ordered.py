@@ -7,6 +7,10 @@ over the slices of the trial, and the carry is joined back on (key, slice).
 Only summaries ever meet in one task, so a trial that holds a third of all
 rows is spread over as many tasks as it has slices.  Results do not depend on
 the slice length.
+
+Slices are equally long, or, where the session names a row target
+(``tracefp.slice.rows``), cut where the counted rows of a trial say, so a busy hour is
+many slices and idle weeks are one.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from pyspark.sql import functions as F
 from tracefp.schema import TRIAL_KEY
 
 HOUR_US = 3_600_000_000
+MINUTE_US, MS_US = 60_000_000, 1_000
 SLICE_CONF = "tracefp.slice.us"
+ROWS_CONF = "tracefp.slice.rows"
 _SLICE = "_slice"
 
 
@@ -34,6 +40,66 @@ def time_slice(time: str, slice_us: int) -> Column:
     return F.floor(F.col(time) / F.lit(slice_us)).cast("long")
 
 
+def _cumulative(cells: DataFrame, keys: Sequence[str], cell: str) -> DataFrame:
+    """Rows of earlier cells of the same keys as ``_before``."""
+    w = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("_before", F.coalesce(F.sum("_rows").over(w), F.lit(0)))
+
+
+def slice_starts(df: DataFrame, target: int, keys: Sequence[str] = TRIAL_KEY, time: str = "us") -> DataFrame:
+    """(keys, _minute, _first, _cuts): the number of the slice in which each minute of a
+    key that has rows begins, and the times inside it at which new slices begin.
+
+    Rows are counted per minute, and per millisecond in minutes of more than ``target``
+    rows; a key's counts, not its rows, are summed up in order.  A slice holds fewer than
+    twice ``target`` rows and those of one millisecond.
+    """
+    keys, target = list(keys), int(target)
+    if target < 1:
+        raise ValueError("a slice holds at least one row")
+    minute = F.floor(F.col(time) / MINUTE_US).cast("long").alias("_minute")
+    minutes = df.groupBy(*keys, minute).agg(F.count(F.lit(1)).alias("_rows"))
+    busy = minutes.where(F.col("_rows") > target).select(*[F.col(k).alias(f"_busy_{k}") for k in keys], F.col("_minute").alias("_busy_minute"))
+    same = F.col("_minute") == F.col("_busy_minute")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_busy_{k}"))
+    ms = df.select(*keys, minute, F.floor(F.col(time) / MS_US).cast("long").alias("_ms")).groupBy(*keys, "_minute", "_ms").agg(
+        F.count(F.lit(1)).alias("_rows")).join(busy, same, "left_semi")
+    inner = _cumulative(ms, [*keys, "_minute"], "_ms")
+    # a cut where the sum reaches another multiple of the target
+    turn = F.floor(F.col("_before") / target)
+    w = Window.partitionBy(*keys, "_minute").orderBy("_ms")
+    cuts = inner.withColumn("_turn", turn).withColumn("_new", F.col("_turn") > F.lag("_turn", 1).over(w)).where("_new").groupBy(*keys, "_minute").agg(
+        F.array_sort(F.collect_list(F.col("_ms") * MS_US)).alias("_cuts"))
+    other = cuts.withColumnsRenamed({c: f"_cut_{c}" for c in (*keys, "_minute")})
+    same = F.col("_minute").eqNullSafe(F.col("_cut__minute"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_cut_{k}"))
+    cut = minutes.join(other, same, "left").select(*keys, "_minute", "_rows", F.coalesce("_cuts", F.array().cast("array<bigint>")).alias("_cuts"))
+    # a busy minute begins a slice and so does the minute after it; others share slices up to the target
+    by = Window.partitionBy(*keys).orderBy("_minute")
+    full = F.col("_rows") > target
+    edge = (full | F.coalesce(F.lag(full, 1).over(by), F.lit(True))).cast("long")
+    running = by.rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("_edge", edge).withColumn("_run", F.sum("_edge").over(running))
+    shared = _cumulative(cut, [*keys, "_run"], "_minute").withColumn("_step", F.floor(F.col("_before") / target).cast("long"))
+    begins = F.coalesce((F.col("_step") > F.lag("_step", 1).over(Window.partitionBy(*keys, "_run").orderBy("_minute"))).cast("long"), F.lit(1))
+    numbered = shared.withColumn("_begins", begins)
+    first = F.sum(F.col("_begins")).over(running) + F.coalesce(F.sum(F.size("_cuts")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return numbered.select(*keys, "_minute", first.cast("long").alias("_first"), "_cuts")
+
+
+def counted_slices(df: DataFrame, target: int, keys: Sequence[str] = TRIAL_KEY, time: str = "us") -> DataFrame:
+    """df with ``_slice``, cut by ``slice_starts``; it never decreases in time."""
+    keys = list(keys)
+    starts = slice_starts(df, target, keys, time).withColumnsRenamed({c: f"_start_{c}" for c in (*keys, "_minute")})
+    same = F.floor(F.col(time) / MINUTE_US).cast("long").eqNullSafe(F.col("_start__minute"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_start_{k}"))
+    passed = F.size(F.filter("_cuts", lambda c: c <= F.col(time)))
+    return df.join(starts, same).withColumn(_SLICE, F.col("_first") + passed).drop(*[f"_start_{k}" for k in keys], "_start__minute", "_first", "_cuts")
+
+
 class _Spec:
     """One derived column: its in-slice part, slice summary, carry and merge."""
 
@@ -188,11 +254,15 @@ def ordered_columns(df: DataFrame, *specs: _Spec, keys: Sequence[str] = TRIAL_KE
     """Add the columns described by `specs`; every spec shares one slice pass.
 
     `slice_by` replaces the time slice by any column that never decreases in
-    (time, tie) order, for keys not ordered by time.
+    (time, tie) order, for keys not ordered by time.  Without either argument, a session
+    that names a row target has its slices cut by counted rows.
     """
     keys, order = list(keys), [time, tie]
-    cut = slice_by if slice_by is not None else time_slice(time, slice_length(df, slice_us))
-    base = df.withColumn(_SLICE, cut)
+    target = df.sparkSession.conf.get(ROWS_CONF, None)
+    if slice_by is None and slice_us is None and target:
+        base = counted_slices(df, int(target), keys, time)
+    else:
+        base = df.withColumn(_SLICE, slice_by if slice_by is not None else time_slice(time, slice_length(df, slice_us)))
     inner = base.select("*", *[s.local(keys, order) for s in specs])
     carry = (base.groupBy(*keys, _SLICE).agg(*[s.summary(order) for s in specs])
              .select(*keys, _SLICE, *[s.carried(keys) for s in specs]))
