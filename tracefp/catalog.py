@@ -209,7 +209,7 @@ def hdr(spark, d):
 
 
 def hdr_clean(spark, d):
-    return http.header_frame(clean(spark, d))
+    return http.distinct_headers(clean(spark, d))
 
 
 def fps(spark, d):
@@ -221,7 +221,7 @@ def fp_counts(spark, d):
 
 
 def fps_clean(spark, d):
-    return tls.fingerprint_frame(clean(spark, d))
+    return tls.distinct_fingerprints(clean(spark, d), also=["source_ip"])
 
 
 @query
@@ -386,7 +386,7 @@ def agent_headless_rate(spark, d):
 
 @query
 def header_comparison(spark, d):
-    return r6(http.header_comparison(hdr(spark, d)))
+    return r6(http.header_comparison(req(spark, d)))
 
 
 @query
@@ -406,7 +406,7 @@ def within_trace_consistency(spark, d):
 
 @query
 def field_stability_http(spark, d):
-    return r6(tls.field_stability(hdr(spark, d), http.HEADER_STABILITY_FIELDS))
+    return r6(tls.field_stability(http.distinct_headers(req(spark, d)), http.HEADER_STABILITY_FIELDS))
 
 
 @query
@@ -426,7 +426,7 @@ def fingerprint_vector(spark, d):
 
 @query
 def header_vector(spark, d):
-    return tls.fingerprint_vector(hdr(spark, d), http.HEADER_STABILITY_FIELDS)
+    return tls.fingerprint_vector(http.distinct_headers(req(spark, d)), http.HEADER_STABILITY_FIELDS)
 
 
 @query
@@ -451,7 +451,7 @@ def flag_consensus(spark, d):
 
 @query
 def tls_comparison(spark, d):
-    return tls.tls_comparison(fps(spark, d))
+    return tls.tls_comparison(req(spark, d))
 
 
 @query

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefp.schema import TRIAL_KEY
+from tracefp.session import materialize
 
 HOUR_US = 3_600_000_000
 MINUTE_US, MS_US = 60_000_000, 1_000
@@ -90,9 +91,11 @@ def slice_starts(df: DataFrame, target: int, keys: Sequence[str] = TRIAL_KEY, ti
 
 
 def counted_slices(df: DataFrame, target: int, keys: Sequence[str] = TRIAL_KEY, time: str = "us") -> DataFrame:
-    """df with ``_slice``, cut by ``slice_starts``; it never decreases in time."""
+    """df with ``_slice``, cut by ``slice_starts``; it never decreases in time.
+
+    The starts, at most one row per key and minute with rows, are written once."""
     keys = list(keys)
-    starts = slice_starts(df, target, keys, time).withColumnsRenamed({c: f"_start_{c}" for c in (*keys, "_minute")})
+    starts = materialize(slice_starts(df, target, keys, time), "slices").withColumnsRenamed({c: f"_start_{c}" for c in (*keys, "_minute")})
     same = F.floor(F.col(time) / MINUTE_US).cast("long").eqNullSafe(F.col("_start__minute"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_start_{k}"))

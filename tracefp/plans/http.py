@@ -10,8 +10,10 @@ from tracefp.functions.requests import (drop_collect_posts, is_page, is_subresou
                                         request_type_session)
 from tracefp.operators.ordered import ordered_columns, previous, running_count
 from tracefp.operators.quantiles import grouped_modes, grouped_quantiles, modal_rows, value_counts
+from tracefp.operators.weighted import WEIGHT, Weighted
 from tracefp.schema import (HEADER_STABILITY_FIELDS, PRESENCE_CHECKS, PRIORITY_ASYNC, PRIORITY_NAVIGATE,
                             PROFILE_CATEGORICAL, PROFILE_NUMERIC, TRIAL_KEY)
+from tracefp.session import materialize
 
 
 def header_frame(requests: DataFrame) -> DataFrame:
@@ -19,6 +21,22 @@ def header_frame(requests: DataFrame) -> DataFrame:
     return header_features(request_type(requests))
 
 
+RAW_HEADERS = ["ua", "ch_ua", "ch_mobile", "ch_platform", "sf_mode", "sf_dest", "sf_site", "sf_user", "priority", "header_names",
+               "accept", "accept_encoding", "upgrade_insecure"]
+
+
+def distinct_headers(requests: DataFrame, keys=TRIAL_KEY) -> DataFrame:
+    """Every header column for each request type and set of raw headers of a trial, once,
+    with its number of requests in ``weight``.
+
+    A client repeats a few sets of headers over all its requests, so counting them
+    first (map-side combined) leaves little to parse, to unpivot and to shuffle.
+    """
+    raw = [c for c in RAW_HEADERS if c in requests.columns]
+    counted = request_type(requests).groupBy(*keys, "req_type", *raw).agg(F.count(F.lit(1)).alias(WEIGHT))
+    return header_features(counted)
+
+
 def share(flag: Column | str) -> Column:
     """Mean of a boolean, nulls left out."""
     flag = F.col(flag) if isinstance(flag, str) else flag
@@ -80,28 +98,29 @@ def http_trial_features(df: DataFrame, keys=TRIAL_KEY) -> DataFrame:
     """One header feature row per trial.
 
     Modes, distinct counts and the navigation order share come from one table
-    of value counts, so no aggregation buffer grows with a trial.
+    of value counts, so no aggregation buffer grows with a trial.  Rows of
+    ``distinct_headers`` count by their weight.
     """
-    keys = list(keys)
+    keys, of = list(keys), Weighted(df)
     nav = F.col("req_type") == "navigate"
     base = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_requests"), F.count_if(nav).alias("n_nav"),
-        F.count_if(F.col("req_type").startswith("subresource")).alias("n_sub"),
-        F.avg("n_headers").alias("n_headers_mean"), F.stddev_samp("n_headers").alias("n_headers_std"),
-        share(F.col("sf_site") == "none").alias("sf_site_none_rate"),
-        share("sf_any_violation").alias("sf_violation_rate"),
-        share("ch_is_headless").alias("headless_rate"),
-        share("ch_any_incoherence").alias("ch_incoherence_rate"),
-        share("ch_brand_matches_ua").alias("ch_brand_matches_rate"),
-        share("ch_mobile_matches_ua").alias("ch_mobile_matches_rate"),
-        share("ch_platform_matches_ua").alias("ch_platform_matches_rate"),
-        *[share(c).alias(n) for n, c in PRESENCE_RATES.items()],
-        share("priority_expected").alias("priority_correct_rate"),
-        share("has_nonstandard_headers").alias("has_nonstandard_rate"))
+        of.count().alias("n_requests"), of.count(nav).alias("n_nav"),
+        of.count(F.col("req_type").startswith("subresource")).alias("n_sub"),
+        of.avg("n_headers").alias("n_headers_mean"), of.stddev_samp("n_headers").alias("n_headers_std"),
+        of.share(F.col("sf_site") == "none").alias("sf_site_none_rate"),
+        of.share("sf_any_violation").alias("sf_violation_rate"),
+        of.share("ch_is_headless").alias("headless_rate"),
+        of.share("ch_any_incoherence").alias("ch_incoherence_rate"),
+        of.share("ch_brand_matches_ua").alias("ch_brand_matches_rate"),
+        of.share("ch_mobile_matches_ua").alias("ch_mobile_matches_rate"),
+        of.share("ch_platform_matches_ua").alias("ch_platform_matches_rate"),
+        *[of.share(c).alias(n) for n, c in PRESENCE_RATES.items()],
+        of.share("priority_expected").alias("priority_correct_rate"),
+        of.share("has_nonstandard_headers").alias("has_nonstandard_rate"))
     fields = ["nav_hash", "sf_site", "ch_brand_count", "ua_family", "ua_os", "ua_version",
               "priority_urgency"]
     rows = modal_rows(value_counts(
-        df.withColumn("nav_hash", F.when(nav, F.col("header_order_hash"))), keys, fields), keys)
+        df.withColumn("nav_hash", F.when(nav, F.col("header_order_hash"))), keys, fields, weight=of.name), keys)
 
     def pick(field: str, what: str) -> Column:
         return F.max(F.when(F.col("field") == field, F.col(what)))
@@ -243,13 +262,16 @@ COMPARED_MODES = ["ua_family", "ua_os", "ua_version", "ch_brand_count", "sf_site
 
 
 def header_comparison(df: DataFrame) -> DataFrame:
-    """(agent, feature, text, number, anomaly) over navigations and subresources."""
-    df = drop_collect_posts(df)
+    """(agent, feature, text, number, anomaly) over navigations and subresources of a
+    request frame.  Sets of headers are counted per client before they are parsed, and
+    written once for the branches that read them."""
+    df = materialize(distinct_headers(drop_collect_posts(df), ["agent"]), "headers")
+    of = Weighted(df)
     nav = df.where(F.col("req_type") == "navigate")
     sub = df.where(F.col("req_type").startswith("subresource"))
 
     def pct(c: str) -> Column:
-        return F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int")) * 100
+        return of.share(F.coalesce(F.col(c), F.lit(False))) * 100
 
     rates = {c: (pct(c), low, high) for c, low, high in PRESENCE_CHECKS}
     rates |= {"headless": (pct("ch_is_headless"), None, 10),
@@ -258,7 +280,7 @@ def header_comparison(df: DataFrame) -> DataFrame:
               "mobile_matches": (pct("ch_mobile_matches_ua"), None, None),
               "platform_matches": (pct("ch_platform_matches_ua"), None, None),
               "priority_correct": (pct("priority_expected"), None, None),
-              "sf_site_none": (F.avg((F.col("sf_site") == "none").cast("int")) * 100, None, 99.9999999)}
+              "sf_site_none": (of.share(F.col("sf_site") == "none") * 100, None, 99.9999999)}
 
     def limits(name: str, low, high) -> Column:
         if low is not None:
@@ -274,23 +296,23 @@ def header_comparison(df: DataFrame) -> DataFrame:
 
     nav_stats = nav.groupBy("agent").agg(
         *[e.alias(n) for n, (e, _, _) in rates.items()],
-        F.avg("n_headers").alias("header_count_mean"), F.stddev_samp("n_headers").alias("header_count_std"),
-        F.countDistinct("header_order_hash").alias("_u"), F.count(F.lit(1)).alias("_n"))
+        of.avg("n_headers").alias("header_count_mean"), of.stddev_samp("n_headers").alias("header_count_std"),
+        F.countDistinct("header_order_hash").alias("_u"), of.count().alias("_n"))
     rows = [entry(n, F.col(n), limits(n, lo, hi)) for n, (_, lo, hi) in rates.items()]
     rows += [entry("unique_orders", F.col("_u") / F.col("_n"), F.col("_u") == F.col("_n")),
              entry("header_count_mean", F.col("header_count_mean"), F.lit(False)),
              entry("header_count_std", F.col("header_count_std"), F.lit(False))]
     out = nav_stats.select("agent", F.inline(F.array(*rows)))
     sub_stats = sub.groupBy("agent").agg(
-        F.count(F.lit(1)).alias("_n"), pct("has_accept_language").alias("_al"),
+        of.count().alias("_n"), pct("has_accept_language").alias("_al"),
         F.countDistinct("header_order_hash").alias("_u"))
     out = out.unionByName(sub_stats.select("agent", F.inline(F.array(
         entry("sub_requests", F.col("_n"), F.lit(False)),
         entry("sub_accept_language", F.col("_al"), F.lit(False)),
         entry("sub_unique_orders", F.col("_u") / F.col("_n"), F.col("_u") == F.col("_n"))))))
     modes = modal_rows(value_counts(
-        nav.select("agent", *[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(c)
-                              for c in COMPARED_MODES]), ["agent"], COMPARED_MODES), ["agent"])
+        nav.select("agent", WEIGHT, *[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(c)
+                                      for c in COMPARED_MODES]), ["agent"], COMPARED_MODES, weight=WEIGHT), ["agent"])
     out = out.unionByName(modes.select(
         "agent", F.concat(F.lit("mode_"), "field").alias("feature"), F.col("modal").alias("text"),
         F.col("n_distinct").cast("double").alias("number"), (F.col("n_distinct") > 1).alias("anomaly")))
