@@ -127,6 +127,15 @@ def test_windows_cover_every_word():
         assert set(range(n)) == {w for a, s in zip(first[own], size[own]) for w in range(a, a + s)} and (size <= toxicity.WINDOW).all()
 
 
+def test_training_texts_are_drawn_over_their_whole_length(spark):
+    """Short texts whole; of a long one equal pieces from its first character to its last."""
+    long = " ".join(f"w{k}" for k in range(2_000))
+    rows = spark.createDataFrame([(1, "a b"), (2, long), (3, ""), (4, None)], "id long, text string")
+    got = {r.id: r.t for r in rows.select("id", toxicity.spread(F.col("text"), 200, 10).alias("t")).collect()}
+    pieces = [long[k * (len(long) - 20) // 9:][:20] for k in range(10)]
+    assert got == {1: "a b", 2: " ".join(pieces), 3: "", 4: None} and long.endswith(pieces[-1])
+
+
 def test_toxicity_is_learned_and_kept_apart(spark, frame, messy, prose, quick_network):
     r = random.Random(5)
     rows, labels = [], []

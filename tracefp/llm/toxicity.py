@@ -26,7 +26,7 @@ from tracefp.llm.store import kept_in_worker
 
 WINDOW, SHIFT = 64, 48
 SAMPLE = 1000
-SAMPLE_CHARS = 40_000
+SAMPLE_CHARS, PIECES = 40_000, 50
 STEPS, BATCH = 240, 256
 SEED = 11
 CACHE_WORDS = 120_000
@@ -132,7 +132,7 @@ def fit(texts: list[str | None], labels: np.ndarray) -> dict:
     ids, weights = gru.features(list(known))
     flat = np.fromiter((known[w] for t in texts for w in t), np.int64)
     first, size, text = window_table(np.array([len(t) for t in texts], np.int64))
-    windows = flat[np.minimum(first[:, None] + np.arange(WINDOW), len(flat) - 1)]
+    windows = flat.astype(np.int32)[np.minimum(first[:, None] + np.arange(WINDOW), len(flat) - 1)]
     # every fourth text of each class is kept for the logistic unit
     rank = np.zeros(len(labels), np.int64)
     for y in (0, 1):
@@ -156,18 +156,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return beta
 
 
+def spread(text: Column, chars: int = SAMPLE_CHARS, pieces: int = PIECES) -> Column:
+    """A text of up to ``chars`` characters whole; of a longer one ``pieces`` pieces of equal
+    length, evenly spaced from its first character to its last, ``chars`` in all."""
+    size = chars // pieces
+    room = F.length(text).cast("long") - size
+    parts = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)),
+                        lambda i: F.substring(text, (F.floor(i * room / max(pieces - 1, 1)) + 1).cast("int"), F.lit(size)))
+    return F.when(text.isNull() | (F.length(text) <= chars), text).otherwise(F.array_join(parts, " "))
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """Model from the labelled rows that are not held out; an id with several labels
-    counts as toxic if one of them is.  SAMPLE documents a class and the first
-    SAMPLE_CHARS characters of each bound what reaches the driver; scoring has no
-    such bound."""
+    counts as toxic if one of them is.  SAMPLE documents a class and SAMPLE_CHARS
+    characters of each, drawn over its whole text, bound what reaches the driver;
+    scoring has no such bound."""
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(
         F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     order = [F.xxhash64("id"), F.col("id")]
     chosen = marked.where("y = 1").orderBy(*order).limit(SAMPLE).unionByName(marked.where("y = 0").orderBy(*order).limit(SAMPLE))
-    text = F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS)
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
-    got = rows.groupBy("id", "y").agg(F.min("text").alias("text")).toPandas().sort_values("id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))
+    got = rows.select("id", "y", spread(F.col("text")).alias("text")).toPandas().sort_values("id")
     total = marked.agg(F.avg("y")).first()[0] or 0.0
     model = fit(got["text"].tolist(), got["y"].to_numpy(np.int64))
     if "slope" in model:
