@@ -239,3 +239,12 @@ def test_vectors_against_all_pairs(spark):
         got = near_vectors(df, block=block, cell=cell).collect()
         assert sorted((x.vec_id is None, x.vec_id or 0, x.n_links, -1 if x.vec_id is None else x.component_id) for x in got) == want
         assert all(x.kept == (x.vec_id is not None and x.vec_id == x.component_id) for x in got)
+
+
+def test_line_dedup_keeps_clear_of_its_own_names(frame, prose):
+    """A table that has n_lines and N_DROPPED keeps them; the new ones are set apart."""
+    docs = frame([(1, prose(1, 20) + "\n" + prose(1, 20)), (2, None)]).selectExpr("doc_id", "text", "-1 AS n_lines", "'mine' AS N_DROPPED")
+    got = line_dedup(docs)
+    assert got.columns == ["doc_id", "text", "n_lines", "N_DROPPED", "_n_lines", "_n_dropped"]
+    rows = {r.doc_id: tuple(r)[2:] for r in got.collect()}
+    assert rows == {1: (-1, "mine", 2, 1), 2: (-1, "mine", 0, 0)}

@@ -139,8 +139,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines go becomes empty; null text stays null with zero lines, empty text has one
     line, which is blank.  Rows that repeat id and text count once and get the same
     result.  n_chars_col, where named, becomes the length of the text that is left.
-    Other columns pass through whatever their names; an empty table gives
-    an empty table.
+    Other columns pass through whatever their names: where docs has an n_lines or
+    n_dropped, the new one gets leading underscores.  An empty table gives an empty table.
     """
     keepers = line_keepers(docs, id_col, text_col, similarity, crowd)
     instances = _instances(docs, id_col, text_col).select("at", "h1", "h2")
@@ -157,7 +157,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     new = {text_col: text} | ({n_chars_col: F.coalesce(F.length(text).cast("long"), F.col(n_chars_col))} if n_chars_col else {})
     return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns],
-                         n_lines.alias("n_lines"), F.coalesce(F.size(places), F.lit(0)).alias("n_dropped"))
+                         n_lines.alias(fresh(docs, "n_lines")), F.coalesce(F.size(places), F.lit(0)).alias(fresh(docs, "n_dropped")))
 
 
 def op3_line_dedup(spark, sf_dir):
