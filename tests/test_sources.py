@@ -123,6 +123,19 @@ def test_run_documents(spark, tmp_path):
                    "gamma": ("trial-003", 2_250_000, 247_000_000), "delta": ("trial-004", 3_000_000, 247_000_000)}
 
 
+def test_collected_run_documents(spark, tmp_path):
+    """Documents of all four kinds, one a line, give what their files give."""
+    docs = {"alpha__trial-001__x": {"timestamp_utc": "2026-04-19T04:54:07Z", "transcript": [{"timestamp_utc": "2026-04-19T04:50:00Z"}]},
+            "beta__trial-002__x": {"timestamp_utc": "2026-04-19T04:54:07Z", "transcript": {"created_at": "datetime.datetime(2026, 4, 19, 4, 50, 1, 500000)"}},
+            "gamma__trial-003__x": {"timestamp_utc": "2026-04-19T04:54:07Z", "transcript": {"history": [{"metadata": {"step_start_time": 1776574202.25}}]}},
+            "delta__trial-004__x": {"transcript": [{"started_at_utc": "2026-04-19T04:50:03Z"}]}}
+    for name, doc in docs.items():
+        write(str(tmp_path / "files" / f"{name}.json"), [json.dumps(doc, indent=2)])
+    write(str(tmp_path / "lines" / "all.jsonl"), [json.dumps({"run": name, **doc}) for name, doc in docs.items()])
+    got = sorted(map(str, read_run_windows(spark, str(tmp_path / "lines"), collected=True).collect()))
+    assert got == sorted(map(str, read_run_windows(spark, str(tmp_path / "files")).collect())) and len(got) == 4
+
+
 def test_manifest_keeps_the_last_run(spark, tmp_path):
     path = str(tmp_path / "m.tsv")
     write(path, ["1\t2026-05-02T10:00:00Z\t2026-05-02T10:01:00Z\t1", "short\tline", "",

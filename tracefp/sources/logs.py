@@ -127,14 +127,20 @@ def _python_datetime(text: Column) -> Column:
                   F.try_make_timestamp(at(0), at(1), at(2), at(3), at(4), seconds))
 
 
-def read_run_windows(spark: SparkSession, path) -> DataFrame:
+def read_run_windows(spark: SparkSession, path, collected: bool = False) -> DataFrame:
     """(agent, trial, s_us, e_us) per run document.
 
     The start sits in one of four places depending on the client; the first
     present one is taken.  The file, or a folder for it, is named <agent>__<trial>__<time>.
+    Collected documents stand one in a line, many in a file, each with that name as
+    `run`: files then grow with the bytes, not with the runs.
     """
-    docs = spark.read.schema(_RUN).option("multiLine", True).json(path)
-    name = F.split(F.regexp_extract(_file_path(), r"([^/=]+__[^/]+)(/[^/]*)?$", 1), "__")
+    if collected:
+        docs, run = spark.read.schema(T.StructType([*_RUN, T.StructField("run", T.StringType())])).json(path), F.col("run")
+    else:
+        docs = spark.read.schema(_RUN).option("multiLine", True).json(path)
+        run = F.regexp_extract(_file_path(), r"([^/=]+__[^/]+)(/[^/]*)?$", 1)
+    name = F.split(run, "__")
 
     def field(p: str) -> Column:
         return F.get_json_object("transcript", p)
