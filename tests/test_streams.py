@@ -68,6 +68,22 @@ def test_the_filtered_stream_is_the_batch_filter(spark, tmp_path):
     assert got == want and len(got) < len([r for r in data if r[4] == "request"])
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_trials_share_the_keys_of_the_held_posts(spark, tmp_path, buckets):
+    """Many trials at the same times, one without a name: each post is decided among its own
+    trial's rows, and the keys do not grow with the trials."""
+    data = [(r[0], None if r[2] % 41 == 0 else f"t{r[2] % 12}", *r[2:]) for r in stream_rows(240, seed=5) if r[4] == "request"]
+    stream = batches(spark, tmp_path, [*data, BEAT])
+    out = beacons.stream_beacon_decisions(stream, unload_ms=4000, burst_ms=2000, delay="1 second", heartbeat=F.col("agent").isNull(), buckets=buckets)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    got = {r["id"]: r["is_beacon"] for r in finished(spark, tmp_path, out).collect()}
+    posts, pages = [r for r in data if r[6] == "/collect"], [r for r in data if r[6] != "/collect"]
+    want = {p[2]: any(q[1] == p[1] and 0 < q[3] - p[3] <= 4_000_000 for q in pages) and (p[7] != "" or any(
+        q[1] == p[1] and q[2] != p[2] and abs(q[3] - p[3]) <= 2_000_000 for q in posts)) for p in posts}
+    assert got == want and {True, False} == set(want.values())
+    assert "TransformWithState" in plan and "bucket" in plan
+
+
 def test_checkpoints_over_batches(spark, tmp_path):
     data = stream_rows()
     stream = batches(spark, tmp_path, data)

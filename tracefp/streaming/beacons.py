@@ -16,14 +16,16 @@ from tracefp.operators.ordered import halo_slices
 from tracefp.schema import BURST_WINDOW_MS, TRIAL_KEY, UNLOAD_WINDOW_MS
 from tracefp.streaming.store import typed_state
 
-DECIDED = "agent string, trial string, us long, is_beacon boolean, request string"
+DECIDED = "is_beacon boolean, request string"
+BUCKETS = 256
 
 
 class HeldPosts(StatefulProcessor):
-    """Posts of one (trial, time slice) that wait, and the times that can decide them.
+    """Posts of one (time slice, bucket of trials) that wait, and the times that can decide them.
 
     Lists grow by appending; they are read when a timer fires, and then hold only what
-    a later decision may still look at.
+    a later decision may still look at.  The trials of a bucket share its lists and its
+    timer; a row names its trial by `place`, and all are decided in one vectorised step.
     """
 
     def __init__(self, unload_us: int, burst_us: int, aggressive: bool) -> None:
@@ -32,8 +34,8 @@ class HeldPosts(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "us long, named boolean, request string")
-        self.near = handle.getListState("near", "us long, page boolean")
+        self.open = handle.getListState("open", "place string, us long, named boolean, request string")
+        self.near = handle.getListState("near", "place string, us long, page boolean")
 
     def close(self) -> None:
         pass
@@ -54,10 +56,10 @@ class HeldPosts(StatefulProcessor):
             df = df[~df["heartbeat"]]
             if not len(df):
                 continue
-            self.near.appendList(list(zip(df["us"].tolist(), df["page"].tolist())))
+            self.near.appendList(list(zip(df["place"].tolist(), df["us"].tolist(), df["page"].tolist())))
             posts = df[~df["page"] & df["home"]]
             if len(posts):
-                self.open.appendList(list(zip(posts["us"].tolist(), posts["named"].tolist(), posts["request"].tolist())))
+                self.open.appendList(list(zip(*[posts[c].tolist() for c in ("place", "us", "named", "request")])))
             low = int(posts["us"].min()) + self.reach if len(posts) else int(df["us"].max()) + 2 * self.reach
             first = low if first is None else min(first, low)
         if first is not None:
@@ -67,34 +69,42 @@ class HeldPosts(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         held, near = list(self.open.get()), list(self.near.get())
-        us = np.array([x[0] for x in held], np.int64)
-        pages = np.sort(np.array([x[0] for x in near if x[1]], np.int64))
-        posts = np.sort(np.array([x[0] for x in near if not x[1]], np.int64))
+        us, seen = np.array([x[1] for x in held], np.int64), np.array([x[1] for x in near], np.int64)
+        page = np.array([x[2] for x in near], bool)
+        # the times of a place are moved clear of all others': a window ends inside its own place
+        place = pd.factorize(np.array([x[0] for x in (*held, *near)], object))[0].astype(np.int64)
+        low = min(us.min(initial=mark), seen.min(initial=mark))
+        span = max(us.max(initial=low), seen.max(initial=low)) - low + 2 * self.reach + 1
+        at, seen_at = us - low + place[:len(us)] * span, seen - low + place[len(us):] * span
+        pages, posts = np.sort(seen_at[page]), np.sort(seen_at[~page])
         due = us + self.reach < mark
-        followed = pages.searchsorted(us + self.unload, "right") > pages.searchsorted(us, "right")
-        crowd = posts.searchsorted(us + self.burst, "right") - posts.searchsorted(us - self.burst, "left") > 1
-        beacon = followed & (self.aggressive | crowd | np.array([x[1] for x in held], bool))
+        followed = pages.searchsorted(at + self.unload, "right") > pages.searchsorted(at, "right")
+        crowd = posts.searchsorted(at + self.burst, "right") - posts.searchsorted(at - self.burst, "left") > 1
+        beacon = followed & (self.aggressive | crowd | np.array([x[2] for x in held], bool))
         left = [x for x, d in zip(held, due) if not d]
         # what an open post, or one that may still come, looks back at
-        since = min([x[0] for x in left], default=mark) - self.reach
-        kept = [x for x in near if x[0] >= since]
+        since = min([mark, *[x[1] for x in left]]) - self.reach
+        kept = [x for x in near if x[1] >= since]
         for state, items in ((self.open, left), (self.near, kept)):
             state.put(items) if items else state.clear()
         if left:
-            self._wake(min(x[0] for x in left) + self.reach, timerValues)
+            self._wake(min(x[1] for x in left) + self.reach, timerValues)
         elif kept:
-            self._wake(max(x[0] for x in kept) + 2 * self.reach, timerValues)
-        at = np.nonzero(due)[0]
-        if len(at):
-            yield pd.DataFrame({"agent": key[0], "trial": key[1], "us": us[at], "is_beacon": beacon[at], "request": [held[i][2] for i in at]})
+            self._wake(max(x[1] for x in kept) + 2 * self.reach, timerValues)
+        decided = np.nonzero(due)[0]
+        if len(decided):
+            yield pd.DataFrame({"is_beacon": beacon[decided], "request": [held[i][3] for i in decided]})
 
 
 def stream_beacon_decisions(stream: DataFrame, unload_ms: int = UNLOAD_WINDOW_MS, burst_ms: int = BURST_WINDOW_MS, aggressive: bool = False,
-                            delay: str = "10 minutes", slice_us: int = 60_000_000, heartbeat: Column | None = None) -> DataFrame:
+                            delay: str = "10 minutes", slice_us: int = 60_000_000, heartbeat: Column | None = None,
+                            buckets: int = BUCKETS) -> DataFrame:
     """Every collect post, whole, with is_beacon, once event time has passed its windows.
 
-    State is kept per (trial, time slice); rows near a slice edge are copied to the
-    neighbour, so no key holds more than one slice of a trial.  Rows that are
+    State is kept per (time slice, bucket of trials); rows near a slice edge are copied
+    to the neighbour, so no key holds more of a trial than one slice.  A key costs the
+    same calls however many trials it holds, so keys grow with the slices, not with the
+    trials; more buckets make smaller keys and never change the result.  Rows that are
     heartbeats only carry event time: one at the end of the input, later than the last
     post by the windows and the delay, lets the last posts be decided.
     """
@@ -108,13 +118,15 @@ def stream_beacon_decisions(stream: DataFrame, unload_ms: int = UNLOAD_WINDOW_MS
     rows, cut, home = halo_slices(near, max(unload, burst), slice_us=slice_us)
     # names with a leading underscore do not reach the processor
     rows = rows.withColumnsRenamed({cut: "slice", home: "home"})
-    decided = rows.groupBy(*TRIAL_KEY, "slice").transformWithStateInPandas(HeldPosts(unload, burst, aggressive), DECIDED, "Append", "EventTime")
+    rows = rows.withColumn("place", F.to_json(F.struct(*TRIAL_KEY))).withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
+    decided = rows.drop(*TRIAL_KEY).groupBy("slice", "bucket").transformWithStateInPandas(HeldPosts(unload, burst, aggressive), DECIDED, "Append", "EventTime")
     return decided.select("is_beacon", F.from_json("request", stream.schema).alias("r")).select("r.*", "is_beacon")
 
 
 def stream_beacon_filter(stream: DataFrame, unload_ms: int = UNLOAD_WINDOW_MS, burst_ms: int = BURST_WINDOW_MS, aggressive: bool = False,
-                         delay: str = "10 minutes", slice_us: int = 60_000_000, heartbeat: Column | None = None) -> DataFrame:
+                         delay: str = "10 minutes", slice_us: int = 60_000_000, heartbeat: Column | None = None,
+                         buckets: int = BUCKETS) -> DataFrame:
     """The live requests without beacons, as the batch filter gives them."""
     beat = F.lit(False) if heartbeat is None else F.coalesce(heartbeat, F.lit(False))
-    posts = stream_beacon_decisions(stream, unload_ms, burst_ms, aggressive, delay, slice_us, heartbeat)
+    posts = stream_beacon_decisions(stream, unload_ms, burst_ms, aggressive, delay, slice_us, heartbeat, buckets)
     return stream.where(~is_collect_post() & ~beat).unionByName(posts.where(~F.col("is_beacon")).drop("is_beacon"))
