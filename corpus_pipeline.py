@@ -30,7 +30,8 @@ def one_line_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near copies (five-word Jaccard 0.8) stays."""
+    """The first document of every group of near copies (SimHash at two or fewer bits by
+    Golay keys, or five-word Jaccard 0.8) stays."""
     return simhash_dedup(docs)
 
 

@@ -120,6 +120,19 @@ def test_documents_of_five_word_similarity_are_one(frame, prose):
     assert {x.doc_id for x in kept} == {sets.root(n) for n in range(8)}
 
 
+def test_documents_of_near_fingerprints_are_one(frame, prose):
+    """The dedup takes the links of the fingerprints where five-word sets differ, and joins
+    both kinds: 9 is like 2 by its words, 2 like 1 by its fingerprint."""
+    verse = "the same old song goes on and on again "
+    texts = {1: verse * 200 + prose(1, 30), 2: verse * 200 + prose(2, 30), 5: prose(3, 120)}
+    texts[9] = texts[2] + " end"
+    fps = {n: plain_fingerprint(t) for n, t in texts.items()}
+    sets = {n: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for n, t in texts.items()}
+    assert (fps[1] ^ fps[2]).bit_count() <= 2 and len(sets[1] & sets[2]) < 0.8 * len(sets[1] | sets[2])
+    assert len(sets[9] & sets[2]) >= 0.8 * len(sets[9] | sets[2])
+    assert sorted(r.doc_id for r in simhash_dedup(frame(list(texts.items()))).collect()) == [1, 5]
+
+
 def test_empty_tables(spark, messy):
     none = messy.limit(0)
     assert simhash_groups(none).count() == 0 and simhash_dedup(none).count() == 0

@@ -12,10 +12,11 @@ the 64 strings one bit away and themselves, and two of them are within two bits
 exactly if they list a string in common.  That is 65 rows each, whatever the size
 of the family, and no link is lost.
 
-That rule is the query's.  The pipeline's stage takes shingles of five words and Jaccard
-similarity 0.8, at which fingerprints differ in too many bits for keys like these.
-It files BANDS keys of ROWS minimum hashes each, under one of which 0.9998 of the pairs
-at J = 0.8 meet, and verifies every candidate by the exact similarity.
+The query and the pipeline's stage both group by that rule.  The stage also joins
+documents of Jaccard similarity 0.8 in shingles of five words, at which fingerprints
+differ in too many bits for keys like these: it files BANDS keys of ROWS minimum hashes
+each, under one of which 0.9998 of the pairs at J = 0.8 meet, and verifies every
+candidate by the exact similarity.
 """
 
 from __future__ import annotations
@@ -211,11 +212,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _grouped(rows.select("id", "fp"), links_of).withColumnRenamed("id", id_col)
 
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, component_id), one row per id: groups by the links of ``simhash_groups`` and
+    those of ``similar_groups`` together; component_id is the smallest id reachable."""
+    near = simhash_groups(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("component_id").alias("a"))
+    alike = similar_groups(docs, id_col, text_col, shingle, similarity).select(F.col(id_col).alias("id"), F.col("component_id").alias("b"))
+    both = settled(near.where("id IS NOT NULL").distinct().join(alike.distinct(), "id"), "labels")
+    # labels are smallest ids of their groups; a document in two groups joins them
+    joined = components(both.where("a != b").select("a", "b").distinct()).withColumnRenamed("node", "b")
+    return both.join(joined, "b", "left").select(F.col("id").alias(id_col), F.coalesce("component", "b").alias("component_id"))
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without the rows that are not the first of their group of
-    ``similar_groups``; rows without an id
+    ``near_groups``; rows without an id
     stay, and of rows that repeat an id all stay or go."""
-    groups = similar_groups(docs, id_col, text_col, shingle, similarity)
+    groups = near_groups(docs, id_col, text_col, shingle, similarity)
     mark = fresh(docs, "gone")
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(mark)).distinct()
     return docs.join(gone, docs[id_col] == F.col(mark), "left_anti")
