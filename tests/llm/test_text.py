@@ -188,3 +188,20 @@ def test_secrets_stay_and_lookalikes_go(frame, messy):
     assert len(odd) == messy.select("doc_id").distinct().count()
     assert scan_secrets(messy.limit(0), candidates(messy.limit(0), []), model).count() == 0
     assert coverage("tokencard99", frozenset(["token", "card"])) == 9 / 11
+
+
+def test_replies_of_rare_ngrams_are_small():
+    """Most n-grams of a chunk occur once; all replies of a chunk meet in one row."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tracefp.llm import ngrams
+
+    rng = np.random.default_rng(5)
+    both = np.unique(rng.integers(0, 1 << 46, 500, np.uint64))
+    chunks = [np.unique(np.concatenate([both, rng.integers(0, 1 << 46, 40_000, np.uint64)])) for _ in range(2)]
+    out = ngrams._counted(pa.table({"part": [0, 0], "chunk": [0, 1], "keys": [ngrams._pack_keys(k) for k in chunks],
+                                    "counts": [ngrams._pack(np.ones(len(k), np.uint64), 4) for k in chunks]}))
+    for keys, totals in zip(chunks, out.column("totals").to_pylist()):
+        assert len(totals) < len(keys) and np.array_equal(ngrams._unpack_totals(totals), np.where(np.isin(keys, both), 2, 0))
+    assert len(ngrams._unpack_totals(ngrams._pack_totals(np.zeros(0, np.uint64)))) == 0

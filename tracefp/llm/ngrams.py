@@ -88,6 +88,15 @@ def _unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(_unpack(raw, KEY_BYTES), dtype=np.uint64)
 
 
+def _pack_totals(totals: np.ndarray) -> bytes:
+    """Compressed: most n-grams occur once, and a chunk gets all its replies at the same time."""
+    return zstandard.ZstdCompressor(1).compress(_pack(totals, 8)) if len(totals) else b""
+
+
+def _unpack_totals(raw: bytes) -> np.ndarray:
+    return _unpack(zstandard.ZstdDecompressor().decompress(raw) if raw else b"", 8)
+
+
 def _split(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """(partition, key): from different bits of the hash."""
     low = hashes & np.uint64(MOST_PARTS - 1)
@@ -170,7 +179,7 @@ def _counted(table: pa.Table) -> pa.Table:
         there = table_keys[at] == key if len(table_keys) else np.zeros(len(key), bool)
         total = np.zeros(len(key), np.uint64)
         total[there] = table_n[at[there]]
-        out.append((chunk, _pack(total, 8)))
+        out.append((chunk, _pack_totals(total)))
     part = table.column("part")[0].as_py()
     return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "part": pa.array([part] * len(out), pa.int64()),
                      "totals": pa.array([n for _, n in out], pa.binary())})
@@ -228,7 +237,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 hashes, _, by, _ = _dealt(grams, parts)
                 known = np.zeros(len(hashes), np.int64)
                 if got:
-                    known[by] = np.concatenate([_unpack(x["totals"], 8) for x in got])
+                    known[by] = np.concatenate([_unpack_totals(x["totals"]) for x in got])
                 totals = [np.where(g > 0, known[np.searchsorted(hashes, np.maximum(g, hashes[0]))], 0) if len(hashes) else np.zeros(len(g), np.int64)
                           for g in grams]
                 log, sizes = backoff(grams, doc, place, len(texts), totals, n_words)
