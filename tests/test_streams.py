@@ -166,3 +166,49 @@ def test_running_features_equal_the_batch_features(spark, small):
     batch = http_trial_features(header_frame(drop_collect_posts(req)))
     got, want = (sorted(map(str, df.select("trial", *[F.round(n, 9).alias(n) for n in names]).collect())) for df in (live_rows, batch))
     assert got == want and len(got) > 10
+
+
+def running_stream(spark, tmp_path, waves):
+    """Every column that the signals read, by the views' names; a wave a micro-batch."""
+    from tracefp import views
+
+    folder = str(tmp_path / "in")
+    for wave in waves:
+        rows = spark.createDataFrame(wave, "event_id long, user_id long, us long, event_type string")
+        rows.selectExpr("event_id", "user_id", "event_type", "CAST(event_id AS DOUBLE) AS value", "timestamp_micros(us) AS ts").coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    return views.requests_from(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+
+
+@pytest.mark.parametrize("slice_us", [1_000_000, None])
+def test_running_sums_without_a_group_per_trial(spark, tmp_path, slice_us):
+    """The same rows as the keyed form, over micro-batches, for a client without a name too."""
+    rnd, us, rows = random.Random(3), 1_700_000_000_000_000, []
+    for i in range(160):
+        us += rnd.choice([0, 4_000, 900_000])
+        rows.append((i, rnd.choice([1, 1, 1, 2, 8, None]), us, rnd.choice(["view", "view", "click", "signup", "error"])))
+    stream = running_stream(spark, tmp_path, [rows[k:k + 40] for k in range(0, 160, 40)])
+    live.write_running_sums(stream, str(tmp_path / "sums"), str(tmp_path / "sums-cp"), slice_us=slice_us).awaitTermination()
+    written = live.read_running_sums(spark, str(tmp_path / "sums"))
+    keyed = finished(spark, tmp_path, live.stream_running_sums(stream))
+    got, want = (sorted(map(str, df.select(*written.columns).collect())) for df in (written, keyed))
+    assert got == want and len(got) > 40
+
+
+def test_running_sums_late_and_idle(spark, tmp_path):
+    """A request later than the delay is dropped, a late one counts where it arrives, an idle trial starts anew."""
+    start, minute = 1_700_000_000_000_000, 60_000_000
+    waves = [[(1, 1, start, "view"), (2, 2, start, "view")], [(3, 1, start + 190 * minute, "click")],
+             [(4, 1, start + 140 * minute, "view"), (5, 1, start + minute, "view")], [(6, 1, start + 200 * minute, "view"), (7, 2, start + 201 * minute, "view")]]
+    stream = running_stream(spark, tmp_path, waves)
+    live.write_running_sums(stream, str(tmp_path / "sums"), str(tmp_path / "sums-cp"), idle_ms=80 * 60_000).awaitTermination()
+    got = {r["id"]: (r["n_requests"], r["start_us"] - start, r["last_us"] - start) for r in live.read_running_sums(spark, str(tmp_path / "sums")).collect()}
+    assert got == {1: (1, 0, 0), 2: (1, 0, 0), 4: (3, 0, 190 * minute), 6: (4, 0, 200 * minute), 7: (1, 201 * minute, 201 * minute)}
+
+
+def test_no_python_group_of_running_sums(spark, small):
+    from tracefp import views
+
+    state = spark.createDataFrame([], live._running_state("long")[1])
+    rows = live.running_rows(live.signal_frame(views.requests(spark, small)), state)
+    assert "Pandas" not in rows._jdf.queryExecution().executedPlan().toString()

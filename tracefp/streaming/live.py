@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracefp.functions.events import input_event_monitor
 from tracefp.functions.requests import drop_collect_posts, is_page
 from tracefp.operators.attribution import attribute_requests
+from tracefp.operators.ordered import first_time, ordered_columns, running_count, running_sum
 from tracefp.operators.sequences import checkpoint_counts, checkpoint_hits, checkpoint_state
 from tracefp.schema import TRIAL_KEY
 
@@ -217,3 +218,62 @@ def stream_running_sums(requests: DataFrame, idle_ms: int = IDLE_MS, delay: str
     return signals.groupBy(*TRIAL_KEY).applyInPandasWithState(
         step, f"agent string, trial string, id {kind}, n_requests long, start_us long, last_us long, {numbers}",
         f"n long, start_us long, last_us long, {numbers}", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _running_state(id_type: str) -> tuple[str, str]:
+    """Columns of the given-out rows and of a trial's sums."""
+    numbers = ", ".join(f"{n} double" for n in RUNNING_SHARES)
+    return tuple(f"agent string, trial string, {own}n_requests long, start_us long, last_us long, {numbers}" for own in (f"id {id_type}, ", ""))
+
+
+def running_rows(signals: DataFrame, state: DataFrame, slice_us: int | None = None) -> DataFrame:
+    """The sums at each page request of ``signals``, counted on from ``state``, the sums of
+    earlier requests.  A trial is summed slice by slice; one row a slice meets its state.
+    The signals are whole numbers, so the sums are exact in any order."""
+    names = list(RUNNING_SHARES)
+    # requests of one microsecond go by id, those without one last
+    rows = signals.withColumn("_tie", F.struct(F.col("id").isNull().alias("none"), "id"))
+    summed = ordered_columns(rows, running_count("_n"), first_time("_start"), *[running_sum(f"_s_{c}", F.col(c)) for c in names],
+                             tie="_tie", slice_us=slice_us).where("page")
+    before = state.withColumnsRenamed({c: f"_b_{c}" for c in state.columns})
+    same = F.col("agent").eqNullSafe(F.col("_b_agent")) & F.col("trial").eqNullSafe(F.col("_b_trial"))
+    zero = F.lit(0)
+    return summed.join(before, same, "left").select(
+        *TRIAL_KEY, "id", (F.col("_n") + F.coalesce("_b_n_requests", zero)).alias("n_requests"), F.least("_start", "_b_start_us").alias("start_us"),
+        F.greatest("us", "_b_last_us").alias("last_us"), *[(F.col(f"_s_{c}") + F.coalesce(f"_b_{c}", zero)).cast("double").alias(c) for c in names])
+
+
+def write_running_sums(requests: DataFrame, out: str, checkpoint: str, idle_ms: int = IDLE_MS, delay_ms: int = 3_600_000,
+                       slice_us: int | None = None, available_now: bool = True) -> StreamingQuery:
+    """The sums of ``stream_running_sums`` in a table, without a Python step per trial.
+
+    Within a micro-batch requests are summed per (trial, time slice); between micro-batches
+    one row of sums per trial is carried, in one of two tables in ``checkpoint`` in turn,
+    so a micro-batch that runs again reads what it read before and replaces what it wrote.
+    Rows of micro-batch k go to ``out``/batch=k.  Requests later than delay_ms behind
+    earlier micro-batches, and those without a time, are dropped, and so are a trial's
+    sums idle_ms after its last request, by the same measure of time.
+    """
+    signals = signal_frame(requests).where("us IS NOT NULL")
+    _, kept = _running_state(signals.schema["id"].dataType.simpleString())
+
+    def step(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.schema(kept).parquet(f"{checkpoint}/sums-{(k - 1) % 2}") if k else spark.createDataFrame([], kept)
+        top = state.agg(F.max("last_us")).first()[0]
+        mark = None if top is None else top - delay_ms * 1000
+        rows = (batch if mark is None else batch.where(F.col("us") >= mark)).persist(StorageLevel.DISK_ONLY)
+        running_rows(rows, state, slice_us).write.mode("overwrite").parquet(f"{out}/batch={k}")
+        left = state.unionByName(running_sums(rows)).groupBy(*TRIAL_KEY).agg(
+            F.sum("n_requests").alias("n_requests"), F.min("start_us").alias("start_us"), F.max("last_us").alias("last_us"),
+            *[F.sum(c).alias(c) for c in RUNNING_SHARES])
+        left = left if mark is None else left.where(F.col("last_us") >= mark - idle_ms * 1000)
+        left.write.mode("overwrite").parquet(f"{checkpoint}/sums-{k % 2}")
+        rows.unpersist()
+
+    writer = signals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def read_running_sums(spark: SparkSession, out: str, id_type: str = "long") -> DataFrame:
+    return spark.read.schema(_running_state(id_type)[0]).parquet(out).drop("batch")
