@@ -205,3 +205,20 @@ def test_replies_of_rare_ngrams_are_small():
     for keys, totals in zip(chunks, out.column("totals").to_pylist()):
         assert len(totals) < len(keys) and np.array_equal(ngrams._unpack_totals(totals), np.where(np.isin(keys, both), 2, 0))
     assert len(ngrams._unpack_totals(ngrams._pack_totals(np.zeros(0, np.uint64)))) == 0
+
+
+def test_cached_words_stay_within_their_room(monkeypatch):
+    """Many chunks of new words: the table of the cache is taken once, and scores are those of a fresh cache."""
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 500)
+    monkeypatch.setattr(toxicity, "CHUNK_WORDS", 300)
+    model = {"network": gru.initial(1), "prior": 0.1, "shift": np.zeros(6), "slope": np.full(6, 0.1)}
+    texts = [" ".join(f"w{(31 * k + j) % 1999}" for j in range(200)) for k in range(40)] + ["", None, "one"]
+    scorer, found, room = toxicity.Scorer(model), [], 0
+    for k in range(0, len(texts), 2):
+        found += scorer.score(texts[k:k + 2]).tolist()
+        room = max(room, len(scorer.gates))
+    assert room == 500
+    assert found == pytest.approx([float(toxicity.Scorer(model).score([t])[0]) for t in texts], abs=1e-6)
+    # a chunk of more different words than the cache holds is still scored whole
+    wide = " ".join(f"v{j}" for j in range(1200))
+    assert scorer.score([wide])[0] == pytest.approx(toxicity.Scorer(model).score([wide])[0], abs=1e-6) and len(scorer.index) == 1200

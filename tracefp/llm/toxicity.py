@@ -101,14 +101,19 @@ class Scorer:
     def windows(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """(logit, text) of every window."""
         p = self.model["network"]
-        if len(self.index) > CACHE_WORDS:
-            self.index, self.gates = {}, self.gates[:0]
-        index = self.index
-        new = [w for w in dict.fromkeys(w for x in texts for w in x) if w not in index]
-        if new:
-            index.update(zip(new, range(len(index), len(index) + len(new))))
-            fresh = [gru.project(p, gru.embed(p, *gru.features(new[k:k + 8192]))) for k in range(0, len(new), 8192)]
-            self.gates = np.concatenate([self.gates, *fresh])
+        met = dict.fromkeys(w for x in texts for w in x)
+        new = [w for w in met if w not in self.index]
+        if len(self.index) + len(new) > CACHE_WORDS:
+            self.index, new = {}, list(met)
+        index, at = self.index, len(self.index)
+        if at + len(new) > len(self.gates):
+            # room for a full cache is taken once; only texts of more words than that take more
+            kept, self.gates = self.gates[:at], np.empty((max(CACHE_WORDS, at + len(new)), *self.gates.shape[1:]), np.float32)
+            self.gates[:at] = kept
+        index.update(zip(new, range(at, at + len(new))))
+        for k in range(0, len(new), 8192):
+            part = new[k:k + 8192]
+            self.gates[at + k:at + k + len(part)] = gru.project(p, gru.embed(p, *gru.features(part)))
         flat = np.fromiter((index[w] for x in texts for w in x), np.int64)
         first, size, text = window_table(np.array([len(x) for x in texts], np.int64))
         logit = np.empty(len(first), np.float32)
