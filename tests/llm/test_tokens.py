@@ -143,3 +143,33 @@ def test_queries_of_the_smallest_tables(spark, small):
         f = files[r.doc_id]
         assert (f.start, f.n_tokens, f.ids_crc32) == (start, len(want) + 1, zlib.crc32(np.array([*want, END], "<u4").tobytes()))
         start += len(want) + 1
+
+
+def test_new_units_share_a_text_of_the_library(library):
+    """Units side by side in one text have the ids of the whole text, in fewer calls than there are units."""
+    from tracefp.llm.rans import _tokenizer
+
+    r = random.Random(3)
+    pool = [" ", " ", "\n", "\n\n", " \n", "\t", "\x1c", "\x85", "\xa0", "a", "B", "é", "中", "\U0001F600", "1", "²", ".", "'s", "'ll", "<|endoftext|>", "́", "ing", "tion", "\x00"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 40))) for _ in range(2000)]
+    texts += [f"Word{k} of line.\nNext{k} said 'll{k}, é{k}\n" for k in range(500)] + ["", " x", "x ", "a  b", "a \nb", "a\n b", "a\nb", "\na", "\n", "a\n\nb", "a\n\n\nb"]
+    units = _tokenizer(tokenizer_spec(default_tokenizer()))
+    ids, counts = units.encode(texts)
+    for text, part in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+        assert part.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    new = [f" w{k}" for k in range(1000)] + [f"\nx{k}" for k in range(100)] + ["alone", " ", " \x1c", "\x85 a", " é"]
+    ids, sizes = units.encode_units(new)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(x, add_special_tokens=False).ids for x in new]
+
+
+def test_sentences_of_lines_are_cut_at_line_ends():
+    from tracefp.llm.bpe import Units
+
+    met = []
+
+    def run(units):
+        met.extend(units)
+        return np.zeros(len(units), np.int32), np.ones(len(units), np.int64)
+
+    Units(run, {}).encode(["one two.\nthree two.\nfour", "five two.\n"])
+    assert met == ["one", " two.", "\nthree", "\nfour", "five", "\n"]

@@ -64,10 +64,10 @@ class _Index(dict):
 class Units:
     """Encodes texts unit by unit, each different unit once while the cache keeps it.
 
-    Every space before something that is not white space begins a piece of the split
-    pattern, so a text falls into units there, and the ids of a text are those of its
-    units.  A text with other white space after a space, or with an added token in
-    it, is cut into the pattern's own pieces instead.
+    Every space and line end between two characters that are not white space begins a
+    piece of the split pattern, so a text falls into units there, and the ids of a text
+    are those of its units.  A text with two white space characters side by side, or
+    with an added token in it, is cut into the pattern's own pieces instead.
 
     encode_units takes strings and returns (all ids, number of ids of each).
     """
@@ -75,7 +75,8 @@ class Units:
     def __init__(self, encode_units: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], added: dict[str, int]) -> None:
         self.encode_units, self.added = encode_units, added
         self.pattern = regex.compile(SPLIT)
-        self.odd = re.compile(r" \s")
+        # two side by side; \s takes in \x1c to \x1f, which the pattern does not, and nothing less
+        self.odd = re.compile(r"\s\s")
         self.cut = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self._reset()
 
@@ -101,14 +102,14 @@ class Units:
             elif self.odd.search(text):
                 add(look((x,)) for x in self.pattern.findall(text))
             elif text:
-                units = text.split(" ")
+                units = text.replace("\n", " \n").split(" ")
                 if first := units[0]:
                     found.append(look((first,)))
                 del units[0]
                 add(map(look, units))
             counts[n] = len(found) - was
         if new := self.index.new:
-            ids, sizes = self.encode_units([x[0] if isinstance(x, tuple) else " " + x for x in new])
+            ids, sizes = self.encode_units([x[0] if isinstance(x, tuple) else x if x.startswith("\n") else " " + x for x in new])
             self.index.new = []
             self.flat = np.concatenate((self.flat, ids))
             self.sizes = np.concatenate((self.sizes, sizes))

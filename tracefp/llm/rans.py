@@ -13,8 +13,10 @@ frequencies in ``table``.  A lost executor costs the blocks it was at.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +117,10 @@ def checksum(*parts: bytes) -> int:
     return value
 
 
+# new units that go through the library as one text
+JOINED = 256
+
+
 def _tokenizer(spec: str) -> Units:
     """The tokenizers library behind a bounded cache of the units that texts fall into."""
     from tokenizers import Tokenizer
@@ -123,11 +129,40 @@ def _tokenizer(spec: str) -> Units:
     tool.no_truncation()
     tool.no_padding()
 
-    def run(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tool.encode_batch_fast(units, add_special_tokens=False)]
-        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+    added = {t.content: i for i, t in tool.get_added_tokens_decoder().items()}
+    # a byte-level token is spelled with one character a byte
+    vocab = tool.get_vocab(with_added_tokens=False)
+    bytes_of = np.zeros(max([*vocab.values(), *added.values()]) + 1, np.int64)
+    bytes_of[list(vocab.values())] = [len(x) for x in vocab]
+    joins = not any(c.isspace() for x in added for c in x)
+    beside = re.compile(r"[ \n]\S(?:.*\S)?", re.S).fullmatch
 
-    return Units(run, {t.content: i for i, t in tool.get_added_tokens_decoder().items()})
+    def encoded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in tool.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(ids)), np.int32), np.array(list(map(len, ids)), np.int64)
+
+    def run(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units that begin with a space or line end and end with neither go side by side in one
+        text, which is cut again by the bytes of its tokens."""
+        joined = [k for k, x in enumerate(units) if beside(x)] if joins else []
+        texts = list(map("".join, batched([units[k] for k in joined], JOINED)))
+        ids, _ = encoded(texts)
+        ends = np.cumsum([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in (units[k] for k in joined)])
+        reached = np.cumsum(bytes_of[ids])
+        cuts = np.searchsorted(reached, ends) + 1
+        if len(joined) and (reached[-1] != ends[-1] or (reached[cuts - 1] != ends).any()):
+            return encoded(units)
+        sizes = np.zeros(len(units), np.int64)
+        sizes[joined] = np.diff(cuts, prepend=0)
+        apart = np.ones(len(units), bool)
+        apart[joined] = False
+        rest, sizes[apart] = encoded([units[k] for k in np.nonzero(apart)[0]])
+        flat = np.empty(int(sizes.sum()), np.int32)
+        own = np.repeat(apart, sizes)
+        flat[~own], flat[own] = ids, rest
+        return flat, sizes
+
+    return Units(run, added)
 
 
 def token_blocks(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
