@@ -119,3 +119,26 @@ def test_five_tables_share_their_folds(spark):
     assert len(out) == 36 and {(r["table"], r["trial"]) for r in out} == {(t, f"t{i}") for t in ("one", "two") for i in range(18)}
     assert all(r["fold"] == int(r["trial"][1:]) % 3 for r in out)
     assert sum(r["y"] == r["yhat"] for r in out) >= 34
+
+
+def test_a_fit_reads_written_rows_in_few_tasks(spark, monkeypatch):
+    """Rows are encoded once into one table; the classifier gets them in as few partitions as their number asks for."""
+    seen = []
+
+    class Counted:
+        def fit(self, df):
+            seen.append((df.columns, df.rdd.getNumPartitions(), df.count()))
+            return model.forest(3, 2).fit(df)
+
+    df = model.prepare(spark.createDataFrame(
+        [("ab"[i % 2], f"t{i}", i % 3, float(i % 2), 1.0 * i, None if i % 4 else "none", ["linux", "mac", "win"][i % 3], float(i % 2)) for i in range(30)],
+        "agent string, trial string, fold int, x double, y double, sf_site_mode string, ua_os_mode string, label double")).repartition(6)
+    monkeypatch.setattr(model, "FIT_ROWS", 7)
+    # label lists of different lengths used to be filled with nulls, which cannot be written
+    out = model.cross_validate_tables({"one": df}, ["a", "b"], Counted()).collect()
+    assert len(out) == 30 and sum(r["y"] == r["yhat"] for r in out) >= 28
+    assert [(c, n) for c, p, n in seen] == [(["label", "features"], 20)] * 3 and all(p <= 3 for _, p, _ in seen)
+    models = model.train_tables({"one": df}, ["a", "b"], [0, 1, 2], model.forest(3, 2))
+    assert set(models) == {("one", f) for f in range(3)}
+    held = models["one", 0].transform(df.where("fold = 0"))
+    assert held.count() == 10 and held.where("predicted IN ('a', 'b')").count() == 10
