@@ -254,6 +254,31 @@ def test_vectors_against_all_pairs(spark):
         assert all(x.kept == (x.vec_id is not None and x.vec_id == x.component_id) for x in got)
 
 
+def test_vectors_meet_in_rounds_of_bounded_size(spark, monkeypatch):
+    """No round shuffles many more copies than there are vectors, and together they find every pair, once."""
+    from tracefp.llm import vectors
+
+    r = np.random.default_rng(8)
+    rows = [(k, (r.normal(size=12) * 0.3 + np.eye(12)[k % 3]).tolist()) for k in range(240)]
+    rows += [(240 + k, (np.array(rows[k % 60][1]) + r.normal(size=12) * 0.05).tolist()) for k in range(240)]
+    copies, all_of = [], vectors._pairs
+
+    def counted(*args):
+        out = all_of(*args)
+        copies.append(out.count())
+        return out
+
+    monkeypatch.setattr(vectors, "_pairs", counted)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = near_vectors(df, block=20, cell=30, least_round=100).collect()
+    assert sorted((x.vec_id is None, x.vec_id, x.n_links, x.component_id) for x in got) == plain_vectors(rows, 0.95)
+    assert len(copies) > 3 and max(copies) <= 1.5 * len(rows) and sum(x.n_links for x in got) > 400
+    whole = len(copies), sum(copies)
+    copies.clear()
+    near_vectors(df, block=20, cell=30)
+    assert len(copies) == 1 < whole[0] and copies[0] == whole[1]
+
+
 def test_line_dedup_keeps_clear_of_its_own_names(frame, prose):
     """A table that has n_lines and N_DROPPED keeps them; the new ones are set apart."""
     docs = frame([(1, prose(1, 20) + "\n" + prose(1, 20)), (2, None)]).selectExpr("doc_id", "text", "-1 AS n_lines", "'mine' AS N_DROPPED")

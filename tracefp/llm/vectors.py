@@ -12,6 +12,11 @@ Cells are cut into blocks of about BLOCK vectors by a hash, and a task takes one
 of blocks: a product of two bounded matrices.  It emits the number of links of each
 vector and a spanning forest of them, never the links.  Equal vectors are one,
 with a weight.
+
+A vector is copied once for every pair of blocks it takes part in, which is many times
+the input.  Pairs are therefore dealt over rounds, each of about as many copies as there
+are vectors; a round's shuffle files are given up before the next begins, so disk holds
+one written table of vectors and one round, however many pairs there are.
 """
 
 from __future__ import annotations
@@ -20,16 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefp.llm.components import components
+from tracefp.llm.store import settled
 from tracefp.session import materialize
 
 SIMILARITY = 0.95
 SAMPLE = 20_000
 CELL, MOST_CELLS = 1_000, 2_048
 BLOCK = 1_024
+GUEST_BLOCKS = 4
+LEAST_ROUND = 500_000
 ROUNDS = 8
 SLACK = 1e-9
 
@@ -54,44 +62,38 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.nda
     return c
 
 
-def unit_rows(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(rows, unit vectors) of the vectors that can link: finite, without nulls, not zero."""
-    at, out = [], []
+def linkable(column: pa.Array) -> list[int]:
+    """Rows of the vectors that can link: finite, without nulls, not zero."""
+    at = []
     for n, v in enumerate(column.to_pylist()):
-        if v is None or not len(v) or any(x is None for x in v):
-            continue
-        x = np.array(v, np.float64)
-        if not np.isfinite(x).all():
-            continue
-        top = np.abs(x).max()
-        if top > 0:
-            x = x / top
-            at.append(n)
-            out.append(x / np.sqrt(x @ x))
-    return np.array(at, np.int64), out
-
-
-def _units(vectors: DataFrame) -> DataFrame:
-    """(rep, n, dim, unit): different vectors, those of one length one dim."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, unit = unit_rows(batch.column(2))
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([len(u) for u in unit], pa.int32()),
-                                              pa.array([u.astype("<f8").tobytes() for u in unit], pa.binary())], ["rep", "n", "dim", "unit"])
+        if v and not any(x is None for x in v):
+            x = np.array(v, np.float64)
+            if np.isfinite(x).all() and x.any():
+                at.append(n)
+    return at
+
+
+def unit_rows(raw: list[bytes], kind: str, dim: int) -> np.ndarray:
+    """Vectors as they came, scaled to length one in double precision."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
 
-    kind = dict(vectors.dtypes)["rep"]
-    return vectors.select("rep", "n", "v").mapInArrow(run, f"rep {kind}, n long, dim int, unit binary")
+def _raw(column: pa.Array, at: list[int], kind: str) -> list[bytes]:
+    return [np.array(v, kind).tobytes() for v in column.take(pa.array(at, pa.int64())).to_pylist()]
 
 
-def _placed(units: DataFrame, centroids: dict[int, np.ndarray], reach: float) -> DataFrame:
-    """units with home, and visits: the cells a vector visits."""
-    shared = units.sparkSession.sparkContext.broadcast(centroids)
+def _placed(vectors: DataFrame, centroids: dict[int, np.ndarray], reach: float, kind: str) -> DataFrame:
+    """(rep, n, dim, raw, home, visits): vectors that can link, those of one length one dim,
+    with the cell that is nearest and the cells they visit."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            raw = batch.column("unit").to_pylist()
+            at = linkable(batch.column("v"))
+            raw = _raw(batch.column("v"), at, kind)
+            dims = np.array([len(r) // np.dtype(kind).itemsize for r in raw], np.int32)
             home, visits = np.zeros(len(dims), np.int32), [[] for _ in raw]
             for dim in np.unique(dims):
                 c = shared.value.get(int(dim))
@@ -101,18 +103,18 @@ def _placed(units: DataFrame, centroids: dict[int, np.ndarray], reach: float) ->
                 rows = np.nonzero(dims == dim)[0]
                 for a in range(0, len(rows), 2048):
                     part = rows[a:a + 2048]
-                    s = np.frombuffer(b"".join(raw[k] for k in part), "<f8").reshape(len(part), dim) @ c.T
+                    s = unit_rows([raw[k] for k in part], kind, dim) @ c.T
                     own = s.argmax(1)
                     home[part] = own
                     near = (s[np.arange(len(part)), own][:, None] - s) / apart[own] <= reach
                     near[np.arange(len(part)), own] = False
                     for k, cells in zip(part, near):
                         visits[k] = np.nonzero(cells)[0].tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(visits, pa.list_(pa.int32()))],
-                                             [*batch.schema.names, "home", "visits"])
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), batch.column("n").take(take), pa.array(dims), pa.array(raw, pa.binary()), pa.array(home),
+                                              pa.array(visits, pa.list_(pa.int32()))], ["rep", "n", "dim", "raw", "home", "visits"])
 
-    kind = dict(units.dtypes)["rep"]
-    return units.mapInArrow(run, f"rep {kind}, n long, dim int, unit binary, home int, visits array<int>")
+    return vectors.select("rep", "n", "v").mapInArrow(run, f"rep {dict(vectors.dtypes)['rep']}, n long, dim int, raw binary, home int, visits array<int>")
 
 
 def _forest(a: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +128,11 @@ def _forest(a: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndar
         left, right = low, far
 
 
-def _meet(similarity: float):
+def _meet(similarity: float, kind: str):
     def run(table: pa.Table) -> pa.Table:
         reps = table.column("rep").to_pylist()
         dim = table.column("dim")[0].as_py()
-        x = np.frombuffer(b"".join(table.column("unit").to_pylist()), "<f8").reshape(-1, dim)
+        x = unit_rows(table.column("raw").to_pylist(), kind, dim)
         n, side = table.column("n").to_numpy(), table.column("side").to_numpy()
         left, right = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
         own = not len(right) and table.column("i")[0].as_py() == table.column("j")[0].as_py() and not table.column("guests")[0].as_py()
@@ -173,8 +175,28 @@ def _meet(similarity: float):
     return run
 
 
+def _pairs(members: DataFrame, guests: DataFrame, blocks: DataFrame, h: Column, turn: int, rounds: int) -> DataFrame:
+    """The copies of one round: blocks i and j of a cell meet in round (i + j + cell) mod rounds."""
+    def others(many: str) -> Column:
+        begin = F.pmod(F.lit(turn) - F.col("b") - F.col("cell"), F.lit(rounds))
+        return F.when(begin < F.col(many), F.sequence(begin, F.col(many) - 1, F.lit(rounds).cast("long")))
+
+    def cut(rows: DataFrame, own: str) -> DataFrame:
+        return rows.join(F.broadcast(blocks), ["dim", "cell"]).where(F.col(own) > 0).withColumn("b", h % F.col(own))
+
+    def copies(rows: DataFrame, many: str, guest: bool, i: Column, j: Column, side: Column, seen: bool = False) -> DataFrame:
+        visits = "visits" if seen else F.lit(None).cast("array<int>").alias("visits")
+        return rows.select("*", F.explode(others(many)).alias("o")).select(
+            "dim", "cell", F.lit(guest).alias("guests"), i.alias("i"), j.alias("j"), side.alias("side"), "rep", "n", "raw", "home", visits)
+
+    member, b, o = cut(members, "mb"), F.col("b"), F.col("o")
+    among = copies(member, "mb", False, F.least(b, o), F.greatest(b, o), F.when(b <= o, 0).otherwise(1))
+    hosts = copies(member, "gb", True, b, o, F.lit(0), seen=True)
+    return among.unionByName(hosts).unionByName(copies(cut(guests, "gb"), "mb", True, o, b, F.lit(1)))
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = SIMILARITY, cell: int = CELL,
-                 block: int = BLOCK) -> DataFrame:
+                 block: int = BLOCK, least_round: int = LEAST_ROUND) -> DataFrame:
     """One row per row of vectors: id_col, n_links (other rows at the similarity or
     above), component_id (smallest id reachable, its own included), kept.
 
@@ -186,45 +208,44 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumns(
         {"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    element = dict(vectors.dtypes)[vector_col]
+    kind = "<f4" if element == "array<float>" else "<f8"
     known = rows.where("id IS NOT NULL AND v IS NOT NULL")
     # equal vectors are one node, named by their smallest id and their hash
-    kinds = known.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("n")).select(
-        "k1", "k2", F.struct(F.col("low").alias("id"), "k1", "k2").alias("rep"), "n")
-    first = known.join(kinds, ["k1", "k2"]).where("id = rep.id").groupBy("rep").agg(F.first("n").alias("n"), F.first("v").alias("v"))
-    units = materialize(_units(first), "vectors")
-    sizes = {r["dim"]: r["count"] for r in units.groupBy("dim").count().collect()}
+    kinds = known.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).select(
+        "k1", "k2", F.struct(F.col("low").alias("id"), "k1", "k2").alias("rep"), "n", "dim")
+    kinds = materialize(kinds, "kinds")
     centroids = {}
-    for dim, count in sizes.items():
+    for dim, count in [(r["dim"], r["count"]) for r in kinds.groupBy("dim").count().collect()]:
         k = min(MOST_CELLS, max(1, count // cell))
         if k > 1:
-            sample = units.where(F.col("dim") == dim).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("unit").collect()
-            x = np.frombuffer(b"".join(bytes(r["unit"]) for r in sample), "<f8").reshape(-1, dim)
-            centroids[dim] = kmeans(x, min(k, len(x)))
-    placed = materialize(_placed(units, centroids, np.sqrt(max(0.0, 2 - 2 * similarity)) / 2 + SLACK), "placed")
+            some = kinds.where(F.col("dim") == dim).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("k1", "k2", F.col("rep.id").alias("id"))
+            sample = known.join(F.broadcast(some), ["k1", "k2", "id"]).dropDuplicates(["k1", "k2"]).select("v").toArrow().column("v").combine_chunks()
+            at = linkable(sample)
+            if len(at) > 1:
+                centroids[dim] = kmeans(unit_rows(_raw(sample, at, kind), kind, dim), min(k, len(at)))
+    first = known.groupBy("k1", "k2").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.min_by("v", "id").alias("v")).select(
+        F.struct(F.col("low").alias("id"), "k1", "k2").alias("rep"), "n", "v")
+    placed = settled(_placed(first, centroids, np.sqrt(max(0.0, 2 - 2 * similarity)) / 2 + SLACK, kind), "placed")
     members = placed.select("*", F.col("home").alias("cell"), F.lit(0).alias("guest"))
     guests = placed.select("*", F.explode("visits").alias("cell"), F.lit(1).alias("guest"))
     # one row per cell, whose number is bounded by MOST_CELLS for each length
     counts = members.groupBy("dim", "cell").agg(F.count("*").alias("m")).join(
-        guests.groupBy("dim", "cell").agg(F.count("*").alias("g")), ["dim", "cell"], "left")
-    blocks = counts.select("dim", "cell", F.ceil(F.col("m") / block).alias("mb"), F.ceil(F.coalesce("g", F.lit(0)) / block).alias("gb"))
-    salted = members.unionByName(guests).join(F.broadcast(blocks), ["dim", "cell"]).withColumn("h", F.pmod(F.xxhash64("rep", "cell"), F.lit(1 << 30)))
-    member = salted.where("guest = 0").withColumn("b", F.col("h") % F.col("mb"))
-    among = member.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)).alias("o")).select(
-        "dim", "cell", F.lit(False).alias("guests"), F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"),
-        F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "rep", "n", "unit", "home", "visits")
-    hosts = member.where("gb > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gb") - 1)).alias("o")).select(
-        "dim", "cell", F.lit(True).alias("guests"), F.col("b").alias("i"), F.col("o").alias("j"), F.lit(0).alias("side"), "rep", "n", "unit", "home", "visits")
-    callers = salted.where("guest = 1").withColumn("b", F.col("h") % F.col("gb")).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)).alias("o")).select(
-        "dim", "cell", F.lit(True).alias("guests"), F.col("o").alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "rep", "n", "unit", "home", "visits")
-    kind = dict(kinds.dtypes)["rep"]
-    met = among.unionByName(hosts).unionByName(callers).groupBy("dim", "cell", "guests", "i", "j").applyInArrow(
-        _meet(similarity), f"rep {kind}, links long, root {kind}")
-    met = materialize(met, "met")
+        guests.groupBy("dim", "cell").agg(F.count("*").alias("g")), ["dim", "cell"], "left").withColumn("g", F.coalesce("g", F.lit(0)))
+    blocks = materialize(counts.select("dim", "cell", F.ceil(F.col("m") / block).alias("mb"), F.ceil(F.col("g") / (GUEST_BLOCKS * block)).alias("gb"), "m", "g"), "blocks")
+    size = blocks.agg(F.sum("m"), F.sum(F.col("m") * (F.col("mb") + F.col("gb")) + F.col("g") * F.col("mb"))).first()
+    rounds = -(-(size[1] or 0) // max(size[0] or 0, least_round)) or 1
+    h = F.pmod(F.xxhash64("rep", "cell"), F.lit(1 << 30))
+    node = dict(kinds.dtypes)["rep"]
+    met = None
+    for turn in range(rounds):
+        out = settled(_pairs(members, guests, blocks.drop("m", "g"), h, turn, rounds).groupBy("dim", "cell", "guests", "i", "j").applyInArrow(
+            _meet(similarity, kind), f"rep {node}, links long, root {node}"), "met")
+        met = out if met is None else met.unionByName(out)
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     # rows that link with nothing at all have no unit vector, and their copies do not link either
-    linked = units.select("rep", "n").join(links, "rep", "left").join(groups, "rep", "left").select(
+    linked = placed.select("rep", "n").join(links, "rep", "left").join(groups, "rep", "left").select(
         "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep")["id"].alias("component_id"))
     by_kind = kinds.select("k1", "k2", "rep").join(linked, "rep")
     out = rows.select("id", "k1", "k2").join(by_kind.select("k1", "k2", "n_links", "component_id"), ["k1", "k2"], "left")
